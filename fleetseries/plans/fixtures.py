@@ -41,7 +41,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TELEMETRY_SQL = """tele AS (
-  SELECT 'st' || user_id AS device, event_type AS key, epoch_ms(ts) AS ts_ms, value, event_id
+  SELECT 'st' || user_id AS device, event_type AS key, epoch_us(ts) // 1000 AS ts_ms, value, event_id
   FROM events)"""
 
 

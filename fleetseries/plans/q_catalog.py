@@ -235,7 +235,7 @@ def _rule_sql(body: str) -> str:
     return f"WITH {fx.CATALOG_SQL} {body}"
 
 
-_N_SEG = fx._case_sql({k: str(v) for k, v in fx.SEGMENT_N_VARS.items()})
+_N_SEG = fx._case_sql({k: str(v) for k, v in fx.SEGMENT_N_VARS.items()}, "department")
 
 
 @register("rule_schema", _rule_sql(f"""

@@ -64,7 +64,7 @@ def _typed(c: str):
 SELECT dataset_id, file_name, row_pos, time,
   {", ".join(f"CASE WHEN event_type = '{c}' THEN value END AS {c}" for c in fx.EVENT_TYPES)},
   CASE WHEN file_role = 'live' THEN CAST(json_extract_string(e.props, '$.k') AS BIGINT) END AS k
-FROM raw JOIN events e USING (event_id)""")
+FROM raw JOIN (SELECT event_id, props FROM events) e USING (event_id)""")
 def fileset_union(spark, d):
     raw = fx.raw_rows(spark, d)
     ev = fx.table(spark, d, "events").select("event_id", "props")
@@ -303,8 +303,11 @@ SELECT DISTINCT file_name || '.backup9' AS file_name, 'file_header' AS rule
 FROM raw WHERE file_role = 'live' AND user_id % 7 = 0""")
 def rule_file_headers(spark, d):
     root, _, headers = _fixture_frames(spark, d)
-    listing = lf.list_files(spark, root).select(F.col("path").alias("file_name"))
-    bad = rules.rule_file_headers(listing, headers.filter("valid"))
+    listing = lf.list_files(spark, root).select(
+        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"), F.col("path").alias("file_name"))
+    valid = headers.filter("valid").select(F.regexp_replace("file_name", "^file:", "").alias("file_name"))
+    listing = listing.withColumn("file_name", F.regexp_replace("file_name", "^file:", ""))
+    bad = rules.rule_file_headers(listing, valid)
     return bad.select(_base(F.col("location")).alias("file_name"), "rule")
 
 

@@ -38,12 +38,12 @@ def alias_coalesce(spark, d):
 
 
 @register("map_variables", f"""WITH {fx.KEYLAST_SQL},
-at AS (
+airt AS (
   SELECT dataset_id, time, 'air_temperature' AS canonical_name, 'degC' AS units,
     coalesce(max(value) FILTER (WHERE raw_name = 'click'), max(value) FILTER (WHERE raw_name = 'view')) AS value_num,
     CAST(NULL AS VARCHAR) AS value_str
   FROM keylast WHERE raw_name IN ('click', 'view') GROUP BY dataset_id, time)
-SELECT * FROM at
+SELECT * FROM airt
 UNION ALL SELECT dataset_id, time, 'relative_humidity', '%', value, NULL FROM keylast WHERE raw_name = 'purchase'
 UNION ALL SELECT dataset_id, time, 'signup', NULL, NULL, CAST(value AS VARCHAR) FROM keylast WHERE raw_name = 'signup'""")
 def map_variables(spark, d):

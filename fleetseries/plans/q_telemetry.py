@@ -159,7 +159,7 @@ def coerce_numeric(spark, d):
 @register("quality_warnings", f"""WITH {_COERCE_SQL}
 SELECT dataset_id, event_type AS canonical_name, count(*) AS n_bad,
   event_type || ': ' || count(*) || ' value(s) could not be parsed as numeric and were set to NaN (examples: ['
-    || array_to_string(list_transform(list_sort(list(DISTINCT raw_value)), x -> '''' || x || ''''), ', ')
+    || array_to_string(list_transform(list_sort(list(DISTINCT raw_value)), lambda x: '''' || x || ''''), ', ')
     || '])' AS warning
 FROM coerced WHERE value_num IS NULL GROUP BY dataset_id, event_type""")
 def quality_warnings(spark, d):
