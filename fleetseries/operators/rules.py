@@ -1,14 +1,15 @@
 """Config validation as one table job: catalog -> (dataset_id, rule, location, message).
 
-Each rule is a filter over exploded config parts; the verdict per config is an
-anti-join of the violations. Nothing is collected.
+Every rule is a check *within* one config document, so all of them are
+evaluated in a single projection with higher-order array functions over the
+document's own ``variables`` / ``members`` / ``deployments`` arrays: one JSON
+parse per document, no shuffle, no window; the findings array is exploded
+once. The verdict per config is an anti-join / count of the findings.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,215 +22,245 @@ from fleetseries.schemas import (
 )
 
 RULE_COLUMNS = ["dataset_id", "rule", "location", "message"]
+_JSON_ARRAY = T.ArrayType(T.StringType())
+_FINDINGS_TYPE = "array<struct<rule:string,location:string,message:string>>"
 
 
-def _rule(df: DataFrame, rule: str, location: Column, message: Column) -> DataFrame:
-    return df.select("dataset_id", F.lit(rule).alias("rule"), location.alias("location"),
-                     message.alias("message"))
+def _f(cond: Column, rule: str, location: Column | str, message: Column | str) -> Column:
+    loc = F.lit(location) if isinstance(location, str) else location
+    msg = F.lit(message) if isinstance(message, str) else message
+    return F.when(cond, F.struct(F.lit(rule).alias("rule"), loc.alias("location"), msg.alias("message")))
 
 
-def _variables(catalog: DataFrame) -> DataFrame:
-    return catalog.filter("parsed_ok").select(
-        "dataset_id", F.posexplode("variables").alias("i", "v"))
+def _arr(*items: Column) -> Column:
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def _dims_count(v: Column) -> Column:
-    ed = v["extra_dimension"]
-    return F.when(ed.isNull(), F.lit(None).cast("int")).when(
-        F.startswith(F.ltrim(ed), F.lit("[")), F.json_array_length(ed)).otherwise(F.lit(1))
+def _keys_lit(keys: list[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keys])
 
 
-def rule_variable_shape(catalog: DataFrame) -> DataFrame:
-    """V1 + V2: exactly one of raw_name / extra_dimension; dimension variables
-    need members and a standard name and at least one dimension; member value
-    arity equals the number of dimensions."""
-    v = _variables(catalog).withColumn("n_dims", _dims_count(F.col("v")))
-    loc = F.format_string("variables[%d]", F.col("i"))
-    has_raw = F.col("v.raw_name").isNotNull()
-    has_dims = F.col("v.extra_dimension").isNotNull()
-    n_members = F.coalesce(F.size("v.members"), F.lit(0))
-    checks = [
-        (has_raw & has_dims, "a variable cannot set both raw_name and extra_dimension"),
-        (~has_raw & ~has_dims, "a variable must set either raw_name or extra_dimension+members"),
-        (has_dims & ~has_raw & (F.col("n_dims") == 0),
-         "extra_dimension, if given, must declare at least one dimension"),
-        (has_dims & ~has_raw & (F.col("n_dims") > 0) & (n_members == 0),
-         "extra_dimension variables require at least one member"),
-        (has_dims & ~has_raw & (F.col("n_dims") > 0) & (n_members > 0) & F.col("v.standard_name").isNull(),
-         "extra_dimension variables require standard_name"),
+def _unknown(json_text: Column, allowed: list[str]) -> Column:
+    return F.array_sort(F.array_except(
+        F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>")), _keys_lit(allowed)))
+
+
+def _ts(text: Column) -> Column:
+    return F.to_timestamp(text).cast("timestamp_ntz")
+
+
+def _n_dims(ext: Column) -> Column:
+    return F.when(ext.isNull(), F.lit(None).cast("int")).when(
+        F.startswith(F.ltrim(ext), F.lit("[")), F.json_array_length(ext)).otherwise(F.lit(1))
+
+
+def _document_findings(c: DataFrame) -> Column:
+    ok = F.col("parsed_ok")
+    content = F.col("content")
+    missing = F.array_sort(F.array_except(_keys_lit(CONFIG_KEYS["root_required"]),
+                                          F.coalesce(F.json_object_keys(content), F.array().cast("array<string>"))))
+    root_unknown = _unknown(content, CONFIG_KEYS["root"])
+    sc_json = F.get_json_object(content, "$.source_config")
+    out_json = F.get_json_object(content, "$.output")
+    meta_json = F.get_json_object(content, "$.metadata")
+    items = [
+        _f(~ok, "schema", "document", "invalid JSON"),
+        _f(ok & (F.size(missing) > 0), "schema", "document",
+           F.concat(F.lit("missing fields: "), F.array_join(missing, ","))),
+        _f(ok & (F.size(root_unknown) > 0), "schema", "document",
+           F.concat(F.lit("unknown keys: "), F.array_join(root_unknown, ","))),
+    ]
+    for field, allowed in (("source_type", SOURCE_TYPES), ("access", ACCESS_LEVELS),
+                           ("platform_type", PLATFORM_TYPES)):
+        col = F.col(field)
+        items.append(_f(ok & col.isNotNull() & ~col.isin(allowed), "schema", field,
+                        F.format_string("%s must be one of " + "|".join(allowed), col)))
+    for st in SOURCE_TYPES:
+        unk = _unknown(sc_json, CONFIG_KEYS[st])
+        items.append(_f(ok & (F.col("source_type") == st) & (F.size(unk) > 0), "schema", "source_config",
+                        F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))))
+    out_unk = _unknown(out_json, CONFIG_KEYS["output"])
+    items += [
+        _f(ok & out_json.isNotNull() & (F.size(out_unk) > 0), "schema", "output",
+           F.concat(F.lit("unknown keys: "), F.array_join(out_unk, ","))),
+        _f(ok & out_json.isNotNull() & F.col("file_naming").isNull(), "schema", "output",
+           "output.file_naming is required"),
+        _f(ok & meta_json.isNotNull() & F.get_json_object(content, "$.metadata.title").isNull(),
+           "schema", "metadata", "metadata.title is required"),
+        _f(ok & (F.coalesce(F.size("deployments"), F.lit(-1)) <= 0), "deployments", "deployments",
+           "at least one deployment is required"),
     ]
-    parts = [_rule(v.filter(c), "variable_shape", loc, F.lit(m)) for c, m in checks]
-    # V2 arity, per member
-    m = v.filter(has_dims & ~has_raw & (F.col("n_dims") > 0) & F.col("v.standard_name").isNotNull()) \
-        .select("dataset_id", "i", "n_dims", F.posexplode("v.members").alias("j", "m"))
-    val = F.col("m.dimension_value")
-    is_list = F.startswith(F.ltrim(val), F.lit("["))
-    arity_bad = ((F.col("n_dims") == 1) & is_list) | (
-        (F.col("n_dims") > 1) & (~is_list | (F.json_array_length(val) != F.col("n_dims"))))
-    parts.append(_rule(
-        m.filter(arity_bad), "member_arity",
-        F.format_string("variables[%d].members[%d]", F.col("i"), F.col("j")),
-        F.when(F.col("n_dims") == 1, F.lit("dimension_value must be a scalar")).otherwise(
-            F.format_string("dimension_value must be a list of %d values", F.col("n_dims"))),
-    ))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def all_raw_names(catalog: DataFrame) -> DataFrame:
-    """(dataset_id, var index, raw name) for raw_name, old_names and members."""
-    v = _variables(catalog)
-    names = F.when(F.col("v.extra_dimension").isNotNull(),
-                   F.transform(F.coalesce(F.col("v.members"), F.array()), lambda x: x["raw_name"])) \
-        .otherwise(F.concat(F.array(F.col("v.raw_name")),
-                            F.coalesce(F.col("v.old_names"), F.array().cast("array<string>"))))
-    return v.select("dataset_id", "i", F.explode(names).alias("raw_name")).filter(
-        F.col("raw_name").isNotNull())
+    names = F.filter(F.transform(F.coalesce("variables", F.array()), lambda v: v["standard_name"]),
+                     lambda s: s.isNotNull())
+    miss_pos = F.array_sort(F.array_except(F.array(F.lit("latitude"), F.lit("longitude")), names))
+    items.append(_f(ok & (F.col("platform_type") == "mobile") & (F.size(miss_pos) > 0), "platform", "variables",
+                    F.format_string("mobile datasets must map variables with standard_name %s",
+                                    F.array_join(miss_pos, ","))))
+    return _arr(*items)
+
+
+def _variable_findings() -> Column:
+    """Shape, arity, unknown keys and dtype per variable; collisions per document."""
+    ok = F.col("parsed_ok")
+    variables = F.coalesce(F.col("variables"), F.array())
+    var_json = F.coalesce(F.from_json(F.get_json_object("content", "$.variables"), _JSON_ARRAY),
+                          F.array().cast("array<string>"))
+
+    def per_var(v: Column, i: Column) -> Column:
+        loc = F.format_string("variables[%d]", i)
+        has_raw = v["raw_name"].isNotNull()
+        has_dims = v["extra_dimension"].isNotNull()
+        n_dims = _n_dims(v["extra_dimension"])
+        n_members = F.coalesce(F.size(v["members"]), F.lit(0))
+        dims_var = has_dims & ~has_raw
+        shape = _arr(
+            _f(has_raw & has_dims, "variable_shape", loc, "a variable cannot set both raw_name and extra_dimension"),
+            _f(~has_raw & ~has_dims, "variable_shape", loc,
+               "a variable must set either raw_name or extra_dimension+members"),
+            _f(dims_var & (n_dims == 0), "variable_shape", loc,
+               "extra_dimension, if given, must declare at least one dimension"),
+            _f(dims_var & (n_dims > 0) & (n_members == 0), "variable_shape", loc,
+               "extra_dimension variables require at least one member"),
+            _f(dims_var & (n_dims > 0) & (n_members > 0) & v["standard_name"].isNull(), "variable_shape", loc,
+               "extra_dimension variables require standard_name"),
+        )
+        arity_ok_scope = dims_var & (n_dims > 0) & v["standard_name"].isNotNull()
+
+        def per_member(m: Column, j: Column) -> Column:
+            val = m["dimension_value"]
+            is_list = F.startswith(F.ltrim(val), F.lit("["))
+            bad = ((n_dims == 1) & is_list) | ((n_dims > 1) & (~is_list | (F.json_array_length(val) != n_dims)))
+            return _f(arity_ok_scope & bad, "member_arity",
+                      F.format_string("variables[%d].members[%d]", i, j),
+                      F.when(n_dims == 1, F.lit("dimension_value must be a scalar")).otherwise(
+                          F.format_string("dimension_value must be a list of %d values", n_dims)))
+
+        arity = F.filter(F.transform(F.coalesce(v["members"], F.array()), per_member), lambda x: x.isNotNull())
+        vj = F.element_at(var_json, i + 1)
+        unk = _unknown(vj, CONFIG_KEYS["variable"])
+        dtype = F.get_json_object(vj, "$.dtype")
+        extra = _arr(
+            _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
+            _f(dtype.isNotNull() & ~dtype.isin(DTYPES), "schema", loc,
+               F.format_string("dtype must be one of numeric|string, got %s", dtype)),
+        )
+        return F.concat(shape, arity, extra)
+
+    per_variable = F.flatten(F.transform(variables, per_var))
+
+    # raw names with their variable index: raw_name + old_names, or members
+    def names_of(v: Column, i: Column) -> Column:
+        names = F.when(v["extra_dimension"].isNotNull(),
+                       F.transform(F.coalesce(v["members"], F.array()), lambda m: m["raw_name"])) \
+            .otherwise(F.concat(F.array(v["raw_name"]), F.coalesce(v["old_names"], F.array().cast("array<string>"))))
+        return F.transform(F.filter(names, lambda n: n.isNotNull()),
+                           lambda n: F.struct(n.alias("n"), i.alias("i")))
+
+    tagged = F.flatten(F.transform(variables, names_of))
+    collisions = F.filter(F.transform(
+        F.array_distinct(F.transform(tagged, lambda t: t["n"])),
+        lambda name: F.when(
+            F.size(F.filter(tagged, lambda t: t["n"] == name)) > 1,
+            F.struct(
+                F.lit("name_collision").alias("rule"),
+                F.concat(F.lit("raw_name:"), name).alias("location"),
+                F.format_string("raw column '%s' is mapped by variables[%d] and variables[%d]", name,
+                                F.filter(tagged, lambda t: t["n"] == name)[0]["i"],
+                                F.filter(tagged, lambda t: t["n"] == name)[1]["i"]).alias("message"),
+            )),
+    ), lambda x: x.isNotNull())
+    return F.when(ok, F.concat(per_variable, collisions)).otherwise(F.array().cast(_FINDINGS_TYPE))
+
+
+def _deployment_findings() -> Column:
+    ok = F.col("parsed_ok")
+    deps = F.coalesce(F.col("deployments"), F.array())
+    dep_json = F.coalesce(F.from_json(F.get_json_object("content", "$.deployments"), _JSON_ARRAY),
+                          F.array().cast("array<string>"))
+    n = F.size(deps)
+    fixed = F.col("platform_type") == "fixed"
+    mobile = F.col("platform_type") == "mobile"
+
+    def per_dep(d: Column, k: Column) -> Column:
+        loc = F.format_string("deployments[%d]", k)
+        start, end = _ts(d["start"]), _ts(d["end"])
+        nxt = F.when(k + 1 < n, F.element_at(deps, k + 2))
+        nstart = _ts(nxt["start"])
+        unk = _unknown(F.element_at(dep_json, k + 1), CONFIG_KEYS["deployment"])
+        return _arr(
+            _f(end.isNotNull() & (end <= start), "deployments", loc, "end must be after start"),
+            _f(end.isNull() & (k < n - 1), "deployments", loc, "only the last deployment may be open-ended"),
+            _f(nstart.isNotNull() & (start > nstart), "overlap", loc, "deployments must be sorted by start ascending"),
+            _f(nstart.isNotNull() & end.isNotNull() & (start <= nstart) & (end > nstart), "overlap", loc,
+               F.format_string("deployments[%d] and deployments[%d] overlap", k, k + 1)),
+            _f(fixed & (d["lat"].isNull() | d["lon"].isNull()), "platform", loc,
+               "fixed platform requires lat and lon"),
+            _f(fixed & (d["platform_name"].isNotNull() | d["instrument_config"].isNotNull()), "platform", loc,
+               "platform_name/instrument_config are mobile-only fields"),
+            _f(mobile & d["platform_name"].isNull(), "platform", loc, "mobile platform requires platform_name"),
+            _f(mobile & (d["lat"].isNotNull() | d["lon"].isNotNull() | d["elevation"].isNotNull()), "platform",
+               loc, "lat/lon/elevation are fixed-only fields"),
+            _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
+        )
+
+    return F.when(ok, F.flatten(F.transform(deps, per_dep))).otherwise(F.array().cast(_FINDINGS_TYPE))
 
 
-def rule_name_collision(catalog: DataFrame) -> DataFrame:
-    """V3: a raw column mapped more than once (raw_name, old_names, members)."""
-    names = all_raw_names(catalog).groupBy("dataset_id", "raw_name").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("i")).alias("vars"))
-    bad = names.filter(F.col("n") > 1)
-    return _rule(bad, "name_collision", F.concat(F.lit("raw_name:"), F.col("raw_name")),
-                 F.format_string("raw column '%s' is mapped by variables[%d] and variables[%d]",
-                                 F.col("raw_name"), F.col("vars")[0], F.col("vars")[1]))
+def all_rules(catalog: DataFrame) -> DataFrame:
+    """Every finding of every config, in one pass over the parsed catalog."""
+    found = F.concat(_document_findings(catalog), _variable_findings(), _deployment_findings())
+    return catalog.select("dataset_id", F.explode(found).alias("f")).select(
+        "dataset_id", "f.rule", "f.location", "f.message")
 
 
-def _deployments(catalog: DataFrame) -> DataFrame:
-    d = catalog.filter("parsed_ok").select(
-        "dataset_id", "platform_type", "variables", F.size("deployments").alias("n_dep"),
-        F.posexplode("deployments").alias("k", "d"))
-    return d.select(
-        "dataset_id", "platform_type", "variables", "n_dep", "k", "d",
-        F.to_timestamp(F.col("d.start")).cast("timestamp_ntz").alias("start"),
-        F.to_timestamp(F.col("d.end")).cast("timestamp_ntz").alias("end"),
-    )
+def _only(catalog: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return all_rules(catalog).filter(F.col("rule").isin(list(names)))
 
 
-def rule_deployments(catalog: DataFrame) -> DataFrame:
-    """V4 + V5: at least one deployment; end after start; only the last open-ended."""
-    none = catalog.filter("parsed_ok").filter(F.coalesce(F.size("deployments"), F.lit(-1)) <= 0)
-    parts = [_rule(none, "deployments", F.lit("deployments"), F.lit("at least one deployment is required"))]
-    d = _deployments(catalog)
-    loc = F.format_string("deployments[%d]", F.col("k"))
-    parts.append(_rule(d.filter(F.col("end").isNotNull() & (F.col("end") <= F.col("start"))),
-                       "deployments", loc, F.lit("end must be after start")))
-    parts.append(_rule(d.filter(F.col("end").isNull() & (F.col("k") < F.col("n_dep") - 1)),
-                       "deployments", loc, F.lit("only the last deployment may be open-ended")))
-    return reduce(DataFrame.unionByName, parts)
+def rule_schema(catalog: DataFrame) -> DataFrame:
+    """V9: JSON object, required fields, enumerations, unknown keys (metadata keeps extras)."""
+    return _only(catalog, ("schema",))
 
 
-def rule_overlap(catalog: DataFrame) -> DataFrame:
-    """V6: sorted by start and not overlapping (``lead`` over the config's own
-    deployment list; the window holds one config's deployments only)."""
-    d = _deployments(catalog)
-    w = Window.partitionBy("dataset_id").orderBy("k")
-    d = d.withColumn("next_start", F.lead("start").over(w))
-    loc = F.format_string("deployments[%d]", F.col("k"))
-    unsorted = d.filter(F.col("next_start").isNotNull() & (F.col("start") > F.col("next_start")))
-    overlap = d.filter(F.col("next_start").isNotNull() & F.col("end").isNotNull()
-                       & (F.col("start") <= F.col("next_start")) & (F.col("end") > F.col("next_start")))
-    return _rule(unsorted, "overlap", loc, F.lit("deployments must be sorted by start ascending")) \
-        .unionByName(_rule(overlap, "overlap", loc, F.format_string(
-            "deployments[%d] and deployments[%d] overlap", F.col("k"), F.col("k") + 1)))
+def rule_variable_shape(catalog: DataFrame) -> DataFrame:
+    """V1 + V2: exactly one of raw_name / extra_dimension; dims need members, a
+    standard name and at least one dimension; member arity equals the dims."""
+    return _only(catalog, ("variable_shape", "member_arity"))
 
 
-def rule_platform(catalog: DataFrame) -> DataFrame:
-    """V7 + V8: fixed needs lat/lon and no mobile fields; mobile needs a platform
-    name, no position fields, and variables mapping latitude and longitude."""
-    d = _deployments(catalog)
-    loc = F.format_string("deployments[%d]", F.col("k"))
-    fixed = d.filter(F.col("platform_type") == "fixed")
-    mobile = d.filter(F.col("platform_type") == "mobile")
-    parts = [
-        _rule(fixed.filter(F.col("d.lat").isNull() | F.col("d.lon").isNull()), "platform", loc,
-              F.lit("fixed platform requires lat and lon")),
-        _rule(fixed.filter(F.col("d.platform_name").isNotNull() | F.col("d.instrument_config").isNotNull()),
-              "platform", loc, F.lit("platform_name/instrument_config are mobile-only fields")),
-        _rule(mobile.filter(F.col("d.platform_name").isNull()), "platform", loc,
-              F.lit("mobile platform requires platform_name")),
-        _rule(mobile.filter(F.col("d.lat").isNotNull() | F.col("d.lon").isNotNull()
-                            | F.col("d.elevation").isNotNull()),
-              "platform", loc, F.lit("lat/lon/elevation are fixed-only fields")),
-    ]
-    names = F.filter(F.transform(F.coalesce("variables", F.array()), lambda v: v["standard_name"]),
-                     lambda s: s.isNotNull())
-    mob = catalog.filter("parsed_ok").filter(F.col("platform_type") == "mobile").withColumn(
-        "missing", F.array_sort(F.array_except(F.array(F.lit("latitude"), F.lit("longitude")), names)))
-    parts.append(_rule(mob.filter(F.size("missing") > 0), "platform", F.lit("variables"),
-                       F.format_string("mobile datasets must map variables with standard_name %s",
-                                       F.array_join("missing", ","))))
-    return reduce(DataFrame.unionByName, parts)
+def rule_name_collision(catalog: DataFrame) -> DataFrame:
+    """V3: a raw column mapped more than once (raw_name, old_names, members)."""
+    return _only(catalog, ("name_collision",))
+
 
+def rule_deployments(catalog: DataFrame) -> DataFrame:
+    """V4 + V5: at least one deployment; end after start; only the last open-ended."""
+    return _only(catalog, ("deployments",))
 
-def _unknown_keys(df: DataFrame, json_col: Column, allowed: list[str], location: Column) -> DataFrame:
-    keys = F.json_object_keys(json_col)
-    bad = df.withColumn("_bad", F.array_sort(F.array_except(F.coalesce(keys, F.array().cast(
-        "array<string>")), F.array(*[F.lit(k) for k in allowed]))))
-    return _rule(bad.filter(F.size("_bad") > 0), "schema", location,
-                 F.concat(F.lit("unknown keys: "), F.array_join("_bad", ",")))
 
+def rule_overlap(catalog: DataFrame) -> DataFrame:
+    """V6: sorted by start and not overlapping (next element of the same array)."""
+    return _only(catalog, ("overlap",))
 
-def rule_schema(catalog: DataFrame) -> DataFrame:
-    """V9: JSON object, required fields, enumerations, unknown keys (all objects
-    except metadata, which keeps extra keys)."""
-    parts = [_rule(catalog.filter(~F.col("parsed_ok")), "schema", F.lit("document"),
-                   F.lit("invalid JSON"))]
-    ok = catalog.filter("parsed_ok")
-    keys = F.json_object_keys("content")
-    missing = ok.withColumn("_miss", F.array_sort(F.array_except(
-        F.array(*[F.lit(k) for k in CONFIG_KEYS["root_required"]]), keys)))
-    parts.append(_rule(missing.filter(F.size("_miss") > 0), "schema", F.lit("document"),
-                       F.concat(F.lit("missing fields: "), F.array_join("_miss", ","))))
-    parts.append(_unknown_keys(ok, F.col("content"), CONFIG_KEYS["root"], F.lit("document")))
-    enums = [("source_type", SOURCE_TYPES), ("access", ACCESS_LEVELS), ("platform_type", PLATFORM_TYPES)]
-    for field, allowed in enums:
-        parts.append(_rule(ok.filter(F.col(field).isNotNull() & ~F.col(field).isin(allowed)),
-                           "schema", F.lit(field),
-                           F.format_string("%s must be one of " + "|".join(allowed), F.col(field))))
-    # source_config keys depend on the sibling source_type
-    sc = F.get_json_object("content", "$.source_config")
-    for st in SOURCE_TYPES:
-        parts.append(_unknown_keys(ok.filter(F.col("source_type") == st), sc, CONFIG_KEYS[st],
-                                   F.lit("source_config")))
-    out_json = F.get_json_object("content", "$.output")
-    parts.append(_unknown_keys(ok, out_json, CONFIG_KEYS["output"], F.lit("output")))
-    parts.append(_rule(ok.filter(F.col("file_naming").isNull() & out_json.isNotNull()), "schema",
-                       F.lit("output"), F.lit("output.file_naming is required")))
-    meta_title = F.get_json_object("content", "$.metadata.title")
-    parts.append(_rule(ok.filter(meta_title.isNull() & F.get_json_object("content", "$.metadata").isNotNull()),
-                       "schema", F.lit("metadata"), F.lit("metadata.title is required")))
-    # per variable / deployment objects
-    var_json = ok.select("dataset_id", F.posexplode(F.from_json(
-        F.get_json_object("content", "$.variables"), T.ArrayType(T.StringType()))).alias("i", "vj"))
-    parts.append(_unknown_keys(var_json, F.col("vj"), CONFIG_KEYS["variable"],
-                               F.format_string("variables[%d]", F.col("i"))))
-    dtype = F.get_json_object("vj", "$.dtype")
-    parts.append(_rule(var_json.filter(dtype.isNotNull() & ~dtype.isin(DTYPES)), "schema",
-                       F.format_string("variables[%d]", F.col("i")),
-                       F.format_string("dtype must be one of numeric|string, got %s", dtype)))
-    dep_json = ok.select("dataset_id", F.posexplode(F.from_json(
-        F.get_json_object("content", "$.deployments"), T.ArrayType(T.StringType()))).alias("k", "dj"))
-    parts.append(_unknown_keys(dep_json, F.col("dj"), CONFIG_KEYS["deployment"],
-                               F.format_string("deployments[%d]", F.col("k"))))
-    return reduce(DataFrame.unionByName, parts)
 
+def rule_platform(catalog: DataFrame) -> DataFrame:
+    """V7 + V8: fixed / mobile field requirements; mobile maps latitude and longitude."""
+    return _only(catalog, ("platform",))
 
-def all_rules(catalog: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [
-        rule_schema(catalog), rule_variable_shape(catalog), rule_name_collision(catalog),
-        rule_deployments(catalog), rule_overlap(catalog), rule_platform(catalog),
-    ])
 
+def validate_verdicts(catalog: DataFrame, violations: DataFrame | None = None,
+                      only_source: str | None = None) -> DataFrame:
+    """Per config: ``valid`` / ``invalid`` / ``skipped`` (another source type),
+    with the number of findings.
 
-def validate_verdicts(catalog: DataFrame, violations: DataFrame, only_source: str | None = None) -> DataFrame:
-    """Per config: ``valid`` / ``invalid`` / ``skipped`` (other source type)."""
-    n_bad = violations.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_violations"))
-    out = catalog.select("dataset_id", "source_type", "parsed_ok").join(n_bad, "dataset_id", "left")
+    Findings are counted from the exploded findings table and joined back by
+    ``dataset_id`` (a filter on the findings array itself would be pushed
+    below the parse and re-evaluate it per reference)."""
+    found = all_rules(catalog) if violations is None else violations
+    n_bad = found.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_violations"))
     skipped = F.lit(False) if only_source is None else (
-        F.col("parsed_ok") & F.col("source_type").isNotNull()
-        & F.col("source_type").isin(SOURCE_TYPES) & (F.col("source_type") != only_source))
+        F.col("parsed_ok") & F.col("source_type").isin(SOURCE_TYPES) & (F.col("source_type") != only_source))
+    out = catalog.select("dataset_id", "parsed_ok", "source_type").join(n_bad, "dataset_id", "left")
     status = F.when(skipped, "skipped").when(F.col("n_violations").isNotNull(), "invalid").otherwise("valid")
     return out.select("dataset_id", status.alias("status"),
                       F.coalesce("n_violations", F.lit(0)).alias("n_violations"))
@@ -239,7 +270,14 @@ def validate_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n_configs"))
 
 
+def valid_configs(catalog: DataFrame) -> DataFrame:
+    """Parsed configs without any finding (what listings and builds may use)."""
+    bad = all_rules(catalog).select("dataset_id")
+    return catalog.filter("parsed_ok").join(bad, "dataset_id", "left_anti")
+
+
 def rule_file_headers(matched: DataFrame, headers: DataFrame) -> DataFrame:
     """V11: files matched by a config's patterns that carry no valid header."""
     bad = matched.join(headers.select("file_name"), on="file_name", how="left_anti")
-    return _rule(bad, "file_header", F.col("file_name"), F.lit("not a logger file (header check failed)"))
+    return bad.select("dataset_id", F.lit("file_header").alias("rule"), F.col("file_name").alias("location"),
+                      F.lit("not a logger file (header check failed)").alias("message"))

@@ -140,6 +140,8 @@ def _values_sql(rows, cols):
             return "NULL"
         if isinstance(v, str):
             return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS t({', '.join(cols)})"

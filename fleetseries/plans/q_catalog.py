@@ -18,9 +18,7 @@ def parsed_catalog(spark, d):
 
 def valid_catalog(spark, d):
     """Parsed documents without any rule violation (what listings may show)."""
-    c = parsed_catalog(spark, d)
-    bad = rules.all_rules(c).select("dataset_id").distinct()
-    return c.filter("parsed_ok").join(bad, "dataset_id", "left_anti")
+    return rules.valid_configs(parsed_catalog(spark, d))
 
 
 _VIOLATION = (f"(NOT parsed_ok OR c_custkey % {fx.UNKNOWN_KEY_MOD} = 0 OR c_custkey % {fx.BOTH_SHAPES_MOD} = 0 "
@@ -297,4 +295,4 @@ SELECT CASE WHEN {_VIOLATION} THEN 'invalid' ELSE 'valid' END AS status, count(*
 FROM cat GROUP BY 1"""))
 def validate_summary(spark, d):
     c = parsed_catalog(spark, d)
-    return rules.validate_summary(rules.validate_verdicts(c, rules.all_rules(c)))
+    return rules.validate_summary(rules.validate_verdicts(c))

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fleetseries.functions.scalar import ts_lit
 from fleetseries.operators import coverage as cov
 from fleetseries.operators import deployment as dep_ops
 from fleetseries.operators import export as exp
@@ -52,8 +50,8 @@ def map_variables(spark, d):
     return obs.select("dataset_id", "time", "canonical_name", "units", "value_num", "value_str")
 
 
-_STACK_MEMBERS_SQL = "(VALUES ('click', 30.0, 0), ('view', 2.0, 1), ('purchase', 10.0, 2), " \
-    "('absent_sensor', 50.0, 3)) AS m(raw_name, height, dim_ord)"
+_STACK_MEMBERS_SQL = "(VALUES ('click', 30.0::DOUBLE, 0), ('view', 2.0::DOUBLE, 1), ('purchase', 10.0::DOUBLE, 2), " \
+    "('absent_sensor', 50.0::DOUBLE, 3)) AS m(raw_name, height, dim_ord)"
 
 
 @register("stack_dimension", f"""WITH {fx.KEYLAST_SQL},
@@ -69,7 +67,7 @@ def stack_dimension(spark, d):
                        F.col("dim_ord")[0].cast("int").alias("dim_ord"), "value_num")
 
 
-_TWO_DIM_SQL = "(VALUES ('click', 2.0, 'ch1'), ('view', 2.0, 'ch2'), ('purchase', 10.0, 'ch1')) " \
+_TWO_DIM_SQL = "(VALUES ('click', 2.0::DOUBLE, 'ch1'), ('view', 2.0::DOUBLE, 'ch2'), ('purchase', 10.0::DOUBLE, 'ch1')) " \
     "AS m(raw_name, height, channel)"
 
 
@@ -85,7 +83,7 @@ def stack_two_dims(spark, d):
 
 @register("dim_complete", f"""WITH {fx.KEYLAST_SQL},
 present AS (SELECT DISTINCT dataset_id, time FROM keylast WHERE raw_name IN ('click', 'view', 'purchase')),
-combos AS (SELECT * FROM (VALUES (2.0), (10.0)) h(height) CROSS JOIN (VALUES ('ch1'), ('ch2')) c(channel))
+combos AS (SELECT * FROM (VALUES (2.0::DOUBLE), (10.0::DOUBLE)) h(height) CROSS JOIN (VALUES ('ch1'), ('ch2')) c(channel))
 SELECT p.dataset_id, p.time, c.height, c.channel, k.value AS value_num
 FROM present p CROSS JOIN combos c
 LEFT JOIN {_TWO_DIM_SQL} ON m.height = c.height AND m.channel = c.channel
@@ -240,5 +238,3 @@ def coverage_attrs(spark, d):
     built = dep_ops.attach_deployments(obs, fx.deployments(spark, d, "fixed"), "fixed")
     return cov.coverage_attrs(built)
 
-
-_ = (ts_lit, T)
