@@ -74,7 +74,7 @@ def _document_findings(c: DataFrame) -> Column:
                            ("platform_type", PLATFORM_TYPES)):
         col = F.col(field)
         items.append(_f(ok & col.isNotNull() & ~col.isin(allowed), "schema", field,
-                        F.format_string("%s must be one of " + "|".join(allowed), col)))
+                        F.format_string(field + " must be one of " + "|".join(allowed) + ", got %s", col)))
     for st in SOURCE_TYPES:
         unk = _unknown(sc_json, CONFIG_KEYS[st])
         items.append(_f(ok & (F.col("source_type") == st) & (F.size(unk) > 0), "schema", "source_config",
