@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetseries.session import literal_frame
 from fleetseries.schemas import (
     KNOWN_VARIABLES,
     LEVEL_PATTERN,
@@ -43,7 +44,7 @@ def _has_close(names: pd.Series, candidates: pd.Series) -> pd.Series:
 
 
 def known_variables(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN_VARIABLES, "known_name string, standard_name string, units string")
+    return literal_frame(spark, KNOWN_VARIABLES, "known_name string, standard_name string, units string")
 
 
 def suggest_names(columns: DataFrame, spark: SparkSession) -> DataFrame:

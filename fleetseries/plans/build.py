@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetseries.operators import deployment as dep_ops
 from fleetseries.operators import mapping as map_ops
 from fleetseries.operators import reconcile as rec
-from fleetseries.session import broadcast_if_small
+from fleetseries.session import broadcast_if_small, write_table
 
 
 def file_ranks(raw: DataFrame) -> DataFrame:
@@ -26,6 +26,15 @@ def file_ranks(raw: DataFrame) -> DataFrame:
     return rec.rank_files(roles).select("dataset_id", "file_name", "file_rank", "file_role")
 
 
+def file_index_table(raw: DataFrame) -> DataFrame:
+    """The file index (one row per file with its rank), written as a table.
+
+    This is the one eager step of a build (the index refresh): later joins
+    see the index's real size and broadcast it when it is small.
+    """
+    return write_table(file_ranks(raw), "file_index")
+
+
 def ranked_rows(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """Attach ``file_rank`` to raw rows; the per-file table is broadcast when
     its estimated size is small, else joined by a shuffle join."""
@@ -46,7 +55,7 @@ def build_dataset(raw: DataFrame, specs: Sequence[dict], deployments: DataFrame
         order = {v: i for i, v in enumerate(variables)}
         columns = sorted(columns, key=lambda c: order.get(c["canonical_name"], len(order)))
     needed = sorted({n for c in columns for n in c["raw_names"]})
-    ranks = file_ranks(raw)
+    ranks = file_index_table(raw)
     rows = raw
     if start is not None or end is not None:
         rows = rec.time_window(rows, start, end, half_open)

@@ -148,24 +148,34 @@ def _values_sql(rows, cols):
 
 
 def deployments(spark: SparkSession, sf_dir: str, platform_type: str = "fixed") -> DataFrame:
-    """Per-station deployment table: distinct stations joined with the template."""
+    """Per-station deployment table: each station's windows are exploded from
+    its group's template array (as they would be from its config document)."""
     ev = table(spark, sf_dir, "events")
-    stations = ev.select("user_id").distinct().select(
-        F.concat(F.lit("st"), F.col("user_id").cast("string")).alias("dataset_id"),
-        (F.col("user_id") % 3).cast("int").alias("grp"))
-    if platform_type == "fixed":
-        tpl = spark.createDataFrame(FIXED_TEMPLATE, "grp int, dep_ord int, start string, end string, "
-                                                    "lat double, lon double, elevation double")
-        tpl = tpl.withColumn("platform_name", F.lit(None).cast("string"))
-    else:
-        tpl = spark.createDataFrame(MOBILE_TEMPLATE, "grp int, dep_ord int, start string, end string, "
-                                                     "platform_name string")
-        for c in ("lat", "lon", "elevation"):
-            tpl = tpl.withColumn(c, F.lit(None).cast("double"))
-    tpl = tpl.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn(
-        "end", F.col("end").cast("timestamp_ntz")).withColumn(
-        "instrument_config", F.lit(None).cast("string")).withColumn("notes", F.lit(None).cast("string"))
-    out = stations.join(F.broadcast(tpl), on="grp", how="inner")
+    stations = ev.select("user_id").distinct()
+    template = FIXED_TEMPLATE if platform_type == "fixed" else MOBILE_TEMPLATE
+
+    def dep(row):
+        if platform_type == "fixed":
+            grp, k, start, end, lat, lon, elev = row
+            name = None
+        else:
+            grp, k, start, end, name = row
+            lat = lon = elev = None
+        return F.struct(
+            F.lit(k).alias("dep_ord"), F.lit(start).cast("timestamp_ntz").alias("start"),
+            F.lit(end).cast("timestamp_ntz").alias("end"), F.lit(lat).cast("double").alias("lat"),
+            F.lit(lon).cast("double").alias("lon"), F.lit(elev).cast("double").alias("elevation"),
+            F.lit(name).cast("string").alias("platform_name"))
+
+    grp = (F.col("user_id") % 3).cast("int")
+    arrays = None
+    for g in sorted({r[0] for r in template}):
+        arr = F.array(*[dep(r) for r in template if r[0] == g])
+        arrays = F.when(grp == g, arr) if arrays is None else arrays.when(grp == g, arr)
+    out = stations.select(F.concat(F.lit("st"), F.col("user_id").cast("string")).alias("dataset_id"),
+                          F.explode(arrays).alias("d")).select("dataset_id", "d.*")
+    out = out.withColumn("instrument_config", F.lit(None).cast("string")).withColumn(
+        "notes", F.lit(None).cast("string"))
     return out.select(*[F.col(f.name).cast(f.dataType) for f in DEPLOYMENTS.fields])
 
 

@@ -94,6 +94,50 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _lit(value, dtype):
+    from pyspark.sql import types as T
+
+    if value is None:
+        return F.lit(None).cast(dtype)
+    if isinstance(dtype, T.ArrayType):
+        if not value:
+            return F.array().cast(dtype)
+        return F.array(*[_lit(v, dtype.elementType) for v in value])
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_lit(v, f.dataType).alias(f.name) for v, f in zip(value, dtype.fields)])
+    return F.lit(value).cast(dtype)
+
+
+def literal_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small table of literal rows (configuration: a few rows, bounded).
+
+    Built as ``inline`` of a literal array over a one-row range, so the
+    planner sees a tiny relation (``createDataFrame`` of local data gives an
+    RDD relation whose size is unknown, which would defeat size-checked
+    broadcasts).
+    """
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    arr = F.array(*[_lit(tuple(r), schema) for r in rows])
+    return spark.range(1).select(F.inline(arr))
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a (small, derived) table into the shared folder and read it back.
+
+    Cuts lineage like a reliable checkpoint, and the re-read table carries
+    its real on-disk size, so a later size-checked broadcast decision rests
+    on measured bytes instead of a join-product estimate.
+    """
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path (any scheme)."""
     jvm = spark.sparkContext._jvm
