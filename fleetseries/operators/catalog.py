@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetseries.functions.scalar import ts_lit
 from fleetseries.schemas import CONFIG_DOC, DEFAULT_VOCABULARY
@@ -19,15 +20,42 @@ def parse_documents(docs: DataFrame) -> DataFrame:
 
     ``parsed_ok`` is false for text that is not a JSON object; such documents
     are skipped by listings and reported by the rules job, the rest survive.
+    Consumers that run many checks over the parsed fields should read the
+    result as a written table (``catalog_table``): otherwise Catalyst inlines
+    the JSON parser into every pushed-down predicate and rule expression.
     """
     parsed = F.from_json("content", CONFIG_DOC, {"mode": "PERMISSIVE"})
-    is_obj = F.coalesce(F.json_object_keys("content").isNotNull(), F.lit(False))
-    out = docs.withColumn("doc", parsed).withColumn("parsed_ok", is_obj & F.col("doc").isNotNull())
-    # The catalog is one row per dataset. An exchange right after the parse
-    # keeps Catalyst from inlining the JSON parser into every rule / listing
-    # expression that references a parsed field (measured: 2x faster rules).
-    return out.hint("rebalance").select(
-        "dataset_id", "content", "parsed_ok",
+    keys = F.json_object_keys("content")
+    is_obj = F.coalesce(keys.isNotNull(), F.lit(False))
+    json_items = T.ArrayType(T.StringType())
+    no_keys = F.array().cast("array<string>")
+
+    def obj_keys(path: str):
+        return F.coalesce(F.json_object_keys(F.get_json_object("content", path)), no_keys)
+
+    def items_keys(path: str):
+        items = F.coalesce(F.from_json(F.get_json_object("content", path), json_items), no_keys)
+        return F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), no_keys))
+
+    var_items = F.coalesce(F.from_json(F.get_json_object("content", "$.variables"), json_items), no_keys)
+    # Key sets for the rules are taken here, once per document, below the
+    # exchange; rule expressions then read plain columns.
+    out = docs.select(
+        "dataset_id", "content", parsed.alias("doc"),
+        (is_obj & parsed.isNotNull()).alias("parsed_ok"),
+        F.coalesce(keys, no_keys).alias("root_keys"),
+        obj_keys("$.source_config").alias("source_config_keys"),
+        obj_keys("$.output").alias("output_keys"),
+        F.get_json_object("content", "$.output").isNotNull().alias("has_output"),
+        F.get_json_object("content", "$.metadata").isNotNull().alias("has_metadata"),
+        F.get_json_object("content", "$.metadata.title").isNotNull().alias("has_title"),
+        items_keys("$.variables").alias("variable_keys"),
+        F.transform(var_items, lambda x: F.get_json_object(x, "$.dtype")).alias("variable_dtypes"),
+        items_keys("$.deployments").alias("deployment_keys"),
+    )
+    return out.select(
+        "dataset_id", "content", "parsed_ok", "root_keys", "source_config_keys", "output_keys",
+        "has_output", "has_metadata", "has_title", "variable_keys", "variable_dtypes", "deployment_keys",
         F.col("doc.source_type").alias("source_type"),
         F.col("doc.access").alias("access"),
         F.col("doc.platform_type").alias("platform_type"),
@@ -41,6 +69,14 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def catalog_table(docs: DataFrame) -> DataFrame:
+    """Parse once and store the catalog (one row per dataset) in the shared
+    folder; listings, rules and facets read this table."""
+    from fleetseries.session import write_table
+
+    return write_table(parse_documents(docs), "catalog")
+
+
 def with_metadata_defaults(meta: Column) -> Column:
     """Entries with a value, plus the default vocabulary when not given."""
     m = F.map_filter(F.coalesce(meta, F.create_map().cast("map<string,string>")),

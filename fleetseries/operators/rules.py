@@ -40,9 +40,8 @@ def _keys_lit(keys: list[str]) -> Column:
     return F.array(*[F.lit(k) for k in keys])
 
 
-def _unknown(json_text: Column, allowed: list[str]) -> Column:
-    return F.array_sort(F.array_except(
-        F.coalesce(F.json_object_keys(json_text), F.array().cast("array<string>")), _keys_lit(allowed)))
+def _unknown(keys: Column, allowed: list[str]) -> Column:
+    return F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), _keys_lit(allowed)))
 
 
 def _ts(text: Column) -> Column:
@@ -54,15 +53,31 @@ def _n_dims(ext: Column) -> Column:
         F.startswith(F.ltrim(ext), F.lit("[")), F.json_array_length(ext)).otherwise(F.lit(1))
 
 
-def _document_findings(c: DataFrame) -> Column:
+_MEMO: dict = {}
+
+
+def _memo(name: str, build):
+    """Findings expressions reference columns by name only, so one Column tree
+    serves every DataFrame of a session (building it costs thousands of py4j
+    calls)."""
+    from pyspark.sql import SparkSession
+
+    key = (name, id(SparkSession.getActiveSession()))
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def findings_column() -> Column:
+    """All findings of one config document, as an array of structs."""
+    return _memo("all", lambda: F.concat(_document_findings(None), _variable_findings(),
+                                         _deployment_findings()))
+
+
+def _document_findings(c: DataFrame | None) -> Column:
     ok = F.col("parsed_ok")
-    content = F.col("content")
-    missing = F.array_sort(F.array_except(_keys_lit(CONFIG_KEYS["root_required"]),
-                                          F.coalesce(F.json_object_keys(content), F.array().cast("array<string>"))))
-    root_unknown = _unknown(content, CONFIG_KEYS["root"])
-    sc_json = F.get_json_object(content, "$.source_config")
-    out_json = F.get_json_object(content, "$.output")
-    meta_json = F.get_json_object(content, "$.metadata")
+    missing = F.array_sort(F.array_except(_keys_lit(CONFIG_KEYS["root_required"]), F.col("root_keys")))
+    root_unknown = _unknown(F.col("root_keys"), CONFIG_KEYS["root"])
     items = [
         _f(~ok, "schema", "document", "invalid JSON"),
         _f(ok & (F.size(missing) > 0), "schema", "document",
@@ -76,17 +91,16 @@ def _document_findings(c: DataFrame) -> Column:
         items.append(_f(ok & col.isNotNull() & ~col.isin(allowed), "schema", field,
                         F.format_string(field + " must be one of " + "|".join(allowed) + ", got %s", col)))
     for st in SOURCE_TYPES:
-        unk = _unknown(sc_json, CONFIG_KEYS[st])
+        unk = _unknown(F.col("source_config_keys"), CONFIG_KEYS[st])
         items.append(_f(ok & (F.col("source_type") == st) & (F.size(unk) > 0), "schema", "source_config",
                         F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))))
-    out_unk = _unknown(out_json, CONFIG_KEYS["output"])
+    out_unk = _unknown(F.col("output_keys"), CONFIG_KEYS["output"])
     items += [
-        _f(ok & out_json.isNotNull() & (F.size(out_unk) > 0), "schema", "output",
+        _f(ok & F.col("has_output") & (F.size(out_unk) > 0), "schema", "output",
            F.concat(F.lit("unknown keys: "), F.array_join(out_unk, ","))),
-        _f(ok & out_json.isNotNull() & F.col("file_naming").isNull(), "schema", "output",
+        _f(ok & F.col("has_output") & F.col("file_naming").isNull(), "schema", "output",
            "output.file_naming is required"),
-        _f(ok & meta_json.isNotNull() & F.get_json_object(content, "$.metadata.title").isNull(),
-           "schema", "metadata", "metadata.title is required"),
+        _f(ok & F.col("has_metadata") & ~F.col("has_title"), "schema", "metadata", "metadata.title is required"),
         _f(ok & (F.coalesce(F.size("deployments"), F.lit(-1)) <= 0), "deployments", "deployments",
            "at least one deployment is required"),
     ]
@@ -103,10 +117,11 @@ def _variable_findings() -> Column:
     """Shape, arity, unknown keys and dtype per variable; collisions per document."""
     ok = F.col("parsed_ok")
     variables = F.coalesce(F.col("variables"), F.array())
-    var_json = F.coalesce(F.from_json(F.get_json_object("content", "$.variables"), _JSON_ARRAY),
-                          F.array().cast("array<string>"))
+    zipped = F.arrays_zip(variables.alias("v"), F.col("variable_keys").alias("keys"),
+                          F.col("variable_dtypes").alias("dtype"))
 
-    def per_var(v: Column, i: Column) -> Column:
+    def per_var(z: Column, i: Column) -> Column:
+        v = z["v"]
         loc = F.format_string("variables[%d]", i)
         has_raw = v["raw_name"].isNotNull()
         has_dims = v["extra_dimension"].isNotNull()
@@ -136,9 +151,8 @@ def _variable_findings() -> Column:
                           F.format_string("dimension_value must be a list of %d values", n_dims)))
 
         arity = F.filter(F.transform(F.coalesce(v["members"], F.array()), per_member), lambda x: x.isNotNull())
-        vj = F.element_at(var_json, i + 1)
-        unk = _unknown(vj, CONFIG_KEYS["variable"])
-        dtype = F.get_json_object(vj, "$.dtype")
+        unk = _unknown(z["keys"], CONFIG_KEYS["variable"])
+        dtype = z["dtype"]
         extra = _arr(
             _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
             _f(dtype.isNotNull() & ~dtype.isin(DTYPES), "schema", loc,
@@ -146,7 +160,7 @@ def _variable_findings() -> Column:
         )
         return F.concat(shape, arity, extra)
 
-    per_variable = F.flatten(F.transform(variables, per_var))
+    per_variable = F.flatten(F.transform(zipped, per_var))
 
     # raw names with their variable index: raw_name + old_names, or members
     def names_of(v: Column, i: Column) -> Column:
@@ -175,18 +189,19 @@ def _variable_findings() -> Column:
 def _deployment_findings() -> Column:
     ok = F.col("parsed_ok")
     deps = F.coalesce(F.col("deployments"), F.array())
-    dep_json = F.coalesce(F.from_json(F.get_json_object("content", "$.deployments"), _JSON_ARRAY),
-                          F.array().cast("array<string>"))
     n = F.size(deps)
+    # each deployment with its key set and the next deployment's start
+    zipped = F.arrays_zip(deps.alias("d"), F.col("deployment_keys").alias("keys"),
+                          F.slice(F.transform(deps, lambda x: x["start"]), 2, 1 << 20).alias("next_start"))
     fixed = F.col("platform_type") == "fixed"
     mobile = F.col("platform_type") == "mobile"
 
-    def per_dep(d: Column, k: Column) -> Column:
+    def per_dep(z: Column, k: Column) -> Column:
+        d = z["d"]
         loc = F.format_string("deployments[%d]", k)
         start, end = _ts(d["start"]), _ts(d["end"])
-        nxt = F.when(k + 1 < n, F.element_at(deps, k + 2))
-        nstart = _ts(nxt["start"])
-        unk = _unknown(F.element_at(dep_json, k + 1), CONFIG_KEYS["deployment"])
+        nstart = _ts(z["next_start"])
+        unk = _unknown(z["keys"], CONFIG_KEYS["deployment"])
         return _arr(
             _f(end.isNotNull() & (end <= start), "deployments", loc, "end must be after start"),
             _f(end.isNull() & (k < n - 1), "deployments", loc, "only the last deployment may be open-ended"),
@@ -203,13 +218,12 @@ def _deployment_findings() -> Column:
             _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
         )
 
-    return F.when(ok, F.flatten(F.transform(deps, per_dep))).otherwise(F.array().cast(_FINDINGS_TYPE))
+    return F.when(ok, F.flatten(F.transform(zipped, per_dep))).otherwise(F.array().cast(_FINDINGS_TYPE))
 
 
 def all_rules(catalog: DataFrame) -> DataFrame:
     """Every finding of every config, in one pass over the parsed catalog."""
-    found = F.concat(_document_findings(catalog), _variable_findings(), _deployment_findings())
-    return catalog.select("dataset_id", F.explode(found).alias("f")).select(
+    return catalog.select("dataset_id", F.explode(findings_column()).alias("f")).select(
         "dataset_id", "f.rule", "f.location", "f.message")
 
 

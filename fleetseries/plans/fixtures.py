@@ -335,6 +335,7 @@ ARITY_MOD = 19                            # two dims, scalar member value
 COLLISION_MOD = 23                        # raw name mapped twice
 END_BEFORE_START_MOD = 29                 # deployment end <= start
 OVERLAP_MOD = 37                          # second deployment overlaps the first
+MOBILE_POSITION_MOD = 43                  # mobile deployment carrying a latitude
 
 
 def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +372,8 @@ def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(',"lat":'), lat, F.lit(',"lon":'), (F.col("c_nationkey") * 2 + 1).cast("string"),
                           F.lit(',"elevation":'), (k % 100).cast("string"), F.lit("}"))
     dep_mobile = F.concat(F.lit('{"start":"2020-01-01T00:00:00","platform_name":"RV '), F.col("n_name"),
-                          F.lit('"}'))
+                          F.when(k % MOBILE_POSITION_MOD == 0, F.lit('","lat":1')).otherwise(F.lit('"')),
+                          F.lit("}"))
     deps = F.when(mobile, F.concat(F.lit("["), dep_mobile, F.lit("]"))).otherwise(
         F.concat(F.lit("["), dep_fixed, dep_fixed2, F.lit("]")))
     access = F.when(F.col("c_acctbal") < 0, "restricted").otherwise("public")

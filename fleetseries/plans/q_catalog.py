@@ -13,7 +13,8 @@ from fleetseries.plans.registry import register
 
 
 def parsed_catalog(spark, d):
-    return cat.parse_documents(fx.catalog_documents(spark, d).select("dataset_id", "content"))
+    """The catalog table: documents parsed once and written to the shared folder."""
+    return cat.catalog_table(fx.catalog_documents(spark, d).select("dataset_id", "content"))
 
 
 def valid_catalog(spark, d):
@@ -24,7 +25,8 @@ def valid_catalog(spark, d):
 _VIOLATION = (f"(NOT parsed_ok OR c_custkey % {fx.UNKNOWN_KEY_MOD} = 0 OR c_custkey % {fx.BOTH_SHAPES_MOD} = 0 "
               f"OR c_custkey % {fx.ARITY_MOD} = 0 OR c_custkey % {fx.COLLISION_MOD} = 0 "
               f"OR (platform_type = 'fixed' AND (c_custkey % {fx.END_BEFORE_START_MOD} = 0 "
-              f"OR c_custkey % {fx.OVERLAP_MOD} = 0)))")
+              f"OR c_custkey % {fx.OVERLAP_MOD} = 0)) "
+              f"OR (platform_type = 'mobile' AND c_custkey % {fx.MOBILE_POSITION_MOD} = 0))")
 VALID_SQL = f"""{fx.CATALOG_SQL},
 valid AS (SELECT * FROM cat WHERE NOT {_VIOLATION}),
 vis AS (SELECT * FROM valid WHERE access = 'public')"""
@@ -34,7 +36,8 @@ vis AS (SELECT * FROM valid WHERE access = 'public')"""
 SELECT dataset_id, access, platform_type, 'thingsboard' AS source_type, title, publish
 FROM cat WHERE parsed_ok""")
 def catalog_load(spark, d):
-    c = parsed_catalog(spark, d).filter("parsed_ok")
+    docs = fx.catalog_documents(spark, d).select("dataset_id", "content")
+    c = cat.parse_documents(docs).filter("parsed_ok")
     return c.select("dataset_id", "access", "platform_type", "source_type",
                     F.col("metadata")["title"].alias("title"), "publish")
 
@@ -283,9 +286,10 @@ def rule_overlap(spark, d):
     return rules.rule_overlap(parsed_catalog(spark, d))
 
 
-@register("rule_platform", _rule_sql("""
+@register("rule_platform", _rule_sql(f"""
 SELECT dataset_id, 'platform' AS rule, 'deployments[0]' AS location,
-  'lat/lon/elevation are fixed-only fields' AS message FROM cat WHERE false"""))
+  'lat/lon/elevation are fixed-only fields' AS message
+FROM cat WHERE parsed_ok AND platform_type = 'mobile' AND c_custkey % {fx.MOBILE_POSITION_MOD} = 0"""))
 def rule_platform(spark, d):
     return rules.rule_platform(parsed_catalog(spark, d))
 
