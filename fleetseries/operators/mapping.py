@@ -251,43 +251,53 @@ def quality_attribute(report: DataFrame) -> DataFrame:
     )
 
 
-def complete_dimensions(obs: DataFrame, vmap: DataFrame) -> DataFrame:
-    """Every declared combination of a stacked variable's dimension values exists
-    for each (dataset, time) where the variable is present; missing -> null.
-
-    The combinations are the product of each dimension's declared values (from
-    the config, bounded), so the fan-out per observed (dataset, time, variable)
-    is the config's combination count, never data-dependent.
-    """
+def dimension_combinations(vmap: DataFrame) -> DataFrame:
+    """Per stacked variable: every combination of its dimensions' declared
+    values (first-declared order per dimension), as one array per variable.
+    Config-sized: the product of a few declared values."""
     keys = ["dataset_id"] if "dataset_id" in vmap.columns else []
     stacked = resolve_canonical(vmap).filter(F.size("dims") > 0)
     per_dim = stacked.select(*keys, "canonical_name", "member_ord",
                              F.posexplode("dims").alias("dim_pos", "d"))
     values = per_dim.groupBy(*keys, "canonical_name", "dim_pos").agg(
-        F.array_sort(F.collect_set(F.struct(
-            F.col("member_ord").alias("first_ord"), F.col("d")))).alias("vals")
+        F.array_sort(F.collect_set(F.struct(F.col("member_ord").alias("first_ord"), F.col("d")))).alias("vals"))
+    values = values.select(*keys, "canonical_name", "dim_pos",
+                           F.array_distinct(F.transform("vals", lambda x: x["d"])).alias("vals"))
+    per_var = values.groupBy(*keys, "canonical_name").agg(
+        F.array_sort(F.collect_list(F.struct("dim_pos", "vals"))).alias("axes"))
+    # cartesian product of the axes, folded left to right (arrays of a few values)
+    start = F.array(F.struct(F.array().cast(T.ArrayType(DIM)).alias("dims"),
+                             F.array().cast("array<int>").alias("dim_ord")))
+    product = F.aggregate(
+        "axes", start,
+        lambda acc, axis: F.flatten(F.transform(acc, lambda a: F.transform(
+            axis["vals"], lambda v, j: F.struct(F.concat(a["dims"], F.array(v)).alias("dims"),
+                                                F.concat(a["dim_ord"], F.array(j)).alias("dim_ord"))))),
     )
-    # first declaration order of each value within its dimension
-    values = values.select(*keys, "canonical_name", "dim_pos", F.posexplode(
-        F.array_distinct(F.transform("vals", lambda s: s["d"]))).alias("val_ord", "d"))
-    combos = None
-    n_dims = stacked.select(*keys, "canonical_name", F.size("dims").alias("n")).distinct()
-    # product across dimensions via iterative equi-joins on (dataset, variable)
-    max_dims = 4
-    for pos in range(max_dims):
-        part = values.filter(F.col("dim_pos") == pos).select(
-            *keys, "canonical_name", F.col("val_ord").alias(f"o{pos}"), F.col("d").alias(f"d{pos}"))
-        combos = part if combos is None else combos.join(part, on=[*keys, "canonical_name"], how="left")
-    combos = combos.join(n_dims, on=[*keys, "canonical_name"])
-    dim_arr = F.filter(F.array(*[F.col(f"d{i}") for i in range(max_dims)]), lambda x: x.isNotNull())
-    ord_arr = F.filter(F.array(*[F.col(f"o{i}") for i in range(max_dims)]), lambda x: x.isNotNull())
-    combos = combos.select(*keys, "canonical_name", dim_arr.alias("dims"), ord_arr.alias("dim_ord")) \
-        .filter(F.size("dims") == F.size(F.col("dims")))
-    present = obs.filter(F.size("dims") > 0).select("dataset_id", "time", "canonical_name").distinct()
-    grid = present.join(broadcast_if_small(combos), on=[*keys, "canonical_name"], how="inner")
-    vals = obs.filter(F.size("dims") > 0).select(
-        "dataset_id", "time", "canonical_name", "dims", "value_num", "value_str")
-    return grid.join(vals, on=["dataset_id", "time", "canonical_name", "dims"], how="left")
+    return per_var.select(*keys, "canonical_name", product.alias("combos"))
+
+
+def complete_dimensions(obs: DataFrame, vmap: DataFrame) -> DataFrame:
+    """Every declared combination of a stacked variable's dimension values exists
+    for each (dataset, time) where the variable is present; missing -> null.
+
+    One grouped pass per (dataset, time, variable) — a superset of the dedup
+    partitioning, so no shuffle follows the dedup — collecting the present
+    members (bounded by the member count of the config) and expanding them over
+    the broadcast combination list.
+    """
+    keys = ["dataset_id"] if "dataset_id" in vmap.columns else []
+    combos = dimension_combinations(vmap)
+    present = obs.filter(F.size("dims") > 0).groupBy("dataset_id", "time", "canonical_name").agg(
+        F.collect_list(F.struct("dims", "value_num", "value_str")).alias("vals"))
+    j = present.join(F.broadcast(combos), on=[*keys, "canonical_name"], how="inner")
+    cell = F.explode(F.transform("combos", lambda c: F.struct(
+        c["dims"].alias("dims"), c["dim_ord"].alias("dim_ord"),
+        F.get(F.filter("vals", lambda v: v["dims"] == c["dims"]), 0).alias("v"))))
+    out = j.select("dataset_id", "time", "canonical_name", cell.alias("c"))
+    return out.select("dataset_id", "time", "canonical_name", F.col("c.dims").alias("dims"),
+                      F.col("c.dim_ord").alias("dim_ord"), F.col("c.v.value_num").alias("value_num"),
+                      F.col("c.v.value_str").alias("value_str"))
 
 
 # ---------------------------------------------------------------------------

@@ -37,6 +37,13 @@ def csv_fields(line: Column) -> Column:
         F.regexp_replace(p, r'^"(.*)"$', "$1"), '""', '"'))
 
 
+def field_count(line: Column) -> Column:
+    """Number of CSV fields in a line: quoted sections removed, then commas
+    counted (linear; used for the short / long line report)."""
+    bare = F.regexp_replace(line, r'"([^"]|"")*"', "")
+    return F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + F.lit(1)
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file_name, block_start, line_id, value) for every line of the files."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -106,7 +113,7 @@ def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
     ncols = F.size("_h_cols")
     body = body.withColumn("_p", parsed).withColumn(
         "_vals", F.slice(fields, 1, ncols)).withColumn(
-        "_n_fields", F.size(csv_fields(F.col("value"))))
+        "_n_fields", field_count(F.col("value")))
     cells = F.map_from_arrays(F.col("_h_cols"), F.col("_vals"))
     keep = [timestamp_column, *needed] if needed is not None else None
     if keep is not None:

@@ -71,3 +71,16 @@ def test_download_basename():
     assert E.download_basename("st", None, None) == "st_full"
     assert E.download_basename("st", datetime(2026, 1, 2), None) == "st_20260102_end"
     _ = F
+
+
+def test_csv_documents_chunked_by_month(spark, tmp_path):
+    w = spark.createDataFrame([("s", datetime(2026, 1, 31, 23), 1.0), ("s", datetime(2026, 2, 1), 2.0)],
+                              "dataset_id string, time timestamp_ntz, air_temperature double")
+    attrs = spark.createDataFrame([("s", {"title": "T"})], "dataset_id string, attrs map<string,string>")
+    out = str(tmp_path / "csv")
+    E.write_csv_documents(E.csv_lines(w, attrs, ["air_temperature"]), out)
+    docs = {}
+    for f in sorted((tmp_path / "csv").rglob("part-*")):
+        docs[f.parent.name] = f.read_text().splitlines()
+    assert docs == {"chunk=2026-01": ["# title: T", "#", "time,air_temperature", "2026-01-31 23:00:00,1.0"],
+                    "chunk=2026-02": ["# title: T", "#", "time,air_temperature", "2026-02-01 00:00:00,2.0"]}
