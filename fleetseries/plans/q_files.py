@@ -243,7 +243,7 @@ def _rename_partitions(spark, staging: str, root: str) -> None:
 
 def _fixture_frames(spark, d):
     root = write_logger_fixture(spark, d)
-    lines = lf.read_lines(spark, root + "/*/*")
+    lines = lf.read_lines(spark, root, recursive=True)
     headers = lf.scan_headers(lines)
     return root, lines, headers
 

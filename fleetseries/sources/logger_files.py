@@ -44,10 +44,15 @@ def field_count(line: Column) -> Column:
     return F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + F.lit(1)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file_name, block_start, line_id, value) for every line of the files."""
+def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """(file_name, block_start, line_id, value) for every line of the files.
+
+    ``recursive=True`` lists directories recursively (one parallel listing
+    instead of expanding a glob per directory; hidden and ``_``-prefixed files
+    are skipped by the file index)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.text(paths)
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    df = reader.text(paths)
     return df.select(
         F.col("_metadata.file_path").alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
