@@ -63,11 +63,17 @@ def shared_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir.rstrip("/")
-    ctx_dir = spark.sparkContext.getCheckpointDir()
+    try:
+        ctx_dir = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no JVM handle (remote session): rely on the conf only
+        ctx_dir = None
     if ctx_dir:
         return ctx_dir.rstrip("/")
     local = tempfile.mkdtemp(prefix="fleetseries-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+    except Exception:
+        pass
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
@@ -140,10 +146,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+    try:
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.exists(hpath))
+    except Exception:  # no JVM handle: fall back to the local file system view
+        return os.path.exists(path.removeprefix("file:"))
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
