@@ -290,7 +290,7 @@ def complete_dimensions(obs: DataFrame, vmap: DataFrame) -> DataFrame:
     combos = dimension_combinations(vmap)
     present = obs.filter(F.size("dims") > 0).groupBy("dataset_id", "time", "canonical_name").agg(
         F.collect_list(F.struct("dims", "value_num", "value_str")).alias("vals"))
-    j = present.join(F.broadcast(combos), on=[*keys, "canonical_name"], how="inner")
+    j = present.join(broadcast_if_small(combos), on=[*keys, "canonical_name"], how="inner")
     cell = F.explode(F.transform("combos", lambda c: F.struct(
         c["dims"].alias("dims"), c["dim_ord"].alias("dim_ord"),
         F.get(F.filter("vals", lambda v: v["dims"] == c["dims"]), 0).alias("v"))))
