@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def read_config_dir(spark: SparkSession, path: str, source_id: str = "default") -> DataFrame:
     """(source_id, dataset_id, content) from ``*.json`` files, one document each."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    df = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return df.select(
         F.lit(source_id).alias("source_id"),
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("dataset_id"),

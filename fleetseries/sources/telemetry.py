@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetseries.functions.scalar import parse_number, ts_lit
@@ -64,5 +64,6 @@ def latest_per_key(tele: DataFrame) -> DataFrame:
         F.max("ts_ms").alias("last_ts_ms"),
         F.max_by("value", "ts_ms").alias("last_value"),
     )
-    token = per_key.groupBy("device").agg(F.max("last_ts_ms").alias("change_token"))
-    return per_key.join(token, on="device", how="inner")
+    # one row per (device, key) after the aggregation: the window over a
+    # device's keys is small, and it avoids a second aggregation plus a join
+    return per_key.withColumn("change_token", F.max("last_ts_ms").over(Window.partitionBy("device")))

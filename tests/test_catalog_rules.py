@@ -156,3 +156,21 @@ def test_global_attrs_drop_nulls(spark):
     c = catalog(spark, {"x": variant(metadata={"title": "T", "license": None})})
     got = V.attrs_text(V.global_attrs(c)).first()["attrs_text"]
     assert "license" not in got and "title=T" in got and "platform_type=fixed" in got
+
+
+def test_config_sources_folder_lines_and_union(spark, tmp_path):
+    from fleetseries.sources import catalog_docs as D
+    folder = tmp_path / "configs"
+    folder.mkdir()
+    (folder / "alpha.json").write_text(json.dumps(BASE, indent=2))
+    (folder / "beta.json").write_text('{"id": "beta", broken')
+    (folder / "notes.txt").write_text("ignored")
+    lines = tmp_path / "devices.jsonl"
+    lines.write_text(json.dumps(variant(id="dev1")) + "\n\n" + json.dumps(variant(id="dev2")) + "\n")
+    a = D.read_config_dir(spark, str(folder), "folder")
+    b = D.read_config_lines(spark, str(lines), "devices")
+    both = D.union_sources([a, b])
+    got = sorted((r["source_id"], r["dataset_id"]) for r in both.collect())
+    assert got == [("devices", "dev1"), ("devices", "dev2"), ("folder", "alpha"), ("folder", "beta")]
+    parsed = {r["dataset_id"]: r["parsed_ok"] for r in C.parse_documents(both).collect()}
+    assert parsed == {"alpha": True, "beta": False, "dev1": True, "dev2": True}
