@@ -10,7 +10,7 @@ from fleetseries.operators import index as idx
 from fleetseries.operators import reconcile as rec
 from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
-from fleetseries.plans.build import file_ranks, ranked_rows
+from fleetseries.plans.build import build_dataset, file_ranks, ranked_rows
 from fleetseries.plans.registry import register
 from fleetseries.session import path_exists, scratch_path
 from fleetseries.sources import flat_csv
@@ -165,6 +165,7 @@ def index_merge(spark, d):
 # logger files written from events (fixture in the shared folder)
 
 LOGGER_COLUMNS = ["TIMESTAMP", "RECORD", *fx.EVENT_TYPES]
+FALLBACK_MOD = 97
 
 
 def _q(c):
@@ -177,13 +178,16 @@ def write_logger_fixture(spark: SparkSession, d: str) -> str:
     folder below the shared folder; the text writer's per-file directories
     are renamed to the logical file names."""
     tag = d.rstrip("/").split("/")[-1]
-    root = scratch_path(spark, "logger_fixture", tag)
+    root = scratch_path(spark, "logger_fixture_v2", tag)
     if path_exists(spark, root + "/_READY"):
         return root
     raw = fx.raw_rows(spark, d).join(fx.table(spark, d, "events").select("event_id", "props"), "event_id")
     live = F.col("file_name").endswith("_Min.dat")
     cols = [*fx.EVENT_TYPES]
-    body_fields = [_q(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), F.col("event_id").cast("string")] + [
+    # every 97th reading is logged in the US date format (parsed by the fallback)
+    stamp = F.when(F.col("event_id") % FALLBACK_MOD == 0, F.date_format("ts", "MM/dd/yyyy HH:mm:ss")) \
+        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    body_fields = [_q(stamp), F.col("event_id").cast("string")] + [
         F.when(F.col("event_type") == c, F.col("value").cast("string")).otherwise(F.lit('"NAN"')) for c in cols]
     body_live = F.concat_ws(",", *body_fields, F.get_json_object("props", "$.k"))
     body_arch = F.concat_ws(",", *body_fields)
@@ -332,3 +336,52 @@ def csv_scan(spark, d):
 
 
 _unused: tuple[type, ...] = (DataFrame,)
+
+
+_FILE_SQL = ("'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat' WHEN 1 THEN '_Min_Historical.dat' "
+             "ELSE '_Min.dat.backup' END")
+
+
+@register("logger_quality", f"""SELECT {_FILE_SQL} AS file_name, count(*) AS n_rows,
+  count(*) FILTER (WHERE event_id % {FALLBACK_MOD} = 0) AS n_fallback,
+  CAST(0 AS BIGINT) AS n_reject, CAST(0 AS BIGINT) AS n_short, CAST(0 AS BIGINT) AS n_long
+FROM events GROUP BY 1""")
+def logger_quality(spark, d):
+    _, lines, headers = _fixture_frames(spark, d)
+    q = lf.file_quality(lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1))
+    return q.select(_base(F.col("file_name")).alias("file_name"), "n_rows", "n_fallback", "n_reject",
+                    "n_short", "n_long")
+
+
+LB_T0, LB_T1 = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
+
+
+@register("logger_build", f"""WITH base AS (
+  SELECT 'st' || user_id AS dataset_id, {_FILE_SQL} AS file_name,
+         CASE WHEN event_id % 3 = 2 THEN 'live' ELSE 'archived' END AS file_role,
+         date_trunc('second', ts) AS time, event_id, event_type, value, user_id
+  FROM events),
+files AS (SELECT dataset_id, file_name, any_value(file_role) AS file_role, min(time) AS time_start
+          FROM base GROUP BY dataset_id, file_name),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY file_role = 'live',
+           time_start NULLS FIRST, file_name) AS file_rank FROM files),
+dedup AS (SELECT * FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY b.dataset_id, b.time ORDER BY r.file_rank DESC, b.event_id DESC) AS rn
+  FROM base b JOIN ranked r USING (dataset_id, file_name)) WHERE rn = 1),
+{fx.FIXED_DEPS_SQL}
+SELECT d.dataset_id, d.time,
+  CASE WHEN event_type IN ('click', 'view') THEN value END AS air_temperature,
+  CASE WHEN event_type = 'purchase' THEN value END AS relative_humidity,
+  CASE WHEN event_type = 'signup' THEN CAST(value AS VARCHAR) END AS signup,
+  f.lat AS latitude, f.lon AS longitude, f.elevation AS elevation
+FROM dedup d LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.start
+  AND (f.end_ IS NULL OR d.time < f.end_)
+WHERE d.time >= TIMESTAMP '{LB_T0}' AND d.time <= TIMESTAMP '{LB_T1}'""")
+def logger_build(spark, d):
+    """The data query from the logger files themselves: scan, rank, dedup, map, deployments, window."""
+    _, lines, headers = _fixture_frames(spark, d)
+    body = lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1)
+    raw = body.filter(F.col("time").isNotNull()).select(
+        F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"),
+        "file_name", "block_start", "row_pos", "time", "cells")
+    return build_dataset(raw, fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", LB_T0, LB_T1)

@@ -134,11 +134,24 @@ def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
     return out.select(
         "file_name", "block_start", "row_pos",
         parse_time(ts_text).alias("time"), ts_text.alias("time_text"),
+        parse_time(ts_text, []).isNotNull().alias("strict_time"),
         F.map_filter("_cells", lambda k, v: k != F.lit(timestamp_column)).alias("cells"),
         "short_line", "long_line",
     )
 
 
+def file_quality(body: DataFrame) -> DataFrame:
+    """Per file: rows, rows parsed only by a fallback timestamp format, rows
+    without a parseable time (rejects), short and long lines."""
+    return body.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("time").isNotNull() & ~F.col("strict_time")).cast("bigint").alias("n_fallback"),
+        F.count_if(F.col("time").isNull()).cast("bigint").alias("n_reject"),
+        F.count_if("short_line").cast("bigint").alias("n_short"),
+        F.count_if("long_line").cast("bigint").alias("n_long"),
+    )
+
+
 def glob_to_regex(pattern: str) -> str:
     """Shell glob (``*``, ``?``, ``[...]``) -> anchored regex on a relative path."""
     out = []
