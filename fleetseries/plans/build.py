@@ -80,3 +80,42 @@ def exists_cells(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """(dataset_id, raw_name) pairs with at least one cell (header-level presence)."""
     return (map_ops.explode_cells(rows).filter(F.col("raw_name").isin(list(names)))
             .select("dataset_id", "raw_name").distinct())
+
+
+def catalog_deployments(catalog: DataFrame) -> DataFrame:
+    """Deployments table exploded from parsed config documents (one row per window)."""
+    from fleetseries.schemas import DEPLOYMENTS
+
+    d = catalog.select("dataset_id", F.posexplode("deployments").alias("dep_ord", "d"))
+    out = d.select(
+        "dataset_id", F.col("dep_ord").cast("int").alias("dep_ord"),
+        F.to_timestamp("d.start").cast("timestamp_ntz").alias("start"),
+        F.to_timestamp("d.end").cast("timestamp_ntz").alias("end"),
+        F.col("d.lat").alias("lat"), F.col("d.lon").alias("lon"), F.col("d.elevation").alias("elevation"),
+        F.col("d.platform_name").alias("platform_name"),
+        F.col("d.instrument_config").alias("instrument_config"), F.col("d.notes").alias("notes"),
+    )
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in DEPLOYMENTS.fields])
+
+
+def build_fleet(raw: DataFrame, catalog: DataFrame, start: datetime | str | None = None,
+                end: datetime | str | None = None, half_open: bool = False) -> DataFrame:
+    """Long observations for every dataset of the catalog, whatever its config
+    signature, with the fixed position or mobile platform attached.
+
+    One shuffle of the raw rows (dedup on (dataset_id, time)); the variable map
+    and deployments are exploded from the catalog and joined by size-checked
+    broadcast (a shuffle join beyond the bound).
+    """
+    ranks = file_index_table(raw)
+    rows = raw
+    if start is not None or end is not None:
+        rows = rec.time_window(rows, start, end, half_open)
+    rows = rec.dedup_keep_last(ranked_rows(rows, ranks))
+    obs = long_observations(rows, map_ops.variable_map_from_catalog(catalog))
+    deps = catalog_deployments(catalog)
+    platforms = catalog.select("dataset_id", "platform_type")
+    obs = obs.join(broadcast_if_small(platforms), "dataset_id", "left")
+    fixed = dep_ops.attach_deployments(obs.filter(F.col("platform_type") == "fixed"), deps, "fixed")
+    mobile = dep_ops.attach_deployments(obs.filter(F.col("platform_type") != "fixed"), deps, "mobile")
+    return fixed.unionByName(mobile, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from fleetseries.operators import coverage as cov
 from fleetseries.operators import deployment as dep_ops
 from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
+from fleetseries.plans.build import catalog_deployments
 from fleetseries.plans.registry import register
 
 
@@ -114,17 +115,6 @@ def facet_keys(spark, d):
 NOW_CAT = "2021-09-01 00:00:00"
 
 
-def catalog_deployments(c):
-    """Deployments table from parsed documents (one row per window)."""
-    dd = c.select("dataset_id", F.posexplode("deployments").alias("dep_ord", "d"))
-    return dd.select(
-        "dataset_id", F.col("dep_ord").cast("int").alias("dep_ord"),
-        F.to_timestamp("d.start").cast("timestamp_ntz").alias("start"),
-        F.to_timestamp("d.end").cast("timestamp_ntz").alias("end"),
-        F.col("d.lat").alias("lat"), F.col("d.lon").alias("lon"), F.col("d.elevation").alias("elevation"),
-    )
-
-
 @register("dataset_summary", f"""WITH {VALID_SQL}
 SELECT dataset_id, title, institution, platform_type, array_to_string(standard_names, ',') AS standard_names,
   CASE WHEN platform_type = 'fixed' THEN CAST(60 + c_nationkey AS DOUBLE) END AS lat,

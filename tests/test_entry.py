@@ -19,3 +19,44 @@ def test_flagship_plan_pushes_window_and_keeps_one_shuffle_per_key(spark):
     import __spark_entry__ as E
     plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan or "pushedFilters" in plan.lower()
+
+
+def test_flagship_shuffles_raw_rows_once_on_dedup_key(spark):
+    import re
+
+    import __spark_entry__ as E
+    df = E.queries()["build_dataset"](spark, "/root/testdata/sf0.01")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    on_dataset = [s for s in shuffles if s.startswith("dataset_id")]
+    assert len(on_dataset) == 1 and "time" in on_dataset[0]
+    assert "SortMergeJoin" not in plan and "NestedLoop" not in plan
+
+
+def test_build_fleet_from_catalog(spark):
+    import json
+    from datetime import datetime
+
+    from fleetseries.operators import catalog as C
+    from fleetseries.plans.build import build_fleet
+
+    fixed = {"id": "a", "platform_type": "fixed",
+             "variables": [{"raw_name": "T", "standard_name": "air_temperature"}],
+             "deployments": [{"start": "2026-01-01T00:00:00", "lat": 78.0, "lon": 15.0}]}
+    mobile = {"id": "b", "platform_type": "mobile",
+              "variables": [{"raw_name": "Lat", "standard_name": "latitude"},
+                            {"raw_name": "Lon", "standard_name": "longitude"}],
+              "deployments": [{"start": "2026-01-01T00:00:00", "platform_name": "RV X"}]}
+    cat = C.parse_documents(spark.createDataFrame([("a", json.dumps(fixed)), ("b", json.dumps(mobile))],
+                                                  "dataset_id string, content string"))
+    t = datetime(2026, 1, 2)
+    raw = spark.createDataFrame(
+        [("a", "a/x.dat", 0, 1, t, {"T": "1.5"}), ("a", "a/x_Historical.dat", 0, 1, t, {"T": "9"}),
+         ("b", "b/y.dat", 0, 1, t, {"Lat": "70.5", "Lon": "20.0"})],
+        "dataset_id string, file_name string, block_start bigint, row_pos bigint, time timestamp_ntz, "
+        "cells map<string,string>")
+    out = {(r["dataset_id"], r["canonical_name"]): r for r in build_fleet(raw, cat).collect()}
+    assert out[("a", "air_temperature")]["value_num"] == 1.5           # live file wins
+    assert out[("a", "air_temperature")]["latitude"] == 78.0
+    assert out[("b", "latitude")]["value_num"] == 70.5
+    assert out[("b", "latitude")]["platform"] == "RV X"
