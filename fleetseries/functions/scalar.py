@@ -88,14 +88,17 @@ def add_months_ntz(c: Column | str, n: int | Column) -> Column:
     )
 
 
-def iso_z(c: Column | str) -> Column:
-    """ISO-8601 with a trailing ``Z``; seconds always, fraction only if present."""
+def iso(c: Column | str) -> Column:
+    """ISO-8601 like Python's ``isoformat``: seconds always, microseconds only if present."""
     c = col_(c)
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     frac = F.date_format(c, "SSSSSS")
-    return F.when(frac == F.lit("000000"), F.concat(whole, F.lit("Z"))).otherwise(
-        F.concat(whole, F.lit("."), frac, F.lit("Z"))
-    )
+    return F.when(frac == F.lit("000000"), whole).otherwise(F.concat(whole, F.lit("."), frac))
+
+
+def iso_z(c: Column | str) -> Column:
+    """``iso`` with a trailing ``Z`` (naive UTC)."""
+    return F.concat(iso(c), F.lit("Z"))
 
 
 def render_dim_value(num: Column, txt: Column, units: Column) -> Column:

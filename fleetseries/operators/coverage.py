@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetseries.functions.scalar import iso_z, ts_lit
+from fleetseries.functions.scalar import iso, iso_z, ts_lit
 from fleetseries.schemas import HISTORY_HASH_CHARS, SOFTWARE_NAME, SOFTWARE_VERSION
 
 
@@ -53,12 +53,12 @@ def global_attrs(catalog: DataFrame) -> DataFrame:
 
 def provenance(current_versions: DataFrame, generated_at: datetime | str) -> DataFrame:
     """Software version, config hash and version time, and a history line."""
-    gen = F.date_format(ts_lit(generated_at), "yyyy-MM-dd'T'HH:mm:ss")
+    gen = iso(ts_lit(generated_at))
     return current_versions.select(
         "dataset_id",
         F.lit(SOFTWARE_VERSION).alias("processing_software_version"),
         F.col("hash").alias("config_hash"),
-        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("config_version_timestamp"),
+        iso("created_at").alias("config_version_timestamp"),
         F.format_string(
             "%sZ: generated by %s %s for dataset '%s' using config version %s",
             gen, F.lit(SOFTWARE_NAME), F.lit(SOFTWARE_VERSION), F.col("dataset_id"),

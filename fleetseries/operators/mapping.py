@@ -210,6 +210,14 @@ def coerce(obs: DataFrame) -> DataFrame:
     ).withColumn("bad", numeric & bad_number("raw_value", "value_num"))
 
 
+def quality_examples(obs: DataFrame) -> DataFrame:
+    """Long form of the quality report: one row per (dataset, variable, distinct
+    bad value) with its count. Fully distributed; the one-line warning below is
+    a per-variable rendering of it."""
+    return obs.filter(F.col("bad")).groupBy("dataset_id", "canonical_name", "raw_value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("var_ord").alias("var_ord"))
+
+
 def quality_report(obs: DataFrame) -> DataFrame:
     """Per (dataset, variable): count of unparseable values and their sorted
     distinct examples, rendered as one warning line.
@@ -217,10 +225,7 @@ def quality_report(obs: DataFrame) -> DataFrame:
     Pre-aggregated per distinct bad value first, so a hot variable never puts
     its raw rows into one task: only the distinct bad values are collected.
     """
-    bad = obs.filter(F.col("bad"))
-    per_value = bad.groupBy("dataset_id", "canonical_name", "raw_value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("var_ord").alias("var_ord")
-    )
+    per_value = quality_examples(obs)
     per_var = per_value.groupBy("dataset_id", "canonical_name").agg(
         F.sum("n").alias("n_bad"),
         F.min("var_ord").alias("var_ord"),
