@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetseries.schemas import (
     ACCESS_LEVELS,
@@ -22,7 +21,6 @@ from fleetseries.schemas import (
 )
 
 RULE_COLUMNS = ["dataset_id", "rule", "location", "message"]
-_JSON_ARRAY = T.ArrayType(T.StringType())
 _FINDINGS_TYPE = "array<struct<rule:string,location:string,message:string>>"
 
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetseries.schemas import DEPLOYMENTS
 
@@ -445,5 +444,3 @@ POSITIONS_SQL = """pos AS (
          CASE WHEN event_type = 'error' THEN NULL ELSE value / 10 + 30 END AS latitude,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS longitude
   FROM events)"""
-
-STRING_SCHEMA = T.StringType()

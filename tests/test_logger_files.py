@@ -1,7 +1,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from fleetseries.sources import flat_csv
 from fleetseries.sources import logger_files as L
@@ -109,4 +108,3 @@ def test_glob_to_regex():
     rx = re.compile(L.glob_to_regex("st*/x_Min.dat"))
     assert rx.match("st1/x_Min.dat") and not rx.match("st1/sub/x_Min.dat") and not rx.match("st1/x_Min10.dat")
     assert L.pattern_family("a/*_Min.dat") == ["a/*_Min.dat", "a/*_Min_Historical.dat", "a/*_Min.dat.backup*"]
-    _ = F

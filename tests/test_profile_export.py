@@ -1,7 +1,6 @@
 import json
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from fleetseries.operators import export as E
 from fleetseries.operators import profile as P
@@ -70,7 +69,6 @@ def test_to_wide_typed_columns(spark):
 def test_download_basename():
     assert E.download_basename("st", None, None) == "st_full"
     assert E.download_basename("st", datetime(2026, 1, 2), None) == "st_20260102_end"
-    _ = F
 
 
 def test_csv_documents_chunked_by_month(spark, tmp_path):
