@@ -60,3 +60,22 @@ def test_build_fleet_from_catalog(spark):
     assert out[("a", "air_temperature")]["latitude"] == 78.0
     assert out[("b", "latitude")]["value_num"] == 70.5
     assert out[("b", "latitude")]["platform"] == "RV X"
+
+
+def test_window_filter_reaches_parquet_scan_on_stored_time(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from fleetseries.plans.build import build_dataset
+
+    rows = [("s", "s/x.dat", 0, i, datetime(2026, 1, 1) + timedelta(hours=i), {"T": str(i)}) for i in range(48)]
+    raw = spark.createDataFrame(rows, "dataset_id string, file_name string, block_start bigint, row_pos bigint, "
+                                      "time timestamp_ntz, cells map<string,string>")
+    path = str(tmp_path / "bronze")
+    raw.write.parquet(path)
+    bronze = spark.read.parquet(path)
+    out = build_dataset(bronze, [{"raw_name": "T", "standard_name": "t"}], None, start="2026-01-01 10:00:00",
+                        end="2026-01-01 20:00:00")
+    assert out.count() == 11                                      # inclusive at both ends
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "cells" in line]
+    assert any("GreaterThanOrEqual(time" in s and "LessThanOrEqual(time" in s for s in scans), scans
