@@ -110,3 +110,24 @@ def test_index_state_machine(spark):
             "timestamp_ntz")).withColumn("variables", F.array().cast("array<string>")))
     merged = {r["file_name"]: r["size"] for r in I.merge_index(prev, upd).collect()}
     assert merged["live1"] == 6 and merged["gone"] == 1 and merged["new"] == 3
+
+
+def test_hot_station_spreads_over_all_dedup_partitions(spark):
+    """One station holds a third of all rows: the dedup key includes time, so the
+    hot station's rows land on every shuffle partition, not on one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 30000
+        data = [("hot" if i % 3 == 0 else f"s{i % 997}", "f.dat", 0, i,
+                 datetime(2026, 1, 1) + timedelta(seconds=i), {"v": "1"}) for i in range(n)]
+        raw = spark.createDataFrame(data, SCHEMA)
+        ranks = spark.createDataFrame([(d, "f.dat", 1, "live") for d in {r[0] for r in data}],
+                                      "dataset_id string, file_name string, file_rank int, file_role string")
+        out = R.dedup_keep_last(ranked_rows(raw, ranks))
+        per_part = (out.filter(F.col("dataset_id") == "hot")
+                    .groupBy(F.spark_partition_id().alias("p")).count().collect())
+        counts = [r["count"] for r in per_part]
+        assert len(counts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert max(counts) < 2 * (n / 3) / len(counts)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
