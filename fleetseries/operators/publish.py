@@ -103,3 +103,30 @@ def select_month(built: DataFrame, pending: DataFrame, half_open: bool = False)
     b = built.withColumn("month_start", F.explode(keys))
     p = pending.select("dataset_id", "period", "month_start", "month_end")
     return b.join(p, on=["dataset_id", "month_start"], how="inner")
+
+
+def write_month_partitions(rows: DataFrame, data_root: str, log_path: str, run_id: str,
+                           created_at: datetime | str) -> str:
+    """Immutable monthly output: write this run's rows under a run-specific
+    location, partitioned by (dataset_id, period), then append one log row per
+    (dataset, period). The log append is the commit point: readers join through
+    the log, so a failed run leaves nothing visible and a rerun writes a new
+    location. Returns the run location."""
+    target = f"{data_root.rstrip('/')}/run={run_id}"
+    (rows.repartition("dataset_id", "period")
+     .write.mode("errorifexists").partitionBy("dataset_id", "period").parquet(target))
+    log = rows.groupBy("dataset_id", "period").agg(
+        F.first("file_name", ignorenulls=True).alias("file_name"),
+        F.count(F.lit(1)).alias("n_rows"),
+    ).select("dataset_id", "period", "file_name", "n_rows",
+             F.lit(target).alias("location"), ts_lit(created_at).alias("created_at"))
+    log.write.mode("append").parquet(log_path)
+    return target
+
+
+def published_rows(spark, log_path: str) -> DataFrame:
+    """Rows of every committed (logged) period, read through the log."""
+    log = spark.read.parquet(log_path).select("dataset_id", "period", "location").distinct()
+    locations = [r["location"] for r in log.select("location").distinct().collect()]  # one per run
+    data = spark.read.parquet(*locations)
+    return data.join(log.drop("location"), ["dataset_id", "period"], "left_semi")

@@ -125,3 +125,23 @@ def test_tracks_skip_missing_positions(spark):
     assert tracks.recent_track(pos, "2026-01-10").count() == 1
     last = tracks.latest_position(pos).first()
     assert (last["latitude"], last["longitude"], last["n_points"]) == (5.0, 6.0, 2)
+
+
+def test_month_partitions_commit_through_log(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2026-01", 1, "a_202601.nc"), ("a", "2026-01", 2, "a_202601.nc"),
+                                  ("b", "2026-02", 3, "b_202602.nc")],
+                                 "dataset_id string, period string, o int, file_name string")
+    data, log = str(tmp_path / "data"), str(tmp_path / "log")
+    P.write_month_partitions(rows, data, log, "r1", "2026-03-01 00:00:00")
+    got = sorted(r["o"] for r in P.published_rows(spark, log).collect())
+    assert got == [1, 2, 3]
+    lg = {(r["dataset_id"], r["period"]): r["n_rows"] for r in spark.read.parquet(log).collect()}
+    assert lg == {("a", "2026-01"): 2, ("b", "2026-02"): 1}
+    # a second run for a new period appends; the first run's files are untouched
+    more = spark.createDataFrame([("a", "2026-02", 4, "a_202602.nc")], rows.schema)
+    P.write_month_partitions(more, data, log, "r2", "2026-04-01 00:00:00")
+    pending = P.pending_periods(spark.createDataFrame([("a", "2026-01"), ("a", "2026-03")],
+                                                      "dataset_id string, period string"),
+                                spark.read.parquet(log))
+    assert [r["period"] for r in pending.collect()] == ["2026-03"]
+    assert sorted(r["o"] for r in P.published_rows(spark, log).collect()) == [1, 2, 3, 4]
