@@ -128,5 +128,6 @@ def published_rows(spark, log_path: str) -> DataFrame:
     """Rows of every committed (logged) period, read through the log."""
     log = spark.read.parquet(log_path).select("dataset_id", "period", "location").distinct()
     locations = [r["location"] for r in log.select("location").distinct().collect()]  # one per run
-    data = spark.read.parquet(*locations)
+    base = locations[0].rsplit("/run=", 1)[0]  # every run lives below the same data root
+    data = spark.read.option("basePath", base).parquet(*locations).drop("run")
     return data.join(log.drop("location"), ["dataset_id", "period"], "left_semi")
