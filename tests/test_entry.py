@@ -79,3 +79,15 @@ def test_window_filter_reaches_parquet_scan_on_stored_time(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "cells" in line]
     assert any("GreaterThanOrEqual(time" in s and "LessThanOrEqual(time" in s for s in scans), scans
+
+
+def test_empty_window_gives_empty_frame_with_full_schema(spark):
+    from fleetseries.plans import fixtures as fx
+    from fleetseries.plans.build import build_dataset
+
+    d = "/root/testdata/sf0.001"
+    out = build_dataset(fx.raw_rows(spark, d), fx.EVENT_SPECS, fx.deployments(spark, d), "fixed",
+                        "1990-01-01 00:00:00", "1990-02-01 00:00:00")
+    assert out.count() == 0
+    assert out.columns == ["dataset_id", "time", "air_temperature", "relative_humidity", "signup",
+                           "latitude", "longitude", "elevation"]
