@@ -376,10 +376,11 @@ FROM dedup d LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.st
   AND (f.end_ IS NULL OR d.time < f.end_)
 WHERE d.time >= TIMESTAMP '{LB_T0}' AND d.time <= TIMESTAMP '{LB_T1}'""")
 def logger_build(spark, d):
-    """The data query from the logger files themselves: scan, rank, dedup, map, deployments, window."""
+    """The data query from the logger files themselves: ingest to bronze once, then
+    rank, dedup, map, deployments and window over the bronze table."""
     _, lines, headers = _fixture_frames(spark, d)
-    body = lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1)
-    raw = body.filter(F.col("time").isNotNull()).select(
-        F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"),
-        "file_name", "block_start", "row_pos", "time", "cells")
+    bronze = lf.ingest_bronze(lines, headers, len(LOGGER_COLUMNS) + 1,
+                              lambda c: F.regexp_extract(c, r"/([^/]+)/[^/]+$", 1))
+    raw = bronze.filter(F.col("time").isNotNull()).select(
+        "dataset_id", "file_name", "block_start", "row_pos", "time", "cells")
     return build_dataset(raw, fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", LB_T0, LB_T1)

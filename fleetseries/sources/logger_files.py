@@ -140,6 +140,20 @@ def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
     )
 
 
+def ingest_bronze(lines: DataFrame, headers: DataFrame, max_columns: int, dataset_of,
+                  timestamp_column: str = "TIMESTAMP") -> DataFrame:
+    """Parse the logger files once into a bronze Parquet table in the shared
+    folder: (dataset_id, file_name, block_start, row_pos, time, cells) plus the
+    parse flags. Later builds read it with column pruning, and their time
+    window reaches the Parquet reader because ``time`` is a stored column.
+    Rows without a parseable time are kept here (``time`` null) for the
+    quality report and skipped by builds."""
+    from fleetseries.session import write_table
+
+    body = scan_body(lines, headers, max_columns, timestamp_column)
+    return write_table(body.withColumn("dataset_id", dataset_of(F.col("file_name"))), "bronze")
+
+
 def file_quality(body: DataFrame) -> DataFrame:
     """Per file: rows, rows parsed only by a fallback timestamp format, rows
     without a parseable time (rejects), short and long lines."""
