@@ -41,24 +41,45 @@ def ranked_rows(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(ranks), on=["dataset_id", "file_name"], how="inner")
 
 
+def index_ranks(file_index: DataFrame) -> DataFrame:
+    """Ranks from a stored file index (dataset_id, file_name, file_role, time_start, ...)."""
+    return rec.rank_files(file_index.select("dataset_id", "file_name", "file_role", "time_start")).select(
+        "dataset_id", "file_name", "file_rank", "file_role")
+
+
+def rows_in_window(raw: DataFrame, file_index: DataFrame | None, start, end, half_open: bool) -> DataFrame:
+    """Window filter on the rows (pushed to the scan on a stored ``time``) and,
+    with a stored index, file pruning: only files whose bounds overlap the
+    window are kept (a semi-join on a small table; on a bronze table
+    partitioned by file it becomes dynamic partition pruning)."""
+    rows = raw
+    if start is not None or end is not None:
+        rows = rec.time_window(rows, start, end, half_open)
+        if file_index is not None:
+            keep = rec.prune_files(file_index, start, end).select("dataset_id", "file_name")
+            rows = rows.join(broadcast_if_small(keep), ["dataset_id", "file_name"], "left_semi")
+    return rows
+
+
 def build_dataset(raw: DataFrame, specs: Sequence[dict], deployments: DataFrame | None,
                   platform_type: str = "fixed", start: datetime | str | None = None,
                   end: datetime | str | None = None, variables: Sequence[str] | None = None,
-                  half_open: bool = False) -> DataFrame:
+                  half_open: bool = False, file_index: DataFrame | None = None) -> DataFrame:
     """Wide build of every dataset sharing one config signature.
 
     The window filter is applied to the raw rows before the dedup: it is on
-    the window's partition key, so Catalyst pushes it to the scan.
+    the window's partition key, so Catalyst pushes it to the scan. Pass the
+    stored ``file_index`` (the index refresh keeps it) so ranks and file
+    pruning come from it; without it the index is derived from ``raw`` once
+    (one extra aggregate pass) and written as a small table.
     """
     columns = map_ops.wide_columns(specs, variables)
     if variables is not None:
         order = {v: i for i, v in enumerate(variables)}
         columns = sorted(columns, key=lambda c: order.get(c["canonical_name"], len(order)))
     needed = sorted({n for c in columns for n in c["raw_names"]})
-    ranks = file_index_table(raw)
-    rows = raw
-    if start is not None or end is not None:
-        rows = rec.time_window(rows, start, end, half_open)
+    ranks = index_ranks(file_index) if file_index is not None else file_index_table(raw)
+    rows = rows_in_window(raw, file_index, start, end, half_open)
     rows = map_ops.prune_cells(rows, needed)
     rows = rec.dedup_keep_last(ranked_rows(rows, ranks))
     wide = map_ops.map_wide(rows, columns)
@@ -99,7 +120,8 @@ def catalog_deployments(catalog: DataFrame) -> DataFrame:
 
 
 def build_fleet(raw: DataFrame, catalog: DataFrame, start: datetime | str | None = None,
-                end: datetime | str | None = None, half_open: bool = False) -> DataFrame:
+                end: datetime | str | None = None, half_open: bool = False,
+                file_index: DataFrame | None = None) -> DataFrame:
     """Long observations for every dataset of the catalog, whatever its config
     signature, with the fixed position or mobile platform attached.
 
@@ -107,10 +129,8 @@ def build_fleet(raw: DataFrame, catalog: DataFrame, start: datetime | str | None
     and deployments are exploded from the catalog and joined by size-checked
     broadcast (a shuffle join beyond the bound).
     """
-    ranks = file_index_table(raw)
-    rows = raw
-    if start is not None or end is not None:
-        rows = rec.time_window(rows, start, end, half_open)
+    ranks = index_ranks(file_index) if file_index is not None else file_index_table(raw)
+    rows = rows_in_window(raw, file_index, start, end, half_open)
     rows = rec.dedup_keep_last(ranked_rows(rows, ranks))
     obs = long_observations(rows, map_ops.variable_map_from_catalog(catalog))
     deps = catalog_deployments(catalog)

@@ -91,3 +91,25 @@ def test_empty_window_gives_empty_frame_with_full_schema(spark):
     assert out.count() == 0
     assert out.columns == ["dataset_id", "time", "air_temperature", "relative_humidity", "signup",
                            "latitude", "longitude", "elevation"]
+
+
+def test_build_with_stored_index_prunes_files_and_matches(spark):
+    from datetime import datetime, timedelta
+
+    from fleetseries.operators import reconcile as R
+    from fleetseries.plans.build import build_dataset
+
+    t = datetime(2026, 1, 1)
+    rows = [("s", "s/a_Historical.dat", 0, i, t + timedelta(hours=i), {"T": f"a{i}"}) for i in range(10)] + \
+           [("s", "s/a.dat", 0, i, t + timedelta(hours=8 + i), {"T": f"b{i}"}) for i in range(10)]
+    raw = spark.createDataFrame(rows, "dataset_id string, file_name string, block_start bigint, row_pos bigint, "
+                                      "time timestamp_ntz, cells map<string,string>")
+    index = R.classify_roles(R.file_bounds(raw))
+    spec = [{"raw_name": "T", "dtype": "string"}]
+    a = build_dataset(raw, spec, None, start="2026-01-01 12:00:00", end="2026-01-01 20:00:00", file_index=index)
+    b = build_dataset(raw, spec, None, start="2026-01-01 12:00:00", end="2026-01-01 20:00:00")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a.count() == 6                                          # hours 12..17 of the live file
+    c = build_dataset(raw, spec, None, start="2026-01-01 00:00:00", end="2026-01-01 09:00:00", file_index=index)
+    got = {r["time"].hour: r["T"] for r in c.collect()}
+    assert got[8] == "b0" and got[9] == "b1" and got[7] == "a7"     # live file wins the overlap
