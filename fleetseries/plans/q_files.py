@@ -12,7 +12,7 @@ from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
 from fleetseries.plans.build import build_dataset, file_ranks, ranked_rows
 from fleetseries.plans.registry import register
-from fleetseries.session import path_exists, scratch_path
+from fleetseries.session import path_exists, scratch_path, write_table
 from fleetseries.sources import flat_csv
 from fleetseries.sources import logger_files as lf
 
@@ -376,11 +376,16 @@ FROM dedup d LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.st
   AND (f.end_ IS NULL OR d.time < f.end_)
 WHERE d.time >= TIMESTAMP '{LB_T0}' AND d.time <= TIMESTAMP '{LB_T1}'""")
 def logger_build(spark, d):
-    """The data query from the logger files themselves: ingest to bronze once, then
-    rank, dedup, map, deployments and window over the bronze table."""
-    _, lines, headers = _fixture_frames(spark, d)
-    bronze = lf.ingest_bronze(lines, headers, len(LOGGER_COLUMNS) + 1,
-                              lambda c: F.regexp_extract(c, r"/([^/]+)/[^/]+$", 1))
-    raw = bronze.filter(F.col("time").isNotNull()).select(
-        "dataset_id", "file_name", "block_start", "row_pos", "time", "cells")
+    """The data query from the logger files themselves: the text is parsed once
+    into a positional bronze table; headers, body, ranks, dedup, mapping,
+    deployments and the window all read bronze."""
+    root = write_logger_fixture(spark, d)
+    lines = lf.read_lines(spark, root, recursive=True)
+    # the text is read once: positional bronze, then headers and body from bronze
+    positional = write_table(lf.ingest_lines(lines, len(LOGGER_COLUMNS) + 1), "bronze_lines")
+    headers = lf.scan_headers(positional)
+    body = lf.body_from_positional(positional, headers)
+    raw = body.filter(F.col("time").isNotNull()).select(
+        F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"),
+        "file_name", "block_start", "row_pos", "time", "cells")
     return build_dataset(raw, fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", LB_T0, LB_T1)

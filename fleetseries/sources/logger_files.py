@@ -140,6 +140,47 @@ def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
     )
 
 
+def ingest_lines(lines: DataFrame, max_columns: int) -> DataFrame:
+    """The single pass over the text: every line parsed positionally (all
+    fields as strings, no header needed yet). The raw text is kept only for
+    lines of a file's first split, where the header lines are."""
+    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1))
+    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"'})
+    return lines.select(
+        "file_name", "block_start", "line_id",
+        F.when(F.col("block_start") == 0, F.col("value")).alias("value"),
+        F.array(*[parsed[f"c{i}"] for i in range(max_columns + 1)]).alias("fields"),
+        field_count(F.col("value")).alias("n_fields"),
+        (F.length(F.trim("value")) == 0).alias("blank"),
+    )
+
+
+def body_from_positional(positional: DataFrame, headers: DataFrame, timestamp_column: str = "TIMESTAMP",
+                         na_tokens: Sequence[str] = LOGGER_NA_TOKENS) -> DataFrame:
+    """Body rows from positionally parsed lines and each file's header: the
+    positions are zipped with the file's own column list (drift needs no
+    per-header job); header lines and blank lines are dropped."""
+    hdr = headers.filter("valid").select(
+        F.col("file_name").alias("_h_file"), F.col("columns").alias("_h_cols"),
+        F.col("header_end").alias("_h_end"))
+    body = positional.join(broadcast_if_small(hdr), positional.file_name == F.col("_h_file"), "inner").filter(
+        ((F.col("block_start") > 0) | (F.col("line_id") > F.col("_h_end"))) & ~F.col("blank"))
+    ncols = F.size("_h_cols")
+    cells = F.map_from_arrays(F.col("_h_cols"), F.slice(F.col("fields"), 1, ncols))
+    cells = F.transform_values(cells, lambda k, v: na_to_null(v, na_tokens))
+    out = body.select("file_name", "block_start", F.col("line_id").alias("row_pos"), cells.alias("_cells"),
+                      (F.col("n_fields") < ncols).alias("short_line"),
+                      (F.col("n_fields") > ncols).alias("long_line"))
+    ts_text = F.col("_cells")[timestamp_column]
+    return out.select(
+        "file_name", "block_start", "row_pos",
+        parse_time(ts_text).alias("time"), ts_text.alias("time_text"),
+        parse_time(ts_text, []).isNotNull().alias("strict_time"),
+        F.map_filter("_cells", lambda k, v: k != F.lit(timestamp_column)).alias("cells"),
+        "short_line", "long_line",
+    )
+
+
 def ingest_bronze(lines: DataFrame, headers: DataFrame, max_columns: int, dataset_of,
                   timestamp_column: str = "TIMESTAMP") -> DataFrame:
     """Parse the logger files once into a bronze Parquet table in the shared

@@ -108,3 +108,19 @@ def test_glob_to_regex():
     rx = re.compile(L.glob_to_regex("st*/x_Min.dat"))
     assert rx.match("st1/x_Min.dat") and not rx.match("st1/sub/x_Min.dat") and not rx.match("st1/x_Min10.dat")
     assert L.pattern_family("a/*_Min.dat") == ["a/*_Min.dat", "a/*_Min_Historical.dat", "a/*_Min.dat.backup*"]
+
+
+def test_positional_bronze_path_equals_direct_scan(spark, fleet, tmp_path):
+    lines = L.read_lines(spark, fleet, recursive=True)
+    direct = L.scan_body(lines, L.scan_headers(lines), max_columns=5)
+    path = str(tmp_path / "bronze_lines")
+    L.ingest_lines(lines, 5).write.parquet(path)
+    positional = spark.read.parquet(path)
+    via_bronze = L.body_from_positional(positional, L.scan_headers(positional))
+    cols = ["file_name", "row_pos", "time", "strict_time", "short_line", "long_line"]
+
+    def rows(df):
+        return sorted((tuple(r[c] for c in cols), sorted(r["cells"].items())) for r in df.collect())
+    assert rows(direct) == rows(via_bronze)
+    plan = via_bronze._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan                      # headers and body both read bronze
