@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetseries.functions.scalar import iso, iso_z, ts_lit
-from fleetseries.schemas import HISTORY_HASH_CHARS, SOFTWARE_NAME, SOFTWARE_VERSION
+from fleetseries.schemas import HISTORY_HASH_CHARS, MESSAGES, SOFTWARE_NAME, SOFTWARE_VERSION
 
 
 def time_coverage(index: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def provenance(current_versions: DataFrame, generated_at: datetime | str) -> Dat
         F.col("hash").alias("config_hash"),
         iso("created_at").alias("config_version_timestamp"),
         F.format_string(
-            "%sZ: generated by %s %s for dataset '%s' using config version %s",
+            MESSAGES["history"],
             gen, F.lit(SOFTWARE_NAME), F.lit(SOFTWARE_VERSION), F.col("dataset_id"),
             F.substring("hash", 1, HISTORY_HASH_CHARS),
         ).alias("history"),

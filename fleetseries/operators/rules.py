@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetseries.schemas import MESSAGES as M
 from fleetseries.schemas import (
     ACCESS_LEVELS,
     CONFIG_KEYS,
@@ -100,13 +101,13 @@ def _document_findings(c: DataFrame | None) -> Column:
            "output.file_naming is required"),
         _f(ok & F.col("has_metadata") & ~F.col("has_title"), "schema", "metadata", "metadata.title is required"),
         _f(ok & (F.coalesce(F.size("deployments"), F.lit(-1)) <= 0), "deployments", "deployments",
-           "at least one deployment is required"),
+           M["no_deployment"]),
     ]
     names = F.filter(F.transform(F.coalesce("variables", F.array()), lambda v: v["standard_name"]),
                      lambda s: s.isNotNull())
     miss_pos = F.array_sort(F.array_except(F.array(F.lit("latitude"), F.lit("longitude")), names))
     items.append(_f(ok & (F.col("platform_type") == "mobile") & (F.size(miss_pos) > 0), "platform", "variables",
-                    F.format_string("mobile datasets must map variables with standard_name %s",
+                    F.format_string(M["mobile_needs_names"],
                                     F.array_join(miss_pos, ","))))
     return _arr(*items)
 
@@ -127,15 +128,15 @@ def _variable_findings() -> Column:
         n_members = F.coalesce(F.size(v["members"]), F.lit(0))
         dims_var = has_dims & ~has_raw
         shape = _arr(
-            _f(has_raw & has_dims, "variable_shape", loc, "a variable cannot set both raw_name and extra_dimension"),
+            _f(has_raw & has_dims, "variable_shape", loc, M["both_shapes"]),
             _f(~has_raw & ~has_dims, "variable_shape", loc,
-               "a variable must set either raw_name or extra_dimension+members"),
+               M["no_shape"]),
             _f(dims_var & (n_dims == 0), "variable_shape", loc,
-               "extra_dimension, if given, must declare at least one dimension"),
+               M["no_dimension"]),
             _f(dims_var & (n_dims > 0) & (n_members == 0), "variable_shape", loc,
-               "extra_dimension variables require at least one member"),
+               M["no_member"]),
             _f(dims_var & (n_dims > 0) & (n_members > 0) & v["standard_name"].isNull(), "variable_shape", loc,
-               "extra_dimension variables require standard_name"),
+               M["no_standard_name"]),
         )
         arity_ok_scope = dims_var & (n_dims > 0) & v["standard_name"].isNotNull()
 
@@ -145,8 +146,8 @@ def _variable_findings() -> Column:
             bad = ((n_dims == 1) & is_list) | ((n_dims > 1) & (~is_list | (F.json_array_length(val) != n_dims)))
             return _f(arity_ok_scope & bad, "member_arity",
                       F.format_string("variables[%d].members[%d]", i, j),
-                      F.when(n_dims == 1, F.lit("dimension_value must be a scalar")).otherwise(
-                          F.format_string("dimension_value must be a list of %d values", n_dims)))
+                      F.when(n_dims == 1, F.lit(M["scalar_value"])).otherwise(
+                          F.format_string(M["list_value"], n_dims)))
 
         arity = F.filter(F.transform(F.coalesce(v["members"], F.array()), per_member), lambda x: x.isNotNull())
         unk = _unknown(z["keys"], CONFIG_KEYS["variable"])
@@ -176,7 +177,7 @@ def _variable_findings() -> Column:
             F.struct(
                 F.lit("name_collision").alias("rule"),
                 F.concat(F.lit("raw_name:"), name).alias("location"),
-                F.format_string("raw column '%s' is mapped by variables[%d] and variables[%d]", name,
+                F.format_string(M["raw_collision"], name,
                                 F.filter(tagged, lambda t: t["n"] == name)[0]["i"],
                                 F.filter(tagged, lambda t: t["n"] == name)[1]["i"]).alias("message"),
             )),
@@ -201,18 +202,18 @@ def _deployment_findings() -> Column:
         nstart = _ts(z["next_start"])
         unk = _unknown(z["keys"], CONFIG_KEYS["deployment"])
         return _arr(
-            _f(end.isNotNull() & (end <= start), "deployments", loc, "end must be after start"),
-            _f(end.isNull() & (k < n - 1), "deployments", loc, "only the last deployment may be open-ended"),
-            _f(nstart.isNotNull() & (start > nstart), "overlap", loc, "deployments must be sorted by start ascending"),
+            _f(end.isNotNull() & (end <= start), "deployments", loc, M["end_before_start"]),
+            _f(end.isNull() & (k < n - 1), "deployments", loc, M["open_not_last"]),
+            _f(nstart.isNotNull() & (start > nstart), "overlap", loc, M["unsorted"]),
             _f(nstart.isNotNull() & end.isNotNull() & (start <= nstart) & (end > nstart), "overlap", loc,
-               F.format_string("deployments[%d] and deployments[%d] overlap", k, k + 1)),
+               F.format_string(M["overlap"], k, k + 1)),
             _f(fixed & (d["lat"].isNull() | d["lon"].isNull()), "platform", loc,
-               "fixed platform requires lat and lon"),
+               M["fixed_needs_position"]),
             _f(fixed & (d["platform_name"].isNotNull() | d["instrument_config"].isNotNull()), "platform", loc,
-               "platform_name/instrument_config are mobile-only fields"),
-            _f(mobile & d["platform_name"].isNull(), "platform", loc, "mobile platform requires platform_name"),
+               M["mobile_only_fields"]),
+            _f(mobile & d["platform_name"].isNull(), "platform", loc, M["mobile_needs_platform"]),
             _f(mobile & (d["lat"].isNotNull() | d["lon"].isNotNull() | d["elevation"].isNotNull()), "platform",
-               loc, "lat/lon/elevation are fixed-only fields"),
+               loc, M["fixed_only_fields"]),
             _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
         )
 

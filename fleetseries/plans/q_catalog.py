@@ -11,6 +11,7 @@ from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
 from fleetseries.plans.build import catalog_deployments
 from fleetseries.plans.registry import register
+from fleetseries.schemas import MESSAGES as M
 
 
 def parsed_catalog(spark, d):
@@ -222,6 +223,9 @@ def provenance(spark, d):
 
 # --- rules -------------------------------------------------------------------
 
+_COLLISION_SQL = "'" + M["raw_collision"].replace("'", "''").replace("%s", "dup_a").replace(
+    "%d", "' || i || '", 1).replace("%d", "' || (i + 1) || '", 1) + "'"
+
 def _rule_sql(body: str) -> str:
     return f"WITH {fx.CATALOG_SQL} {body}"
 
@@ -240,11 +244,11 @@ def rule_schema(spark, d):
 
 @register("rule_variable_shape", _rule_sql(f"""
 SELECT dataset_id, 'variable_shape' AS rule, 'variables[' || ({_N_SEG}) || ']' AS location,
-  'a variable cannot set both raw_name and extra_dimension' AS message
+  '{M['both_shapes']}' AS message
 FROM cat WHERE parsed_ok AND c_custkey % {fx.BOTH_SHAPES_MOD} = 0
 UNION ALL
 SELECT dataset_id, 'member_arity', 'variables[' || ({_N_SEG} + CASE WHEN c_custkey % {fx.BOTH_SHAPES_MOD} = 0
-  THEN 1 ELSE 0 END) || '].members[0]', 'dimension_value must be a list of 2 values'
+  THEN 1 ELSE 0 END) || '].members[0]', '{M['list_value'] % 2}'
 FROM cat WHERE parsed_ok AND c_custkey % {fx.ARITY_MOD} = 0"""))
 def rule_variable_shape(spark, d):
     return rules.rule_variable_shape(parsed_catalog(spark, d))
@@ -252,7 +256,7 @@ def rule_variable_shape(spark, d):
 
 @register("rule_name_collision", _rule_sql(f"""
 SELECT dataset_id, 'name_collision' AS rule, 'raw_name:dup_a' AS location,
-  'raw column ''dup_a'' is mapped by variables[' || i || '] and variables[' || (i + 1) || ']' AS message
+  {_COLLISION_SQL} AS message
 FROM (SELECT *, {_N_SEG} + CASE WHEN c_custkey % {fx.BOTH_SHAPES_MOD} = 0 THEN 1 ELSE 0 END
         + CASE WHEN c_custkey % {fx.ARITY_MOD} = 0 THEN 1 ELSE 0 END AS i FROM cat)
 WHERE parsed_ok AND c_custkey % {fx.COLLISION_MOD} = 0"""))
@@ -261,7 +265,7 @@ def rule_name_collision(spark, d):
 
 
 @register("rule_deployments", _rule_sql(f"""
-SELECT dataset_id, 'deployments' AS rule, 'deployments[0]' AS location, 'end must be after start' AS message
+SELECT dataset_id, 'deployments' AS rule, 'deployments[0]' AS location, '{M['end_before_start']}' AS message
 FROM cat WHERE parsed_ok AND platform_type = 'fixed' AND c_custkey % {fx.END_BEFORE_START_MOD} = 0"""))
 def rule_deployments(spark, d):
     return rules.rule_deployments(parsed_catalog(spark, d))
@@ -269,7 +273,7 @@ def rule_deployments(spark, d):
 
 @register("rule_overlap", _rule_sql(f"""
 SELECT dataset_id, 'overlap' AS rule, 'deployments[0]' AS location,
-  'deployments[0] and deployments[1] overlap' AS message
+  '{M['overlap'] % (0, 1)}' AS message
 FROM cat WHERE parsed_ok AND platform_type = 'fixed' AND c_custkey % {fx.OVERLAP_MOD} = 0
   AND c_custkey % {fx.END_BEFORE_START_MOD} <> 0"""))
 def rule_overlap(spark, d):
@@ -278,7 +282,7 @@ def rule_overlap(spark, d):
 
 @register("rule_platform", _rule_sql(f"""
 SELECT dataset_id, 'platform' AS rule, 'deployments[0]' AS location,
-  'lat/lon/elevation are fixed-only fields' AS message
+  '{M['fixed_only_fields']}' AS message
 FROM cat WHERE parsed_ok AND platform_type = 'mobile' AND c_custkey % {fx.MOBILE_POSITION_MOD} = 0"""))
 def rule_platform(spark, d):
     return rules.rule_platform(parsed_catalog(spark, d))

@@ -95,6 +95,34 @@ KNOWN_VARIABLES = [
     ("PAR_Avg", "surface_downwelling_photosynthetic_radiative_flux_in_air", "micromol/m2/s"),
 ]
 
+# Messages and text formats as the reproduced behaviour reports them (validation
+# findings, data-quality warning, history line, header check reasons).
+MESSAGES = {
+    "both_shapes": "a variable cannot set both raw_name and extra_dimension",
+    "no_shape": "a variable must set either raw_name or extra_dimension+members",
+    "no_dimension": "extra_dimension, if given, must declare at least one dimension",
+    "no_member": "extra_dimension variables require at least one member",
+    "no_standard_name": "extra_dimension variables require standard_name",
+    "scalar_value": "dimension_value must be a scalar",
+    "list_value": "dimension_value must be a list of %d values",
+    "raw_collision": "raw column '%s' is mapped by variables[%d] and variables[%d]",
+    "no_deployment": "at least one deployment is required",
+    "end_before_start": "end must be after start",
+    "open_not_last": "only the last deployment may be open-ended",
+    "unsorted": "deployments must be sorted by start ascending",
+    "overlap": "deployments[%d] and deployments[%d] overlap",
+    "fixed_needs_position": "fixed platform requires lat and lon",
+    "mobile_only_fields": "platform_name/instrument_config are mobile-only fields",
+    "mobile_needs_platform": "mobile platform requires platform_name",
+    "fixed_only_fields": "lat/lon/elevation are fixed-only fields",
+    "mobile_needs_names": "mobile datasets must map variables with standard_name %s",
+    "quality_warning": "%s: %d value(s) could not be parsed as numeric and were set to NaN (examples: %s)",
+    "history": "%sZ: generated by %s %s for dataset '%s' using config version %s",
+    "header_short": "fewer than 4 header rows",
+    "header_fields": "expected %d fields in the info row, found %d",
+    "header_marker": "expected TOA5 marker, found ",
+}
+
 # Config enumerations and defaults.
 SOURCE_TYPES = ["loggernet", "generic_csv", "thingsboard"]
 ACCESS_LEVELS = ["public", "restricted"]

@@ -23,6 +23,7 @@ from fleetseries.schemas import (
     LOGGER_INFO_FIELDS,
     LOGGER_MARKER,
     LOGGER_NA_TOKENS,
+    MESSAGES,
 )
 from fleetseries.session import broadcast_if_small
 
@@ -77,11 +78,10 @@ def scan_headers(lines: DataFrame) -> DataFrame:
     info = csv_fields(F.col("h")[0]["value"])
     valid = (n >= 4) & (F.size(info) == LOGGER_INFO_FIELDS) & (info[0] == LOGGER_MARKER)
     reason = (
-        F.when(n < 4, "fewer than 4 header rows")
+        F.when(n < 4, MESSAGES["header_short"])
         .when(F.size(info) != LOGGER_INFO_FIELDS,
-              F.format_string("expected %d fields in the info row, found %d",
-                              F.lit(LOGGER_INFO_FIELDS), F.size(info)))
-        .when(info[0] != LOGGER_MARKER, F.concat(F.lit(f"expected {LOGGER_MARKER} marker, found "), info[0]))
+              F.format_string(MESSAGES["header_fields"], F.lit(LOGGER_INFO_FIELDS), F.size(info)))
+        .when(info[0] != LOGGER_MARKER, F.concat(F.lit(MESSAGES["header_marker"]), info[0]))
     )
     names = ["marker", "station_name", "logger_model", "serial_no", "os_version",
              "program_name", "program_sig", "table_name"]
