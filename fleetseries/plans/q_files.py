@@ -245,11 +245,23 @@ def _rename_partitions(spark, staging: str, root: str) -> None:
     fs.delete(Path(staging), True)
 
 
-def _fixture_frames(spark, d):
+def _fixture_frames(spark, d, bronze: bool = False):
+    """The fixture's logger files. One-shot scans read the text directly
+    (headers from each file's first split, body parsed once). Builds ingest
+    first: the text is parsed positionally into a bronze table, and headers and
+    body come from bronze (the text is read once; ranks, dedup and window reuse
+    the columnar copy)."""
     root = write_logger_fixture(spark, d)
     lines = lf.read_lines(spark, root, recursive=True)
-    headers = lf.scan_headers(lines)
-    return root, lines, headers
+    if bronze:
+        lines = write_table(lf.ingest_lines(lines, len(LOGGER_COLUMNS) + 1), "bronze_lines")
+    return root, lines, lf.scan_headers(lines)
+
+
+def _body(lines, headers, bronze: bool = False):
+    if bronze:
+        return lf.body_from_positional(lines, headers)
+    return lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1)
 
 
 def _base(col):
@@ -277,7 +289,7 @@ def header_scan(spark, d):
 FROM events""")
 def logger_scan(spark, d):
     _, lines, headers = _fixture_frames(spark, d)
-    body = lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1)
+    body = _body(lines, headers)
     c = F.col("cells")
     return body.select(
         _base(F.col("file_name")).alias("file_name"), "time",
@@ -346,7 +358,7 @@ _FILE_SQL = ("'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat' WHEN 1
 FROM events GROUP BY 1""")
 def logger_quality(spark, d):
     _, lines, headers = _fixture_frames(spark, d)
-    q = lf.file_quality(lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1))
+    q = lf.file_quality(_body(lines, headers))
     return q.select(_base(F.col("file_name")).alias("file_name"), "n_rows", "n_fallback", "n_reject",
                     "n_short", "n_long")
 
@@ -379,12 +391,8 @@ def logger_build(spark, d):
     """The data query from the logger files themselves: the text is parsed once
     into a positional bronze table; headers, body, ranks, dedup, mapping,
     deployments and the window all read bronze."""
-    root = write_logger_fixture(spark, d)
-    lines = lf.read_lines(spark, root, recursive=True)
-    # the text is read once: positional bronze, then headers and body from bronze
-    positional = write_table(lf.ingest_lines(lines, len(LOGGER_COLUMNS) + 1), "bronze_lines")
-    headers = lf.scan_headers(positional)
-    body = lf.body_from_positional(positional, headers)
+    _, positional, headers = _fixture_frames(spark, d, bronze=True)
+    body = _body(positional, headers, bronze=True)
     raw = body.filter(F.col("time").isNotNull()).select(
         F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"),
         "file_name", "block_start", "row_pos", "time", "cells")
