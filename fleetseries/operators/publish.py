@@ -115,8 +115,9 @@ def write_month_partitions(rows: DataFrame, data_root: str, log_path: str, run_i
     target = f"{data_root.rstrip('/')}/run={run_id}"
     (rows.repartition("dataset_id", "period")
      .write.mode("errorifexists").partitionBy("dataset_id", "period").parquet(target))
+    name = F.col("file_name") if "file_name" in rows.columns else F.lit(None).cast("string")
     log = rows.groupBy("dataset_id", "period").agg(
-        F.first("file_name", ignorenulls=True).alias("file_name"),
+        F.first(name, ignorenulls=True).alias("file_name"),
         F.count(F.lit(1)).alias("n_rows"),
     ).select("dataset_id", "period", "file_name", "n_rows",
              F.lit(target).alias("location"), ts_lit(created_at).alias("created_at"))
