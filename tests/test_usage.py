@@ -59,8 +59,8 @@ def test_readme_flow(spark, tmp_path):
 
     cov = coverage.time_coverage(index)
     log_path = str(tmp_path / "log")
-    spark.createDataFrame([], "dataset_id string, period string").write.parquet(log_path)
-    pending = publish.pending_periods(publish.settled_months(cov, "2026-06-01"), spark.read.parquet(log_path))
+    no_log_yet = spark.createDataFrame([], "dataset_id string, period string")
+    pending = publish.pending_periods(publish.settled_months(cov, "2026-06-01"), no_log_yet)
     assert sorted(r["period"] for r in pending.collect()) == ["2026-01", "2026-02"]
     full = build_dataset(raw, SPECS, deps, "fixed", file_index=index)
     publish.write_month_partitions(publish.select_month(full, pending), str(tmp_path / "pub"), log_path, "r1",
