@@ -68,8 +68,8 @@ def rename_classes(spark, d):
     """Classify scanned names against each dataset's configured names (rows-only)."""
     cols = fx.part_columns(spark, d).select("dataset_id", "column_name").distinct()
     p = fx.table(spark, d, "part")
-    configured = p.filter(F.col("p_size") % 3 == 0).select(
+    # a dataset's config maps one 10 m column per brand (config-sized: brands are few)
+    configured = p.select(
         F.col("p_type").alias("dataset_id"),
-        F.concat(F.lit("AirTC_"), (F.col("p_size") + F.lit(1)).cast("string"), F.lit("m_"),
-                 F.regexp_replace("p_brand", "#", "")).alias("raw_name"))
+        F.concat(F.lit("AirTC_10m_"), F.regexp_replace("p_brand", "#", "")).alias("raw_name")).distinct()
     return prof.rename_classes(cols, configured)
