@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, text_batches
-from .pieces import SPACE, code_points, pretokens, spelled, utf8_length, vocabulary
+from .pieces import SPACE, code_points, pretokens, utf8_length, vocabulary
 from .queries import query
 
 OVER_LIMIT = 4096
 #: Pre-tokens whose counts a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 600_000
 _FAR = np.int64(1) << 40
 
 
@@ -105,24 +105,29 @@ def surviving_symbols(words: list[str], merges: MergeTable) -> np.ndarray:
         stay[at + 1] = False
         here = at - np.arange(len(at))
         sym, seq, pair = sym[stay], seq[stay], pair[stay]
-        around = np.unique(np.concatenate([here, here - 1]))
-        around = around[around >= 0]
+        touched = np.zeros(len(seq) + 1, dtype=bool)
+        touched[here] = touched[here - 1] = True  # entry -1 stands for no symbol
+        around = np.flatnonzero(touched[:-1])
         pair[around] = -1
-        around = around[around + 1 < len(seq)]
+        around = around[: len(around) - (around[-1] + 1 == len(seq))]
         around = around[seq[around] == seq[around + 1]]
         pair[around] = merges.find(sym[around], sym[around + 1])
     return out
 
 
-def _shorten(token: str, run: int) -> tuple[str, int]:
-    """Whole longest pieces of marks at the front of a long run, counted at once.
+def _shorten(tokens: list[str], run: int) -> tuple[list[str], np.ndarray]:
+    """Spelled pre-tokens without the whole longest pieces of marks at the front of long runs, and the number of those.
 
     Every merge with a letter comes before merges of marks alone, and marks
     merge from the left, so a run fills pieces of ``run`` marks one after another.
     """
-    marks = len(token) - len(token.lstrip(SPACE))
-    whole = max(0, (marks - 2 * run) // run)
-    return token[whole * run :], whole
+    words = [t if t[0] == SPACE else SPACE + t for t in tokens]
+    whole = np.zeros(len(words), dtype=np.int64)
+    for k, word in enumerate(words):
+        if word.startswith(SPACE * 2 * run):
+            whole[k] = (len(word) - len(word.lstrip(SPACE)) - 2 * run) // run
+            words[k] = word[whole[k] * run :]
+    return words, whole
 
 
 _seen: dict[str, dict[str, int]] = {}
@@ -138,8 +143,8 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
         seen.clear()
         new = wanted
     if new:
-        words, extra = zip(*(_shorten(spelled(t), merges.run) for t in new))
-        seen.update(zip(new, (surviving_symbols(list(words), merges) + np.array(extra)).tolist()))
+        words, whole = _shorten(list(new), merges.run)
+        seen.update(zip(new, (surviving_symbols(words, merges) + whole).tolist()))
     return [sum(map(seen.__getitem__, tokens)) for tokens in split]
 
 
