@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a task holds at once; a single longer text is held whole.
 BATCH_BYTES = 4 << 20
-#: Rows of an Arrow batch: with a few hundred rows even very long texts stay within bounds.
-ARROW_ROWS = 256
+#: Rows and bytes of the Arrow batches that tasks receive, whichever is reached first.
+ARROW_ROWS = 2000
+ARROW_BYTES = 8 << 20
 
 _U64 = np.uint64
 
@@ -24,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of the Arrow batches that Python tasks receive."""
+    """Bound the Arrow batches that Python tasks receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def ascii_lower(col: Column) -> Column:
