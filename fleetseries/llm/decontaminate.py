@@ -8,14 +8,12 @@ shift is zero, the bucket of that suffix block lists the patterns that may end
 there; the hash of their first block is compared, then the words themselves.
 
 Documents are scanned where they lie: no shuffle. The items are read in blocks
-of at most ``PATTERN_BYTES`` of text; each block's tables are broadcast and add
-their hits in one more narrow step, so the size of what is broadcast never
-follows the input.
+of about ``PATTERN_BYTES`` of text; each block's tables are broadcast, and its
+hits are merged with those of the other blocks in the same row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, Words, mix, small_batches, table, text_batches
+from .common import ALNUM_WORD, BATCH_BYTES, Words, mix, small_batches, table
 from .queries import query
 
 WINDOW = 10
 #: Item text in one broadcast block of patterns.
 PATTERN_BYTES = 2 << 20
 
-_STATE = "__k long, __text string, __n_words long, __hits array<int>, __items array<string>"
-
 
 class WuManber:
     """Shift and suffix tables for all patterns of one length (in words)."""
@@ -114,42 +110,11 @@ def _item_blocks(benchmark: DataFrame, pattern_bytes: int) -> list[list[tuple[st
         yield [(r.item, r.text) for r in dealt.where(F.col("b") == b).select("item", "text").collect()]
 
 
-def _scan(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for part in text_batches(batches, "__text"):
-            words = Words(part.column("__text").to_pylist(), ALNUM_WORD)
-            blocks = {b: block_hashes(words, b).tolist() for b in {t.block for t in tables}}
-            hits, found = [], []
-            old_hits, old_items = part.column("__hits").to_pylist(), part.column("__items").to_pylist()
-            first = words.first.tolist()
-            for k in range(len(part)):
-                spans, items = list(old_hits[k]), set(old_items[k])
-                for t in tables:
-                    for at, names in t.scan(words, blocks[t.block], first[k], first[k + 1]):
-                        a = at - first[k]
-                        if len(spans) > 1 and spans[-2] <= a <= spans[-1]:
-                            spans[-1] = max(spans[-1], a + t.length)
-                        else:
-                            spans += [a, a + t.length]
-                        items.update(names)
-                hits.append(spans)
-                found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("__k").combine_chunks(),
-                    part.column("__text").combine_chunks(),
-                    pa.array(np.diff(words.first), pa.int64()),
-                    pa.array(hits, pa.list_(pa.int32())),
-                    pa.array(found, pa.list_(pa.string())),
-                ],
-                names=["__k", "__text", "__n_words", "__hits", "__items"],
-            )
-
-    return run
+_FOUND = "struct<n_words:long,hit_words:array<int>,items:array<string>>"
 
 
 def _merged(spans: list[int]) -> list[int]:
+    """A flat list of (first, after last) as disjoint spans in order."""
     out: list[int] = []
     for a, b in sorted(zip(spans[::2], spans[1::2])):
         if out and a <= out[-1]:
@@ -159,54 +124,75 @@ def _merged(spans: list[int]) -> list[int]:
     return out
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = [_merged(s) for s in batch.column("__hits").to_pylist()]
-        items = batch.column("__items").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("__k"),
-                batch.column("__n_words"),
-                pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()),
-                pa.array(spans, pa.list_(pa.int32())),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]),
-            ],
-            names=["doc_id", "n_words", "n_hit", "hit_words", "items", "items_sha256"],
-        )
+def _scanner(shared):
+    """A function of the text: its words, the spans of words inside windows, and the items these belong to."""
+
+    def scan(texts: list[str | None]) -> list[dict]:
+        tables = shared.value
+        words = Words(texts, ALNUM_WORD)
+        blocks = {b: block_hashes(words, b).tolist() for b in {t.block for t in tables}}
+        first, out = words.first.tolist(), []
+        for a, b in zip(first, first[1:]):
+            spans, items = [], set()
+            for t in tables:
+                for at, names in t.scan(words, blocks[t.block], a, b):
+                    if len(spans) > 1 and spans[-2] <= at - a <= spans[-1]:
+                        spans[-1] = max(spans[-1], at - a + t.length)
+                    else:
+                        spans += [at - a, at - a + t.length]
+                    items.update(names)
+            out.append({"n_words": b - a, "hit_words": _merged(spans), "items": sorted(items)})
+        return out
+
+    @F.arrow_udf(_FOUND)
+    def found(texts: pa.Array) -> pa.Array:
+        out, step = [], max(1, len(texts) * BATCH_BYTES // max(texts.nbytes, 1))
+        for a in range(0, len(texts), step):
+            out += scan(texts.slice(a, step).to_pylist())
+        return pa.array(out, _ARROW_FOUND)
+
+    return found
+
+
+_ARROW_FOUND = pa.struct(
+    [("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+)
+
+
+def _merger():
+    """A function of what two blocks of patterns found in the same texts."""
+
+    @F.arrow_udf(_FOUND)
+    def both(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = [
+            {**x, "hit_words": _merged(x["hit_words"] + y["hit_words"]), "items": sorted({*x["items"], *y["items"]})}
+            for x, y in zip(left.to_pylist(), right.to_pylist())
+        ]
+        return pa.array(out, _ARROW_FOUND)
+
+    return both
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES, into: str = "__found"
 ) -> DataFrame:
-    """Words of each document that lie inside a benchmark window.
+    """``docs`` with a struct column ``into``: the words of ``text`` that lie inside a benchmark window.
 
-    Returns one row per row of ``docs`` (columns doc_id, text; others are not
-    read): doc_id, n_words, n_hit, hit_words (flat array of first word and word
-    after the last of each merged hit), items (ids, as sorted strings, of the
-    items with an occurring window), items_sha256.
+    Fields: n_words; hit_words, a flat array of first word and word after the
+    last of each merged hit; items, the ids, as sorted strings, of the items
+    with an occurring window.
 
     Null or empty text has no words and no hits. Items with null id or no words
-    match nothing; items of equal text are all reported. Repeated document
-    rows give a row each; an empty ``docs`` gives no rows, an empty
-    ``benchmark`` no hits.
+    match nothing; items of equal text are all reported. Other columns and
+    repeated rows stay as they are; an empty ``benchmark`` gives no hits.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    state = docs.select(
-        F.col("doc_id").cast("long").alias("__k"),
-        F.col("text").alias("__text"),
-        F.lit(0).cast("long").alias("__n_words"),
-        F.array().cast("array<int>").alias("__hits"),
-        F.array().cast("array<string>").alias("__items"),
-    )
+    out = None
     for items in _item_blocks(benchmark, pattern_bytes):
-        shared = spark.sparkContext.broadcast(build_tables(items, window))
-        state = state.mapInArrow(_scan(shared), _STATE)
-    return state.select("__k", "__n_words", "__hits", "__items").mapInArrow(
-        _summary,
-        "doc_id long, n_words long, n_hit long, hit_words array<int>, items array<string>, items_sha256 string",
-    )
+        own = _scanner(spark.sparkContext.broadcast(build_tables(items, window)))(F.col("text"))
+        out = own if out is None else _merger()(out, own)
+    return docs.withColumn(into, out)
 
 
 ORACLE = r"""
@@ -240,12 +226,20 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 
 @query("op7_decontaminate", ORACLE)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").cast("long").alias("doc_id"), "__found.*")
+    after = F.aggregate("hit_words", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("s")), _hit_words, lambda a: a["n"])
     return found.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        after.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        "items_sha256",
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hit_words") > 0).alias("contaminated"),
     )
+
+
+def _hit_words(sum_, x):
+    """Adds up the lengths of spans given as a flat array: ends count, starts are taken off."""
+    ends = sum_["s"] > 0
+    return F.struct((sum_["n"] + F.when(ends, x).otherwise(-x)).alias("n"), (-sum_["s"]).alias("s"))

@@ -28,4 +28,13 @@ def load() -> None:
     """Import every module that registers a query."""
     from . import (  # noqa: F401
         decontaminate,
+        html_text,
+        inner_product,
+        license_scan,
+        line_dedup,
+        ngram_join,
+        piece_codec,
+        token_count,
+        toxicity,
+        warc,
     )

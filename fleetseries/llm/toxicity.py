@@ -15,7 +15,6 @@ Scoring moves nothing; the model that is sent to the tasks has a fixed size.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, table, text_batches
+from .common import BATCH_BYTES, mix, small_batches, table
 from .pieces import code_points
 from .queries import query
 
@@ -169,32 +168,33 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
 SCALE = 10.0
 
 
-def _scorer(shared):
+def scorer(spark: SparkSession, model: Model):
+    """A function of the text column: the score of each text (0 to 1, higher: toxic)."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
     seen: dict[str, float] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for part in text_batches(batches, "__text"):
-            bags = [Counter(words_of(t)) for t in part.column("__text").to_pylist()]
-            wanted = set().union(*bags) if bags else set()
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array) -> pa.Array:
+        out = []
+        step = max(1, len(texts) * BATCH_BYTES // max(texts.nbytes, 1))
+        for a in range(0, len(texts), step):
+            bags = [Counter(words_of(t)) for t in texts.slice(a, step).to_pylist()]
+            wanted = set().union(*bags)
             new = list(wanted - seen.keys())
             if len(seen) + len(new) > CACHE:
                 seen.clear()
                 new = list(wanted)
             if new:
-                seen.update(zip(new, model.word_scores(new).tolist()))
+                seen.update(zip(new, shared.value.word_scores(new).tolist()))
             sizes = np.array([len(b) for b in bags], dtype=np.int64)
             times = np.fromiter(chain.from_iterable(b.values() for b in bags), dtype=np.float64, count=sizes.sum())
             each = np.fromiter(map(seen.__getitem__, chain.from_iterable(bags)), dtype=np.float64, count=sizes.sum())
             weight = _damped(times)
-            logit = _sums(each * weight, sizes) / np.maximum(_sums(weight, sizes), 1)
-            names = [n for n in part.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(n).combine_chunks() for n in names] + [pa.array(model.score(logit), pa.float64())],
-                names=[*names, "__score"],
-            )
+            out.append(shared.value.score(_sums(each * weight, sizes) / np.maximum(_sums(weight, sizes), 1)))
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return run
+    return score_of
 
 
 def held_out(doc_id) -> F.Column:
@@ -225,11 +225,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null, empty and blank texts have the score of a text without words.
     """
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text"))
-    return rows.mapInArrow(_scorer(shared), "doc_id long, __score double").withColumnRenamed("__score", "score")
+    score_of = scorer(docs.sparkSession, model)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(F.col("text")).alias("score"))
 
 
 @query("op6_toxicity")
