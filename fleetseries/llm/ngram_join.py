@@ -50,8 +50,10 @@ REGION = 32
 CHUNK = 256
 PIVOTS = 8
 LEVELS = 3
-#: Shingles that the order knows as frequent at most (16 bytes each are broadcast); the rarest go first.
-ORDER_ROWS = 1_000_000
+#: Shingles that the order knows as frequent at most (9 bytes each are broadcast); the rarest go first.
+ORDER_ROWS = 3_000_000
+#: Documents whose ids (with the names of their sets, about 60 bytes each) may be broadcast to pick texts.
+BROADCAST_ROWS = 500_000
 #: Shingles that a task counts at a time for the order.
 COUNT_ROWS = 4_000_000
 
@@ -169,29 +171,30 @@ def _prefixes(shared, words: int, percent: int):
     return run
 
 
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, sid): distinct ones of shingles with more than one set."""
-    last = None  # the last row of the batch before, and whether it was given already
-    given = False
-    for batch in batches:
-        h, sid, n = (batch.column(c).to_numpy() for c in ("h", "sid", "n"))
-        if last is not None:
-            h, sid, n = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (h, sid, n)))
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-        h, sid, n = h[new], sid[new], n[new]
-        same = h[1:] == h[:-1]
-        several = np.zeros(len(h), dtype=bool)
-        several[1:] |= same
-        several[:-1] |= same
-        if given:
-            several[0] = False
-            out_before = len(h) > 1 and same[0]
-            if out_before:
-                several[1] = True
-        last = (h[-1], sid[-1], n[-1])
-        given = bool(several[-1]) or (given and len(h) == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(h[several]), pa.array(sid[several]), pa.array(n[several])], names=["h", "sid", "n"])
+def _shared_only(percent: int):
+    """Of rows sorted by (h, n, sid): distinct ones that have another set of fitting size at their shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = None, False  # the last row of the batch before, and whether it was given already
+        for batch in batches:
+            h, sid, n = (batch.column(c).to_numpy() for c in ("h", "sid", "n"))
+            if last is not None:
+                h, sid, n = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (h, sid, n)))
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+            h, sid, n = h[new], sid[new], n[new]
+            # sizes rise within a shingle, so a set has a partner of fitting size only if its neighbour fits
+            fits = (h[1:] == h[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            keep = np.zeros(len(h), dtype=bool)
+            keep[1:] |= fits
+            keep[:-1] |= fits
+            last_given = bool(keep[-1]) if len(h) > 1 else given
+            if given:
+                keep[0] = False
+            last, given = (h[-1], sid[-1], n[-1]), last_given
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(sid[keep]), pa.array(n[keep])], names=["h", "sid", "n"])
+
+    return run
 
 
 def _sets(words: int):
@@ -321,7 +324,7 @@ class JaccardJoin:
     def _order(self):
         """The frequent shingles, sorted, and the logarithm of their counts; of too many the most frequent."""
         level = F.least(F.floor(F.log2("n")), F.lit(60)).cast("int")
-        frequent = self._counts.groupBy("h").agg(F.sum("n").alias("n")).select("h", level.alias("level")).where("level >= 3")
+        frequent = self._counts.groupBy("h").agg(F.sum("n").alias("n")).select("h", level.alias("level")).where("level >= 1")
         frequent = write_table(frequent, "join-order")
         sizes = sorted(frequent.groupBy("level").count().collect(), reverse=True)
         least, total = 61, 0
@@ -338,17 +341,22 @@ class JaccardJoin:
     def _windows(self) -> DataFrame:
         """(h, sid, n) for the shingles whose window holds more than one set."""
         rows = self.rows.select("text").mapInArrow(_prefixes(self._order(), self.words, self.percent), "h long, sid long, n int")
-        dealt = rows.repartition("h").sortWithinPartitions("h", "sid")
-        return write_table(dealt.mapInArrow(_shared_only, "h long, sid long, n int"), "join-windows")
+        dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
+        return write_table(dealt.mapInArrow(_shared_only(self.percent), "h long, sid long, n int"), "join-windows")
 
     def _payload(self, windows: DataFrame) -> DataFrame:
         """(sid, hashes) of every set in ``windows``, from one document of each."""
         wanted = windows.select("sid").distinct().join(self.classes.select("sid", "doc_id"), "sid")
         wanted = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("sid").alias("want"))
+        wanted = write_table(wanted, "join-wanted")
+        if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled by document
+            wanted = F.broadcast(wanted)
         texts = self.rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("want", "text")
         sets = texts.mapInArrow(_sets(self.words), "want array<long>, sid long, hashes array<long>")
         # a doc_id that several rows share brings all their texts: only the wanted sets stay, each once
-        sets = sets.where(F.array_contains("want", F.col("sid"))).select("sid", "hashes").dropDuplicates(["sid"])
+        sets = sets.where(F.array_contains("want", F.col("sid"))).select("sid", "hashes")
+        if self.documents.groupBy("doc_id").count().where("count > 1").limit(1).count():
+            sets = sets.dropDuplicates(["sid"])
         return write_table(sets, "join-sets")
 
     def _pairs(self, members: DataFrame, sets: DataFrame) -> DataFrame:
