@@ -54,6 +54,8 @@ LEVELS = 3
 ORDER_ROWS = 3_000_000
 #: Documents whose ids (with the names of their sets, about 60 bytes each) may be broadcast to pick texts.
 BROADCAST_ROWS = 500_000
+#: Shingles of a group of candidate clusters that one task verifies (8 bytes each).
+GROUP_SHINGLES = 2_000_000
 #: Shingles that a task counts at a time for the order.
 COUNT_ROWS = 4_000_000
 
@@ -248,6 +250,32 @@ def _verify(percent: int):
     return run
 
 
+def _verify_group(percent: int):
+    """Of the candidate pairs of whole clusters, with each set given once: a spanning forest of the links."""
+
+    def work(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        own = dict(zip(sets.column("sid").to_pylist(), _arrays(sets.column("hashes"))))
+        top = {sid: sid for sid in own}
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        out = []
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+            if find(a) != find(b):
+                x, y = own[a], own[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out.append((a, b))
+                    top[find(b)] = find(a)
+        columns = list(zip(*out)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return work
+
+
 _CELL = "region long, a long, b long, sid long, n int, both long, size long"
 
 
@@ -364,10 +392,25 @@ class JaccardJoin:
         left = members.select("region", F.col("sid").alias("a"), F.col("n").alias("na"))
         right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"))
         fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        pairs = left.join(right, "region").where(fits).select("a", "b").distinct()
+        pairs = write_table(left.join(right, "region").where(fits).select("a", "b").distinct(), "join-pairs")
+        sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
+        # candidates that hang together are verified together, so each set travels once
+        found = connected(pairs)
+        weight = sizes.join(found, sizes["sid"] == found["node"]).groupBy("label").agg(F.sum("n").alias("weight"))
+        total = weight.agg(F.sum("weight")).first()[0] or 0
+        group = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-int(total) // GROUP_SHINGLES))))
+        clusters = found.join(weight, "label").select("node", "weight", group.alias("group"))
+        clusters = write_table(clusters, "join-clusters")
+        whole = clusters.where(F.col("weight") <= GROUP_SHINGLES)
+        left = sets.join(whole, sets["sid"] == whole["node"]).select("group", "sid", "hashes")
+        right = _renamed(pairs.join(whole, pairs["a"] == whole["node"]).select("group", "a", "b"))
+        links = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_verify_group(self.percent), "a long, b long")
+        # pairs of clusters that are too large for one task are verified one by one
+        rest = pairs.join(clusters.where(F.col("weight") > GROUP_SHINGLES), F.col("a") == F.col("node")).select("a", "b")
         x = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
         y = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-        return write_table(pairs.join(x, "a").join(y, "b").mapInArrow(_verify(self.percent), "a long, b long"), "join-links")
+        one_by_one = rest.join(x, "a").join(y, "b").mapInArrow(_verify(self.percent), "a long, b long")
+        return write_table(links.unionByName(one_by_one), "join-links")
 
     def _divide(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One level of pivots: the links to them, and the members of the cells (region, sid, n, parent_size)."""
