@@ -54,8 +54,9 @@ LEVELS = 3
 ORDER_ROWS = 3_000_000
 #: Documents whose ids (with the names of their sets, about 60 bytes each) may be broadcast to pick texts.
 BROADCAST_ROWS = 500_000
-#: Shingles of a group of candidate clusters that one task verifies (8 bytes each).
+#: Shingles (8 bytes each) that a task aims at when it verifies clusters, and of the largest cluster that is verified whole.
 GROUP_SHINGLES = 2_000_000
+CLUSTER_SHINGLES = 8_000_000
 #: Shingles that a task counts at a time for the order.
 COUNT_ROWS = 4_000_000
 
@@ -237,19 +238,6 @@ def _linked(both: np.ndarray, union: np.ndarray, percent: int) -> np.ndarray:
     return 100 * both >= percent * union
 
 
-def _verify(percent: int):
-    """Of candidate pairs with their sets: those that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = _arrays(batch.column("x")), _arrays(batch.column("y"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], dtype=np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=np.int64) - both
-            yield batch.filter(pa.array(_linked(both, union, percent))).select(["a", "b"])
-
-    return run
-
-
 def _verify_group(percent: int):
     """Of the candidate pairs of whole clusters, with each set given once: a spanning forest of the links."""
 
@@ -387,8 +375,8 @@ class JaccardJoin:
             sets = sets.dropDuplicates(["sid"])
         return write_table(sets, "join-sets")
 
-    def _pairs(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links inside regions of at most ``region`` members."""
+    def _pairs(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links inside regions of at most ``region`` members; members of clusters that are too large for one task."""
         left = members.select("region", F.col("sid").alias("a"), F.col("n").alias("na"))
         right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"))
         fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
@@ -399,18 +387,21 @@ class JaccardJoin:
         weight = sizes.join(found, sizes["sid"] == found["node"]).groupBy("label").agg(F.sum("n").alias("weight"))
         total = weight.agg(F.sum("weight")).first()[0] or 0
         group = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-int(total) // GROUP_SHINGLES))))
-        clusters = found.join(weight, "label").select("node", "weight", group.alias("group"))
+        clusters = found.join(weight, "label").select(F.col("node").alias("sid"), "label", "weight", group.alias("group"))
         clusters = write_table(clusters, "join-clusters")
-        whole = clusters.where(F.col("weight") <= GROUP_SHINGLES)
-        left = sets.join(whole, sets["sid"] == whole["node"]).select("group", "sid", "hashes")
-        right = _renamed(pairs.join(whole, pairs["a"] == whole["node"]).select("group", "a", "b"))
-        links = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(_verify_group(self.percent), "a long, b long")
-        # pairs of clusters that are too large for one task are verified one by one
-        rest = pairs.join(clusters.where(F.col("weight") > GROUP_SHINGLES), F.col("a") == F.col("node")).select("a", "b")
-        x = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-        y = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-        one_by_one = rest.join(x, "a").join(y, "b").mapInArrow(_verify(self.percent), "a long, b long")
-        return write_table(links.unionByName(one_by_one), "join-links")
+        whole = clusters.where(F.col("weight") <= CLUSTER_SHINGLES).select("sid", "group")
+        own = self._with_sets(whole, sets).select("group", "sid", "hashes")
+        of = _renamed(pairs.join(_renamed(whole), F.col("a") == F.col("sid")).select("group", "a", "b"))
+        links = own.groupBy("group").cogroup(of.groupBy("group")).applyInArrow(_verify_group(self.percent), "a long, b long")
+        larger = clusters.where(F.col("weight") > CLUSTER_SHINGLES).join(sizes, "sid")
+        return write_table(links, "join-links"), larger.select(F.col("label").alias("region"), "sid", "n")
+
+    def _with_sets(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """``members`` with their sets; the sets are not shuffled for it where the members are few."""
+        members = write_table(members, "join-picked")
+        if members.count() <= BROADCAST_ROWS:
+            members = F.broadcast(members)
+        return sets.join(members, "sid")
 
     def _divide(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One level of pivots: the links to them, and the members of the cells (region, sid, n, parent_size)."""
@@ -420,9 +411,9 @@ class JaccardJoin:
         counts = members.groupBy("region").agg(F.count("*").alias("members"))
         n_chunks = F.ceil(F.col("members") / CHUNK).cast("long")
         left = members.join(counts, "region").withColumn("chunk", F.pmod(F.xxhash64("sid"), n_chunks))
-        left = left.join(sets, "sid").select("region", "chunk", "sid", "n", "hashes")
+        left = self._with_sets(left.select("region", "chunk", "sid", "n"), sets)
         right = pivots.join(counts, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
-        right = right.join(sets, "sid").select("region", "chunk", "sid", "hashes")
+        right = self._with_sets(right.select("region", "chunk", "sid"), sets)
         right = _renamed(right)
         found = left.groupBy("region", "chunk").cogroup(right.groupBy("region", "chunk")).applyInArrow(_cells(self.percent), _CELL)
         found = write_table(found, "join-cells")
@@ -443,16 +434,16 @@ class JaccardJoin:
         sizes = named.groupBy("region", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"))
         blocks = F.ceil(F.col("members") / CHUNK).cast("long")
-        named = named.join(main, "region").join(sets, "sid")
+        named = named.join(main, "region")
         mine = F.pmod(F.xxhash64("sid"), blocks)
         every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        columns = ["region", "sid", "label", "hashes"]
+        columns = ["region", "sid", "label"]
         # open members in blocks of their own meet every block of the region
         left = named.where("label <> main").withColumn("o", mine).withColumn("b", every).select(*columns, "o", "b")
         slots = left.select("region", "o").distinct()
         right = named.withColumn("b", mine).join(slots, "region").select(*columns, "o", "b")
         key = ["region", "o", "b"]
-        right = _renamed(right)
+        left, right = self._with_sets(left, sets), _renamed(self._with_sets(right, sets))
         return write_table(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_blocks(self.percent), "a long, b long"), "join-links")
 
     def links(self) -> DataFrame:
@@ -465,14 +456,15 @@ class JaccardJoin:
             sized = members.groupBy("region").agg(
                 F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("name")
             )
-            small = members.join(sized.where((F.col("members") <= self.region) & (F.col("members") > 1)).select("region"), "region", "left_semi")
-            done.append(self._pairs(small, sets))
+            few = sized.where((F.col("members") <= self.region) & (F.col("members") > 1)).select("region")
+            found, larger = self._pairs(members.join(few, "region", "left_semi"), sets)
+            done.append(found)
             # regions of the same members are one
             large = sized.where(F.col("members") > self.region).groupBy("members", "name").agg(F.min("region").alias("region"))
-            large = write_table(large.select("region", "members"), "join-large")
-            if not large.limit(1).count():
+            large = members.join(large.select("region"), "region", "left_semi")
+            members = write_table(large.select("region", "sid", "n").unionByName(larger), "join-members")
+            if not members.limit(1).count():
                 break
-            members = write_table(members.join(large.select("region"), "region", "left_semi"), "join-members")
             if level == LEVELS:
                 done.append(self._compare(members, sets, self._union(done)))
                 break
