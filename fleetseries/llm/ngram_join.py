@@ -11,7 +11,9 @@ home, and large regions are joined recursively:
    than any set without it. Under a fixed order of the shingles (rare ones
    first; the order only affects speed) a set's home is its first shingle, and
    a partner at distance at most e has its home among the set's first
-   n - ceil((1 - e) n) + 1 shingles: the border window.
+   n - ceil((1 - e) n) + 1 shingles: the border window. Windows are ``COMMON`` - 1
+   shingles longer; then partners share at least ``COMMON`` of them, which tells
+   them from texts that share a phrase.
 3. Regions of at most ``REGION`` classes compare their pairs of fitting size.
    Larger ones get pivots among their own documents: each member goes to the
    cell of its nearest pivot and, by the triangle inequality, to every cell
@@ -42,6 +44,8 @@ from .common import SPACED_WORD, Words, mix, small_batches, table, text_batches
 from .components import connected
 from .queries import query
 
+#: Shingles of their windows that a pair must share (fewer where sets are too small for it).
+COMMON = 4
 WORDS = 3
 PERCENT = 90
 #: Classes of a region whose pairs are compared directly.
@@ -105,8 +109,19 @@ def _chain(own: np.uint64, word: np.uint64) -> np.uint64:
     return mix(np.array([int(own) * 0x9E3779B97F4A7C15 + int(word) & (1 << 64) - 1], dtype=_U64))[0]
 
 
+def least_linkable(percent: int) -> int:
+    """The smallest set that can link with a different one: there must be room for a larger partner."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 31
+
+
+def common_shingles(percent: int) -> int:
+    """How many shingles of their windows two linked sets share at least: windows are that much longer."""
+    return max(1, min(COMMON, -(-percent * least_linkable(percent) // 100)))
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n + (-percent * n) // 100 + 1
+    """Length of the border window: n - ceil((1 - e) n) + common_shingles; none for sets that link with no other."""
+    return np.where(n < least_linkable(percent), 0, n + (-percent * n) // 100 + common_shingles(percent))
 
 
 def _classes(words: int):
@@ -375,12 +390,16 @@ class JaccardJoin:
             sets = sets.dropDuplicates(["sid"])
         return write_table(sets, "join-sets")
 
-    def _pairs(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links inside regions of at most ``region`` members; members of clusters that are too large for one task."""
+    def _pairs(self, members: DataFrame, sets: DataFrame, common: int) -> tuple[DataFrame, DataFrame]:
+        """Links inside regions of at most ``region`` members; members of clusters that are too large for one task.
+
+        Only pairs with ``common`` regions count: a linked pair with fewer also meets in a larger region.
+        """
         left = members.select("region", F.col("sid").alias("a"), F.col("n").alias("na"))
         right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"))
         fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        pairs = write_table(left.join(right, "region").where(fits).select("a", "b").distinct(), "join-pairs")
+        pairs = left.join(right, "region").where(fits).groupBy("a", "b").count()
+        pairs = write_table(pairs.where(F.col("count") >= common).select("a", "b"), "join-pairs")
         sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
         # candidates that hang together are verified together, so each set travels once
         found = connected(pairs)
@@ -457,7 +476,8 @@ class JaccardJoin:
                 F.count("*").alias("members"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("name")
             )
             few = sized.where((F.col("members") <= self.region) & (F.col("members") > 1)).select("region")
-            found, larger = self._pairs(members.join(few, "region", "left_semi"), sets)
+            common = common_shingles(self.percent) if level == 0 else 1
+            found, larger = self._pairs(members.join(few, "region", "left_semi"), sets, common)
             done.append(found)
             # regions of the same members are one
             large = sized.where(F.col("members") > self.region).groupBy("members", "name").agg(F.min("region").alias("region"))
