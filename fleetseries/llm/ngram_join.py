@@ -59,10 +59,10 @@ ORDER_ROWS = 3_000_000
 #: Documents whose ids (with the names of their sets, about 60 bytes each) may be broadcast to pick texts.
 BROADCAST_ROWS = 500_000
 #: Shingles (8 bytes each) that a task aims at when it verifies clusters, and of the largest cluster that is verified whole.
-GROUP_SHINGLES = 2_000_000
-CLUSTER_SHINGLES = 8_000_000
+GROUP_SHINGLES = 500_000
+CLUSTER_SHINGLES = 4_000_000
 #: Shingles that a task counts at a time for the order.
-COUNT_ROWS = 4_000_000
+COUNT_ROWS = 1_500_000
 
 _U64 = np.uint64
 _SET = "sid long, n int"
