@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -70,7 +71,7 @@ def test_top_products_equal_brute_force(spark, monkeypatch, kind):
         vectors.append((i, [float(x) for x in v]))
     vectors += [(200, None), (201, [1.0, None]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, [0.0] * 6), (205, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<float>, score int")
-    got = sorted(tuple(r) for r in ip.top_products(df, df.vec_id % 3 == 0).collect())
+    got = sorted(tuple(r) for r in ip.top_products(df, F.col("vec_id") % 3 == 0).collect())
     assert got == brute_top(vectors)
 
 
