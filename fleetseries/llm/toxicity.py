@@ -15,6 +15,7 @@ Scoring moves nothing; the model that is sent to the tasks has a fixed size.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -28,7 +29,7 @@ from .pieces import code_points
 from .queries import query
 
 #: Labelled rows of each class that training uses at most (a documented bound of the sample).
-SAMPLE = 6000
+SAMPLE = 2000
 #: Rows of the embedding table, its width, and the lengths of the character n-grams.
 ROWS = 1 << 20
 WIDTH = 4
@@ -109,7 +110,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit + self.bias, -40, 40)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(texts: Iterable[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the classes have fixed weights whatever their numbers."""
     index: dict[str, int] = {}
     found, counts, sizes = [], [], []
@@ -122,10 +123,10 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(ROWS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     vocabulary = list(index)
-    parts = [subwords(vocabulary[k : k + 100_000]) for k in range(0, len(vocabulary), 100_000)]
+    parts = [subwords(vocabulary[k : k + 50_000]) for k in range(0, len(vocabulary), 50_000)]
     rows, n_rows = (np.concatenate(x) for x in zip(*parts))
-    del parts, index
-    n_texts, n_words = len(texts), len(vocabulary)
+    n_texts, n_words = len(sizes), len(vocabulary)
+    del parts, index, vocabulary
     doc = np.repeat(np.arange(n_texts), sizes)
     word, times = np.concatenate(found), _damped(np.concatenate(counts))
     length = np.maximum(np.bincount(doc, weights=times, minlength=n_texts), 1)
@@ -139,13 +140,18 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     texts_of_word = np.bincount(word, minlength=n_words)
     known = np.bincount(rows, weights=texts_of_word[rows_word], minlength=ROWS)[rows] >= MIN_TEXTS
     rows_word = rows_word[known]
-    used, rows = np.unique(rows[known], return_inverse=True)
+    rows = rows[known]
+    del known
+    used = np.flatnonzero(np.bincount(rows, minlength=ROWS))
+    place = np.zeros(ROWS, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    rows = place[rows]
     rng = np.random.default_rng(seed)
     table_ = (rng.standard_normal((len(used), WIDTH)) * 0.01).astype(np.float32)
     soft, bias = rng.standard_normal(WIDTH) / np.sqrt(WIDTH), PRIOR
     moment, spread = np.zeros_like(table_), np.zeros_like(table_)
     for step in range(1, epochs + 1):
-        word_score = np.bincount(rows_word, weights=(table_ @ soft)[rows], minlength=n_words) / n_rows
+        word_score = np.bincount(rows_word, weights=(table_ @ soft).astype(np.float32)[rows], minlength=n_words) / n_rows
         z = np.bincount(doc, weights=share * word_score[word], minlength=n_texts) * SCALE + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * weight
         word_pull = np.bincount(word, weights=error[doc] * share, minlength=n_words) * SCALE / n_rows
@@ -216,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"))
     rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id")
-    rows = rows.select("__text", "__toxic").collect()
-    return train([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64))
+    sample_ = rows.select("__text", "__toxic").toArrow()
+    marks = sample_.column("__toxic").to_numpy().astype(np.int64)
+    return train((t.as_py() for t in sample_.column("__text")), marks)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
