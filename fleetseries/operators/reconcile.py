@@ -24,7 +24,8 @@ def is_archived(file_name: Column, historical_suffix: str | Column = HISTORICAL_
     base = _base_name(file_name)
     stem = F.regexp_extract(base, r"^(.*?)(\.[^.]*)?$", 1)
     suffix = F.lit(historical_suffix) if isinstance(historical_suffix, str) else historical_suffix
-    extensions = F.slice(F.split(F.ltrim(base, F.lit(".")), r"\."), 2, 1 << 20)
+    parts = F.split(F.ltrim(base, F.lit(".")), r"\.")
+    extensions = F.slice(parts, F.lit(2), F.size(parts))
     has_backup = F.exists(extensions, lambda p: F.startswith(p, F.lit(BACKUP_EXTENSION_PREFIX[1:])))
     return F.endswith(stem, suffix) | has_backup
 

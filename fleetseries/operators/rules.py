@@ -44,7 +44,7 @@ def _unknown(keys: Column, allowed: list[str]) -> Column:
 
 
 def _ts(text: Column) -> Column:
-    return F.to_timestamp(text).cast("timestamp_ntz")
+    return F.try_to_timestamp(text).cast("timestamp_ntz")
 
 
 def _n_dims(ext: Column) -> Column:
@@ -191,7 +191,7 @@ def _deployment_findings() -> Column:
     n = F.size(deps)
     # each deployment with its key set and the next deployment's start
     zipped = F.arrays_zip(deps.alias("d"), F.col("deployment_keys").alias("keys"),
-                          F.slice(F.transform(deps, lambda x: x["start"]), 2, 1 << 20).alias("next_start"))
+                          F.slice(F.transform(deps, lambda x: x["start"]), F.lit(2), F.size(deps)).alias("next_start"))
     fixed = F.col("platform_type") == "fixed"
     mobile = F.col("platform_type") == "mobile"
 

@@ -9,6 +9,7 @@ and skew splitting), and the shared folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -56,9 +57,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for written intermediate tables.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set (a bare local test session) a folder is created and
-    registered as the checkpoint dir, so later ``checkpoint()`` calls work.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where
+    neither is set, a session in local mode (tests: driver and executors are one
+    process) gets a folder of its own; on a cluster that is an error, because
+    executors would write to their own disks.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -69,12 +71,10 @@ def shared_dir(spark: SparkSession) -> str:
         ctx_dir = None
     if ctx_dir:
         return ctx_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="fleetseries-ckpt-")
-    try:
-        spark.sparkContext.setCheckpointDir(local)
-    except Exception:
-        pass
-    spark.conf.set("spark.checkpoint.dir", local)
+    spark.sparkContext.setCheckpointDir(local)
     return local
 
 
@@ -146,13 +146,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path (any scheme)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return bool(fs.exists(hpath))
-    except Exception:  # no JVM handle: fall back to the local file system view
-        return os.path.exists(path.removeprefix("file:"))
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath))
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

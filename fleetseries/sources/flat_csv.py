@@ -19,7 +19,7 @@ def read_flat_csv(spark: SparkSession, paths: str | Sequence[str], timestamp_col
                   columns: Sequence[str] | None = None) -> DataFrame:
     """(file_name, time, cells) rows; ``columns`` prunes cells to the needed names."""
     df = spark.read.option("header", True).option("inferSchema", False).option(
-        "enforceSchema", False).csv(paths if isinstance(paths, str) else list(paths))
+        "enforceSchema", False).option("escape", '"').csv(paths if isinstance(paths, str) else list(paths))
     data_cols = [c for c in df.columns if c != timestamp_column]
     if columns is not None:
         data_cols = [c for c in data_cols if c in set(columns)]

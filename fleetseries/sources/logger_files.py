@@ -113,7 +113,7 @@ def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
     body = lines.join(broadcast_if_small(hdr), lines.file_name == F.col("_h_file"), "inner").filter(
         (F.col("block_start") > 0) | (F.col("line_id") > F.col("_h_end")))
     body = body.filter(F.length(F.trim("value")) > 0)
-    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"'})
+    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
     fields = F.array(*[F.col("_p")[f"c{i}"] for i in range(max_columns)])
     ncols = F.size("_h_cols")
     body = body.withColumn("_p", parsed).withColumn(
@@ -145,7 +145,7 @@ def ingest_lines(lines: DataFrame, max_columns: int) -> DataFrame:
     fields as strings, no header needed yet). The raw text is kept only for
     lines of a file's first split, where the header lines are."""
     schema = ", ".join(f"c{i} string" for i in range(max_columns + 1))
-    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"'})
+    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
     return lines.select(
         "file_name", "block_start", "line_id",
         F.when(F.col("block_start") == 0, F.col("value")).alias("value"),

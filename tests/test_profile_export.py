@@ -66,11 +66,6 @@ def test_to_wide_typed_columns(spark):
     assert (r["t"], r["st"], r["gone"]) == (1.0, "OK", None)
 
 
-def test_download_basename():
-    assert E.download_basename("st", None, None) == "st_full"
-    assert E.download_basename("st", datetime(2026, 1, 2), None) == "st_20260102_end"
-
-
 def test_csv_documents_chunked_by_month(spark, tmp_path):
     w = spark.createDataFrame([("s", datetime(2026, 1, 31, 23), 1.0), ("s", datetime(2026, 2, 1), 2.0)],
                               "dataset_id string, time timestamp_ntz, air_temperature double")
