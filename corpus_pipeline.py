@@ -21,6 +21,9 @@ from fleetseries.session import write_table
 
 #: The model and similarity need no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
+#: Near copies: words of a shingle, and percent of their shingles that two texts share (op10 has values of its own).
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the first in the table. Texts without words all stay.
 
+    Near copies share ``NEAR_PERCENT`` % of their ``NEAR_WORDS``-word shingles.
     Rows are numbered by their place in the Parquet table that ``docs`` reads,
     so rows without an id, or that share one, are told apart.
     """
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     rows = numbered.select(F.col("__row").alias("doc_id"), "text")
-    groups = write_table(_ngram_join.jaccard_components(rows), "near-copies")
+    groups = write_table(_ngram_join.jaccard_components(rows, NEAR_WORDS, NEAR_PERCENT), "near-copies")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").drop("__row")
 

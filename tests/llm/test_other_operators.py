@@ -148,3 +148,31 @@ def test_pipeline_drops_what_it_should(spark, tmp_path):
     assert {1002, 1003} <= got.keys() and len(got) >= 0.95 * len(clean)
     assert all(r.round_trip for r in got.values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontaminate", "piece_codec"]
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    shingles = lambda t, n: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+    alike = lambda x, y, n: len(shingles(x, n) & shingles(y, n)) / len(shingles(x, n) | shingles(y, n))
+    texts = []
+    for k in range(8):
+        base = [word() for _ in range(100 + 20 * k)]
+        for changed in range(k % 4 + 1):  # 0 to 3 words replaced, in places far apart
+            own = list(base)
+            for c in range(changed):
+                own[20 + 30 * c] = word()
+            texts.append(" ".join(own))
+    between = [(x, y) for x in texts for y in texts if x < y and 0.8 <= alike(x, y, 5) < 0.9 and alike(x, y, 3) < 0.9]
+    assert between  # pairs that op10's 3 words and 90 % do not link
+    top = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(texts[a], texts[b], 5) >= 0.8:
+                top = [top[b] if x == top[a] else x for x in top] if top[a] > top[b] else [top[a] if x == top[b] else x for x in top]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(top))
