@@ -49,9 +49,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Near copies share ``NEAR_PERCENT`` % of their ``NEAR_WORDS``-word shingles.
     Rows are numbered by their place in the Parquet table that ``docs`` reads,
-    so rows without an id, or that share one, are told apart.
+    so rows without an id, or that share one, are told apart. The numbers are
+    written once: a second scan may cut the table into other splits.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "near-numbered")
     rows = numbered.select(F.col("__row").alias("doc_id"), "text")
     groups = write_table(_ngram_join.jaccard_components(rows, NEAR_WORDS, NEAR_PERCENT), "near-copies")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))

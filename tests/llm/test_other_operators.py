@@ -176,3 +176,26 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
     got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == sorted(set(top))
+
+
+def test_near_copies_survive_other_splits_of_the_input(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    path = str(tmp_path / "documents.parquet")
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(k, words(k // 2)) for k in range(40)]  # each text twice
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id").write.parquet(path)
+    components = corpus_pipeline._ngram_join.jaccard_components
+
+    def components_then_fewer_cores(*args):
+        found = components(*args).localCheckpoint()
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline._ngram_join, "jaccard_components", components_then_fewer_cores)
+    spark.conf.set("spark.sql.files.minPartitionNum", "16")
+    try:
+        got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(path), str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(r.text for r in got) == sorted(words(k) for k in range(20))
