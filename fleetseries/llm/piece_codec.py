@@ -1,13 +1,17 @@
-"""SentencePiece encoding by batched Viterbi, and decoding.
+"""SentencePiece encoding by rank-ordered merges (BPE) or batched Viterbi (unigram), and decoding.
 
-Encoding gives each pre-token the segmentation with the highest sum of piece
-scores (of equal sums the one whose last piece is longest, then likewise in
-front of it). The distinct pre-tokens of a batch that have the same length
-stand in one matrix and advance together: hashes of all substrings up to the
-longest piece probe the sorted hashes of the pieces, and at each end position
-a vectorised maximum over the piece lengths stores the back-pointers. A
-character that no piece covers costs more than any piece and becomes the byte
-pieces of its UTF-8 form.
+The scores of a BPE model are the ranks of its merges, so its pre-tokens are
+merged in that order as ``token_count`` does, which gives the library's ids.
+
+For a unigram model each pre-token gets the segmentation with the highest sum
+of piece scores (of equal sums the one whose last piece is longest, then
+likewise in front of it). The distinct pre-tokens of a batch that have the same
+length stand in one matrix and advance together: hashes of all substrings up to
+the longest piece probe the sorted hashes of the pieces, and at each end
+position a vectorised maximum over the piece lengths stores the back-pointers.
+A character that no piece covers costs more than any piece.
+
+Either way such a character becomes the byte pieces of its UTF-8 form.
 
 Decoding gathers the bytes of the pieces with ragged array indexing.
 
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches, table, text_batches
 from .pieces import SPACE, code_points, pretokens, utf8_length, vocabulary
 from .queries import query
+from .token_count import MergeTable, merge_table, merged, shorten
 
 #: Cells (pre-tokens x length) of one Viterbi matrix.
 CELLS = 200_000
@@ -62,6 +67,8 @@ class PieceTable:
         lead = (self.hash >> _LEAD).astype(np.int64)
         self.begin = np.searchsorted(lead, np.arange((1 << int(64 - _LEAD)) + 1))
         self.crowd = int(np.diff(self.begin).max())
+        #: The longest piece of space marks alone.
+        self.marks = max((len(p), i) for p, i in vocab.pieces.items() if set(p) == {SPACE})[1] if SPACE in vocab.pieces else -1
         score = vocab.score
         self.score = np.append(score, -np.inf)
         self.unknown = score[ids].min() - 10
@@ -127,11 +134,30 @@ def viterbi(codes: np.ndarray, pieces: PieceTable) -> tuple[np.ndarray, np.ndarr
     if not (picked == -1).any():
         used = picked >= 0
         return picked[used].astype(np.int32), used.sum(axis=1)
-    size = np.where(picked >= 0, 1, np.where(picked == -1, utf8_length(codes), 0)).ravel()
-    flat = np.repeat(picked.ravel(), size)
+    flat, size = spell_out(picked.ravel(), codes.ravel(), pieces)
+    return flat, size.reshape(rows, width).sum(axis=1)
+
+
+def spell_out(picked: np.ndarray, codes: np.ndarray, pieces: PieceTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the byte pieces of the code point in place of each -1 (-2 gives none), and the number of ids of each."""
+    size = np.where(picked >= 0, 1, np.where(picked == -1, utf8_length(codes), 0))
+    flat = np.repeat(picked, size)
     spelled = "".join(map(chr, codes[picked == -1].tolist())).encode("utf-8", "surrogatepass")
     flat[flat == -1] = pieces.byte_id[np.frombuffer(spelled, dtype=np.uint8)]
-    return flat.astype(np.int32), size.reshape(rows, width).sum(axis=1)
+    return flat.astype(np.int32), size
+
+
+def merge(tokens: list[str], pieces: PieceTable, merges: MergeTable) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all pre-tokens one after another, and their number in each, by the merges of a BPE model."""
+    words, whole = shorten(tokens, merges.run)
+    seq, sym, codes = (np.concatenate(x) for x in zip(*merged(words, merges)))
+    order = np.argsort(seq, kind="stable")
+    flat, size = spell_out(sym[order], codes[order], pieces)
+    sizes = np.zeros(len(words), dtype=np.int64)
+    np.add.at(sizes, seq[order], size)
+    if whole.any():
+        flat = np.insert(flat, np.repeat(np.cumsum(sizes) - sizes, whole), pieces.marks)
+    return flat, sizes + whole
 
 
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -156,8 +182,8 @@ def _by_length(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
 class Known:
     """Ids of the pre-tokens that a worker has encoded: slices of one flat array."""
 
-    def __init__(self, path: str):
-        self.pieces = piece_table(path)
+    def __init__(self, path: str, merges: MergeTable | None = None):
+        self.pieces, self.merges = piece_table(path), merges
         self.clear()
 
     def clear(self) -> None:
@@ -167,28 +193,41 @@ class Known:
         self.size = np.empty(0, dtype=np.int64)
 
     def add(self, tokens: list[str]) -> None:
-        flat, sizes, order = [self.flat], [], []
+        if self.merges is not None:
+            self._append(tokens, *merge(tokens, self.pieces, self.merges))
+            return
+        flat, sizes, order = [], [], []
         for at, codes in _by_length([t if t[0] == SPACE else SPACE + t for t in tokens]):
             ids, size = viterbi(codes, self.pieces)
             flat.append(ids)
             sizes.append(size)
             order += at
-        size = np.concatenate(sizes)
+        self._append([tokens[k] for k in order], np.concatenate(flat), np.concatenate(sizes))
+
+    def _append(self, tokens: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate(flat)
+        self.flat = np.concatenate([self.flat, flat])
         first = len(self.at)
-        self.at.update((tokens[k], first + j) for j, k in enumerate(order))
+        self.at.update((t, first + j) for j, t in enumerate(tokens))
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> Known:
-    return Known(path)
+def _known(path: str, by_merges: bool) -> Known:
+    return Known(path, merge_table(path) if by_merges else None)
+
+
+def library_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids of each text, by the method of the model's type."""
+    return _encoded(texts, _known(path, vocabulary(path).bpe))
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each text."""
-    known = _known(path)
+    """As ``library_ids``, but by the highest sum of scores whatever the model's type."""
+    return _encoded(texts, _known(path, False))
+
+
+def _encoded(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
     split = [pretokens(t) for t in texts]
     wanted = set().union(*split) if split else set()
     new = list(wanted - known.at.keys())
@@ -221,7 +260,7 @@ def decode_ids(ids: np.ndarray, first: np.ndarray, path: str) -> list[str]:
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_batches(batches, "text", 2 << 20):
-            ids, sizes = encode_texts(part.column("text").to_pylist(), path)
+            ids, sizes = library_ids(part.column("text").to_pylist(), path)
             first = np.concatenate([[0], np.cumsum(sizes)])
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
             data, edge = ids.astype("<i4").tobytes(), (first * 4).tolist()

@@ -8,6 +8,7 @@ read once per Python worker.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,35 @@ SPACE = "▁"
 _TOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (data[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if data[at - 1] < 128:
+            return value, at
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        kind = key & 7
+        if kind == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = _varint(data, at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def is_bpe(model: bytes) -> bool:
+    """Whether a serialised model says so: field 3 (model_type, 1 unigram, 2 BPE) of its field 2 (trainer_spec)."""
+    spec = b"".join(v for k, v in _fields(model) if k == 2)
+    return [1, *(v for k, v in _fields(spec) if k == 3)][-1] == 2
+
+
 class Vocabulary:
     """Ordinary pieces with their ids and scores, byte pieces, and the id of every known character."""
 
@@ -28,6 +58,8 @@ class Vocabulary:
         self.names = [model.id_to_piece(i) for i in ids]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in ids]
         self.pieces = {self.names[i]: i for i in ids if not special[i]}
+        #: Scores are ranks of merges, to be applied in order, and no logarithms of probabilities.
+        self.bpe = is_bpe(model.serialized_model_proto())
         self.score = np.array([model.get_score(i) for i in ids], dtype=np.float64)
         self.byte_id = np.full(256, model.unk_id(), dtype=np.int32)
         for i in ids:

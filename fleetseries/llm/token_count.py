@@ -72,11 +72,20 @@ def merge_table(path: str) -> MergeTable:
 
 def surviving_symbols(words: list[str], merges: MergeTable) -> np.ndarray:
     """Number of tokens of each (spelled) pre-token."""
-    codes, lens = code_points(words)
     out = np.zeros(len(words), dtype=np.int64)
+    for seq, sym, codes in merged(words, merges):
+        np.add.at(out, seq, np.where(sym < 0, utf8_length(codes), 1))
+    return out
+
+
+def merged(words: list[str], merges: MergeTable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The symbols of (spelled) pre-tokens, as pre-tokens are done: index of the pre-token, piece id, first code point.
+
+    Symbols of a pre-token come together and in order; characters that no piece covers have the id -1.
+    """
+    codes, lens = code_points(words)
     sym = merges.char_id[codes].astype(np.int64)
     seq = np.repeat(np.arange(len(words)), lens)
-    np.add.at(out, seq[sym < 0], (utf8_length(codes) - 1)[sym < 0])
     pair = np.full(len(sym), -1, dtype=np.int64)
     pair[:-1] = np.where(seq[:-1] == seq[1:], merges.find(sym[:-1], sym[1:]), -1)
     while len(sym):
@@ -86,9 +95,9 @@ def surviving_symbols(words: list[str], merges: MergeTable) -> np.ndarray:
         low = np.minimum.reduceat(rank, first)
         done = low == _FAR
         if done.any():
-            out[seq[first[done]]] += size[done]
             stay = np.repeat(~done, size)
-            sym, seq, pair, rank = sym[stay], seq[stay], pair[stay], rank[stay]
+            yield seq[~stay], sym[~stay], codes[~stay]
+            sym, seq, pair, rank, codes = sym[stay], seq[stay], pair[stay], rank[stay], codes[stay]
             if not len(sym):
                 break
             size, low = size[~done], low[~done]
@@ -104,7 +113,7 @@ def surviving_symbols(words: list[str], merges: MergeTable) -> np.ndarray:
         stay = np.ones(len(sym), dtype=bool)
         stay[at + 1] = False
         here = at - np.arange(len(at))
-        sym, seq, pair = sym[stay], seq[stay], pair[stay]
+        sym, seq, pair, codes = sym[stay], seq[stay], pair[stay], codes[stay]
         touched = np.zeros(len(seq) + 1, dtype=bool)
         touched[here] = touched[here - 1] = True  # entry -1 stands for no symbol
         around = np.flatnonzero(touched[:-1])
@@ -112,10 +121,9 @@ def surviving_symbols(words: list[str], merges: MergeTable) -> np.ndarray:
         around = around[: len(around) - (around[-1] + 1 == len(seq))]
         around = around[seq[around] == seq[around + 1]]
         pair[around] = merges.find(sym[around], sym[around + 1])
-    return out
 
 
-def _shorten(tokens: list[str], run: int) -> tuple[list[str], np.ndarray]:
+def shorten(tokens: list[str], run: int) -> tuple[list[str], np.ndarray]:
     """Spelled pre-tokens without the whole longest pieces of marks at the front of long runs, and the number of those.
 
     Every merge with a letter comes before merges of marks alone, and marks
@@ -143,7 +151,7 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
         seen.clear()
         new = wanted
     if new:
-        words, whole = _shorten(list(new), merges.run)
+        words, whole = shorten(list(new), merges.run)
         seen.update(zip(new, (surviving_symbols(words, merges) + whole).tolist()))
     return [sum(map(seen.__getitem__, tokens)) for tokens in split]
 

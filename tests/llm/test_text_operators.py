@@ -198,3 +198,13 @@ def test_items_digest_is_of_sorted_strings(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     row = wm.op7_decontaminate(spark, str(tmp_path)).first()
     assert (row.n_hit, row.n_items, row.items_sha256) == (10, 2, hashlib.sha256(b"10,9").hexdigest())
+
+
+def test_ids_are_those_of_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(8)
+    words = "under Licensed the misunderstanding of straightforward — naïve Übergröße 漢字 ☃ 🙂 x=1; foo_bar() it's\tand\n".split(" ")
+    whole = [" ".join(rnd.choice(words) for _ in range(300)) for _ in range(20)]
+    texts = [*odd_texts(9), *whole, "under", "Licensed", " " * 67 + "a" + " " * 33 + "b  c   "]
+    got = {r.doc_id: r.token_ids for r in pc.encode(frame(spark, enumerate(texts)), MODEL).collect()}
+    assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
