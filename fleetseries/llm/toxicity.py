@@ -14,10 +14,11 @@ Scoring moves nothing; the model that is sent to the tasks has a fixed size.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .pieces import code_points
 from .queries import query
 
 #: Labelled rows of each class that training uses at most (a documented bound of the sample).
-SAMPLE = 2000
+SAMPLE = 6000
 #: Rows of the embedding table, its width, and the lengths of the character n-grams.
 ROWS = 1 << 20
 WIDTH = 4
@@ -45,6 +46,8 @@ CLEAN_WEIGHT = 0.65
 PRIOR = -3.0
 #: Least scale of a row's steps, as a share of the largest row's scale.
 FLOOR = 0.1
+#: Entries (words of texts, rows of words) that a step of training has in work at a time.
+BLOCK = 1_000_000
 #: Word scores that a worker remembers before it starts afresh.
 CACHE = 400_000
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—|*#$%&_/\\"
@@ -110,52 +113,90 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit + self.bias, -40, 40)))
 
 
-def train(texts: Iterable[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def _blocks(sizes: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int, int, int]]:
+    """(a, b, lo, hi): consecutive slices a:b with about ``limit`` entries, which are lo:hi of all"""
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, side="right")) - 1)
+        yield a, b, int(ends[a]), int(ends[b])
+        a = b
+
+
+def _subword_parts(words: Iterable[str], step: int = 20_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The number of the first word of each part of ``words``, and what ``subwords`` gives for the part."""
+    rest, a = iter(words), 0
+    while part := list(islice(rest, step)):
+        yield a, *subwords(part)
+        a += len(part)
+
+
+def train(texts: Iterable[str | None], labels: Sequence[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit embeddings and softmax together; the classes have fixed weights whatever their numbers."""
     index: dict[str, int] = {}
-    found, counts, sizes = [], [], []
+    found, counts, sizes = array("i"), array("f"), array("i")
     for t in texts:
         bag = Counter(words_of(t))
-        found.append(np.array([index.setdefault(w, len(index)) for w in bag], dtype=np.int64))
-        counts.append(np.array(list(bag.values()), dtype=np.float64))
+        found.extend([index.setdefault(w, len(index)) for w in bag])
+        counts.extend(bag.values())
         sizes.append(len(bag))
+    labels = np.array(labels, dtype=np.int64)  # may be filled as the texts are read
     if not index or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(ROWS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    vocabulary = list(index)
-    parts = [subwords(vocabulary[k : k + 50_000]) for k in range(0, len(vocabulary), 50_000)]
-    rows, n_rows = (np.concatenate(x) for x in zip(*parts))
-    n_texts, n_words = len(sizes), len(vocabulary)
-    del parts, index, vocabulary
-    doc = np.repeat(np.arange(n_texts), sizes)
-    word, times = np.concatenate(found), _damped(np.concatenate(counts))
-    length = np.maximum(np.bincount(doc, weights=times, minlength=n_texts), 1)
-    share = times / length[doc]
+    n_texts, n_words = len(sizes), len(index)
+    word, share, sizes = (np.frombuffer(x, dtype=k) for x, k in ((found, np.int32), (counts, np.float32), (sizes, np.int32)))
+    in_texts = list(_blocks(sizes))
+    texts_of_word = np.zeros(n_words, dtype=np.int64)
+    for a, b, lo, hi in in_texts:
+        times = _damped(share[lo:hi])
+        length = np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), weights=times, minlength=b - a)
+        share[lo:hi] = times / np.repeat(np.maximum(length, 1), sizes[a:b])
+        texts_of_word += np.bincount(word[lo:hi], minlength=n_words)
     weight = np.where(labels == 1, (1 - CLEAN_WEIGHT) / (labels == 1).sum(), CLEAN_WEIGHT / (labels == 0).sum())
 
     # The vector of a text is sum(share x mean of the word's rows) and the class a product with ``soft``; so
     # forward and backward passes need one number per embedding row, per word and per text.
-    rows_word = np.repeat(np.arange(n_words, dtype=np.int32), n_rows)
-    # rows that few texts share stay at zero: what they would learn is chance
-    texts_of_word = np.bincount(word, minlength=n_words)
-    known = np.bincount(rows, weights=texts_of_word[rows_word], minlength=ROWS)[rows] >= MIN_TEXTS
-    rows_word = rows_word[known]
-    rows = rows[known]
-    del known
-    used = np.flatnonzero(np.bincount(rows, minlength=ROWS))
+    # Rows that few texts share stay at zero (what they would learn is chance), so they are left out from the start.
+    texts_of_row = np.zeros(ROWS)
+    for a, rows, n in _subword_parts(index):
+        texts_of_row += np.bincount(rows, weights=np.repeat(texts_of_word[a : a + len(n)], n), minlength=ROWS)
+    known = texts_of_row >= MIN_TEXTS
+    used = np.flatnonzero(known)
     place = np.zeros(ROWS, dtype=np.int32)
     place[used] = np.arange(len(used))
-    rows = place[rows]
+    kept, n_kept, n_rows = [], [], []
+    for _, rows, n in _subword_parts(index):
+        mine = known[rows]
+        kept.append(place[rows[mine]])
+        n_kept.append(np.bincount(np.repeat(np.arange(len(n)), n)[mine], minlength=len(n)).astype(np.int32))
+        n_rows.append(n)
+    del index, texts_of_row, known, place, texts_of_word
+    rows, n_kept, n_rows = (np.concatenate(x) for x in (kept, n_kept, n_rows))
+    del kept
+    in_words = list(_blocks(n_kept))
     rng = np.random.default_rng(seed)
     table_ = (rng.standard_normal((len(used), WIDTH)) * 0.01).astype(np.float32)
     soft, bias = rng.standard_normal(WIDTH) / np.sqrt(WIDTH), PRIOR
     moment, spread = np.zeros_like(table_), np.zeros_like(table_)
+    word_score, z = np.zeros(n_words), np.zeros(n_texts)
     for step in range(1, epochs + 1):
-        word_score = np.bincount(rows_word, weights=(table_ @ soft).astype(np.float32)[rows], minlength=n_words) / n_rows
-        z = np.bincount(doc, weights=share * word_score[word], minlength=n_texts) * SCALE + bias
+        row_score = (table_ @ soft).astype(np.float32)
+        for a, b, lo, hi in in_words:
+            own = np.repeat(np.arange(b - a), n_kept[a:b])
+            word_score[a:b] = np.bincount(own, weights=row_score[rows[lo:hi]], minlength=b - a)
+        word_score /= n_rows
+        for a, b, lo, hi in in_texts:
+            own = np.repeat(np.arange(b - a), sizes[a:b])
+            z[a:b] = np.bincount(own, weights=share[lo:hi] * word_score[word[lo:hi]], minlength=b - a) * SCALE + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * weight
-        word_pull = np.bincount(word, weights=error[doc] * share, minlength=n_words) * SCALE / n_rows
-        pull = np.bincount(rows, weights=word_pull[rows_word], minlength=len(used))
+        word_pull = np.zeros(n_words)
+        for a, b, lo, hi in in_texts:
+            word_pull += np.bincount(word[lo:hi], weights=np.repeat(error[a:b], sizes[a:b]) * share[lo:hi], minlength=n_words)
+        word_pull *= SCALE / n_rows
+        pull = np.zeros(len(used))
+        for a, b, lo, hi in in_words:
+            pull += np.bincount(rows[lo:hi], weights=np.repeat(word_pull[a:b], n_kept[a:b]), minlength=len(used))
         grad = (pull[:, None] * soft[None, :] + DECAY * table_).astype(np.float32)
         soft_grad = table_.T @ pull
         moment = 0.9 * moment + 0.1 * grad
@@ -222,9 +263,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"))
     rows = texts.join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id")
-    sample_ = rows.select("__text", "__toxic").toArrow()
-    marks = sample_.column("__toxic").to_numpy().astype(np.int64)
-    return train((t.as_py() for t in sample_.column("__text")), marks)
+    marks = array("q")
+
+    def texts_of():  # one partition at a time: the driver never holds the whole sample
+        for text, toxic in rows.select("__text", "__toxic").toLocalIterator():
+            marks.append(toxic)
+            yield text
+
+    return train(texts_of(), marks)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -199,3 +199,19 @@ def test_near_copies_survive_other_splits_of_the_input(spark, tmp_path, monkeypa
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert sorted(r.text for r in got) == sorted(words(k) for k in range(20))
+
+
+def test_training_on_the_whole_sample_needs_little_memory():
+    import tracemalloc
+
+    assert tox.SAMPLE == 6000
+    rnd = random.Random(2)
+    vocabulary = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(4, 9))) for _ in range(30_000)]
+    texts = [" ".join(rnd.sample(vocabulary, 500)) for _ in range(2400)]
+    labels = np.arange(len(texts)) % 2
+    tracemalloc.start()
+    tox.train(iter(texts), labels, epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 1.2 million words of texts: 8 bytes each and blocks of bounded size
+    assert peak < 75e6, peak
