@@ -37,11 +37,9 @@ SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 #: What is read at a time beyond a range, and inflated at a time.
 STEP = 256 << 10
-#: A member whose first header block is longer is not taken for a WARC record.
-HEADER_BYTES = 64 << 10
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_MANIFEST = "path string, bytes long, records long"
+_MANIFEST = "path string, bytes long, records long, starts array<long>"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -78,7 +76,7 @@ def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
         fs, path = _open(name)
-        out, size, n = None, 0, 0
+        out, size, starts = None, 0, []
         for batch in batches:
             payloads = batch.column("html").cast(pa.binary()).to_pylist()
             pages, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
@@ -91,17 +89,17 @@ def _writer(folder: str):
                     out = fs.open_output_stream(path, compression=None)
                 data = _record(page, url, payload or b"", digest, origin, revisit)
                 out.write(data)
+                starts.append(size)
                 size += len(data)
-                n += 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [len(starts)], "starts": [starts]})
 
     return run
 
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write a record for each row of ``pages`` (page_id, url, html); return the manifest (path, bytes, records).
+    """Write a record for each row of ``pages`` (page_id, url, html); return the manifest (path, bytes, records, starts: their offsets).
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes the
     one with the smallest page_id is a response and the others revisit it. Rows
@@ -170,7 +168,7 @@ def _inflate(window: _Window, start: int) -> tuple[bytes, int] | None:
                 return None
             checked = True
     data = b"".join(out)
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(b"\r\n\r\n")
     size = re.search(rb"\r\nContent-Length: *(\d+)(?:\r\n|$)", data[:end]) if end >= 0 and checked else None
     return (data, at) if size and len(data) == end + 4 + int(size[1]) + 4 else None
 
@@ -208,8 +206,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     for batch in batches:
         for part in batch.to_pylist():
-            rows, held = [], 0
+            rows, held, found = [], 0, 0
             for fields, block in records(part["path"], part["start"], part["end"], part["bytes"]):
+                found += 1
                 payload = block.partition(b"\r\n\r\n")[2] if fields["warc-type"] == "response" else None
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 n = int(fields["x-payload-length"])
@@ -223,6 +222,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held > 4 << 20:
                     yield _rows(rows, names)
                     rows, held = [], 0
+            if found != part["records"]:
+                raise ValueError(f"{part['path']}: {found} records from {part['start']} to {part['end']}, the manifest has {part['records']}")
             if rows:
                 yield _rows(rows, names)
 
@@ -238,15 +239,18 @@ def _without_payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives in ``manifest`` (path, bytes).
+    """One row per record of the archives in ``manifest`` (path, bytes, starts).
 
     Columns page_id, url, payload_bytes, payload_digest (base32 SHA-1, checked
     against the payload of responses), record_type, refers_to, and with
-    ``payloads`` the payload (null for revisits).
+    ``payloads`` the payload (null for revisits). A range that holds more or
+    fewer records than the manifest has for it is an error.
     """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
-    splits = manifest.select("path", "bytes", F.explode(starts).alias("start"))
+    splits = manifest.select("path", "bytes", "starts", F.explode(starts).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
+    own = F.filter("starts", lambda at: (at >= F.col("start")) & (at < F.col("end")))
+    splits = splits.withColumn("records", F.size(own)).drop("starts")
     n = max(1, splits.count())
     dealt = splits.repartitionByRange(min(n, 10_000), "path", "start")
     schema = (

@@ -215,3 +215,13 @@ def test_training_on_the_whole_sample_needs_little_memory():
     tracemalloc.stop()
     # 1.2 million words of texts: 8 bytes each and blocks of bounded size
     assert peak < 75e6, peak
+
+
+def test_archives_keep_pages_with_a_very_long_url(spark):
+    rows = [(1, "http://a/" + "é" * 22_000, "<p>a</p>"), (2, "u", "<p>b</p>"), (3, "data:" + "x" * 200_000, "c")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for split in (1000, 8 << 20):
+        assert sorted(r.page_id for r in warc.read_archives(manifest, split).collect()) == [1, 2, 3]
+    missing = manifest.withColumn("starts", F.concat("starts", F.array(F.lit(1).cast("long"))))
+    with pytest.raises(Exception, match="the manifest has"):
+        warc.read_archives(missing).collect()
