@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers a query."""
     from . import (  # noqa: F401
+        conversation_trie,
         decontaminate,
         html_text,
         inner_product,
@@ -36,5 +37,7 @@ def load() -> None:
         piece_codec,
         token_count,
         toxicity,
+        vector_dedup,
         warc,
+        whitening,
     )
