@@ -290,7 +290,7 @@ def valid_configs(catalog: DataFrame) -> DataFrame:
 
 
 def rule_file_headers(matched: DataFrame, headers: DataFrame) -> DataFrame:
-    """V11: files matched by a config's patterns that carry no valid header."""
-    bad = matched.join(headers.select("file_name"), on="file_name", how="left_anti")
-    return bad.select("dataset_id", F.lit("file_header").alias("rule"), F.col("file_name").alias("location"),
-                      F.lit("not a logger file (header check failed)").alias("message"))
+    """V11: files matched by a config's patterns (dataset_id, file_name) that carry no valid header, with the reason."""
+    bad = headers.filter(~F.col("valid")).select("file_name", "reason")
+    return matched.join(bad, on="file_name").select(
+        "dataset_id", F.lit("file_header").alias("rule"), F.col("file_name").alias("location"), F.col("reason").alias("message"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
 from fleetseries.plans.build import build_dataset, file_ranks, ranked_rows
 from fleetseries.plans.registry import register
-from fleetseries.session import path_exists, scratch_path, write_table
+from fleetseries.session import new_scratch_path, path_exists, scratch_path, write_table
 from fleetseries.sources import flat_csv
 from fleetseries.sources import logger_files as lf
 
@@ -166,56 +168,87 @@ def index_merge(spark, d):
 
 LOGGER_COLUMNS = ["TIMESTAMP", "RECORD", *fx.EVENT_TYPES]
 FALLBACK_MOD = 97
+# faults written into the logger files, by event or station (configuration of the fixture)
+UNDATED_MOD = 101      # an extra line whose time is no time
+SHORT_MOD = 103        # a live line that ends before its last column
+LONG_MOD = 107         # a live line with a surplus field
+REPEAT_MOD = 11        # stations whose live header repeats a name
+WIDE_MOD, WIDE_COLUMNS = 50, 3000   # stations whose live file has that many further columns
+BLANK_MOD = 13         # stations whose folder name has a blank
 
 
 def _q(c):
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def station_folder(dataset_id, user_id):
+    return F.when(user_id % BLANK_MOD == 0, F.concat(dataset_id, F.lit(" north"))).otherwise(dataset_id)
+
+
+def station_of(file_name):
+    return F.regexp_extract(file_name, r"/(st\d+)[^/]*/[^/]+$", 1)
+
+
+def fixture_root(spark: SparkSession, name: str, d: str) -> str:
+    """Folder of a written fixture: one per input path, whatever its last segment."""
+    return scratch_path(spark, name, hashlib.sha256(d.rstrip("/").encode()).hexdigest()[:16])
+
+
 def write_logger_fixture(spark: SparkSession, d: str) -> str:
     """One logger file per (station, file) from events, plus one stray text
     file per 7th station matching the backup pattern. Written once per input
     folder below the shared folder; the text writer's per-file directories
     are renamed to the logical file names."""
-    tag = d.rstrip("/").split("/")[-1]
-    root = scratch_path(spark, "logger_fixture_v2", tag)
+    root = fixture_root(spark, "logger_fixture", d)
     if path_exists(spark, root + "/_READY"):
         return root
     raw = fx.raw_rows(spark, d).join(fx.table(spark, d, "events").select("event_id", "props"), "event_id")
     live = F.col("file_name").endswith("_Min.dat")
     cols = [*fx.EVENT_TYPES]
+    repeats = F.when(F.col("user_id") % REPEAT_MOD == 0, F.lit(1)).otherwise(F.lit(0))
+    extra = F.when(F.col("user_id") % WIDE_MOD == 0, F.lit(WIDE_COLUMNS)).otherwise(F.lit(0))
     # every 97th reading is logged in the US date format (parsed by the fallback)
     stamp = F.when(F.col("event_id") % FALLBACK_MOD == 0, F.date_format("ts", "MM/dd/yyyy HH:mm:ss")) \
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    body_fields = [_q(stamp), F.col("event_id").cast("string")] + [
+    values = [F.col("event_id").cast("string")] + [
         F.when(F.col("event_type") == c, F.col("value").cast("string")).otherwise(F.lit('"NAN"')) for c in cols]
-    body_live = F.concat_ws(",", *body_fields, F.get_json_object("props", "$.k"))
-    body_arch = F.concat_ws(",", *body_fields)
-    body = raw.select("dataset_id", "file_name", F.lit(10).alias("line_no"), F.col("event_id").alias("seq"),
-                      F.when(live, body_live).otherwise(body_arch).alias("line"))
+    tail = F.when(live, F.concat(F.lit(","), F.get_json_object("props", "$.k"), F.repeat(F.lit(",999"), repeats),
+                                 F.repeat(F.lit(',"NAN"'), extra))).otherwise(F.lit(""))
+    whole = F.concat(F.concat_ws(",", *values), tail)
+    line = F.when(live & (F.col("event_id") % SHORT_MOD == 0), F.concat_ws(",", *values)).when(
+        live & (F.col("event_id") % LONG_MOD == 0), F.concat(whole, F.when((repeats == 0) & (extra == 0), F.lit(',"surplus, field"'))
+                                                            .otherwise(F.lit(",0")))).otherwise(whole)
+    entries = F.array(F.concat(_q(stamp), F.lit(","), line))
+    undated = F.array(F.concat(F.lit('"not a time",'), whole))
+    entries = F.when(F.col("event_id") % UNDATED_MOD == 0, F.concat(entries, undated)).otherwise(entries)
+    body = raw.select("user_id", "dataset_id", "file_name", F.col("event_id").alias("seq"),
+                      F.posexplode(entries).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 10)
     files = raw.select("dataset_id", "file_name", "user_id").distinct()
     is_live = F.col("file_name").endswith("_Min.dat")
     prog = F.concat(F.lit("prog_"), F.when((F.col("user_id") % 5 == 0) & is_live, "v2").otherwise("v1"))
-    names = F.when(is_live, F.lit(",".join(f'"{c}"' for c in [*LOGGER_COLUMNS, "k"]))).otherwise(
-        F.lit(",".join(f'"{c}"' for c in LOGGER_COLUMNS)))
-    n_data = F.when(is_live, F.lit(len(cols) + 1)).otherwise(F.lit(len(cols)))
+    wide_names = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(WIDE_COLUMNS)), lambda i: F.format_string(',"x%d"', i)), "")
+    names = F.when(is_live, F.concat(
+        F.lit(",".join(f'"{c}"' for c in [*LOGGER_COLUMNS, "k"])), F.repeat(F.lit(f',"{cols[0]}"'), repeats),
+        F.when(extra > 0, wide_names).otherwise(F.lit("")))).otherwise(F.lit(",".join(f'"{c}"' for c in LOGGER_COLUMNS)))
+    n_data = F.when(is_live, F.lit(len(cols) + 1) + repeats + extra).otherwise(F.lit(len(cols)))
     info = F.concat_ws(",", _q(F.lit("TOA5")), _q(F.col("dataset_id")), _q(F.lit("CR1000X")), _q(F.lit("1234")),
                        _q(F.lit("CR1000X.Std.05")), _q(prog), _q(F.lit("4711")), _q(F.lit("Min")))
     units = F.concat(F.lit('"TS","RN"'), F.repeat(F.lit(',"degC"'), n_data))
     aggs = F.concat(F.lit('"",""'), F.repeat(F.lit(',"Avg"'), n_data))
-    header = files.select("dataset_id", "file_name", F.posexplode(F.array(info, names, units, aggs))
-                          .alias("line_no", "line")).select(
-        "dataset_id", "file_name", "line_no", F.lit(0).cast("bigint").alias("seq"), "line")
-    stray_src = files.filter((F.col("user_id") % 7 == 0) & is_live).select(
-        "dataset_id", F.concat(F.col("file_name"), F.lit(".backup9")).alias("file_name"))
-    stray = stray_src.select("dataset_id", "file_name", F.posexplode(
-        F.array(F.lit("this is not a logger file"), F.lit("just notes"))).alias("line_no", "line")).select(
-        "dataset_id", "file_name", "line_no", F.lit(0).cast("bigint").alias("seq"), "line")
-    lines = header.unionByName(body).unionByName(stray)
+
+    def own_lines(df, lines):
+        return df.select("user_id", "dataset_id", "file_name", F.lit(0).cast("bigint").alias("seq"),
+                         F.posexplode(lines).alias("line_no", "line"))
+
+    stray_src = files.filter((F.col("user_id") % 7 == 0) & is_live).withColumn(
+        "file_name", F.concat(F.col("file_name"), F.lit(".backup9")))
+    stray = own_lines(stray_src, F.array(F.lit("this is not a logger file"), F.lit("just notes")))
+    lines = own_lines(files, F.array(info, names, units, aggs)).unionByName(body).unionByName(stray)
+    first = F.when(F.col("line_no") < 10, F.col("line_no")).otherwise(F.lit(10))
     staging = root + "/_staging"
-    (lines.repartition("file_name").sortWithinPartitions("file_name", "line_no", "seq")
-     .select("dataset_id", "file_name", "line").write.mode("overwrite")
-     .partitionBy("dataset_id", "file_name").text(staging))
+    (lines.withColumn("folder", station_folder(F.col("dataset_id"), F.col("user_id"))).withColumn("first", first)
+     .repartition("file_name").sortWithinPartitions("folder", "file_name", "first", "seq", "line_no")
+     .select("folder", "file_name", "line").write.mode("overwrite").partitionBy("folder", "file_name").text(staging))
     _rename_partitions(spark, staging, root)
     jvm = spark.sparkContext._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path(root + "/_READY")
@@ -225,43 +258,39 @@ def write_logger_fixture(spark: SparkSession, d: str) -> str:
 
 
 def _rename_partitions(spark, staging: str, root: str) -> None:
-    """Move ``staging/dataset_id=X/file_name=Y/part-*`` to ``root/X/Y``
+    """Move ``staging/folder=X/file_name=Y/part-*`` to ``root/X/Y``
     (file-system metadata operations only)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(staging).getFileSystem(conf)
-    for ds_status in fs.listStatus(Path(staging)):
-        ds_name = ds_status.getPath().getName()
-        if not ds_name.startswith("dataset_id="):
+    for folder in fs.listStatus(Path(staging)):
+        if not folder.getPath().getName().startswith("folder="):
             continue
-        ds = ds_name.split("=", 1)[1]
-        fs.mkdirs(Path(f"{root}/{ds}"))
-        for f_status in fs.listStatus(ds_status.getPath()):
+        name = folder.getPath().getName().split("=", 1)[1]
+        fs.mkdirs(Path(f"{root}/{name}"))
+        for f_status in fs.listStatus(folder.getPath()):
             fname = f_status.getPath().getName().split("=", 1)[1]
             parts = [p for p in fs.listStatus(f_status.getPath()) if p.getPath().getName().startswith("part-")]
-            if parts:
-                fs.rename(parts[0].getPath(), Path(f"{root}/{ds}/{fname}"))
+            if len(parts) != 1:
+                raise RuntimeError(f"{fname}: {len(parts)} parts written, one expected")
+            fs.rename(parts[0].getPath(), Path(f"{root}/{name}/{fname}"))
     fs.delete(Path(staging), True)
 
 
-def _fixture_frames(spark, d, bronze: bool = False):
-    """The fixture's logger files. One-shot scans read the text directly
-    (headers from each file's first split, body parsed once). Builds ingest
-    first: the text is parsed positionally into a bronze table, and headers and
-    body come from bronze (the text is read once; ranks, dedup and window reuse
-    the columnar copy)."""
+def logger_files(spark, d):
+    """The fixture's folder and its listing: logger files and strays."""
     root = write_logger_fixture(spark, d)
-    lines = lf.read_lines(spark, root, recursive=True)
-    if bronze:
-        lines = write_table(lf.ingest_lines(lines, len(LOGGER_COLUMNS) + 1), "bronze_lines")
-    return root, lines, lf.scan_headers(lines)
+    return root, lf.list_files(spark, root).filter(F.contains(F.col("file_name"), F.lit("_Min")))
+
+
+def logger_headers(spark, d):
+    return write_table(lf.scan_headers(logger_files(spark, d)[1]), "file_headers")
 
 
-def _body(lines, headers, bronze: bool = False):
-    if bronze:
-        return lf.body_from_positional(lines, headers)
-    return lf.scan_body(lines, headers, max_columns=len(LOGGER_COLUMNS) + 1)
+def ingested(spark, d):
+    """Rows and rejects of all bodies, from one pass."""
+    return lf.ingest(logger_headers(spark, d), new_scratch_path(spark, "bronze"), station_of)
 
 
 def _base(col):
@@ -272,24 +301,29 @@ def _base(col):
 SELECT DISTINCT file_name, dataset_id AS station_name,
   'prog_' || CASE WHEN user_id % 5 = 0 AND file_role = 'live' THEN 'v2' ELSE 'v1' END AS program_name,
   'Min' AS table_name,
-  CASE WHEN file_role = 'live' THEN 8 ELSE 7 END AS n_columns
+  CAST(CASE WHEN file_role = 'live' THEN 8 + CASE WHEN user_id % {REPEAT_MOD} = 0 THEN 1 ELSE 0 END
+    + CASE WHEN user_id % {WIDE_MOD} = 0 THEN {WIDE_COLUMNS} ELSE 0 END ELSE 7 END AS INTEGER) AS n_columns
 FROM raw""")
 def header_scan(spark, d):
-    _, _, headers = _fixture_frames(spark, d)
+    headers = lf.scan_headers(logger_files(spark, d)[1])
     return headers.filter("valid").select(
         _base(F.col("file_name")).alias("file_name"), "station_name", "program_name", "table_name",
         F.size("columns").alias("n_columns"))
 
 
-@register("logger_scan", f"""SELECT 'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat'
-    WHEN 1 THEN '_Min_Historical.dat' ELSE '_Min.dat.backup' END AS file_name,
+_FILE_SQL = ("'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat' WHEN 1 THEN '_Min_Historical.dat' "
+             "ELSE '_Min.dat.backup' END")
+_SHORT_SQL = f"(event_id % 3 = 2 AND event_id % {SHORT_MOD} = 0)"
+_LONG_SQL = f"(event_id % 3 = 2 AND event_id % {LONG_MOD} = 0 AND event_id % {SHORT_MOD} <> 0)"
+
+
+@register("logger_scan", f"""SELECT {_FILE_SQL} AS file_name,
   date_trunc('second', ts) AS time, event_id AS record,
   {", ".join(f"CASE WHEN event_type = '{c}' THEN value END AS {c}" for c in fx.EVENT_TYPES)},
-  CASE WHEN event_id % 3 = 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
+  CASE WHEN event_id % 3 = 2 AND NOT {_SHORT_SQL} THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
 FROM events""")
 def logger_scan(spark, d):
-    _, lines, headers = _fixture_frames(spark, d)
-    body = _body(lines, headers)
+    body = lf.scan_body(logger_headers(spark, d), needed=[*LOGGER_COLUMNS, "k"]).filter("time is not null")
     c = F.col("cells")
     return body.select(
         _base(F.col("file_name")).alias("file_name"), "time",
@@ -299,32 +333,52 @@ def logger_scan(spark, d):
     )
 
 
+@register("logger_rejects", f"""SELECT {_FILE_SQL} AS file_name, event_id AS record, 'no_time' AS reason, false AS kept
+FROM events WHERE event_id % {UNDATED_MOD} = 0
+UNION ALL SELECT {_FILE_SQL}, event_id, 'short_line', true FROM events WHERE {_SHORT_SQL}
+UNION ALL SELECT {_FILE_SQL}, event_id, 'long_line', true FROM events WHERE {_LONG_SQL}
+UNION ALL SELECT DISTINCT 'st' || user_id || '_Min.dat', NULL, 'repeated_column', true
+FROM events WHERE event_id % 3 = 2 AND user_id % {REPEAT_MOD} = 0
+UNION ALL SELECT DISTINCT 'st' || user_id || '_Min.dat.backup9', NULL, 'fewer than 4 header rows', false
+FROM events WHERE event_id % 3 = 2 AND user_id % 7 = 0""")
+def logger_rejects(spark, d):
+    _, rejects = ingested(spark, d)
+    return rejects.select(_base(F.col("file_name")).alias("file_name"),
+                          F.get(lf.csv_fields(F.col("line")), 1).cast("bigint").alias("record"), "reason", "kept")
+
+
+def patterns(spark, d):
+    """A pattern per station: its folder by name (with a blank in some), by wildcard or by class, or any folder;
+    a class or a negated class in some file names."""
+    st = fx.raw_rows(spark, d).select("dataset_id", "user_id").distinct()
+    u, ds = F.col("user_id"), F.col("dataset_id")
+    folder = (F.when(u % 4 == 0, station_folder(ds, u)).when(u % 4 == 1, F.lit("*"))
+              .when(u % 4 == 2, F.concat(F.lit("s[a-z]"), F.substring(ds, 3, 20), F.lit("*")))
+              .otherwise(F.concat(ds, F.lit("*"))))
+    name = F.when(u % 3 == 0, "_[KLM]in.dat").when(u % 3 == 1, "_[!a-z]in.dat").otherwise("_Min.dat")
+    return st.select("dataset_id", F.concat(folder, F.lit("/"), ds, name).alias("file_pattern"),
+                     F.lit(None).cast("string").alias("historical_suffix"))
+
+
 @register("file_discovery", f"""WITH {fx.RAW_SQL}
 SELECT DISTINCT dataset_id, file_name, file_role FROM raw""")
 def file_discovery(spark, d):
-    root, _, headers = _fixture_frames(spark, d)
-    listing = lf.list_files(spark, root)
-    stations = fx.raw_rows(spark, d).select("dataset_id").distinct()
-    sources = stations.select("dataset_id", F.concat(F.col("dataset_id"), F.lit("/"), F.col("dataset_id"),
-                                                     F.lit("_Min.dat")).alias("file_pattern"),
-                              F.lit(None).cast("string").alias("historical_suffix"))
-    found = lf.discover(listing, sources, root)
-    valid = headers.filter("valid").select(F.regexp_replace("file_name", "^file:", "").alias("_p"))
-    found = found.withColumn("_p", F.regexp_replace("file_name", "^file:", "")).join(valid, "_p", "left_semi")
+    root, files = logger_files(spark, d)
+    found = lf.discover(files, patterns(spark, d), root)
+    valid = lf.scan_headers(found).filter("valid").select("file_name")
+    found = found.join(valid, "file_name", "left_semi")
     return found.select("dataset_id", _base(F.col("file_name")).alias("file_name"), "file_role")
 
 
 @register("rule_file_headers", f"""WITH {fx.RAW_SQL}
-SELECT DISTINCT file_name || '.backup9' AS file_name, 'file_header' AS rule
+SELECT DISTINCT dataset_id, file_name || '.backup9' AS file_name, 'file_header' AS rule,
+  'fewer than 4 header rows' AS message
 FROM raw WHERE file_role = 'live' AND user_id % 7 = 0""")
 def rule_file_headers(spark, d):
-    root, _, headers = _fixture_frames(spark, d)
-    listing = lf.list_files(spark, root).select(
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"), F.col("path").alias("file_name"))
-    valid = headers.filter("valid").select(F.regexp_replace("file_name", "^file:", "").alias("file_name"))
-    listing = listing.withColumn("file_name", F.regexp_replace("file_name", "^file:", ""))
-    bad = rules.rule_file_headers(listing, valid)
-    return bad.select(_base(F.col("location")).alias("file_name"), "rule")
+    root, files = logger_files(spark, d)
+    matched = lf.discover(files, patterns(spark, d), root)
+    bad = rules.rule_file_headers(matched, lf.scan_headers(matched))
+    return bad.select("dataset_id", _base(F.col("location")).alias("file_name"), "rule", "message")
 
 
 @register("csv_scan", """SELECT 'st' || user_id AS dataset_id, date_trunc('second', ts) AS time,
@@ -347,18 +401,13 @@ def csv_scan(spark, d):
     )
 
 
-
-_FILE_SQL = ("'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat' WHEN 1 THEN '_Min_Historical.dat' "
-             "ELSE '_Min.dat.backup' END")
-
-
-@register("logger_quality", f"""SELECT {_FILE_SQL} AS file_name, count(*) AS n_rows,
+@register("logger_quality", f"""SELECT {_FILE_SQL} AS file_name, count(*) + count(*) FILTER (WHERE event_id % {UNDATED_MOD} = 0) AS n_rows,
   count(*) FILTER (WHERE event_id % {FALLBACK_MOD} = 0) AS n_fallback,
-  CAST(0 AS BIGINT) AS n_reject, CAST(0 AS BIGINT) AS n_short, CAST(0 AS BIGINT) AS n_long
+  count(*) FILTER (WHERE event_id % {UNDATED_MOD} = 0) AS n_reject,
+  count(*) FILTER (WHERE {_SHORT_SQL}) AS n_short, count(*) FILTER (WHERE {_LONG_SQL}) AS n_long
 FROM events GROUP BY 1""")
 def logger_quality(spark, d):
-    _, lines, headers = _fixture_frames(spark, d)
-    q = lf.file_quality(_body(lines, headers))
+    q = lf.file_quality(lf.scan_body(logger_headers(spark, d)))
     return q.select(_base(F.col("file_name")).alias("file_name"), "n_rows", "n_fallback", "n_reject",
                     "n_short", "n_long")
 
@@ -388,12 +437,8 @@ FROM dedup d LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.st
   AND (f.end_ IS NULL OR d.time < f.end_)
 WHERE d.time >= TIMESTAMP '{LB_T0}' AND d.time <= TIMESTAMP '{LB_T1}'""")
 def logger_build(spark, d):
-    """The data query from the logger files themselves: the text is parsed once
-    into a positional bronze table; headers, body, ranks, dedup, mapping,
-    deployments and the window all read bronze."""
-    _, positional, headers = _fixture_frames(spark, d, bronze=True)
-    body = _body(positional, headers, bronze=True)
-    raw = body.filter(F.col("time").isNotNull()).select(
-        F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1).alias("dataset_id"),
-        "file_name", "block_start", "row_pos", "time", "cells")
-    return build_dataset(raw, fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", LB_T0, LB_T1)
+    """The data query from the logger files themselves: bodies are read and parsed once into a
+    bronze table; the file index, ranks, dedup, mapping, deployments and the window read bronze."""
+    raw, _ = ingested(spark, d)
+    index = write_table(rec.classify_roles(rec.file_bounds(raw)), "file_index")
+    return build_dataset(raw, fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", LB_T0, LB_T1, file_index=index)

@@ -1,22 +1,22 @@
 """Logger files (4-line header + quoted CSV body): discovery, header and body scan.
 
-One text scan covers every file of the fleet. Line order inside a file is
-``(file_block_start, monotonically_increasing_id)`` taken on the scan itself;
-header lines are the first four lines of each file (a per-file
-``row_number() <= 4``, planned as a WindowGroupLimit). The body is parsed with
-one ``from_csv`` of the widest header and zipped with each file's own column
-list, so files with drifting columns need no per-header job.
+The file listing drives all reads. ``scan_headers`` reads the head of each
+listed file and keeps one row per file. Bodies are cut into byte ranges behind
+the header, each range carries its file's own column list, and a task reads
+the ranges it is given (``byte_ranges``); so columns may drift between files,
+no line is joined to its header, and ``row_pos`` is the byte offset of a line.
+``ingest`` writes parsed rows and rejected lines in one pass.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetseries.functions.scalar import na_to_null, parse_time
+from fleetseries.operators.globs import PatternIndex, pattern_family  # noqa: F401
 from fleetseries.operators.reconcile import is_archived
 from fleetseries.schemas import (
     HISTORICAL_SUFFIX,
@@ -25,178 +25,145 @@ from fleetseries.schemas import (
     LOGGER_NA_TOKENS,
     MESSAGES,
 )
-from fleetseries.session import broadcast_if_small
+from fleetseries.sources.byte_ranges import first_lines, read_ranges
 
-# comma outside double quotes
-_CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Bytes of a body range, and the fewest ranges that a task is given.
+RANGE_BYTES = 32 << 20
+# A comma and its field: quoted sections and plain runs up to a comma outside quotes; an open
+# quote runs to the end of the line. Possessive, so linear in the line.
+_CSV_FIELD = r',((?:"[^"]*+(?:"|$)|[^,"]++)*+)'
 
 
 def csv_fields(line: Column) -> Column:
     """Split one CSV line into its fields (quotes removed, ``""`` unescaped)."""
-    parts = F.split(F.regexp_replace(line, r"\r$", ""), _CSV_SPLIT)
-    return F.transform(parts, lambda p: F.regexp_replace(
-        F.regexp_replace(p, r'^"(.*)"$', "$1"), '""', '"'))
+    text = F.concat(F.lit(","), F.regexp_replace(line, r"\r$", ""))
+    parts = F.regexp_extract_all(text, F.lit(_CSV_FIELD), F.lit(1))
+    return F.transform(parts, lambda p: F.when(
+        F.startswith(p, F.lit('"')), F.replace(F.regexp_replace(p, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
-def field_count(line: Column) -> Column:
-    """Number of CSV fields in a line: quoted sections removed, then commas
-    counted (linear; used for the short / long line report)."""
-    bare = F.regexp_replace(line, r'"([^"]|"")*"', "")
-    return F.length(bare) - F.length(F.regexp_replace(bare, ",", "")) + F.lit(1)
-
-
-def read_lines(spark: SparkSession, paths: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """(file_name, block_start, line_id, value) for every line of the files.
-
-    ``recursive=True`` lists directories recursively (one parallel listing
-    instead of expanding a glob per directory; hidden and ``_``-prefixed files
-    are skipped by the file index)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
-    df = reader.text(paths)
-    return df.select(
-        F.col("_metadata.file_path").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
-        F.col("value"),
-    )
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Recursive listing (file_name, size, modified) without reading content; Spark lists no empty files."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return df.select(F.col("path").alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def scan_headers(lines: DataFrame) -> DataFrame:
-    """One row per file whose first four lines form a valid header.
+def scan_headers(files: DataFrame) -> DataFrame:
+    """One row per listed file (file_name, size): header fields, ``valid`` and the reason if not.
 
-    Columns: file_name, station_name .. table_name, columns, units, agg_types,
-    header_end (line id of the 4th line), valid, reason.
+    ``columns``, ``units`` and ``agg_types`` are the file's own; ``body_start`` is the
+    offset behind the header, ``bytes_read`` what was read to find it.
     """
-    first = lines.filter(F.col("block_start") == 0)
-    w = Window.partitionBy("file_name").orderBy("line_id")
-    top = first.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 4)
-    per_file = top.groupBy("file_name").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "line_id", "value"))).alias("h"),
-    )
-    n = F.size("h")
-    info = csv_fields(F.col("h")[0]["value"])
-    valid = (n >= 4) & (F.size(info) == LOGGER_INFO_FIELDS) & (info[0] == LOGGER_MARKER)
+    heads = first_lines(files, 4, LOGGER_MARKER)
+    n = F.size("lines")
+    info = csv_fields(F.col("lines")[0])
+    heads = heads.withColumn("_info", F.when(n > 0, info).otherwise(F.array().cast("array<string>")))
+    n_info = F.size("_info")
+    marker = F.get("_info", 0)
+    valid = (n >= 4) & (n_info == LOGGER_INFO_FIELDS) & (marker == LOGGER_MARKER)
     reason = (
         F.when(n < 4, MESSAGES["header_short"])
-        .when(F.size(info) != LOGGER_INFO_FIELDS,
-              F.format_string(MESSAGES["header_fields"], F.lit(LOGGER_INFO_FIELDS), F.size(info)))
-        .when(info[0] != LOGGER_MARKER, F.concat(F.lit(MESSAGES["header_marker"]), info[0]))
+        .when(n_info != LOGGER_INFO_FIELDS,
+              F.format_string(MESSAGES["header_fields"], F.lit(LOGGER_INFO_FIELDS), n_info))
+        .when(marker != LOGGER_MARKER, F.concat(F.lit(MESSAGES["header_marker"]), marker))
     )
-    names = ["marker", "station_name", "logger_model", "serial_no", "os_version",
-             "program_name", "program_sig", "table_name"]
-    return per_file.select(
-        "file_name",
-        *[F.when(valid, info[i]).alias(nm) for i, nm in enumerate(names) if i > 0],
-        F.when(valid, csv_fields(F.col("h")[1]["value"])).alias("columns"),
-        F.when(valid, csv_fields(F.col("h")[2]["value"])).alias("units"),
-        F.when(valid, csv_fields(F.col("h")[3]["value"])).alias("agg_types"),
-        F.col("h")[n - 1]["line_id"].alias("header_end"),
-        valid.alias("valid"),
-        reason.alias("reason"),
+    names = ["station_name", "logger_model", "serial_no", "os_version", "program_name", "program_sig", "table_name"]
+    return heads.select(
+        "file_name", "size",
+        *[F.when(valid, F.get("_info", i + 1)).alias(nm) for i, nm in enumerate(names)],
+        *[F.when(valid, csv_fields(F.get("lines", i + 1))).alias(nm) for i, nm in enumerate(["columns", "units", "agg_types"])],
+        "body_start", "bytes_read", F.coalesce(valid, F.lit(False)).alias("valid"), reason.alias("reason"),
     )
 
 
-def scan_body(lines: DataFrame, headers: DataFrame, max_columns: int,
-              timestamp_column: str = "TIMESTAMP", needed: Sequence[str] | None = None,
-              na_tokens: Sequence[str] = LOGGER_NA_TOKENS) -> DataFrame:
-    """Body rows of valid files: (file_name, block_start, row_pos, time, time_text, cells).
+def body_ranges(headers: DataFrame, timestamp_column: str = "TIMESTAMP", needed: Sequence[str] | None = None,
+                range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file_name, start, end) tiles of the bodies of valid files, with the file's columns.
 
-    ``max_columns`` is the widest header of the fleet (metadata, known after the
-    header scan). ``needed`` prunes ``cells`` to the requested raw columns
-    before any shuffle; columns absent from a file are simply not in its map.
+    ``names`` are the kept columns (the first of a repeated name; only ``needed``
+    ones if given), ``places`` their positions from 1, ``ts_place`` the time's
+    position (0: the file has no such column), ``n_columns`` the header's width.
     """
-    hdr = headers.filter("valid").select(
-        F.col("file_name").alias("_h_file"), F.col("columns").alias("_h_cols"),
-        F.col("header_end").alias("_h_end"))
-    schema = ", ".join(f"c{i} string" for i in range(max_columns))
-    body = lines.join(broadcast_if_small(hdr), lines.file_name == F.col("_h_file"), "inner").filter(
-        (F.col("block_start") > 0) | (F.col("line_id") > F.col("_h_end")))
-    body = body.filter(F.length(F.trim("value")) > 0)
-    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
-    fields = F.array(*[F.col("_p")[f"c{i}"] for i in range(max_columns)])
-    ncols = F.size("_h_cols")
-    body = body.withColumn("_p", parsed).withColumn(
-        "_vals", F.slice(fields, 1, ncols)).withColumn(
-        "_n_fields", field_count(F.col("value")))
-    cells = F.map_from_arrays(F.col("_h_cols"), F.col("_vals"))
-    keep = [timestamp_column, *needed] if needed is not None else None
-    if keep is not None:
-        cells = F.map_filter(cells, lambda k, v: F.array_contains(F.array(*[F.lit(x) for x in keep]), k))
-    cells = F.transform_values(cells, lambda k, v: na_to_null(v, na_tokens))
-    out = body.select(
-        "file_name", "block_start", F.col("line_id").alias("row_pos"),
-        cells.alias("_cells"),
-        (F.col("_n_fields") < ncols).alias("short_line"),
-        (F.col("_n_fields") > ncols).alias("long_line"),
-    )
-    ts_text = F.col("_cells")[timestamp_column]
-    return out.select(
-        "file_name", "block_start", "row_pos",
-        parse_time(ts_text).alias("time"), ts_text.alias("time_text"),
-        parse_time(ts_text, []).isNotNull().alias("strict_time"),
-        F.map_filter("_cells", lambda k, v: k != F.lit(timestamp_column)).alias("cells"),
-        "short_line", "long_line",
+    names = F.array_remove(F.array_distinct("columns"), timestamp_column)
+    if needed is not None:
+        names = F.array_intersect(names, F.array(*[F.lit(c) for c in needed]).cast("array<string>"))
+    h = headers.filter(F.col("valid") & (F.col("size") > F.col("body_start"))).select("*", names.alias("names"))
+    h = h.select(
+        "file_name", "size", "body_start", "names", F.size("columns").alias("n_columns"),
+        F.transform("names", lambda c: F.array_position("columns", c).cast("int")).alias("places"),
+        F.array_position("columns", timestamp_column).cast("int").alias("ts_place"),
     )
+    starts = F.sequence(F.col("body_start"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
+    return h.withColumn("start", F.explode(starts)).select(
+        "file_name", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("end"),
+        "names", "places", "ts_place", "n_columns")
 
 
-def ingest_lines(lines: DataFrame, max_columns: int) -> DataFrame:
-    """The single pass over the text: every line parsed positionally (all
-    fields as strings, no header needed yet). The raw text is kept only for
-    lines of a file's first split, where the header lines are."""
-    schema = ", ".join(f"c{i} string" for i in range(max_columns + 1))
-    parsed = F.from_csv(F.col("value"), schema, {"mode": "PERMISSIVE", "quote": '"', "escape": '"'})
-    return lines.select(
-        "file_name", "block_start", "line_id",
-        F.when(F.col("block_start") == 0, F.col("value")).alias("value"),
-        F.array(*[parsed[f"c{i}"] for i in range(max_columns + 1)]).alias("fields"),
-        field_count(F.col("value")).alias("n_fields"),
-        (F.length(F.trim("value")) == 0).alias("blank"),
-    )
-
+def scan_body(headers: DataFrame, timestamp_column: str = "TIMESTAMP", needed: Sequence[str] | None = None,
+              na_tokens: Sequence[str] = LOGGER_NA_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Body lines of valid files, parsed: file_name, block_start (0), row_pos, time, time_text, strict_time,
+    cells, short_line, long_line, line.
 
-def body_from_positional(positional: DataFrame, headers: DataFrame, timestamp_column: str = "TIMESTAMP",
-                         na_tokens: Sequence[str] = LOGGER_NA_TOKENS) -> DataFrame:
-    """Body rows from positionally parsed lines and each file's header: the
-    positions are zipped with the file's own column list (drift needs no
-    per-header job); header lines and blank lines are dropped."""
-    hdr = headers.filter("valid").select(
-        F.col("file_name").alias("_h_file"), F.col("columns").alias("_h_cols"),
-        F.col("header_end").alias("_h_end"))
-    body = positional.join(broadcast_if_small(hdr), positional.file_name == F.col("_h_file"), "inner").filter(
-        ((F.col("block_start") > 0) | (F.col("line_id") > F.col("_h_end"))) & ~F.col("blank"))
-    ncols = F.size("_h_cols")
-    cells = F.map_from_arrays(F.col("_h_cols"), F.slice(F.col("fields"), 1, ncols))
-    cells = F.transform_values(cells, lambda k, v: na_to_null(v, na_tokens))
-    out = body.select("file_name", "block_start", F.col("line_id").alias("row_pos"), cells.alias("_cells"),
-                      (F.col("n_fields") < ncols).alias("short_line"),
-                      (F.col("n_fields") > ncols).alias("long_line"))
-    ts_text = F.col("_cells")[timestamp_column]
-    return out.select(
-        "file_name", "block_start", "row_pos",
+    ``headers`` should be a written table (it is read for the ranges and for
+    their number). A short line lacks its last cells (null), surplus fields of
+    a long one are dropped; lines without a readable time have a null ``time``.
+    """
+    spark = headers.sparkSession
+    ranges = body_ranges(headers, timestamp_column, needed, range_bytes)
+    total = headers.filter("valid").agg(F.sum(F.ceil(F.col("size") / range_bytes)), F.count("*")).first()
+    tasks = max(1, min(total[1] or 1, 4 * spark.sparkContext.defaultParallelism), int(total[0] or 0) // 4)
+    pieces = read_ranges(ranges.repartition(tasks, "file_name", "start"))
+    lines = pieces.select("file_name", "names", "places", "ts_place", "n_columns", F.inline("lines"))
+    lines = lines.filter(F.length(F.trim("line")) > 0).withColumn("_fields", csv_fields(F.col("line")))
+    cells = F.map_from_arrays("names", F.transform("places", lambda i: na_to_null(F.get("_fields", i - 1), na_tokens)))
+    ts_text = na_to_null(F.get("_fields", F.col("ts_place") - 1), na_tokens)
+    return lines.select(
+        "file_name", F.lit(0).cast("bigint").alias("block_start"), "row_pos",
         parse_time(ts_text).alias("time"), ts_text.alias("time_text"),
-        parse_time(ts_text, []).isNotNull().alias("strict_time"),
-        F.map_filter("_cells", lambda k, v: k != F.lit(timestamp_column)).alias("cells"),
-        "short_line", "long_line",
+        parse_time(ts_text, []).isNotNull().alias("strict_time"), cells.alias("cells"),
+        (F.size("_fields") < F.col("n_columns")).alias("short_line"),
+        (F.size("_fields") > F.col("n_columns")).alias("long_line"), "line",
     )
 
 
-def ingest_bronze(lines: DataFrame, headers: DataFrame, max_columns: int, dataset_of,
-                  timestamp_column: str = "TIMESTAMP") -> DataFrame:
-    """Parse the logger files once into a bronze Parquet table in the shared
-    folder: (dataset_id, file_name, block_start, row_pos, time, cells) plus the
-    parse flags. Later builds read it with column pruning, and their time
-    window reaches the Parquet reader because ``time`` is a stored column.
-    Rows without a parseable time are kept here (``time`` null) for the
-    quality report and skipped by builds."""
-    from fleetseries.session import write_table
+def ingest(headers: DataFrame, path: str, dataset_of: Callable[[Column], Column],
+           timestamp_column: str = "TIMESTAMP") -> tuple[DataFrame, DataFrame]:
+    """Read and parse all bodies once, write rows and rejects below ``path``, return both as stored tables.
 
-    body = scan_body(lines, headers, max_columns, timestamp_column)
-    return write_table(body.withColumn("dataset_id", dataset_of(F.col("file_name"))), "bronze")
+    Rows: dataset_id, file_name, block_start, row_pos, time, strict_time, cells,
+    short_line, long_line; every line with a readable time. Rejects: file_name,
+    row_pos, reason, kept, line; ``no_time`` lines (not kept), ``short_line`` and
+    ``long_line`` (kept as rows), and per file, without a position, a header
+    that is none (its reason) or ``repeated_column`` (the first of a name is kept).
+    One write, partitioned by kind; each table reads its own part of it.
+    """
+    spark = headers.sparkSession
+    body = scan_body(headers, timestamp_column)
+    reasons = F.filter(F.array(
+        F.when(F.col("time").isNull(), "no_time"), F.when(F.col("short_line"), "short_line"),
+        F.when(F.col("long_line"), "long_line")), lambda r: r.isNotNull())
+    kinds = F.concat(F.when(F.col("time").isNotNull(), F.array(F.lit("row"))).otherwise(F.array().cast("array<string>")), reasons)
+    tagged = body.withColumn("tag", F.explode(kinds))
+    row = F.col("tag") == "row"
+    tagged = tagged.select(
+        dataset_of(F.col("file_name")).alias("dataset_id"), "file_name", "block_start", "row_pos", "time", "strict_time",
+        F.when(row, F.col("cells")).alias("cells"), "short_line", "long_line", F.when(~row, F.col("line")).alias("line"),
+        F.when(~row, F.col("tag")).alias("reason"), F.when(row, "row").otherwise("reject").alias("kind"))
+    tagged.write.partitionBy("kind").parquet(path)
+    stored = spark.read.schema(tagged.schema).parquet(path)
+    rows = stored.filter("kind = 'row'").drop("kind", "reason", "line")
+    rejects = stored.filter("kind = 'reject'").select(
+        "file_name", "row_pos", "reason", (F.col("reason") != "no_time").alias("kept"), "line")
+    repeated = F.col("valid") & (F.size(F.array_distinct("columns")) < F.size("columns"))
+    files = headers.filter(~F.col("valid") | repeated).select(
+        "file_name", F.lit(None).cast("bigint").alias("row_pos"),
+        F.when(F.col("valid"), "repeated_column").otherwise(F.col("reason")).alias("reason"),
+        "valid", F.lit(None).cast("string").alias("line")).withColumnRenamed("valid", "kept")
+    return rows, rejects.unionByName(files)
 
 
 def file_quality(body: DataFrame) -> DataFrame:
-    """Per file: rows, rows parsed only by a fallback timestamp format, rows
+    """Per file: lines, lines parsed only by a fallback timestamp format, rows
     without a parseable time (rejects), short and long lines."""
     return body.groupBy("file_name").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -207,82 +174,21 @@ def file_quality(body: DataFrame) -> DataFrame:
     )
 
 
-def glob_to_regex(pattern: str) -> str:
-    """Shell glob (``*``, ``?``, ``[...]``) -> anchored regex on a relative path."""
-    out = []
-    i = 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        elif ch == "[":
-            j = pattern.find("]", i)
-            if j < 0:
-                out.append(re.escape(ch))
-            else:
-                out.append("[" + pattern[i + 1:j].replace("!", "^", 1) + "]")
-                i = j
-        else:
-            out.append(re.escape(ch))
-        i += 1
-    return "^" + "".join(out) + "$"
-
-
-def pattern_family(file_pattern: str, historical_suffix: str = HISTORICAL_SUFFIX) -> list[str]:
-    """Live pattern, archived pattern (suffix before the extension), backups."""
-    import os
-
-    stem, ext = os.path.splitext(file_pattern)
-    return [file_pattern, stem + historical_suffix + ext, file_pattern + ".backup*"]
-
-
-def family_regex(file_pattern: Column, historical_suffix: Column) -> Column:
-    """Column form: one regex matching any member of the pattern family.
-
-    Glob characters are translated with SQL string functions so a table of
-    per-dataset patterns can be matched in one pass.
-    """
-    def g2r(p: Column) -> Column:
-        esc = F.regexp_replace(p, r"([.+()^$|{}\\])", r"\\$1")
-        esc = F.regexp_replace(esc, r"\*", "[^/]*")
-        return F.regexp_replace(esc, r"\?", "[^/]")
-
-    stem = F.regexp_extract(file_pattern, r"^(.*?)(\.[^./]*)?$", 1)
-    ext = F.regexp_extract(file_pattern, r"^(.*?)(\.[^./]*)?$", 2)
-    live = g2r(file_pattern)
-    hist = g2r(F.concat(stem, historical_suffix, ext))
-    backup = F.concat(g2r(file_pattern), F.lit(r"\.backup[^/]*"))
-    return F.concat(F.lit("^(?:"), live, F.lit("|"), hist, F.lit("|"), backup, F.lit(")$"))
-
-
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing (path, length, modificationTime) without reading content."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-          .select("path", "length", "modificationTime"))
-    return df
-
-
-def discover(listing: DataFrame, sources: DataFrame, root: str) -> DataFrame:
+def discover(files: DataFrame, sources: DataFrame, root: str) -> DataFrame:
     """Files of each dataset by its pattern family.
 
-    ``sources``: (dataset_id, file_pattern, historical_suffix), patterns relative
-    to ``root``. Matching is keyed on the fixed directory part of the pattern
-    (equi-join), then filtered by the family regex: no dataset x file pairs
-    beyond those sharing a directory.
+    ``sources``: (dataset_id, file_pattern, historical_suffix), glob patterns
+    relative to ``root``. Files meet only the patterns that share their longest
+    literal prefix (``globs.PatternIndex``); then the family's regex decides.
     """
-    root_re = re.escape(root.rstrip("/")) + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + root_re, "")
-    files = listing.withColumn("rel_path", rel).withColumn(
-        "dir", F.regexp_extract("rel_path", r"^(.*/)?[^/]*$", 1))
-    src = sources.withColumn(
-        "dir", F.regexp_extract("file_pattern", r"^(.*/)?[^/]*$", 1)).withColumn(
-        "_re", family_regex(F.col("file_pattern"), F.coalesce("historical_suffix", F.lit(HISTORICAL_SUFFIX))))
-    j = files.join(broadcast_if_small(src), on="dir", how="inner").filter(
-        F.regexp_like(F.col("rel_path"), F.col("_re")))
     suffix = F.coalesce("historical_suffix", F.lit(HISTORICAL_SUFFIX))
-    j = j.withColumnRenamed("path", "file_name").withColumn(
-        "file_role", F.when(is_archived(F.col("file_name"), suffix), "archived").otherwise("live"))
-    return j.select("dataset_id", "file_name", "rel_path", "file_role",
-                    F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    patterns = sources.select("dataset_id", "file_pattern", suffix.alias("historical_suffix"))
+    plain = F.regexp_replace("file_name", r"^file:(//)?(?=/)", "")
+    start = F.lit(root.rstrip("/").removeprefix("file://").removeprefix("file:") + "/")
+    rel = F.when(F.startswith(plain, start), F.substr(plain, F.length(start) + 1))
+    listed = files.withColumn("rel_path", rel).filter("rel_path is not null")
+    found = PatternIndex(patterns).match(listed)
+    return found.select(
+        "dataset_id", "file_name", "rel_path",
+        F.when(is_archived(F.col("file_name"), F.col("historical_suffix")), "archived").otherwise("live").alias("file_role"),
+        "size", "modified").distinct()

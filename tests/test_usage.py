@@ -34,12 +34,9 @@ def test_readme_flow(spark, tmp_path):
     cat = rules.valid_configs(catalog.catalog_table(docs.select("dataset_id", "content")))
     assert cat.count() == 1
 
-    lines = lf.read_lines(spark, str(tmp_path / "loggers"), recursive=True)
-    positional = lf.ingest_lines(lines, max_columns=4)
-    headers = lf.scan_headers(positional)
-    body = lf.body_from_positional(positional, headers)
-    raw = body.filter(F.col("time").isNotNull()).withColumn(
-        "dataset_id", F.regexp_extract("file_name", r"/([^/]+)/[^/]+$", 1))
+    headers = lf.scan_headers(lf.list_files(spark, str(tmp_path / "loggers")))
+    raw, rejects = lf.ingest(headers, str(tmp_path / "bronze"), lambda c: F.regexp_extract(c, r"/([^/]+)/[^/]+$", 1))
+    assert rejects.count() == 0
     index = rec.classify_roles(rec.file_bounds(raw))
 
     deps = catalog_deployments(cat)
