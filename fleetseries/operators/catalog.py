@@ -7,16 +7,15 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetseries.functions.scalar import ts_lit
-from fleetseries.schemas import CONFIG_DOC, DEFAULT_VOCABULARY
+from fleetseries.schemas import CONFIG_DOC, DEFAULT_VOCABULARY, TRUE_TEXTS
 
 DECLARED_METADATA = ["title", "institution", "license", "naming_authority", "standard_name_vocabulary"]
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """(dataset_id, content) -> one parsed row per document.
+    """(dataset_id, content, optionally source_id) -> one parsed row per document.
 
     ``parsed_ok`` is false for text that is not a JSON object; such documents
     are skipped by listings and reported by the rules job, the rest survive.
@@ -25,37 +24,11 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     the JSON parser into every pushed-down predicate and rule expression.
     """
     parsed = F.from_json("content", CONFIG_DOC, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys("content")
-    is_obj = F.coalesce(keys.isNotNull(), F.lit(False))
-    json_items = T.ArrayType(T.StringType())
-    no_keys = F.array().cast("array<string>")
-
-    def obj_keys(path: str):
-        return F.coalesce(F.json_object_keys(F.get_json_object("content", path)), no_keys)
-
-    def items_keys(path: str):
-        items = F.coalesce(F.from_json(F.get_json_object("content", path), json_items), no_keys)
-        return F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), no_keys))
-
-    var_items = F.coalesce(F.from_json(F.get_json_object("content", "$.variables"), json_items), no_keys)
-    # Key sets for the rules are taken here, once per document, below the
-    # exchange; rule expressions then read plain columns.
-    out = docs.select(
-        "dataset_id", "content", parsed.alias("doc"),
-        (is_obj & parsed.isNotNull()).alias("parsed_ok"),
-        F.coalesce(keys, no_keys).alias("root_keys"),
-        obj_keys("$.source_config").alias("source_config_keys"),
-        obj_keys("$.output").alias("output_keys"),
-        F.get_json_object("content", "$.output").isNotNull().alias("has_output"),
-        F.get_json_object("content", "$.metadata").isNotNull().alias("has_metadata"),
-        F.get_json_object("content", "$.metadata.title").isNotNull().alias("has_title"),
-        items_keys("$.variables").alias("variable_keys"),
-        F.transform(var_items, lambda x: F.get_json_object(x, "$.dtype")).alias("variable_dtypes"),
-        items_keys("$.deployments").alias("deployment_keys"),
-    )
+    is_object = F.json_object_keys("content").isNotNull()
+    kept = ["source_id"] if "source_id" in docs.columns else []
+    out = docs.select(*kept, "dataset_id", "content", parsed.alias("doc"), (is_object & parsed.isNotNull()).alias("parsed_ok"))
     return out.select(
-        "dataset_id", "content", "parsed_ok", "root_keys", "source_config_keys", "output_keys",
-        "has_output", "has_metadata", "has_title", "variable_keys", "variable_dtypes", "deployment_keys",
+        *kept, "dataset_id", "content", F.coalesce("parsed_ok", F.lit(False)).alias("parsed_ok"),
         F.col("doc.source_type").alias("source_type"),
         F.col("doc.access").alias("access"),
         F.col("doc.platform_type").alias("platform_type"),
@@ -64,7 +37,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
         F.col("doc.deployments").alias("deployments"),
         with_metadata_defaults(F.col("doc.metadata")).alias("metadata"),
         F.col("doc.output.file_naming").alias("file_naming"),
-        F.coalesce(F.col("doc.output.publish"), F.lit(False)).alias("publish"),
+        F.coalesce(F.lower("doc.output.publish").isin(TRUE_TEXTS), F.lit(False)).alias("publish"),
         F.col("doc.id").alias("doc_id"),
     )
 
@@ -163,6 +136,20 @@ def config_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash", F.sha2(F.col("content"), 256))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of every object sorted, no blanks, and exact decimals without trailing zeros.
+
+    The keys of a variant object are stored in order, so rendering the parsed
+    value sorts at every depth; text that is no JSON gives null.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+def config_hash_sorted(docs: DataFrame) -> DataFrame:
+    """A hash that ignores the order of keys and the writing of numbers and blanks; of the bytes where the text is no JSON."""
+    return docs.withColumn("hash", F.sha2(F.coalesce(canonical_json(F.col("content")), F.col("content")), 256))
+
+
 def current_version(versions: DataFrame) -> DataFrame:
     """Newest version per dataset by ``created_at``, then ``version_id``.
     ``max_by`` is a plain aggregate: partial per task, no per-dataset sort."""

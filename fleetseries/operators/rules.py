@@ -1,25 +1,22 @@
 """Config validation as one table job: catalog -> (dataset_id, rule, location, message).
 
-Every rule is a check *within* one config document, so all of them are
-evaluated in a single projection with higher-order array functions over the
-document's own ``variables`` / ``members`` / ``deployments`` arrays: one JSON
-parse per document, no shuffle, no window; the findings array is exploded
-once. The verdict per config is an anti-join / count of the findings.
+Every rule is a check *within* one config document: fields and types by the
+schema walk, the others in a single projection with higher-order array
+functions over the document's own ``variables`` / ``members`` / ``deployments``
+arrays. No shuffle, no window; the findings array is exploded once. The verdict
+per config is an anti-join / count of the findings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetseries.operators.schema_walk import schema_findings
 from fleetseries.schemas import MESSAGES as M
-from fleetseries.schemas import (
-    ACCESS_LEVELS,
-    CONFIG_KEYS,
-    DTYPES,
-    PLATFORM_TYPES,
-    SOURCE_TYPES,
-)
+from fleetseries.schemas import SOURCE_TYPES
 
 RULE_COLUMNS = ["dataset_id", "rule", "location", "message"]
 _FINDINGS_TYPE = "array<struct<rule:string,location:string,message:string>>"
@@ -35,14 +32,6 @@ def _arr(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
-def _keys_lit(keys: list[str]) -> Column:
-    return F.array(*[F.lit(k) for k in keys])
-
-
-def _unknown(keys: Column, allowed: list[str]) -> Column:
-    return F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), _keys_lit(allowed)))
-
-
 def _ts(text: Column) -> Column:
     return F.try_to_timestamp(text).cast("timestamp_ntz")
 
@@ -52,75 +41,37 @@ def _n_dims(ext: Column) -> Column:
         F.startswith(F.ltrim(ext), F.lit("[")), F.json_array_length(ext)).otherwise(F.lit(1))
 
 
-_MEMO: dict = {}
-
-
-def _memo(name: str, build):
-    """Findings expressions reference columns by name only, so one Column tree
-    serves every DataFrame of a session (building it costs thousands of py4j
-    calls)."""
-    from pyspark.sql import SparkSession
+# Findings expressions reference columns by name only, so one Column tree serves
+# every DataFrame of a session (building it costs thousands of py4j calls).
+_FINDINGS: WeakKeyDictionary[SparkSession, Column] = WeakKeyDictionary()
 
-    key = (name, id(SparkSession.getActiveSession()))
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
 
+def findings_column(spark: SparkSession) -> Column:
+    """All findings of one config document but those of the schema walk, as an array of structs."""
+    if spark not in _FINDINGS:
+        _FINDINGS[spark] = F.concat(_document_findings(), _variable_findings(), _deployment_findings())
+    return _FINDINGS[spark]
 
-def findings_column() -> Column:
-    """All findings of one config document, as an array of structs."""
-    return _memo("all", lambda: F.concat(_document_findings(None), _variable_findings(),
-                                         _deployment_findings()))
 
-
-def _document_findings(c: DataFrame | None) -> Column:
+def _document_findings() -> Column:
     ok = F.col("parsed_ok")
-    missing = F.array_sort(F.array_except(_keys_lit(CONFIG_KEYS["root_required"]), F.col("root_keys")))
-    root_unknown = _unknown(F.col("root_keys"), CONFIG_KEYS["root"])
-    items = [
-        _f(~ok, "schema", "document", "invalid JSON"),
-        _f(ok & (F.size(missing) > 0), "schema", "document",
-           F.concat(F.lit("missing fields: "), F.array_join(missing, ","))),
-        _f(ok & (F.size(root_unknown) > 0), "schema", "document",
-           F.concat(F.lit("unknown keys: "), F.array_join(root_unknown, ","))),
-    ]
-    for field, allowed in (("source_type", SOURCE_TYPES), ("access", ACCESS_LEVELS),
-                           ("platform_type", PLATFORM_TYPES)):
-        col = F.col(field)
-        items.append(_f(ok & col.isNotNull() & ~col.isin(allowed), "schema", field,
-                        F.format_string(field + " must be one of " + "|".join(allowed) + ", got %s", col)))
-    for st in SOURCE_TYPES:
-        unk = _unknown(F.col("source_config_keys"), CONFIG_KEYS[st])
-        items.append(_f(ok & (F.col("source_type") == st) & (F.size(unk) > 0), "schema", "source_config",
-                        F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))))
-    out_unk = _unknown(F.col("output_keys"), CONFIG_KEYS["output"])
-    items += [
-        _f(ok & F.col("has_output") & (F.size(out_unk) > 0), "schema", "output",
-           F.concat(F.lit("unknown keys: "), F.array_join(out_unk, ","))),
-        _f(ok & F.col("has_output") & F.col("file_naming").isNull(), "schema", "output",
-           "output.file_naming is required"),
-        _f(ok & F.col("has_metadata") & ~F.col("has_title"), "schema", "metadata", "metadata.title is required"),
-        _f(ok & (F.coalesce(F.size("deployments"), F.lit(-1)) <= 0), "deployments", "deployments",
-           M["no_deployment"]),
-    ]
     names = F.filter(F.transform(F.coalesce("variables", F.array()), lambda v: v["standard_name"]),
                      lambda s: s.isNotNull())
     miss_pos = F.array_sort(F.array_except(F.array(F.lit("latitude"), F.lit("longitude")), names))
-    items.append(_f(ok & (F.col("platform_type") == "mobile") & (F.size(miss_pos) > 0), "platform", "variables",
-                    F.format_string(M["mobile_needs_names"],
-                                    F.array_join(miss_pos, ","))))
-    return _arr(*items)
+    return _arr(
+        _f(ok & (F.coalesce(F.size("deployments"), F.lit(-1)) <= 0), "deployments", "deployments",
+           M["no_deployment"]),
+        _f(ok & (F.col("platform_type") == "mobile") & (F.size(miss_pos) > 0), "platform", "variables",
+           F.format_string(M["mobile_needs_names"], F.array_join(miss_pos, ","))),
+    )
 
 
 def _variable_findings() -> Column:
-    """Shape, arity, unknown keys and dtype per variable; collisions per document."""
+    """Shape and arity per variable; collisions per document."""
     ok = F.col("parsed_ok")
     variables = F.coalesce(F.col("variables"), F.array())
-    zipped = F.arrays_zip(variables.alias("v"), F.col("variable_keys").alias("keys"),
-                          F.col("variable_dtypes").alias("dtype"))
 
-    def per_var(z: Column, i: Column) -> Column:
-        v = z["v"]
+    def per_var(v: Column, i: Column) -> Column:
         loc = F.format_string("variables[%d]", i)
         has_raw = v["raw_name"].isNotNull()
         has_dims = v["extra_dimension"].isNotNull()
@@ -150,16 +101,9 @@ def _variable_findings() -> Column:
                           F.format_string(M["list_value"], n_dims)))
 
         arity = F.filter(F.transform(F.coalesce(v["members"], F.array()), per_member), lambda x: x.isNotNull())
-        unk = _unknown(z["keys"], CONFIG_KEYS["variable"])
-        dtype = z["dtype"]
-        extra = _arr(
-            _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
-            _f(dtype.isNotNull() & ~dtype.isin(DTYPES), "schema", loc,
-               F.format_string("dtype must be one of numeric|string, got %s", dtype)),
-        )
-        return F.concat(shape, arity, extra)
+        return F.concat(shape, arity)
 
-    per_variable = F.flatten(F.transform(zipped, per_var))
+    per_variable = F.flatten(F.transform(variables, per_var))
 
     # raw names with their variable index: raw_name + old_names, or members
     def names_of(v: Column, i: Column) -> Column:
@@ -189,9 +133,8 @@ def _deployment_findings() -> Column:
     ok = F.col("parsed_ok")
     deps = F.coalesce(F.col("deployments"), F.array())
     n = F.size(deps)
-    # each deployment with its key set and the next deployment's start
-    zipped = F.arrays_zip(deps.alias("d"), F.col("deployment_keys").alias("keys"),
-                          F.slice(F.transform(deps, lambda x: x["start"]), F.lit(2), F.size(deps)).alias("next_start"))
+    # each deployment with the next deployment's start
+    zipped = F.arrays_zip(deps.alias("d"), F.slice(F.transform(deps, lambda x: x["start"]), F.lit(2), F.size(deps)).alias("next_start"))
     fixed = F.col("platform_type") == "fixed"
     mobile = F.col("platform_type") == "mobile"
 
@@ -200,10 +143,9 @@ def _deployment_findings() -> Column:
         loc = F.format_string("deployments[%d]", k)
         start, end = _ts(d["start"]), _ts(d["end"])
         nstart = _ts(z["next_start"])
-        unk = _unknown(z["keys"], CONFIG_KEYS["deployment"])
         return _arr(
             _f(end.isNotNull() & (end <= start), "deployments", loc, M["end_before_start"]),
-            _f(end.isNull() & (k < n - 1), "deployments", loc, M["open_not_last"]),
+            _f(d["end"].isNull() & (k < n - 1), "deployments", loc, M["open_not_last"]),
             _f(nstart.isNotNull() & (start > nstart), "overlap", loc, M["unsorted"]),
             _f(nstart.isNotNull() & end.isNotNull() & (start <= nstart) & (end > nstart), "overlap", loc,
                F.format_string(M["overlap"], k, k + 1)),
@@ -214,25 +156,25 @@ def _deployment_findings() -> Column:
             _f(mobile & d["platform_name"].isNull(), "platform", loc, M["mobile_needs_platform"]),
             _f(mobile & (d["lat"].isNotNull() | d["lon"].isNotNull() | d["elevation"].isNotNull()), "platform",
                loc, M["fixed_only_fields"]),
-            _f(F.size(unk) > 0, "schema", loc, F.concat(F.lit("unknown keys: "), F.array_join(unk, ","))),
         )
 
     return F.when(ok, F.flatten(F.transform(zipped, per_dep))).otherwise(F.array().cast(_FINDINGS_TYPE))
 
 
 def all_rules(catalog: DataFrame) -> DataFrame:
-    """Every finding of every config, in one pass over the parsed catalog."""
-    return catalog.select("dataset_id", F.explode(findings_column()).alias("f")).select(
-        "dataset_id", "f.rule", "f.location", "f.message")
+    """Every finding of every config of a parsed catalog (dataset_id, rule, location, message)."""
+    found = catalog.select("dataset_id", F.explode(findings_column(catalog.sparkSession)).alias("f"))
+    return found.select("dataset_id", "f.rule", "f.location", "f.message").unionByName(schema_findings(catalog))
 
 
 def _only(catalog: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return all_rules(catalog).filter(F.col("rule").isin(list(names)))
+    found = catalog.select("dataset_id", F.explode(findings_column(catalog.sparkSession)).alias("f"))
+    return found.select("dataset_id", "f.rule", "f.location", "f.message").filter(F.col("rule").isin(list(names)))
 
 
 def rule_schema(catalog: DataFrame) -> DataFrame:
-    """V9: JSON object, required fields, enumerations, unknown keys (metadata keeps extras)."""
-    return _only(catalog, ("schema",))
+    """V9: JSON object; required, unknown and wrongly typed fields at every depth, dates included."""
+    return schema_findings(catalog)
 
 
 def rule_variable_shape(catalog: DataFrame) -> DataFrame:

@@ -104,15 +104,23 @@ def exists_cells(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def catalog_deployments(catalog: DataFrame) -> DataFrame:
-    """Deployments table exploded from parsed config documents (one row per window)."""
+    """Deployments table exploded from parsed config documents (one row per window).
+
+    A document with an unreadable date gives no windows: its readings stay without
+    a position, and those of other documents are not touched. The rules report it.
+    """
     from fleetseries.schemas import DEPLOYMENTS
 
-    d = catalog.select("dataset_id", F.posexplode("deployments").alias("dep_ord", "d"))
+    def unreadable(w):
+        return F.try_to_timestamp(w["start"]).isNull() | (w["end"].isNotNull() & F.try_to_timestamp(w["end"]).isNull())
+
+    readable = catalog.filter(~F.exists("deployments", unreadable))
+    d = readable.select("dataset_id", F.posexplode("deployments").alias("dep_ord", "d"))
     out = d.select(
         "dataset_id", F.col("dep_ord").cast("int").alias("dep_ord"),
-        F.to_timestamp("d.start").cast("timestamp_ntz").alias("start"),
-        F.to_timestamp("d.end").cast("timestamp_ntz").alias("end"),
-        F.col("d.lat").alias("lat"), F.col("d.lon").alias("lon"), F.col("d.elevation").alias("elevation"),
+        F.try_to_timestamp("d.start").cast("timestamp_ntz").alias("start"),
+        F.try_to_timestamp("d.end").cast("timestamp_ntz").alias("end"),
+        *[F.col(f"d.{c}").try_cast("double").alias(c) for c in ("lat", "lon", "elevation")],
         F.col("d.platform_name").alias("platform_name"),
         F.col("d.instrument_config").alias("instrument_config"), F.col("d.notes").alias("notes"),
     )

@@ -326,15 +326,33 @@ SEGMENT_NAMES = {
 }
 SEGMENT_N_VARS = {"BUILDING": 2, "AUTOMOBILE": 3, "MACHINERY": 2, "HOUSEHOLD": 2, "FURNITURE": 1}
 
-# injected problems, by customer key (configuration of the fixture)
-BROKEN_MOD, BROKEN_REM = 97, 5          # not JSON at all
-UNKNOWN_KEY_MOD = 13                      # extra root key "colour"
-BOTH_SHAPES_MOD = 17                      # variable with raw_name and extra_dimension
-ARITY_MOD = 19                            # two dims, scalar member value
-COLLISION_MOD = 23                        # raw name mapped twice
-END_BEFORE_START_MOD = 29                 # deployment end <= start
-OVERLAP_MOD = 37                          # second deployment overlaps the first
-MOBILE_POSITION_MOD = 43                  # mobile deployment carrying a latitude
+# injected problems, by customer key and platform: SQL that Spark and the SQL twins share
+_FIXED, _MOBILE = "platform_type = 'fixed' AND ", "platform_type = 'mobile' AND "
+BROKEN = "c_custkey % 97 = 5"                                   # not JSON at all
+PROBLEMS = {
+    "unknown_key": "c_custkey % 13 = 0",                        # extra root key "colour"
+    "both_shapes": "c_custkey % 17 = 0",                        # variable with raw_name and extra_dimension
+    "arity": "c_custkey % 19 = 0",                              # two dims, scalar member value
+    "collision": "c_custkey % 23 = 0",                          # raw name mapped twice
+    "end_before": _FIXED + "c_custkey % 29 = 0",                # deployment end <= start
+    "bad_date": _FIXED + "c_custkey % 41 = 0 AND c_custkey % 29 <> 0",     # end is no time
+    "open_first": _FIXED + "c_custkey % 47 = 0 AND c_custkey % 29 <> 0 AND c_custkey % 41 <> 0",  # open, not last
+    "unsorted": _FIXED + "c_custkey % 53 = 0",                  # second deployment starts earlier
+    "overlap": _FIXED + "c_custkey % 37 = 0 AND c_custkey % 29 <> 0 AND c_custkey % 41 <> 0 "
+                        "AND c_custkey % 47 <> 0 AND c_custkey % 53 <> 0",
+    "no_position": _FIXED + "c_custkey % 59 = 0",               # fixed deployment without a latitude
+    "fixed_named": _FIXED + "c_custkey % 61 = 0",               # fixed deployment that names a platform
+    "bad_elevation": _FIXED + "c_custkey % 67 = 0",             # elevation is text
+    "mobile_unnamed": _MOBILE + "c_custkey % 31 = 0",           # mobile deployment without a platform
+    "mobile_position": _MOBILE + "c_custkey % 43 = 0",          # mobile deployment carrying a latitude
+    "mobile_names": _MOBILE + "c_custkey % 71 = 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 "
+                              "AND c_custkey % 23 <> 0",        # no position variables
+    "no_title": "c_custkey % 73 = 0",
+    "bad_access": "c_custkey % 79 = 0",
+    "bad_publish": "c_custkey % 83 = 0",
+    "bad_license": "c_custkey % 89 = 0",                        # license is a number
+}
+GENERIC = "c_custkey % 3 = 0"                                   # datasets with a flat CSV source
 
 
 def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,54 +360,57 @@ def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
+    platform = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "mobile").otherwise("fixed")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey).withColumn("platform_type", platform)
     k = F.col("c_custkey")
     ds = F.concat(F.lit("cust"), k.cast("string"))
+
+    def either(problem, bad, good=""):
+        bad, good = (F.lit(x) if isinstance(x, str) else x for x in (bad, good))
+        return F.when(F.expr(PROBLEMS[problem]), bad).otherwise(good)
+
     seg_vars = F.coalesce(*[F.when(F.col("c_mktsegment") == s, F.lit(v)) for s, v in SEGMENT_VARIABLES.items()],
                           F.lit("[]"))
+    seg_vars = either("mobile_names", '[{"raw_name":"WS_ms","standard_name":"wind_speed","units":"m/s"}]', seg_vars)
     extra_vars = F.concat(
-        F.when(k % BOTH_SHAPES_MOD == 0, F.lit(',{"raw_name":"X1","standard_name":"x","extra_dimension":'
-                                              '{"name":"h","units":"m"},"members":[{"raw_name":"X1a",'
-                                              '"dimension_value":1}]}')).otherwise(F.lit("")),
-        F.when(k % ARITY_MOD == 0, F.lit(',{"standard_name":"y","extra_dimension":[{"name":"h","units":"m"},'
-                                        '{"name":"c","units":""}],"members":[{"raw_name":"Y1",'
-                                        '"dimension_value":3}]}')).otherwise(F.lit("")),
-        F.when(k % COLLISION_MOD == 0, F.lit(',{"raw_name":"dup_a"},{"raw_name":"dup_b","old_names":["dup_a"]}'))
-        .otherwise(F.lit("")),
+        either("both_shapes", ',{"raw_name":"X1","standard_name":"x","extra_dimension":'
+                              '{"name":"h","units":"m"},"members":[{"raw_name":"X1a","dimension_value":1}]}'),
+        either("arity", ',{"standard_name":"y","extra_dimension":[{"name":"h","units":"m"},'
+                        '{"name":"c","units":""}],"members":[{"raw_name":"Y1","dimension_value":3}]}'),
+        either("collision", ',{"raw_name":"dup_a"},{"raw_name":"dup_b","old_names":["dup_a"]}'),
     )
     variables = F.concat(F.expr("substring(seg_vars, 1, length(seg_vars) - 1)"), extra_vars, F.lit("]"))
-    mobile = F.col("c_mktsegment") == "AUTOMOBILE"
+    mobile = F.col("platform_type") == "mobile"
     lat = (F.lit(60) + F.col("c_nationkey")).cast("string")
     lon = (F.col("c_nationkey") * 2).cast("string")
-    dep_fixed = F.concat(F.lit('{"start":"2020-01-01T00:00:00",'),
-                         F.when(k % END_BEFORE_START_MOD == 0, F.lit('"end":"2019-06-01T00:00:00",'))
-                         .otherwise(F.lit('"end":"2022-01-01T00:00:00",')),
-                         F.lit('"lat":'), lat, F.lit(',"lon":'), lon, F.lit("}"))
+    end = either("end_before", '"2019-06-01T00:00:00"',
+                 either("bad_date", '"soon"', either("open_first", "null", '"2022-01-01T00:00:00"')))
+    dep_fixed = F.concat(F.lit('{"start":"2020-01-01T00:00:00","end":'), end,
+                         either("no_position", "", F.concat(F.lit(',"lat":'), lat)), F.lit(',"lon":'), lon,
+                         either("fixed_named", ',"platform_name":"P"'), F.lit("}"))
     dep_fixed2 = F.concat(F.lit(',{"start":'),
-                          F.when(k % OVERLAP_MOD == 0, F.lit('"2021-06-01T00:00:00"'))
-                          .otherwise(F.lit('"2022-01-01T00:00:00"')),
+                          either("unsorted", '"2019-01-01T00:00:00"', either("overlap", '"2021-06-01T00:00:00"', '"2022-01-01T00:00:00"')),
                           F.lit(',"lat":'), lat, F.lit(',"lon":'), (F.col("c_nationkey") * 2 + 1).cast("string"),
-                          F.lit(',"elevation":'), (k % 100).cast("string"), F.lit("}"))
-    dep_mobile = F.concat(F.lit('{"start":"2020-01-01T00:00:00","platform_name":"RV '), F.col("n_name"),
-                          F.when(k % MOBILE_POSITION_MOD == 0, F.lit('","lat":1')).otherwise(F.lit('"')),
-                          F.lit("}"))
+                          F.lit(',"elevation":'), either("bad_elevation", '"high"', (k % 100).cast("string")), F.lit("}"))
+    dep_mobile = F.concat(F.lit('{"start":"2020-01-01T00:00:00"'),
+                          either("mobile_unnamed", "", F.concat(F.lit(',"platform_name":"RV '), F.col("n_name"), F.lit('"'))),
+                          either("mobile_position", ',"lat":1'), F.lit("}"))
     deps = F.when(mobile, F.concat(F.lit("["), dep_mobile, F.lit("]"))).otherwise(
         F.concat(F.lit("["), dep_fixed, dep_fixed2, F.lit("]")))
-    access = F.when(F.col("c_acctbal") < 0, "restricted").otherwise("public")
+    access = either("bad_access", "secret", F.when(F.col("c_acctbal") < 0, "restricted").otherwise("public"))
+    source = F.when(F.expr(GENERIC), F.concat(F.lit('"generic_csv","source_config":{"file_path":"'), ds, F.lit('.csv"}'))) \
+        .otherwise(F.concat(F.lit('"thingsboard","source_config":{"device_name":"'), ds, F.lit('"}')))
     content = F.concat(
-        F.lit('{"id":"'), ds, F.lit('","source_type":"thingsboard","access":"'), access,
-        F.lit('","source_config":{"device_name":"'), ds, F.lit('"},"variables":'), variables,
-        F.lit(',"platform_type":"'), F.when(mobile, "mobile").otherwise("fixed"),
-        F.lit('","deployments":'), deps,
-        F.lit(',"metadata":{"title":"'), F.col("c_name"), F.lit('","institution":"'), F.col("r_name"),
+        F.lit('{"id":"'), ds, F.lit('","access":"'), access, F.lit('","source_type":'), source, F.lit(',"variables":'), variables,
+        F.lit(',"platform_type":"'), F.col("platform_type"), F.lit('","deployments":'), deps,
+        F.lit(',"metadata":{'), either("no_title", "", F.concat(F.lit('"title":"'), F.col("c_name"), F.lit('",'))),
+        either("bad_license", '"license":12,'), F.lit('"institution":"'), F.col("r_name"),
         F.lit('","department":"'), F.col("c_mktsegment"), F.lit('","country":"'), F.col("n_name"),
         F.lit('"},"output":{"file_naming":"{station}_{yyyy}{mm}.nc","publish":'),
-        F.when(k % 2 == 0, "true").otherwise("false"), F.lit("}"),
-        F.when(k % UNKNOWN_KEY_MOD == 0, F.lit(',"colour":"red"')).otherwise(F.lit("")),
-        F.lit("}"),
+        either("bad_publish", '"maybe"', F.when(k % 2 == 0, "true").otherwise("false")), F.lit("}"),
+        either("unknown_key", ',"colour":"red"'), F.lit("}"),
     )
-    content = F.when(k % BROKEN_MOD == BROKEN_REM, F.concat(F.lit('{"id": "'), ds, F.lit('", "broken'))) \
-        .otherwise(content)
+    content = F.when(F.expr(BROKEN), F.concat(F.lit('{"id": "'), ds, F.lit('", "broken'))).otherwise(content)
     return j.withColumn("seg_vars", seg_vars).select(ds.alias("dataset_id"), content.alias("content"),
                                                      "c_custkey")
 
@@ -400,19 +421,21 @@ def _case_sql(mapping: dict[str, str], col: str = "c_mktsegment") -> str:
 
 
 CATALOG_SQL = f"""cat AS (
-  SELECT 'cust' || c_custkey AS dataset_id, c_custkey, c_name AS title, r_name AS institution,
-         c_mktsegment AS department, n_name AS country, c_nationkey,
-         CASE WHEN c_acctbal < 0 THEN 'restricted' ELSE 'public' END AS access,
+  SELECT 'cust' || c_custkey AS dataset_id, c_custkey, CASE WHEN NOT ({PROBLEMS["no_title"]}) THEN c_name END AS title,
+         r_name AS institution, c_mktsegment AS department, n_name AS country, c_nationkey,
+         CASE WHEN {PROBLEMS["bad_access"]} THEN 'secret' WHEN c_acctbal < 0 THEN 'restricted' ELSE 'public' END AS access,
+         CASE WHEN {GENERIC} THEN 'generic_csv' ELSE 'thingsboard' END AS source_type,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'mobile' ELSE 'fixed' END AS platform_type,
-         c_custkey % 2 = 0 AS publish,
+         c_custkey % 2 = 0 AND NOT ({PROBLEMS["bad_publish"]}) AS publish,
          {_case_sql({k: "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in SEGMENT_NAMES.items()})}
            AS standard_names,
          {_case_sql({k: str(v) for k, v in SEGMENT_N_VARS.items()})}
-           + CASE WHEN c_custkey % {BOTH_SHAPES_MOD} = 0 THEN 1 ELSE 0 END
-           + CASE WHEN c_custkey % {ARITY_MOD} = 0 THEN 1 ELSE 0 END
-           + CASE WHEN c_custkey % {COLLISION_MOD} = 0 THEN 2 ELSE 0 END AS n_variables,
-         c_custkey % {BROKEN_MOD} <> {BROKEN_REM} AS parsed_ok
+           + CASE WHEN {PROBLEMS["both_shapes"]} THEN 1 ELSE 0 END
+           + CASE WHEN {PROBLEMS["arity"]} THEN 1 ELSE 0 END
+           + CASE WHEN {PROBLEMS["collision"]} THEN 2 ELSE 0 END AS n_variables,
+         NOT ({BROKEN}) AS parsed_ok
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+VIOLATION_SQL = "(NOT parsed_ok OR " + " OR ".join(f"({c})" for c in PROBLEMS.values()) + ")"
 
 
 def part_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,12 @@ from fleetseries.operators import deployment as dep_ops
 from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
 from fleetseries.plans.build import catalog_deployments
+from fleetseries.plans.q_files import fixture_root
 from fleetseries.plans.registry import register
 from fleetseries.schemas import MESSAGES as M
+from fleetseries.session import path_exists
+from fleetseries.sources import catalog_docs
+from fleetseries.sources.named_files import write_files
 
 
 def parsed_catalog(spark, d):
@@ -24,23 +28,34 @@ def valid_catalog(spark, d):
     return rules.valid_configs(parsed_catalog(spark, d))
 
 
-_VIOLATION = (f"(NOT parsed_ok OR c_custkey % {fx.UNKNOWN_KEY_MOD} = 0 OR c_custkey % {fx.BOTH_SHAPES_MOD} = 0 "
-              f"OR c_custkey % {fx.ARITY_MOD} = 0 OR c_custkey % {fx.COLLISION_MOD} = 0 "
-              f"OR (platform_type = 'fixed' AND (c_custkey % {fx.END_BEFORE_START_MOD} = 0 "
-              f"OR c_custkey % {fx.OVERLAP_MOD} = 0)) "
-              f"OR (platform_type = 'mobile' AND c_custkey % {fx.MOBILE_POSITION_MOD} = 0))")
 VALID_SQL = f"""{fx.CATALOG_SQL},
-valid AS (SELECT * FROM cat WHERE NOT {_VIOLATION}),
+valid AS (SELECT * FROM cat WHERE NOT {fx.VIOLATION_SQL}),
 vis AS (SELECT * FROM valid WHERE access = 'public')"""
 
 
+IN_FOLDER = f"({fx.BROKEN} OR c_custkey % 20 = 0)"  # one file each; the others are lines of a dump
+
+
+def config_files(spark, d):
+    """The documents as files in the shared folder: a folder of one document each, and a dump of one per line."""
+    folder, dump = (fixture_root(spark, n, d) for n in ("config_folder", "config_dump"))
+    if not path_exists(spark, dump + "/_SUCCESS"):
+        docs = fx.catalog_documents(spark, d).withColumn("in_folder", F.expr(IN_FOLDER))
+        single = docs.filter("in_folder").select(F.concat("dataset_id", F.lit(".json")).alias("path"), F.col("content").alias("line"))
+        write_files(single, folder)
+        docs.filter("not in_folder").select("content").write.mode("overwrite").text(dump)
+    return folder, dump
+
+
 @register("catalog_load", f"""WITH {fx.CATALOG_SQL}
-SELECT dataset_id, access, platform_type, 'thingsboard' AS source_type, title, publish
-FROM cat WHERE parsed_ok""")
+SELECT CASE WHEN {IN_FOLDER} THEN 'folder' ELSE 'devices' END AS source_id, dataset_id, access, platform_type, source_type,
+  title, publish FROM cat WHERE parsed_ok""")
 def catalog_load(spark, d):
-    docs = fx.catalog_documents(spark, d).select("dataset_id", "content")
+    folder, dump = config_files(spark, d)
+    docs = catalog_docs.union_sources([
+        catalog_docs.read_config_dir(spark, folder, "folder"), catalog_docs.read_config_lines(spark, dump, "devices")])
     c = cat.parse_documents(docs).filter("parsed_ok")
-    return c.select("dataset_id", "access", "platform_type", "source_type",
+    return c.select("source_id", "dataset_id", "access", "platform_type", "source_type",
                     F.col("metadata")["title"].alias("title"), "publish")
 
 
@@ -160,6 +175,26 @@ def config_hash(spark, d):
     return cat.config_hash(fx.order_versions(spark, d)).select("dataset_id", "version_id", "hash")
 
 
+# the same documents with keys in another order, numbers in another form and blanks for odd orders
+_LIMITS = ('{"b": [1.50, 2], "a": {"y": 3.0, "x": null}}', '{"a":{"x":null,"y":3},"b":[1.5,2.0]}')
+
+
+@register("config_hash_sorted", """SELECT 'cust' || o_custkey AS dataset_id, o_orderkey AS version_id,
+  sha256('{"id":"cust' || o_custkey || '","limits":{"a":{"x":null,"y":3},"b":[1.5,2]},"priority":"' || o_orderpriority
+    || '","status":"' || o_orderstatus || '"}') AS hash FROM orders""")
+def config_hash_sorted(spark, d):
+    """One hash for a document and its re-ordered writing (device attributes come as objects, not as bytes)."""
+    o = fx.table(spark, d, "orders")
+    fields = {"id": F.concat(F.lit("cust"), F.col("o_custkey").cast("string")), "status": F.col("o_orderstatus"),
+              "priority": F.col("o_orderpriority")}
+    pairs = {k: F.concat(F.lit(f'"{k}":"'), v, F.lit('"')) for k, v in fields.items()}
+    odd = F.concat(F.lit("{ "), F.concat_ws(" ,\n", pairs["status"], F.lit(f'"limits": {_LIMITS[0]}'), pairs["id"], pairs["priority"]), F.lit("}"))
+    even = F.concat(F.lit("{"), F.concat_ws(",", pairs["priority"], pairs["id"], F.lit(f'"limits":{_LIMITS[1]}'), pairs["status"]), F.lit("}"))
+    content = F.when(F.col("o_orderkey") % 2 == 1, odd).otherwise(even)
+    docs = o.select(fields["id"].alias("dataset_id"), F.col("o_orderkey").alias("version_id"), content.alias("content"))
+    return cat.config_hash_sorted(docs).select("dataset_id", "version_id", "hash")
+
+
 CURRENT_SQL = f"""{fx.VERSIONS_SQL},
 cur AS (SELECT dataset_id, version_id, sha256(content) AS hash, content, created_at FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, version_id DESC) AS rn
@@ -200,7 +235,7 @@ def config_changes(spark, d):
 
 @register("global_attrs", f"""WITH {VALID_SQL}
 SELECT dataset_id, 'country=' || country || ';dataset_id=' || dataset_id || ';department=' || department
-  || ';institution=' || institution || ';platform_type=' || platform_type || ';source_type=thingsboard'
+  || ';institution=' || institution || ';platform_type=' || platform_type || ';source_type=' || source_type
   || ';standard_name_vocabulary=CF-1.10;title=' || title AS attrs_text
 FROM valid""")
 def global_attrs(spark, d):
@@ -233,11 +268,24 @@ def _rule_sql(body: str) -> str:
 _N_SEG = fx._case_sql({k: str(v) for k, v in fx.SEGMENT_N_VARS.items()}, "department")
 
 
+def _found(rule: str, found: list[tuple[str, str, str]]) -> str:
+    """SQL of the findings that the injected problems cause: (problem, location, message) rows of one rule."""
+    rows = [f"SELECT dataset_id, '{rule}' AS rule, '{where}' AS location, '{message}' AS message FROM cat "
+            f"WHERE parsed_ok AND {fx.PROBLEMS[problem]}" for problem, where, message in found]
+    return " UNION ALL ".join(rows)
+
+
 @register("rule_schema", _rule_sql(f"""
 SELECT dataset_id, 'schema' AS rule, 'document' AS location, 'invalid JSON' AS message FROM cat WHERE NOT parsed_ok
-UNION ALL
-SELECT dataset_id, 'schema', 'document', 'unknown keys: colour' FROM cat
-WHERE parsed_ok AND c_custkey % {fx.UNKNOWN_KEY_MOD} = 0"""))
+UNION ALL """ + _found("schema", [
+    ("unknown_key", "document", "unknown keys: colour"),
+    ("bad_date", "deployments[0].end", "end must be a time, got soon"),
+    ("bad_elevation", "deployments[1].elevation", "elevation must be a number, got high"),
+    ("no_title", "metadata", "missing fields: title"),
+    ("bad_access", "access", "access must be one of public|restricted, got secret"),
+    ("bad_publish", "output.publish", "publish must be true or false, got maybe"),
+    ("bad_license", "metadata.license", "license must be text, got 12"),
+])))
 def rule_schema(spark, d):
     return rules.rule_schema(parsed_catalog(spark, d))
 
@@ -245,11 +293,11 @@ def rule_schema(spark, d):
 @register("rule_variable_shape", _rule_sql(f"""
 SELECT dataset_id, 'variable_shape' AS rule, 'variables[' || ({_N_SEG}) || ']' AS location,
   '{M['both_shapes']}' AS message
-FROM cat WHERE parsed_ok AND c_custkey % {fx.BOTH_SHAPES_MOD} = 0
+FROM cat WHERE parsed_ok AND {fx.PROBLEMS['both_shapes']}
 UNION ALL
-SELECT dataset_id, 'member_arity', 'variables[' || ({_N_SEG} + CASE WHEN c_custkey % {fx.BOTH_SHAPES_MOD} = 0
+SELECT dataset_id, 'member_arity', 'variables[' || ({_N_SEG} + CASE WHEN {fx.PROBLEMS['both_shapes']}
   THEN 1 ELSE 0 END) || '].members[0]', '{M['list_value'] % 2}'
-FROM cat WHERE parsed_ok AND c_custkey % {fx.ARITY_MOD} = 0"""))
+FROM cat WHERE parsed_ok AND {fx.PROBLEMS['arity']}"""))
 def rule_variable_shape(spark, d):
     return rules.rule_variable_shape(parsed_catalog(spark, d))
 
@@ -257,39 +305,43 @@ def rule_variable_shape(spark, d):
 @register("rule_name_collision", _rule_sql(f"""
 SELECT dataset_id, 'name_collision' AS rule, 'raw_name:dup_a' AS location,
   {_COLLISION_SQL} AS message
-FROM (SELECT *, {_N_SEG} + CASE WHEN c_custkey % {fx.BOTH_SHAPES_MOD} = 0 THEN 1 ELSE 0 END
-        + CASE WHEN c_custkey % {fx.ARITY_MOD} = 0 THEN 1 ELSE 0 END AS i FROM cat)
-WHERE parsed_ok AND c_custkey % {fx.COLLISION_MOD} = 0"""))
+FROM (SELECT *, {_N_SEG} + CASE WHEN {fx.PROBLEMS['both_shapes']} THEN 1 ELSE 0 END
+        + CASE WHEN {fx.PROBLEMS['arity']} THEN 1 ELSE 0 END AS i FROM cat)
+WHERE parsed_ok AND {fx.PROBLEMS['collision']}"""))
 def rule_name_collision(spark, d):
     return rules.rule_name_collision(parsed_catalog(spark, d))
 
 
-@register("rule_deployments", _rule_sql(f"""
-SELECT dataset_id, 'deployments' AS rule, 'deployments[0]' AS location, '{M['end_before_start']}' AS message
-FROM cat WHERE parsed_ok AND platform_type = 'fixed' AND c_custkey % {fx.END_BEFORE_START_MOD} = 0"""))
+@register("rule_deployments", _rule_sql(_found("deployments", [
+    ("end_before", "deployments[0]", M["end_before_start"]), ("open_first", "deployments[0]", M["open_not_last"])])))
 def rule_deployments(spark, d):
     return rules.rule_deployments(parsed_catalog(spark, d))
 
 
-@register("rule_overlap", _rule_sql(f"""
-SELECT dataset_id, 'overlap' AS rule, 'deployments[0]' AS location,
-  '{M['overlap'] % (0, 1)}' AS message
-FROM cat WHERE parsed_ok AND platform_type = 'fixed' AND c_custkey % {fx.OVERLAP_MOD} = 0
-  AND c_custkey % {fx.END_BEFORE_START_MOD} <> 0"""))
+@register("rule_overlap", _rule_sql(_found("overlap", [
+    ("overlap", "deployments[0]", M["overlap"] % (0, 1)), ("unsorted", "deployments[0]", M["unsorted"])])))
 def rule_overlap(spark, d):
     return rules.rule_overlap(parsed_catalog(spark, d))
 
 
-@register("rule_platform", _rule_sql(f"""
-SELECT dataset_id, 'platform' AS rule, 'deployments[0]' AS location,
-  '{M['fixed_only_fields']}' AS message
-FROM cat WHERE parsed_ok AND platform_type = 'mobile' AND c_custkey % {fx.MOBILE_POSITION_MOD} = 0"""))
+@register("rule_platform", _rule_sql(_found("platform", [
+    ("mobile_position", "deployments[0]", M["fixed_only_fields"]), ("mobile_unnamed", "deployments[0]", M["mobile_needs_platform"]),
+    ("mobile_names", "variables", M["mobile_needs_names"] % "latitude,longitude"),
+    ("no_position", "deployments[0]", M["fixed_needs_position"]), ("fixed_named", "deployments[0]", M["mobile_only_fields"])])))
 def rule_platform(spark, d):
     return rules.rule_platform(parsed_catalog(spark, d))
 
 
+@register("validate_source", _rule_sql(f"""
+SELECT CASE WHEN parsed_ok AND source_type <> 'thingsboard' THEN 'skipped' WHEN {fx.VIOLATION_SQL} THEN 'invalid' ELSE 'valid' END
+  AS status, count(*) AS n_configs FROM cat GROUP BY 1"""))
+def validate_source(spark, d):
+    """The verdicts of one source type; documents of the others are skipped."""
+    return rules.validate_summary(rules.validate_verdicts(parsed_catalog(spark, d), only_source="thingsboard"))
+
+
 @register("validate_summary", _rule_sql(f"""
-SELECT CASE WHEN {_VIOLATION} THEN 'invalid' ELSE 'valid' END AS status, count(*) AS n_configs
+SELECT CASE WHEN {fx.VIOLATION_SQL} THEN 'invalid' ELSE 'valid' END AS status, count(*) AS n_configs
 FROM cat GROUP BY 1"""))
 def validate_summary(spark, d):
     c = parsed_catalog(spark, d)

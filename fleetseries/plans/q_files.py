@@ -17,6 +17,7 @@ from fleetseries.plans.registry import register
 from fleetseries.session import new_scratch_path, path_exists, scratch_path, write_table
 from fleetseries.sources import flat_csv
 from fleetseries.sources import logger_files as lf
+from fleetseries.sources.named_files import write_files
 
 
 @register("file_roles", f"""WITH {fx.RAW_SQL}
@@ -197,8 +198,7 @@ def fixture_root(spark: SparkSession, name: str, d: str) -> str:
 def write_logger_fixture(spark: SparkSession, d: str) -> str:
     """One logger file per (station, file) from events, plus one stray text
     file per 7th station matching the backup pattern. Written once per input
-    folder below the shared folder; the text writer's per-file directories
-    are renamed to the logical file names."""
+    folder below the shared folder."""
     root = fixture_root(spark, "logger_fixture", d)
     if path_exists(spark, root + "/_READY"):
         return root
@@ -245,39 +245,12 @@ def write_logger_fixture(spark: SparkSession, d: str) -> str:
     stray = own_lines(stray_src, F.array(F.lit("this is not a logger file"), F.lit("just notes")))
     lines = own_lines(files, F.array(info, names, units, aggs)).unionByName(body).unionByName(stray)
     first = F.when(F.col("line_no") < 10, F.col("line_no")).otherwise(F.lit(10))
-    staging = root + "/_staging"
-    (lines.withColumn("folder", station_folder(F.col("dataset_id"), F.col("user_id"))).withColumn("first", first)
-     .repartition("file_name").sortWithinPartitions("folder", "file_name", "first", "seq", "line_no")
-     .select("folder", "file_name", "line").write.mode("overwrite").partitionBy("folder", "file_name").text(staging))
-    _rename_partitions(spark, staging, root)
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(root + "/_READY")
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.create(fs_path, True).close()
+    lines = lines.withColumn("path", F.concat(station_folder(F.col("dataset_id"), F.col("user_id")), F.lit("/"), F.col("file_name")))
+    write_files(lines.withColumn("first", first).repartition("path").sortWithinPartitions("path", "first", "seq", "line_no"), root)
+    spark.range(1).write.mode("overwrite").parquet(root + "/_READY")
     return root
 
 
-def _rename_partitions(spark, staging: str, root: str) -> None:
-    """Move ``staging/folder=X/file_name=Y/part-*`` to ``root/X/Y``
-    (file-system metadata operations only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(staging).getFileSystem(conf)
-    for folder in fs.listStatus(Path(staging)):
-        if not folder.getPath().getName().startswith("folder="):
-            continue
-        name = folder.getPath().getName().split("=", 1)[1]
-        fs.mkdirs(Path(f"{root}/{name}"))
-        for f_status in fs.listStatus(folder.getPath()):
-            fname = f_status.getPath().getName().split("=", 1)[1]
-            parts = [p for p in fs.listStatus(f_status.getPath()) if p.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise RuntimeError(f"{fname}: {len(parts)} parts written, one expected")
-            fs.rename(parts[0].getPath(), Path(f"{root}/{name}/{fname}"))
-    fs.delete(Path(staging), True)
-
-
 def logger_files(spark, d):
     """The fixture's folder and its listing: logger files and strays."""
     root = write_logger_fixture(spark, d)

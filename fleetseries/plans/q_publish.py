@@ -60,11 +60,7 @@ SELECT 'cust' || c.c_custkey AS dataset_id, l.latest_complete_month,
   CASE WHEN l.latest_complete_month IS NOT NULL
        THEN '/publish/cust' || c.c_custkey || '/' || l.latest_complete_month END AS download_url
 FROM catx c LEFT JOIN lat l ON l.dataset_id = 'cust' || c.c_custkey
-WHERE c.publish AND c.parsed_ok AND NOT (c.c_custkey % {fx.UNKNOWN_KEY_MOD} = 0 OR c.c_custkey % {fx.BOTH_SHAPES_MOD} = 0
-  OR c.c_custkey % {fx.ARITY_MOD} = 0 OR c.c_custkey % {fx.COLLISION_MOD} = 0
-  OR (c.platform_type = 'fixed' AND (c.c_custkey % {fx.END_BEFORE_START_MOD} = 0
-  OR c.c_custkey % {fx.OVERLAP_MOD} = 0))
-  OR (c.platform_type = 'mobile' AND c.c_custkey % {fx.MOBILE_POSITION_MOD} = 0))""")
+WHERE c.publish AND NOT {fx.VIOLATION_SQL}""")
 def publish_listing(spark, d):
     return pub.publish_listing(valid_catalog(spark, d), fx.order_coverage(spark, d), NOW)
 

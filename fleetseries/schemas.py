@@ -95,32 +95,32 @@ KNOWN_VARIABLES = [
     ("PAR_Avg", "surface_downwelling_photosynthetic_radiative_flux_in_air", "micromol/m2/s"),
 ]
 
-# Messages and text formats as the reproduced behaviour reports them (validation
-# findings, data-quality warning, history line, header check reasons).
+# Messages of the validation findings and of the header check (own wording).
 MESSAGES = {
-    "both_shapes": "a variable cannot set both raw_name and extra_dimension",
-    "no_shape": "a variable must set either raw_name or extra_dimension+members",
-    "no_dimension": "extra_dimension, if given, must declare at least one dimension",
-    "no_member": "extra_dimension variables require at least one member",
-    "no_standard_name": "extra_dimension variables require standard_name",
-    "scalar_value": "dimension_value must be a scalar",
-    "list_value": "dimension_value must be a list of %d values",
-    "raw_collision": "raw column '%s' is mapped by variables[%d] and variables[%d]",
-    "no_deployment": "at least one deployment is required",
-    "end_before_start": "end must be after start",
-    "open_not_last": "only the last deployment may be open-ended",
-    "unsorted": "deployments must be sorted by start ascending",
-    "overlap": "deployments[%d] and deployments[%d] overlap",
-    "fixed_needs_position": "fixed platform requires lat and lon",
-    "mobile_only_fields": "platform_name/instrument_config are mobile-only fields",
-    "mobile_needs_platform": "mobile platform requires platform_name",
-    "fixed_only_fields": "lat/lon/elevation are fixed-only fields",
-    "mobile_needs_names": "mobile datasets must map variables with standard_name %s",
+    "both_shapes": "raw_name and extra_dimension exclude each other",
+    "no_shape": "neither raw_name nor extra_dimension is given",
+    "no_dimension": "extra_dimension is an empty list",
+    "no_member": "a stacked variable has no members",
+    "no_standard_name": "a stacked variable needs a standard_name",
+    "scalar_value": "one dimension is declared, the member gives a list",
+    "list_value": "%d dimensions are declared, the member does not give as many values",
+    "raw_collision": "column %s belongs to variable %d and to variable %d",
+    "no_deployment": "there is no deployment",
+    "end_before_start": "the window ends before or when it starts",
+    "open_not_last": "an open window is followed by another",
+    "unsorted": "the next window starts earlier",
+    "overlap": "windows %d and %d share time",
+    "fixed_needs_position": "a fixed platform has no lat or no lon",
+    "mobile_only_fields": "a fixed platform names a platform or an instrument set",
+    "mobile_needs_platform": "a mobile platform has no platform_name",
+    "fixed_only_fields": "a mobile platform has a fixed position",
+    "mobile_needs_names": "a mobile platform has no variable for %s",
+    "header_short": "fewer than 4 header rows",
+    "header_fields": "%d fields expected in the first row, %d found",
+    "header_marker": "the first row starts with another marker: ",
+    # text formats of output attributes (fixed values)
     "quality_warning": "%s: %d value(s) could not be parsed as numeric and were set to NaN (examples: %s)",
     "history": "%sZ: generated by %s %s for dataset '%s' using config version %s",
-    "header_short": "fewer than 4 header rows",
-    "header_fields": "expected %d fields in the info row, found %d",
-    "header_marker": "expected TOA5 marker, found ",
 }
 
 # Config enumerations and defaults.
@@ -133,22 +133,53 @@ SOFTWARE_NAME = "fleetseries"
 SOFTWARE_VERSION = "0.1.0"
 HISTORY_HASH_CHARS = 12
 
-# Allowed keys per config object (unknown keys are rejected, except metadata).
-CONFIG_KEYS = {
-    "root": ["id", "source_type", "access", "source_config", "variables", "platform_type",
-             "deployments", "metadata", "output"],
-    "root_required": ["id", "source_type", "access", "source_config", "variables",
-                      "platform_type", "deployments", "metadata", "output"],
-    "variable": ["raw_name", "old_names", "standard_name", "units", "dtype",
-                 "extra_dimension", "members"],
-    "deployment": ["start", "end", "lat", "lon", "elevation", "platform_name",
-                   "instrument_config", "notes"],
-    "output": ["file_naming", "publish"],
-    "loggernet": ["file_pattern", "timestamp_column", "table_name", "historical_suffix",
-                  "record_column", "cache_enabled"],
-    "generic_csv": ["file_path", "timestamp_column", "cache_enabled"],
-    "thingsboard": ["device_name"],
+# Declared fields of each kind of config object: name, type, required, null allowed, choices.
+_ANY: tuple[str, ...] = ()
+CONFIG_FIELDS = {
+    "document": [
+        ("id", "text", True, False, _ANY), ("source_type", "choice", True, False, SOURCE_TYPES),
+        ("access", "choice", True, False, ACCESS_LEVELS), ("source_config", "object", True, False, _ANY),
+        ("variables", "list", True, False, _ANY), ("platform_type", "choice", True, False, PLATFORM_TYPES),
+        ("deployments", "list", True, False, _ANY), ("metadata", "object", True, False, _ANY),
+        ("output", "object", True, False, _ANY),
+    ],
+    "loggernet": [
+        ("file_pattern", "text", True, False, _ANY), ("timestamp_column", "text", False, False, _ANY),
+        ("table_name", "text", False, True, _ANY), ("historical_suffix", "text", False, False, _ANY),
+        ("record_column", "text", False, False, _ANY), ("cache_enabled", "flag", False, False, _ANY),
+    ],
+    "generic_csv": [
+        ("file_path", "text", True, False, _ANY), ("timestamp_column", "text", False, False, _ANY),
+        ("cache_enabled", "flag", False, False, _ANY),
+    ],
+    "thingsboard": [("device_name", "text", True, False, _ANY)],
+    "variable": [
+        ("raw_name", "text", False, True, _ANY), ("old_names", "names", False, False, _ANY),
+        ("standard_name", "text", False, True, _ANY), ("units", "text", False, True, _ANY),
+        ("dtype", "choice", False, False, DTYPES), ("extra_dimension", "dimensions", False, True, _ANY),
+        ("members", "list", False, False, _ANY),
+    ],
+    "dimension": [("name", "text", True, False, _ANY), ("units", "text", True, False, _ANY)],
+    "member": [("raw_name", "text", True, False, _ANY), ("dimension_value", "value", True, False, _ANY)],
+    "deployment": [
+        ("start", "time", True, False, _ANY), ("end", "time", False, True, _ANY),
+        ("lat", "number", False, True, _ANY), ("lon", "number", False, True, _ANY),
+        ("elevation", "number", False, True, _ANY), ("platform_name", "text", False, True, _ANY),
+        ("instrument_config", "text", False, True, _ANY), ("notes", "text", False, True, _ANY),
+    ],
+    "metadata": [
+        ("title", "text", True, False, _ANY), ("institution", "text", False, True, _ANY),
+        ("license", "text", False, True, _ANY), ("naming_authority", "text", False, True, _ANY),
+        ("standard_name_vocabulary", "text", False, False, _ANY),
+    ],
+    "output": [("file_naming", "text", True, False, _ANY), ("publish", "flag", False, False, _ANY)],
 }
+TRUE_TEXTS = ["1", "true", "yes", "on", "t", "y"]
+FALSE_TEXTS = ["0", "false", "no", "off", "f", "n"]
+OPEN_KINDS = ["metadata"]  # kinds that keep further keys
+VALUE_KINDS = {"text": "text", "number": "a number", "time": "a time", "flag": "true or false", "list": "a list",
+               "names": "a list of texts", "object": "an object", "dimensions": "an object or a list",
+               "value": "a number, a text or a list", "choice": "one of its values"}
 
 # --- schemas -----------------------------------------------------------------
 DIM = T.StructType([
@@ -253,9 +284,10 @@ CONFIG_DOC = T.StructType([
     T.StructField("deployments", T.ArrayType(T.StructType([
         T.StructField("start", T.StringType()),
         T.StructField("end", T.StringType()),
-        T.StructField("lat", T.DoubleType()),
-        T.StructField("lon", T.DoubleType()),
-        T.StructField("elevation", T.DoubleType()),
+        # numbers may be written as text
+        T.StructField("lat", T.StringType()),
+        T.StructField("lon", T.StringType()),
+        T.StructField("elevation", T.StringType()),
         T.StructField("platform_name", T.StringType()),
         T.StructField("instrument_config", T.StringType()),
         T.StructField("notes", T.StringType()),
@@ -263,6 +295,6 @@ CONFIG_DOC = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("output", T.StructType([
         T.StructField("file_naming", T.StringType()),
-        T.StructField("publish", T.BooleanType()),
+        T.StructField("publish", T.StringType()),
     ])),
 ])

@@ -31,14 +31,20 @@ def _file_system(root: str) -> fs.FileSystem:
     return fs.FileSystem.from_uri(root)[0]
 
 
-def open_input(path: str) -> pa.NativeFile:
-    """A file of a listing, open for random reads."""
+def resolve(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path of a listing, and the path within it."""
     if not re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", path) or path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:(//)?(?=/)", "", path))
+        return fs.LocalFileSystem(), re.sub(r"^file:(//)?(?=/)", "", path)
     scheme, rest = path.split("://", 1)
     host, _, key = rest.partition("/")
     store = _file_system(f"{scheme}://{quote(host, safe='@:')}/")
-    return store.open_input_file(f"{host}/{key}" if scheme in ("s3", "gs", "gcs") else f"/{key}")
+    return store, f"{host}/{key}" if scheme in ("s3", "gs", "gcs") else f"/{key}"
+
+
+def open_input(path: str) -> pa.NativeFile:
+    """A file of a listing, open for random reads."""
+    store, inner = resolve(path)
+    return store.open_input_file(inner)
 
 
 def _head(path: str, n: int, expected: bytes) -> tuple[list[bytes], int, int]:

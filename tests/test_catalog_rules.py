@@ -46,35 +46,35 @@ def test_valid_config_has_no_findings(spark):
 @pytest.mark.parametrize("change,rule,fragment", [
     ({"variables": [{"raw_name": "A", "extra_dimension": {"name": "h", "units": "m"},
                      "members": [{"raw_name": "B", "dimension_value": 1}], "standard_name": "s"}]},
-     "variable_shape", "both"),
-    ({"variables": [{"standard_name": "s"}]}, "variable_shape", "either"),
+     "variable_shape", "exclude each other"),
+    ({"variables": [{"standard_name": "s"}]}, "variable_shape", "neither"),
     ({"variables": [{"extra_dimension": [], "members": [], "standard_name": "s"}]}, "variable_shape",
-     "at least one dimension"),
+     "empty list"),
     ({"variables": [{"extra_dimension": {"name": "h", "units": "m"}, "members": [], "standard_name": "s"}]},
-     "variable_shape", "at least one member"),
+     "variable_shape", "no members"),
     ({"variables": [{"extra_dimension": {"name": "h", "units": "m"},
                      "members": [{"raw_name": "B", "dimension_value": 1}]}]}, "variable_shape", "standard_name"),
     ({"variables": [{"extra_dimension": {"name": "h", "units": "m"}, "standard_name": "s",
-                     "members": [{"raw_name": "B", "dimension_value": [1, 2]}]}]}, "member_arity", "scalar"),
+                     "members": [{"raw_name": "B", "dimension_value": [1, 2]}]}]}, "member_arity", "one dimension"),
     ({"variables": [{"extra_dimension": [{"name": "h", "units": "m"}, {"name": "c", "units": ""}],
                      "standard_name": "s", "members": [{"raw_name": "B", "dimension_value": 1}]}]},
-     "member_arity", "list of 2"),
+     "member_arity", "2 dimensions"),
     ({"variables": [{"raw_name": "A"}, {"raw_name": "B", "old_names": ["A"]}]}, "name_collision",
-     "variables[0] and variables[1]"),
-    ({"deployments": []}, "deployments", "at least one"),
+     "variable 0 and to variable 1"),
+    ({"deployments": []}, "deployments", "no deployment"),
     ({"deployments": [{"start": "2021-01-01T00:00:00", "end": "2020-01-01T00:00:00", "lat": 1, "lon": 1}]},
-     "deployments", "end must be after start"),
+     "deployments", "ends before"),
     ({"deployments": [{"start": "2020-01-01T00:00:00", "lat": 1, "lon": 1},
-                      {"start": "2021-01-01T00:00:00", "lat": 1, "lon": 1}]}, "deployments", "open-ended"),
+                      {"start": "2021-01-01T00:00:00", "lat": 1, "lon": 1}]}, "deployments", "open window"),
     ({"deployments": [{"start": "2021-01-01T00:00:00", "end": "2021-02-01T00:00:00", "lat": 1, "lon": 1},
-                      {"start": "2020-01-01T00:00:00", "lat": 1, "lon": 1}]}, "overlap", "sorted"),
+                      {"start": "2020-01-01T00:00:00", "lat": 1, "lon": 1}]}, "overlap", "starts earlier"),
     ({"deployments": [{"start": "2020-01-01T00:00:00", "end": "2021-02-01T00:00:00", "lat": 1, "lon": 1},
-                      {"start": "2021-01-01T00:00:00", "lat": 1, "lon": 1}]}, "overlap", "overlap"),
-    ({"deployments": [{"start": "2020-01-01T00:00:00", "lon": 1}]}, "platform", "requires lat and lon"),
+                      {"start": "2021-01-01T00:00:00", "lat": 1, "lon": 1}]}, "overlap", "share time"),
+    ({"deployments": [{"start": "2020-01-01T00:00:00", "lon": 1}]}, "platform", "no lat or no lon"),
     ({"deployments": [{"start": "2020-01-01T00:00:00", "lat": 1, "lon": 1, "platform_name": "p"}]},
-     "platform", "mobile-only"),
+     "platform", "names a platform"),
     ({"platform_type": "mobile", "deployments": [{"start": "2020-01-01T00:00:00"}]}, "platform",
-     "requires platform_name"),
+     "no platform_name"),
     ({"platform_type": "mobile", "deployments": [{"start": "2020-01-01T00:00:00", "platform_name": "p"}]},
      "platform", "latitude,longitude"),
     ({"colour": "red"}, "schema", "unknown keys: colour"),
@@ -88,6 +88,59 @@ def test_reject_cases(spark, change, rule, fragment):
     assert any(r == rule and fragment in m for r, _, m in got), got
 
 
+@pytest.mark.parametrize("change,location,fragment", [
+    ({"deployments": [{"start": "2020-01-01T00:00:00", "end": "soon", "lat": 1, "lon": 1}]}, "deployments[0].end", "a time, got soon"),
+    ({"deployments": [{"end": None, "lat": 1, "lon": 1}]}, "deployments[0]", "missing fields: start"),
+    ({"deployments": [{"start": "2020-01-01T00:00:00", "lat": [1], "lon": 1}]}, "deployments[0].lat", "a number, got array"),
+    ({"deployments": "none"}, "deployments", "a list, got none"),
+    ({"variables": ["T"]}, "variables[0]", "must be an object"),
+    ({"variables": [{"raw_name": "A", "old_names": ["x", 1]}]}, "variables[0].old_names", "a list of texts"),
+    ({"variables": [{"raw_name": None, "standard_name": "s", "extra_dimension": {"name": "h"},
+                     "members": [{"raw_name": "B", "dimension_value": None}]}]}, "variables[0].members[0].dimension_value", "got null"),
+    ({"variables": [{"standard_name": "s", "extra_dimension": {"name": "h"},
+                     "members": [{"raw_name": "B", "dimension_value": 1}]}]}, "variables[0].extra_dimension", "missing fields: units"),
+    ({"metadata": {"title": 5}}, "metadata.title", "text, got 5"),
+    ({"output": {"file_naming": "x", "publish": "perhaps"}}, "output.publish", "true or false, got perhaps"),
+    ({"source_config": {"table_name": "x"}}, "source_config", "missing fields: file_pattern"),
+    ({"source_type": "generic_csv", "source_config": {"file_path": "a.csv", "cache_enabled": []}}, "source_config.cache_enabled", "got array"),
+    ({"id": 7}, "id", "text, got 7"),
+])
+def test_typed_schema_walk(spark, change, location, fragment):
+    doc = variant()
+    doc.update(change)
+    got = findings(spark, doc)
+    assert any(r == "schema" and where == location and fragment in m for r, where, m in got), got
+
+
+def test_accepted_forms(spark):
+    doc = variant(metadata={"title": "T", "license": "x", "extra": {"deep": [1]}}, output={"file_naming": "x", "publish": "yes"},
+                  deployments=[{"start": "2020-01-01T00:00:00Z", "end": None, "lat": "78.5", "lon": 15, "elevation": None, "notes": None}])
+    assert findings(spark, doc) == []
+    assert findings(spark, '{"id": "a", "id": "b"}')[-1] == ("schema", "document", "repeated keys")
+
+
+def test_bad_date_leaves_other_datasets_alone(spark):
+    from datetime import datetime
+
+    from fleetseries.plans.build import build_fleet, catalog_deployments
+
+    bad = variant(deployments=[{"start": "2020-01-01T00:00:00", "end": "soon", "lat": 1.0, "lon": 2.0}])
+    cat = catalog(spark, {"good": BASE, "bad": bad})
+    assert {r["dataset_id"] for r in catalog_deployments(cat).collect()} == {"good"}
+    raw = spark.createDataFrame(
+        [(d, f"{d}/x.dat", 0, 1, datetime(2020, 5, 1), {"AirT_C": "1.5"}) for d in ("good", "bad")],
+        "dataset_id string, file_name string, block_start bigint, row_pos bigint, time timestamp_ntz, cells map<string,string>")
+    got = {r["dataset_id"]: (r["value_num"], r["latitude"]) for r in build_fleet(raw, cat).collect()}
+    assert got == {"good": (1.5, 78.0), "bad": (1.5, None)}
+
+
+def test_canonical_json_ignores_order_and_number_forms(spark):
+    texts = ['{"b": 1.50, "a": {"z": [1, 2.0], "y": "\\u00fc"}}', '{"a":{"y":"ü","z":[1,2]},"b":1.5}', '{"a":{"y":"ü","z":[2,1]},"b":1.5}', "no json"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "dataset_id string, content string")
+    h = {r["dataset_id"]: r["hash"] for r in C.config_hash_sorted(rows).collect()}
+    assert h["0"] == h["1"] != h["2"] and h["3"] == {r["dataset_id"]: r["hash"] for r in C.config_hash(rows).collect()}["3"]
+
+
 def test_metadata_keeps_extra_keys_and_broken_documents_are_skipped(spark):
     c = catalog(spark, {"ok": BASE, "broken": '{"id": "x", "oops'})
     rows = {r["dataset_id"]: r for r in c.collect()}
