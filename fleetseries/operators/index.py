@@ -1,7 +1,7 @@
 """Incremental file index: which files to (re)parse, state transitions, merge.
 
-The listing side carries a change token per file (size for logger files,
-modification time for flat CSV, newest timestamp for telemetry keys).
+The listing carries a change token per entry in ``size`` (``with_change_token``):
+bytes for logger files, modification time for flat CSV, newest reading for devices.
 """
 
 from __future__ import annotations
@@ -12,6 +12,37 @@ from pyspark.sql import functions as F
 from fleetseries.schemas import FILE_INDEX
 
 
+def with_change_token(listing: DataFrame) -> DataFrame:
+    """``size`` becomes the change token of each entry's source type: bytes of a logger file,
+    modification time (microseconds) of a flat CSV file, newest reading (epoch milliseconds) of a
+    device, 0 for a device without readings.
+
+    ``listing`` has source_type, size, modified (timestamp) and last_ts_ms.
+    """
+    source = F.col("source_type")
+    token = (F.when(source == "generic_csv", F.unix_micros(F.col("modified").cast("timestamp")))
+             .when(source == "thingsboard", F.coalesce("last_ts_ms", F.lit(0)))
+             .otherwise(F.col("size")))
+    return listing.withColumn("size", token.cast("bigint"))
+
+
+def device_bounds(latest: DataFrame, previous: DataFrame) -> DataFrame:
+    """Index bounds of telemetry devices from their newest readings (device, key, last_ts_ms, created_ms).
+
+    The first known start stays (the device's creation at first); the end is the newest reading.
+    """
+    def instant(ms):
+        return F.timestamp_millis(ms).cast("timestamp_ntz")
+
+    now = latest.groupBy(F.col("device").alias("dataset_id")).agg(
+        instant(F.max("last_ts_ms")).alias("time_end"), instant(F.min("created_ms")).alias("created"),
+        F.sort_array(F.collect_set("key")).alias("variables"))
+    known = previous.select("dataset_id", F.col("time_start").alias("known_start"))
+    return now.join(known, "dataset_id", "left").select(
+        "dataset_id", F.col("dataset_id").alias("file_name"), F.coalesce("known_start", "created").alias("time_start"),
+        "time_end", "variables")
+
+
 def refresh_actions(listing: DataFrame, previous: DataFrame) -> DataFrame:
     """Decide per listed file: ``parse`` / ``reuse`` / ``close``.
 
@@ -42,11 +73,6 @@ def refresh_actions(listing: DataFrame, previous: DataFrame) -> DataFrame:
     return j.withColumn("action", action).withColumn("status", status)
 
 
-def files_to_parse(actions: DataFrame) -> DataFrame:
-    """Anti-join form: listed files without a closed, unchanged index entry."""
-    return actions.filter(F.col("action") == "parse").select("dataset_id", "file_name", "file_role", "size")
-
-
 def refreshed_index(actions: DataFrame, parsed_bounds: DataFrame) -> DataFrame:
     """New index rows: parsed files take fresh bounds, the others keep theirs."""
     pb = parsed_bounds.select("dataset_id", "file_name",

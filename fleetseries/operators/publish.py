@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetseries.functions.scalar import add_months_ntz, month_start, ts_lit
+from fleetseries.schemas import SOFTWARE_VERSION
+from fleetseries.session import path_exists
+from fleetseries.sources.state import StateTable
 
 
 def month_bounds(period_start: Column) -> tuple[Column, Column]:
@@ -105,30 +110,60 @@ def select_month(built: DataFrame, pending: DataFrame, half_open: bool = False)
     return b.join(p, on=["dataset_id", "month_start"], how="inner")
 
 
-def write_month_partitions(rows: DataFrame, data_root: str, log_path: str, run_id: str,
-                           created_at: datetime | str) -> str:
-    """Immutable monthly output: write this run's rows under a run-specific
-    location, partitioned by (dataset_id, period), then append one log row per
-    (dataset, period). The log append is the commit point: readers join through
-    the log, so a failed run leaves nothing visible and a rerun writes a new
-    location. Returns the run location."""
-    target = f"{data_root.rstrip('/')}/run={run_id}"
-    (rows.repartition("dataset_id", "period")
-     .write.mode("errorifexists").partitionBy("dataset_id", "period").parquet(target))
-    name = F.col("file_name") if "file_name" in rows.columns else F.lit(None).cast("string")
-    log = rows.groupBy("dataset_id", "period").agg(
-        F.first(name, ignorenulls=True).alias("file_name"),
-        F.count(F.lit(1)).alias("n_rows"),
-    ).select("dataset_id", "period", "file_name", "n_rows",
-             F.lit(target).alias("location"), ts_lit(created_at).alias("created_at"))
-    log.write.mode("append").parquet(log_path)
-    return target
-
-
-def published_rows(spark, log_path: str) -> DataFrame:
-    """Rows of every committed (logged) period, read through the log."""
-    log = spark.read.parquet(log_path).select("dataset_id", "period", "location").distinct()
-    locations = [r["location"] for r in log.select("location").distinct().collect()]  # one per run
-    base = locations[0].rsplit("/run=", 1)[0]  # every run lives below the same data root
-    data = spark.read.option("basePath", base).parquet(*locations).drop("run")
-    return data.join(log.drop("location"), ["dataset_id", "period"], "left_semi")
+LOG_SCHEMA = ("dataset_id string, period string, file_name string, n_rows bigint, config_hash string, "
+              "software_version string, run string, created_at timestamp_ntz")
+
+
+def publish_periods(built: DataFrame, settled: DataFrame, names: DataFrame, versions: DataFrame, log: StateTable,
+                    data_root: str, now: datetime | str, run: str | None = None, half_open: bool = False) -> int:
+    """Build and commit every settled month that the log does not have; returns the log's version.
+
+    ``names`` has dataset_id and template (file naming), ``versions`` dataset_id and
+    hash (current config). The rows of the pending months are written once, to a
+    folder of this run; the log rows (one per dataset and month) are made from
+    what was written and committed against the version that told what was
+    pending. So a run that dies leaves nothing visible, a rerun publishes each
+    month once, and of two runs at a time one fails (``ConcurrentUpdate``).
+    """
+    spark = built.sparkSession
+    version = log.version()
+    pending = pending_periods(settled, log.read(version))
+    rows = select_month(built, pending, half_open).join(names, "dataset_id", "left")
+    template = F.coalesce("template", F.lit("{station}_{yyyy}{mm}"))
+    name = render_file_name(template, F.col("dataset_id"), F.lit(None).cast("string"), F.col("month_start"))
+    rows = rows.withColumn("file_name", name).drop("template", "month_start", "month_end")
+    run = run or uuid.uuid4().hex
+    target = f"{data_root.rstrip('/')}/run={run}"
+    # by month only: a folder per dataset and month would mean a tiny file each. Rebalancing cuts a
+    # large month into several files; the order lets a read of one dataset skip row groups.
+    ordered = rows.hint("rebalance", "period").sortWithinPartitions("period", "dataset_id", "time")
+    ordered.write.mode("errorifexists").partitionBy("period").parquet(target)
+    written = spark.read.schema(rows.schema).parquet(target).groupBy("dataset_id", "period").agg(
+        F.min("file_name").alias("file_name"), F.count("*").alias("n_rows"))
+    entries = written.join(versions.select("dataset_id", F.col("hash").alias("config_hash")), "dataset_id", "left").select(
+        "dataset_id", "period", "file_name", "n_rows", "config_hash", F.lit(SOFTWARE_VERSION).alias("software_version"),
+        F.lit(run).alias("run"), ts_lit(now).alias("created_at"))
+    return log.append(entries, version)
+
+
+def published_rows(log: StateTable, data_root: str, schema) -> DataFrame:
+    """Rows of every committed month, read through the log (``schema``: the columns published)."""
+    spark = log.spark
+    done = log.read().select("dataset_id", "period", "run").distinct()
+    if not path_exists(spark, data_root):
+        return spark.createDataFrame([], schema)
+    names = [f.name for f in schema.fields]
+    whole = T.StructType([*[f for f in schema.fields if f.name != "period"],
+                          T.StructField("run", T.StringType()), T.StructField("period", T.StringType())])
+    data = spark.read.schema(whole).parquet(data_root)
+    return data.join(done, ["run", "dataset_id", "period"], "left_semi").select(*names)
+
+
+def abandoned_runs(log: StateTable, data_root: str) -> DataFrame:
+    """Runs whose folder exists but that the log does not name: they died, or are still writing."""
+    spark = log.spark
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(data_root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []  # one per run
+    runs = spark.createDataFrame([(n.split("=", 1)[1],) for n in names if n.startswith("run=")], "run string")
+    return runs.join(log.read().select("run").distinct(), "run", "left_anti")

@@ -51,11 +51,13 @@ def role_violations(classified: DataFrame) -> DataFrame:
 
 
 def file_bounds(rows: DataFrame) -> DataFrame:
-    """Per file: first/last timestamp and row count (map-side partial aggregation)."""
+    """Per file: first/last timestamp, row count and sorted column names (map-side partial aggregation:
+    a file has few distinct sets of names, so few are gathered)."""
     return rows.groupBy("dataset_id", "file_name").agg(
         F.min("time").alias("time_start"),
         F.max("time").alias("time_end"),
         F.count(F.lit(1)).alias("n_rows"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sort_array(F.map_keys("cells")))))).alias("variables"),
     )
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetseries.operators.index import with_change_token
 from fleetseries.schemas import DEPLOYMENTS
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -250,17 +251,54 @@ def lineitem_files_sql(name: str, before: str | None = None) -> str:
         FROM lineitem {where} GROUP BY l_suppkey, year(l_shipdate)))"""
 
 
+def index_listing(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """Listing of three source types: logger files (supplier and year), one flat CSV file per supplier
+    (modified at its last shipment), one telemetry device per customer (newest order). ``before``: an earlier state."""
+    files = lineitem_files(spark, sf_dir, before).select(
+        "*", F.lit("loggernet").alias("source_type"), F.lit(None).cast("timestamp_ntz").alias("modified"),
+        F.lit(None).cast("bigint").alias("last_ts_ms"))
+    li, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if before is not None:
+        limit = F.lit(before).cast("timestamp_ntz")
+        li, orders = li.filter(F.col("l_shipdate") < limit), orders.filter(F.col("o_orderdate") < limit)
+    csv = li.groupBy("l_suppkey").agg(F.min("l_shipdate").alias("time_start"), F.max("l_shipdate").alias("time_end"),
+                                      F.count("*").alias("size"), F.max("l_shipdate").alias("modified"))
+    csv = csv.select(
+        F.concat(F.lit("csv"), F.col("l_suppkey").cast("string")).alias("dataset_id"),
+        F.concat(F.lit("csv"), F.col("l_suppkey").cast("string"), F.lit(".csv")).alias("file_name"), F.lit("live").alias("file_role"),
+        "size", "time_start", "time_end", F.array(F.lit("l_quantity")).alias("variables"), F.lit("generic_csv").alias("source_type"),
+        F.col("modified").cast("timestamp_ntz").alias("modified"), F.lit(None).cast("bigint").alias("last_ts_ms"))
+    dev = F.concat(F.lit("dev"), F.col("o_custkey").cast("string"))
+    devices = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("time_start"), F.max("o_orderdate").alias("time_end")).select(
+        dev.alias("dataset_id"), dev.alias("file_name"), F.lit("live").alias("file_role"), F.lit(0).cast("bigint").alias("size"),
+        "time_start", "time_end", F.array(F.lit("o_totalprice")).alias("variables"), F.lit("thingsboard").alias("source_type"),
+        F.lit(None).cast("timestamp_ntz").alias("modified"), F.unix_millis(F.col("time_end").cast("timestamp")).alias("last_ts_ms"))
+    return files.unionByName(csv).unionByName(devices)
+
+
+def index_listing_sql(name: str, before: str | None = None) -> str:
+    where = f"WHERE l_shipdate < TIMESTAMP '{before}'" if before else ""
+    owhere = f"WHERE o_orderdate < TIMESTAMP '{before}'" if before else ""
+    return lineitem_files_sql(f"{name}_files", before) + f""",
+{name} AS (
+  SELECT * FROM {name}_files
+  UNION ALL SELECT 'csv' || l_suppkey, 'csv' || l_suppkey || '.csv', 'live', epoch_us(CAST(max(l_shipdate) AS TIMESTAMP)),
+    min(l_shipdate), max(l_shipdate) FROM lineitem {where} GROUP BY l_suppkey
+  UNION ALL SELECT 'dev' || o_custkey, 'dev' || o_custkey, 'live', epoch_ms(CAST(max(o_orderdate) AS TIMESTAMP)),
+    min(o_orderdate), max(o_orderdate) FROM orders {owhere} GROUP BY o_custkey)"""
+
+
 def previous_index(spark: SparkSession, sf_dir: str, before: str) -> DataFrame:
-    """Stored index as of an earlier snapshot: archived closed; live files
-    active for even suppliers, closed for odd ones."""
-    f = lineitem_files(spark, sf_dir, before)
-    supp = F.regexp_extract("dataset_id", r"(\d+)$", 1).cast("bigint")
-    status = F.when(F.col("file_role") == "archived", "closed").when(supp % 2 == 0, "active").otherwise("closed")
+    """Stored index as of an earlier snapshot: archived closed; live entries
+    active for even keys, closed for odd ones."""
+    f = with_change_token(index_listing(spark, sf_dir, before))
+    key = F.regexp_extract("dataset_id", r"(\d+)$", 1).cast("bigint")
+    status = F.when(F.col("file_role") == "archived", "closed").when(key % 2 == 0, "active").otherwise("closed")
     return f.withColumn("status", status)
 
 
 def previous_index_sql(before: str) -> str:
-    return lineitem_files_sql("prevfiles", before) + """,
+    return index_listing_sql("prevfiles", before) + """,
 prev AS (SELECT *, CASE WHEN file_role = 'archived' THEN 'closed'
                    WHEN CAST(substr(dataset_id, 4) AS BIGINT) % 2 = 0 THEN 'active' ELSE 'closed' END AS status
          FROM prevfiles)"""

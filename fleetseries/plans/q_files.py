@@ -14,10 +14,12 @@ from fleetseries.operators import rules
 from fleetseries.plans import fixtures as fx
 from fleetseries.plans.build import build_dataset, file_ranks, ranked_rows
 from fleetseries.plans.registry import register
+from fleetseries.schemas import FILE_INDEX
 from fleetseries.session import new_scratch_path, path_exists, scratch_path, write_table
 from fleetseries.sources import flat_csv
 from fleetseries.sources import logger_files as lf
 from fleetseries.sources.named_files import write_files
+from fleetseries.sources.state import StateTable, update_index
 
 
 @register("file_roles", f"""WITH {fx.RAW_SQL}
@@ -37,10 +39,11 @@ def role_violations(spark, d):
 
 
 @register("file_bounds", f"""WITH {fx.RAW_SQL}
-SELECT dataset_id, file_name, min(time) AS time_start, max(time) AS time_end, count(*) AS n_rows
+SELECT dataset_id, file_name, min(time) AS time_start, max(time) AS time_end, count(*) AS n_rows,
+  string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS variables
 FROM raw GROUP BY dataset_id, file_name""")
 def file_bounds(spark, d):
-    return rec.file_bounds(fx.raw_rows(spark, d))
+    return rec.file_bounds(fx.raw_rows(spark, d)).withColumn("variables", F.array_join("variables", ","))
 
 
 @register("file_rank", f"""WITH {fx.FILES_SQL}
@@ -115,7 +118,7 @@ def time_coverage(spark, d):
 
 
 BEFORE = "2001-06-01 00:00:00"
-_ACTIONS_SQL = f"""{fx.lineitem_files_sql('listing')}, {fx.previous_index_sql(BEFORE)},
+_ACTIONS_SQL = f"""{fx.index_listing_sql('listing')}, {fx.previous_index_sql(BEFORE)},
 act AS (
   SELECT l.*, p.size AS prev_size, p.status AS prev_status, p.time_start AS prev_start, p.time_end AS prev_end,
     CASE WHEN l.file_role = 'archived' AND p.status = 'closed' THEN 'reuse'
@@ -128,7 +131,8 @@ act2 AS (SELECT *, CASE WHEN file_role = 'archived' THEN 'closed' WHEN action =
 
 
 def _actions(spark, d):
-    listing = fx.lineitem_files(spark, d)
+    """Listing of three source types with their change tokens, the stored index, and what to do."""
+    listing = idx.with_change_token(fx.index_listing(spark, d))
     prev = fx.previous_index(spark, d, BEFORE)
     return listing, prev, idx.refresh_actions(listing, prev)
 
@@ -159,8 +163,9 @@ SELECT p.dataset_id, p.file_name, p.file_role, p.size, p.time_start, p.time_end,
 FROM prev p ANTI JOIN upd u USING (dataset_id, file_name)""")
 def index_merge(spark, d):
     listing, prev, act = _actions(spark, d)
-    updates = idx.refreshed_index(act, listing)
-    merged = idx.merge_index(prev, updates)
+    index = StateTable(spark, new_scratch_path(spark, "file_index"), FILE_INDEX)
+    stored = index.replace(prev, 0)
+    merged = index.read(update_index(index, idx.refreshed_index(act, listing), stored))
     return merged.select("dataset_id", "file_name", "file_role", "size", "time_start", "time_end", "status")
 
 
@@ -354,24 +359,41 @@ def rule_file_headers(spark, d):
     return bad.select("dataset_id", _base(F.col("location")).alias("file_name"), "rule", "message")
 
 
+CSV_ODD, CSV_EVEN = ["timestamp", "temp", "humidity"], ["gust", "humidity", "timestamp", "temp"]
+
+
+def write_csv_fixture(spark: SparkSession, d: str) -> str:
+    """One CSV file per station from events; even stations have a further column and another order."""
+    root = fixture_root(spark, "flat_csv_fixture", d)
+    if path_exists(spark, root + "/_READY"):
+        return root
+    ev = fx.table(spark, d, "events")
+    even = F.col("user_id") % 2 == 0
+    cells = {"timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "temp": F.col("value").cast("string"),
+             "humidity": F.get_json_object("props", "$.k"), "gust": _q(F.concat(F.lit("g,"), F.col("event_id").cast("string")))}
+
+    def line(names):
+        return F.concat_ws(",", *[cells[c] for c in names])
+
+    path = F.concat(F.lit("st"), F.col("user_id").cast("string"), F.lit(".csv")).alias("path")
+    body = ev.select(path, F.col("event_id").alias("seq"), F.when(even, line(CSV_EVEN)).otherwise(line(CSV_ODD)).alias("line"))
+    head = ev.select(path, F.lit(-1).cast("bigint").alias("seq"),
+                     F.when(even, ",".join(CSV_EVEN)).otherwise(",".join(CSV_ODD)).alias("line")).distinct()
+    write_files(head.unionByName(body).repartition("path").sortWithinPartitions("path", "seq"), root)
+    spark.range(1).write.mode("overwrite").parquet(root + "/_READY")
+    return root
+
+
 @register("csv_scan", """SELECT 'st' || user_id AS dataset_id, date_trunc('second', ts) AS time,
-  value AS temp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS humidity FROM events""")
+  value AS temp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS humidity,
+  CASE WHEN user_id % 2 = 0 THEN 'g,' || event_id END AS gust FROM events""")
 def csv_scan(spark, d):
-    tag = d.rstrip("/").split("/")[-1]
-    root = scratch_path(spark, "flat_csv_fixture", tag)
-    if not path_exists(spark, root + "/_SUCCESS"):
-        ev = fx.table(spark, d, "events")
-        (ev.select(F.concat(F.lit("st"), F.col("user_id").cast("string")).alias("station"),
-                   F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-                   F.col("value").cast("string").alias("temp"),
-                   F.get_json_object("props", "$.k").alias("humidity"))
-         .write.mode("overwrite").partitionBy("station").option("header", True).csv(root))
-    df = flat_csv.read_flat_csv(spark, root + "/station=*/*.csv", "timestamp")
+    files = lf.list_files(spark, write_csv_fixture(spark, d)).filter(F.col("file_name").endswith(".csv"))
+    df = flat_csv.scan_flat_csv(write_table(flat_csv.scan_headers(files), "csv_headers"))
+    c = F.col("cells")
     return df.select(
-        F.regexp_extract("file_name", r"station=([^/]+)/", 1).alias("dataset_id"), "time",
-        F.col("cells")["temp"].cast("double").alias("temp"),
-        F.col("cells")["humidity"].cast("bigint").alias("humidity"),
-    )
+        F.regexp_extract("file_name", r"/([^/]+)\.csv$", 1).alias("dataset_id"), "time",
+        c["temp"].cast("double").alias("temp"), c["humidity"].cast("bigint").alias("humidity"), c["gust"].alias("gust"))
 
 
 @register("logger_quality", f"""SELECT {_FILE_SQL} AS file_name, count(*) + count(*) FILTER (WHERE event_id % {UNDATED_MOD} = 0) AS n_rows,

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetseries.operators import publish as pub
 from fleetseries.plans import fixtures as fx
-from fleetseries.plans.q_catalog import valid_catalog
+from fleetseries.plans.build import build_dataset
+from fleetseries.plans.q_catalog import CURRENT_SQL, current_versions, valid_catalog
 from fleetseries.plans.registry import register
+from fleetseries.session import new_scratch_path
+from fleetseries.sources.state import StateTable
 
 NOW = "2000-06-15 00:00:00"
 LOG_BEFORE = "1998-01"
@@ -82,19 +86,32 @@ def publish_pending(spark, d):
 
 
 TEMPLATE = "{station}_{yyyy}{mm}.nc"
+ORDER_SPECS = [{"raw_name": "Total", "standard_name": "total_price"}]
 
 
-@register("publish_month", f"""WITH {PENDING_SQL}
-SELECT p.dataset_id, p.period, o.o_orderkey,
-  p.dataset_id || '_' || strftime(p.month_start, '%Y%m') || '.nc' AS file_name
-FROM pending p JOIN orders o ON 'cust' || o.o_custkey = p.dataset_id
-  AND o.o_orderdate >= p.month_start AND o.o_orderdate <= p.month_end""")
+@register("publish_month", f"""WITH {PENDING_SQL}, {CURRENT_SQL},
+last AS (SELECT 'cust' || o_custkey AS dataset_id, o_orderdate AS time, arg_max(o_totalprice, o_orderkey) AS total_price
+         FROM orders GROUP BY o_custkey, o_orderdate)
+SELECT p.dataset_id, p.period, l.time, l.total_price,
+  p.dataset_id || '_' || strftime(p.month_start, '%Y%m') || '.nc' AS file_name,
+  count(*) OVER (PARTITION BY p.dataset_id, p.period) AS n_rows, c.hash AS config_hash
+FROM pending p JOIN last l ON l.dataset_id = p.dataset_id AND l.time >= p.month_start AND l.time <= p.month_end
+JOIN cur c ON c.dataset_id = p.dataset_id""")
 def publish_month(spark, d):
-    pending = pub.pending_periods(settled(spark, d), publish_log(spark, d))
-    o = fx.table(spark, d, "orders").select(
-        F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("dataset_id"),
-        "o_orderkey", F.col("o_orderdate").alias("time"))
-    rows = pub.select_month(o, pending)
-    name = pub.render_file_name(F.lit(TEMPLATE), F.col("dataset_id"), F.lit(None).cast("string"),
-                                F.col("month_start"))
-    return rows.select("dataset_id", "period", "o_orderkey", name.alias("file_name"))
+    """Every settled month that was not published before is built, written and logged; the rows are read through the log."""
+    root = new_scratch_path(spark, "published")
+    log = StateTable(spark, root + "/log", pub.LOG_SCHEMA)
+    log.append(publish_log(spark, d).select(
+        "dataset_id", "period", *[F.lit(None).alias(c) for c in ("file_name", "n_rows", "config_hash", "software_version", "run")],
+        F.lit(None).alias("created_at")), 0)
+    o = fx.table(spark, d, "orders")
+    ds = F.concat(F.lit("cust"), F.col("o_custkey").cast("string"))
+    raw = o.select(ds.alias("dataset_id"), F.concat(ds, F.lit("_Min.dat")).alias("file_name"), F.lit(0).cast("bigint").alias("block_start"),
+                   F.col("o_orderkey").alias("row_pos"), F.col("o_orderdate").alias("time"),
+                   F.create_map(F.lit("Total"), F.col("o_totalprice").cast("string")).alias("cells"))
+    built = build_dataset(raw, ORDER_SPECS, None)
+    names = fx.order_coverage(spark, d).select("dataset_id", F.lit(TEMPLATE).alias("template"))
+    pub.publish_periods(built, settled(spark, d), names, current_versions(spark, d), log, root + "/data", NOW)
+    schema = T._parse_datatype_string("dataset_id string, period string, time timestamp_ntz, total_price double, file_name string")
+    entries = log.read().select("dataset_id", "period", "n_rows", "config_hash")
+    return pub.published_rows(log, root + "/data", schema).join(entries, ["dataset_id", "period"])

@@ -2,12 +2,15 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetseries.operators import deployment as D
 from fleetseries.operators import publish as P
 from fleetseries.operators import tracks
 from fleetseries.schemas import DEPLOYMENTS
+from fleetseries.sources.state import StateTable
 
 
 def deps(spark, rows):
@@ -127,21 +130,29 @@ def test_tracks_skip_missing_positions(spark):
     assert (last["latitude"], last["longitude"], last["n_points"]) == (5.0, 6.0, 2)
 
 
-def test_month_partitions_commit_through_log(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "2026-01", 1, "a_202601.nc"), ("a", "2026-01", 2, "a_202601.nc"),
-                                  ("b", "2026-02", 3, "b_202602.nc")],
-                                 "dataset_id string, period string, o int, file_name string")
-    data, log = str(tmp_path / "data"), str(tmp_path / "log")
-    P.write_month_partitions(rows, data, log, "r1", "2026-03-01 00:00:00")
-    got = sorted(r["o"] for r in P.published_rows(spark, log).collect())
-    assert got == [1, 2, 3]
-    lg = {(r["dataset_id"], r["period"]): r["n_rows"] for r in spark.read.parquet(log).collect()}
-    assert lg == {("a", "2026-01"): 2, ("b", "2026-02"): 1}
-    # a second run for a new period appends; the first run's files are untouched
-    more = spark.createDataFrame([("a", "2026-02", 4, "a_202602.nc")], rows.schema)
-    P.write_month_partitions(more, data, log, "r2", "2026-04-01 00:00:00")
-    pending = P.pending_periods(spark.createDataFrame([("a", "2026-01"), ("a", "2026-03")],
-                                                      "dataset_id string, period string"),
-                                spark.read.parquet(log))
-    assert [r["period"] for r in pending.collect()] == ["2026-03"]
-    assert sorted(r["o"] for r in P.published_rows(spark, log).collect()) == [1, 2, 3, 4]
+def test_publish_run_commits_once_and_recovers(spark, tmp_path):
+    data, log = str(tmp_path / "data"), StateTable(spark, str(tmp_path / "log"), P.LOG_SCHEMA)
+    built = spark.createDataFrame([("a", datetime(2026, 1, 5), 1.0), ("a", datetime(2026, 2, 1), 2.0), ("b", datetime(2026, 1, 9), 3.0)],
+                                  "dataset_id string, time timestamp_ntz, v double")
+    names = spark.createDataFrame([("a", "{station}_{yyyy}{mm}.nc")], "dataset_id string, template string")
+    versions = spark.createDataFrame([("a", "hash-a"), ("b", "hash-b")], "dataset_id string, hash string")
+    settled = P.settled_months(cov(spark, [("a", datetime(2026, 1, 5), datetime(2026, 2, 1)), ("b", datetime(2026, 1, 9), datetime(2026, 2, 2))]), "2026-03-01")
+    schema = T._parse_datatype_string("dataset_id string, period string, time timestamp_ntz, v double, file_name string")
+    assert P.published_rows(log, data, schema).count() == 0                # nothing written, empty log
+
+    class Dies(StateTable):
+        def append(self, rows, expected):
+            raise OSError("killed before the commit")
+
+    with pytest.raises(OSError):
+        P.publish_periods(built, settled, names, versions, Dies(spark, log.root, log.schema), data, "2026-03-01", run="dead")
+    assert P.published_rows(log, data, schema).count() == 0
+    assert [r["run"] for r in P.abandoned_runs(log, data).collect()] == ["dead"]
+
+    assert P.publish_periods(built, settled, names, versions, log, data, "2026-03-01") == 1
+    rows = sorted((r["dataset_id"], r["period"], r["v"], r["file_name"]) for r in P.published_rows(log, data, schema).collect())
+    assert rows == [("a", "2026-01", 1.0, "a_202601.nc"), ("a", "2026-01", 2.0, "a_202601.nc"), ("b", "2026-01", 3.0, "b_202601")]
+    logged = sorted((r["dataset_id"], r["period"], r["n_rows"], r["config_hash"]) for r in log.read().collect())
+    assert logged == [("a", "2026-01", 2, "hash-a"), ("b", "2026-01", 1, "hash-b")]
+    P.publish_periods(built, settled, names, versions, log, data, "2026-03-02")   # nothing pending: nothing twice
+    assert P.published_rows(log, data, schema).count() == 3 and log.read().count() == 2

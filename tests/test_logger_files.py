@@ -55,7 +55,7 @@ def test_header_scan_valid_and_reasons(spark, fleet):
     assert h["st1_Min.dat"]["agg_types"] == ["", "", "Avg", "Smp", "Smp"]
     assert not h["st1_Min.dat.backup2"]["valid"] and "marker" in h["st1_Min.dat.backup2"]["reason"]
     assert not h["st1_Min.dat.backup3"]["valid"] and "fewer than 4" in h["st1_Min.dat.backup3"]["reason"]
-    assert not h["st1_Min.dat.backup4"]["valid"] and "found 7" in h["st1_Min.dat.backup4"]["reason"]
+    assert not h["st1_Min.dat.backup4"]["valid"] and "7 found" in h["st1_Min.dat.backup4"]["reason"]
     assert h["st1_Min.dat.backup5"]["valid"]
 
 
@@ -157,16 +157,20 @@ def test_prefix_table_names_do_not_match(spark, tmp_path):
     assert got == ["s_Min.dat", "s_Min_Historical.dat"]
 
 
-def test_flat_csv_inclusive_window(spark, tmp_path):
-    p = tmp_path / "station_x.csv"
-    p.write_text("timestamp,temp,humidity\n" + "\n".join(
+def test_flat_csv_window_and_own_columns_per_file(spark, tmp_path):
+    (tmp_path / "station_x.csv").write_text("timestamp,temp,humidity\n" + "\n".join(
         f"2026-01-01 00:{10 * i:02d}:00,{1.5 + i},{60 + i}" for i in range(5)) + "\n")
-    df = flat_csv.read_flat_csv(spark, str(p))
-    assert df.count() == 5
+    (tmp_path / "y.csv").write_text('\ufeffgust,"temp",timestamp,temp\n"a,b",NA,2026-01-01 00:10:00,7\n1,2,not a time,3\n')
+    (tmp_path / "z.csv").write_text("time,temp\n1,2\n")
+    headers = flat_csv.scan_headers(L.list_files(spark, str(tmp_path)))
+    reasons = {r["file_name"].split("/")[-1]: r["reason"] for r in headers.collect()}
+    assert reasons == {"station_x.csv": None, "y.csv": None, "z.csv": "no column timestamp"}
+    df = flat_csv.scan_flat_csv(headers)
     from fleetseries.operators.reconcile import time_window
-    win = time_window(df, "2026-01-01 00:10:00", "2026-01-01 00:30:00")
-    assert win.count() == 3
-    assert sorted(r["cells"]["humidity"] for r in win.collect()) == ["61", "62", "63"]
+    win = time_window(df, "2026-01-01 00:10:00", "2026-01-01 00:30:00").collect()
+    assert sorted(r["cells"]["humidity"] for r in win if "humidity" in r["cells"]) == ["61", "62", "63"]
+    assert [dict(r["cells"]) for r in win if "gust" in r["cells"]] == [{"gust": "a,b", "temp": None, "temp.1": "7"}]
+    assert df.filter("time is null").count() == 1
 
 
 def test_globs_against_the_standard_library(spark, tmp_path):

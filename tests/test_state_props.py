@@ -1,6 +1,6 @@
 import re
-from datetime import datetime
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,30 +11,41 @@ from fleetseries.schemas import FILE_INDEX, NUMBER_PATTERN
 from fleetseries.sources import state
 
 
-def test_state_tables_round_trip(spark, tmp_path):
-    versions = str(tmp_path / "versions")
+def test_versions_and_index_in_state_tables(spark, tmp_path):
+    versions = state.StateTable(spark, str(tmp_path / "versions"), "dataset_id string, version_id long, hash string, "
+                                                                  "content string, created_at timestamp_ntz")
+    assert versions.version() == 0 and versions.read().count() == 0
     docs = C.config_hash(spark.createDataFrame([("a", '{"id":"a"}')], "dataset_id string, content string"))
-    cur = spark.createDataFrame([], "dataset_id string, version_id long, hash string, content string, "
-                                    "created_at timestamp_ntz")
-    state.append_versions(C.config_changes(cur, docs, "2026-01-01 00:00:00"), versions)
-    stored = spark.read.parquet(versions)
-    assert stored.count() == 1
-    again = C.config_changes(C.current_version(stored), docs, "2026-01-02 00:00:00")
+    state.record_versions(versions, C.config_changes(versions.read(), docs, "2026-01-01 00:00:00"), 0)
+    assert versions.version() == 1 and versions.read().count() == 1
+    again = C.config_changes(C.current_version(versions.read()), docs, "2026-01-02 00:00:00")
     assert again.count() == 0                                    # unchanged hash: no new version
 
-    idx_path = str(tmp_path / "index")
+    index = state.StateTable(spark, str(tmp_path / "index"), FILE_INDEX)
     first = spark.createDataFrame([("a", "f1", "archived", 1, None, None, [], "closed")], FILE_INDEX)
-    first.write.parquet(idx_path)
-    upd = spark.createDataFrame([("a", "f2", "live", 5, None, None, [], "active")], FILE_INDEX)
-    new_path = state.upsert_index(spark, idx_path, upd, FILE_INDEX)
-    assert new_path != idx_path
-    assert sorted(r["file_name"] for r in spark.read.parquet(new_path).collect()) == ["f1", "f2"]
-    assert state.read_table(spark, str(tmp_path / "missing"), FILE_INDEX).count() == 0
-
-    log = str(tmp_path / "log")
-    state.append_publish_log(spark.createDataFrame([("a", "2026-01", datetime(2026, 2, 2))],
-                                                   "dataset_id string, period string, created_at timestamp_ntz"), log)
-    assert spark.read.parquet(log).count() == 1
+    v = index.replace(first, 0)
+    upd = spark.createDataFrame([("a", "f2", "live", 5, None, None, [], "active"), ("a", "f1", "archived", 2, None, None, [], "closed")], FILE_INDEX)
+    v = state.update_index(index, upd, v)
+    assert sorted((r["file_name"], r["size"]) for r in index.read().collect()) == [("f1", 2), ("f2", 5)]
+    assert [(r["file_name"], r["size"]) for r in index.read(1).collect()] == [("f1", 1)]      # earlier versions stay readable
+
+
+def test_two_writers_from_one_version(spark, tmp_path):
+    table = state.StateTable(spark, str(tmp_path / "t"), "x long")
+    other = state.StateTable(spark, str(tmp_path / "t"), "x long")
+    seen = table.version(), other.version()
+    table.append(spark.range(3).withColumnRenamed("id", "x"), seen[0])
+    with pytest.raises(state.ConcurrentUpdate):
+        other.append(spark.range(5).withColumnRenamed("id", "x"), seen[1])
+    assert other.version() == 1 and other.read().count() == 3
+    # both pass the first look, then one puts the snapshot in place before the other
+    late = state.StateTable(spark, str(tmp_path / "t"), "x long")
+    late.version = lambda: 1
+    table.append(spark.range(2).withColumnRenamed("id", "x"), 1)
+    with pytest.raises(state.ConcurrentUpdate):
+        late.append(spark.range(7).withColumnRenamed("id", "x"), 1)
+    assert other.read().count() == 5 and other.version() == 2
+    assert not [p for p in (tmp_path / "t" / "_snapshots").iterdir() if p.name.startswith("_")]
 
 
 _PY = re.compile(NUMBER_PATTERN[4:], re.IGNORECASE)

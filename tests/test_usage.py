@@ -8,6 +8,7 @@ from fleetseries.operators import reconcile as rec
 from fleetseries.plans.build import build_dataset, build_fleet, catalog_deployments
 from fleetseries.sources import catalog_docs
 from fleetseries.sources import logger_files as lf
+from fleetseries.sources.state import StateTable
 
 INFO = '"TOA5","st1","CR1000X","1","OS","prog","2","Min"'
 SPECS = [{"raw_name": "AirT_C", "old_names": ["AirTemp"], "standard_name": "air_temperature", "units": "degC"},
@@ -55,12 +56,12 @@ def test_readme_flow(spark, tmp_path):
     assert export.json_columns(wide, columns).count() == 3
 
     cov = coverage.time_coverage(index)
-    log_path = str(tmp_path / "log")
-    no_log_yet = spark.createDataFrame([], "dataset_id string, period string")
-    pending = publish.pending_periods(publish.settled_months(cov, "2026-06-01"), no_log_yet)
-    assert sorted(r["period"] for r in pending.collect()) == ["2026-01", "2026-02"]
+    settled = publish.settled_months(cov, "2026-06-01")
+    assert sorted(r["period"] for r in settled.collect()) == ["2026-01", "2026-02"]
     full = build_dataset(raw, SPECS, deps, "fixed", file_index=index)
-    publish.write_month_partitions(publish.select_month(full, pending), str(tmp_path / "pub"), log_path, "r1",
-                                   "2026-06-01 00:00:00")
-    per_period = {r["period"]: r["n_rows"] for r in spark.read.parquet(log_path).collect()}
+    log = StateTable(spark, str(tmp_path / "log"), publish.LOG_SCHEMA)
+    names = cat.select("dataset_id", F.col("file_naming").alias("template"))
+    versions = catalog.config_hash(docs).select("dataset_id", "hash")
+    publish.publish_periods(full, settled, names, versions, log, str(tmp_path / "pub"), "2026-06-01 00:00:00")
+    per_period = {r["period"]: r["n_rows"] for r in log.read().collect()}
     assert per_period == {"2026-01": 32, "2026-02": 2}                   # Feb 1st midnight counted in January too
