@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetseries.functions.scalar import iso, iso_z, ts_lit
+from fleetseries.operators.mapping import BAD_VALUES, render_warnings, resolve_canonical
 from fleetseries.schemas import HISTORY_HASH_CHARS, MESSAGES, SOFTWARE_NAME, SOFTWARE_VERSION
 
 
@@ -67,6 +69,71 @@ def provenance(current_versions: DataFrame, generated_at: datetime | str) -> Dat
     )
 
 
+def side_totals(built: DataFrame) -> DataFrame:
+    """One pass over a written build: per (dataset_id, variable, value) the count of bad values, and under a null
+    variable the number of rows with the bounds of time and position. Partial aggregates per task."""
+    bad = F.coalesce("bad_values", F.array().cast(BAD_VALUES)) if "bad_values" in built.columns else F.array().cast(BAD_VALUES)
+    row = F.array(F.struct(F.lit(None).cast("string").alias("variable"), F.lit(None).cast("string").alias("value")))
+    place = [F.col(c).cast("double").alias(c) if c in built.columns else F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")]
+    tagged = built.select("dataset_id", "time", *place, F.inline(F.concat(row, bad)))
+    return tagged.groupBy("dataset_id", "variable", "value").agg(
+        F.count("*").alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("time", "latitude", "longitude") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def bad_counts(totals: DataFrame, columns: Sequence[dict]) -> DataFrame:
+    """(dataset_id, canonical_name, raw_value, n, var_ord) of the bad values in ``totals``, in column order."""
+    names = F.array(*[F.lit(c["canonical_name"]) for c in columns])
+    return totals.filter("variable is not null").select(
+        "dataset_id", F.col("variable").alias("canonical_name"), F.col("value").alias("raw_value"), "n",
+        F.array_position(names, F.col("variable")).cast("int").alias("var_ord"))
+
+
+def build_attrs(totals: DataFrame, columns: Sequence[dict], attrs: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, attrs) of a built dataset: given attributes, coverage of what was built, quality warnings, provenance.
+
+    ``totals`` is ``side_totals`` of the build, ``attrs`` (dataset_id, attrs map) e.g.
+    ``global_attrs``, ``versions`` the result of ``provenance``. Attributes without a
+    value are left out; a dataset without rows keeps its given ones.
+    """
+    warnings = render_warnings(bad_counts(totals, columns)).groupBy("dataset_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("var_ord", "warning"))), lambda w: w["warning"]), "; ")
+        .alias("data_quality_warnings"))
+    cover = totals.filter("variable is null").select(
+        "dataset_id", iso_z("time_min").alias("time_coverage_start"), iso_z("time_max").alias("time_coverage_end"),
+        *[F.col(f"{c}_{n}").cast("string").alias(f"geospatial_{s}_{n}") for c, s in (("latitude", "lat"), ("longitude", "lon")) for n in ("min", "max")])
+    parts = [cover, warnings] + ([versions] if versions is not None else [])
+    out, found = attrs, []
+    for part in parts:
+        out = out.join(part, "dataset_id", "left")
+        found += [c for c in part.columns if c != "dataset_id"]
+    entries = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in found]), lambda e: e["value"].isNotNull())
+    given = F.map_filter("attrs", lambda k, v: ~k.isin(found))
+    return out.select("dataset_id", F.map_concat(given, F.map_from_entries(entries)).alias("attrs"))
+
+
+def variable_attrs(vmap: DataFrame, headers: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """One row per dataset and mapped variable: standard_name, units, dtype from the config; the logger's own units and
+    aggregation types from the headers (dataset_id, columns, units, agg_types), distinct ones sorted; n_bad values.
+
+    Variables of which no file has a column are absent.
+    """
+    zipped = F.arrays_zip(F.col("columns").alias("raw_name"), F.col("units").alias("unit"), F.col("agg_types").alias("agg"))
+    own = headers.select("dataset_id", F.inline(zipped)).distinct()
+    keys = ["dataset_id", "raw_name"] if "dataset_id" in vmap.columns else ["raw_name"]
+    met = own.join(resolve_canonical(vmap).select(*keys, "canonical_name", "standard_name", F.col("units").alias("config_units"), "dtype"), keys)
+
+    def texts(c: str):
+        return F.array_join(F.sort_array(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ",")
+
+    out = met.groupBy("dataset_id", "canonical_name").agg(
+        F.first("standard_name", ignorenulls=True).alias("standard_name"), F.first("config_units", ignorenulls=True).alias("units"),
+        F.first("dtype").alias("dtype"), texts("unit").alias("logger_units"), texts("agg").alias("agg_types"))
+    if totals is None:
+        return out.withColumn("n_bad", F.lit(0).cast("bigint"))
+    bad = totals.filter("variable is not null").groupBy("dataset_id", F.col("variable").alias("canonical_name")).agg(F.sum("n").alias("n_bad"))
+    return out.join(bad, ["dataset_id", "canonical_name"], "left").withColumn("n_bad", F.coalesce("n_bad", F.lit(0)))
+
+
 def attrs_text(attrs: DataFrame, col: str = "attrs") -> DataFrame:
     """A map column rendered as sorted ``k=v`` pairs joined by ``;``."""
     return attrs.withColumn(

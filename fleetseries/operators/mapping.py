@@ -84,17 +84,32 @@ def variable_map_from_specs(spark: SparkSession, specs: Sequence[dict],
 
 def variable_map_from_catalog(catalog: DataFrame) -> DataFrame:
     """``variable_map`` for every dataset of a parsed catalog (``variables`` array
-    of the config schema). Extra dimensions and member values arrive as JSON text
-    (a bare object or an array), parsed here."""
+    of the config schema). Extra dimensions arrive as JSON text (a bare object or an
+    array); member values are taken from the document itself, with their JSON types."""
     dim_t = T.ArrayType(T.StructType([T.StructField("name", T.StringType()),
                                       T.StructField("units", T.StringType())]))
-    v = catalog.select(
-        "dataset_id", F.posexplode("variables").alias("var_ord", "v")
-    )
+    value_t = "struct<num:double,txt:string>"
+
+    def scalar(x: Column) -> Column:
+        """A number stays a number, a text stays a text, whatever it looks like."""
+        number = F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.struct(F.when(number, F.try_variant_get(x, "$", "double")).alias("num"),
+                        F.when(~number, F.try_variant_get(x, "$", "string")).alias("txt")).cast(value_t)
+
+    def member_values(v: Column) -> Column:
+        members = F.coalesce(F.try_variant_get(v, "$.members", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(members, lambda m: F.coalesce(
+            F.transform(F.try_variant_get(m, "$.dimension_value", "array<variant>"), scalar),
+            F.array(scalar(F.try_variant_get(m, "$.dimension_value", "variant")))))
+
+    written = F.coalesce(F.try_variant_get(F.try_parse_json("content"), "$.variables", "array<variant>"), F.array().cast("array<variant>"))
+    both = F.arrays_zip(F.col("variables").alias("v"), F.transform(written, member_values).alias("values"))
+    v = catalog.select("dataset_id", F.posexplode(both).alias("var_ord", "b")).select("dataset_id", "var_ord", "b.v", "b.values")
     dims_json = F.col("v.extra_dimension")
     dims = F.when(dims_json.isNull(), F.lit(None).cast(dim_t)).when(
         F.startswith(F.ltrim(dims_json), F.lit("[")), F.from_json(dims_json, dim_t)
     ).otherwise(F.array(F.from_json(dims_json, dim_t.elementType)))
+    members_t = f"array<struct<m:struct<raw_name:string,dimension_value:string>,values:array<{value_t}>>>"
     v = v.select(
         "dataset_id", "var_ord",
         F.coalesce(F.col("v.standard_name"), F.col("v.raw_name")).alias("canonical_name"),
@@ -104,8 +119,8 @@ def variable_map_from_catalog(catalog: DataFrame) -> DataFrame:
         F.col("v.raw_name").alias("raw_name"),
         F.coalesce(F.col("v.old_names"), F.array().cast("array<string>")).alias("old_names"),
         dims.alias("dim_decl"),
-        F.coalesce(F.col("v.members"), F.array().cast(
-            "array<struct<raw_name:string,dimension_value:string>>")).alias("members"),
+        F.coalesce(F.arrays_zip(F.col("v.members").alias("m"), F.col("values").alias("values")).cast(members_t),
+                   F.array().cast(members_t)).alias("members"),
     )
     plain = v.filter(F.col("dim_decl").isNull()).select(
         "dataset_id", "var_ord", "canonical_name", "standard_name", "units", "dtype",
@@ -118,21 +133,15 @@ def variable_map_from_catalog(catalog: DataFrame) -> DataFrame:
     )
     members = v.filter(F.col("dim_decl").isNotNull()).select(
         "dataset_id", "var_ord", "canonical_name", "standard_name", "units", "dtype", "dim_decl",
-        F.posexplode("members").alias("member_ord", "m"),
+        F.posexplode("members").alias("member_ord", "member"),
     )
-    raw_val = F.col("m.dimension_value")
-    values = F.when(F.startswith(F.ltrim(raw_val), F.lit("[")),
-                    F.from_json(raw_val, T.ArrayType(T.StringType()))).otherwise(F.array(raw_val))
     members = members.select(
         "dataset_id", "var_ord", "canonical_name", "standard_name", "units", "dtype",
-        F.col("m.raw_name").alias("raw_name"),
+        F.col("member.m.raw_name").alias("raw_name"),
         F.lit(0).alias("alias_ord"),
         F.col("member_ord").cast("int").alias("member_ord"),
-        F.zip_with("dim_decl", values, lambda d, x: F.struct(
-            d["name"].alias("name"), d["units"].alias("units"),
-            F.trim(x).try_cast("double").alias("num"),
-            F.when(F.trim(x).try_cast("double").isNull(), x).alias("txt"),
-        )).alias("dims"),
+        F.zip_with("dim_decl", "member.values", lambda d, x: F.struct(
+            d["name"].alias("name"), d["units"].alias("units"), x["num"].alias("num"), x["txt"].alias("txt"))).alias("dims"),
     )
     out = plain.unionByName(members)
     return out.select(*[F.col(f.name).cast(f.dataType) for f in VARIABLE_MAP.fields])
@@ -156,11 +165,6 @@ def restrict_to_variables(vmap: DataFrame, variables: Iterable[str] | None) -> D
     return vmap.filter(F.col("canonical_name").isin(list(variables)))
 
 
-def raw_names_needed(vmap: DataFrame) -> DataFrame:
-    keys = ["dataset_id"] if "dataset_id" in vmap.columns else []
-    return vmap.select(*keys, "raw_name").distinct()
-
-
 # ---------------------------------------------------------------------------
 # long path
 
@@ -225,7 +229,11 @@ def quality_report(obs: DataFrame) -> DataFrame:
     Pre-aggregated per distinct bad value first, so a hot variable never puts
     its raw rows into one task: only the distinct bad values are collected.
     """
-    per_value = quality_examples(obs)
+    return render_warnings(quality_examples(obs))
+
+
+def render_warnings(per_value: DataFrame) -> DataFrame:
+    """The report from counts per distinct bad value (dataset_id, canonical_name, raw_value, n, var_ord)."""
     per_var = per_value.groupBy("dataset_id", "canonical_name").agg(
         F.sum("n").alias("n_bad"),
         F.min("var_ord").alias("var_ord"),
@@ -245,17 +253,6 @@ def quality_report(obs: DataFrame) -> DataFrame:
     )
 
 
-def quality_attribute(report: DataFrame) -> DataFrame:
-    """All warnings of a dataset joined by ``'; '`` in variable order."""
-    return report.groupBy("dataset_id").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("var_ord", "warning"))),
-                        lambda s: s["warning"]),
-            "; ",
-        ).alias("data_quality_warnings")
-    )
-
-
 def dimension_combinations(vmap: DataFrame) -> DataFrame:
     """Per stacked variable: every combination of its dimensions' declared
     values (first-declared order per dimension), as one array per variable.
@@ -310,66 +307,75 @@ def complete_dimensions(obs: DataFrame, vmap: DataFrame) -> DataFrame:
 
 
 def wide_columns(specs: Sequence[dict], variables: Iterable[str] | None = None) -> list[dict]:
-    """Output columns of one config signature, in declaration order.
+    """Output columns of one config signature, in declaration order, read off its variable map.
 
-    Plain variables give one column; stacked variables give one column per
-    declared combination of dimension values (first-declared order per
-    dimension). Duplicate canonical names: the last declaration wins.
+    A plain variable gives one column with its raw names by alias order. A
+    stacked one gives a column per combination of its dimensions' declared
+    values; combinations without a member have no raw name. Of several
+    declarations of a canonical name, and of a column name, the last counts.
     """
-    from itertools import product
-
     wanted = None if variables is None else set(variables)
-    last = {canonical_name_of(s): i for i, s in enumerate(specs)}
-    cols: dict[str, dict] = {}
-    for i, spec in enumerate(specs):
-        name = canonical_name_of(spec)
-        if last[name] != i or (wanted is not None and name not in wanted):
+    declared: dict[int, list[tuple]] = {}
+    last: dict[str, int] = {}
+    for row in variable_map_rows(specs):
+        declared.setdefault(row[1], []).append(row)
+        last[row[2]] = row[1]
+    out: dict[str, dict] = {}
+
+    def put(column: str, row: tuple, raw_names: list[str], dims: list[tuple]) -> None:
+        out[column] = {"column": column, "canonical_name": row[2], "dtype": row[5], "raw_names": raw_names, "dims": dims}
+
+    for var_ord, rows in declared.items():
+        name = rows[0][2]
+        if last[name] != var_ord or (wanted is not None and name not in wanted):
             continue
-        dims = _dims_of(spec)
-        dtype = spec.get("dtype", "numeric")
-        if not dims:
-            cols[name] = {"column": name, "canonical_name": name, "dtype": dtype,
-                          "raw_names": [spec["raw_name"], *spec.get("old_names", [])],
-                          "dims": []}
+        if not rows[0][9]:
+            put(name, rows[0], [r[6] for r in sorted(rows, key=lambda r: r[7])], [])
             continue
-        members = spec.get("members", [])
-        tuples = [m["dimension_value"] if isinstance(m["dimension_value"], list)
-                  else [m["dimension_value"]] for m in members]
-        per_dim = [list(dict.fromkeys(t[k] for t in tuples)) for k in range(len(dims))]
-        by_tuple = {tuple(t): m["raw_name"] for t, m in zip(tuples, members)}
-        for combo in product(*per_dim):
-            col = "_".join([name, *[_render_value(v, d.get("units")) for v, d in zip(combo, dims)]])
-            cols[col] = {"column": col, "canonical_name": name, "dtype": dtype,
-                         "raw_names": [by_tuple[combo]] if combo in by_tuple else [],
-                         "dims": [_dim_struct(d, v) for d, v in zip(dims, combo)]}
-    return list(cols.values())
-
-
-def _render_value(value, units) -> str:
-    if isinstance(value, float) and value.is_integer():
-        value = int(value)
-    text = str(value).strip().replace(" ", "_")
-    if units and isinstance(value, (int, float)) and not isinstance(value, bool):
-        return f"{text}{units}"
-    return text
-
-
-def map_wide(rows: DataFrame, columns: Sequence[dict], keep: Sequence[str] = ("dataset_id", "time")
-             ) -> DataFrame:
+        raw_of = {tuple(r[9]): r[6] for r in rows}
+        cells = [((), name)]
+        for axis in zip(*(r[9] for r in rows)):  # the values declared along one dimension, repeats dropped
+            cells = [(dims + (d,), f"{column}_{_axis_label(d)}") for dims, column in cells for d in dict.fromkeys(axis)]
+        for dims, column in cells:
+            put(column, rows[0], [raw_of[dims]] if dims in raw_of else [], list(dims))
+    return list(out.values())
+
+
+def _axis_label(dim: tuple) -> str:
+    """A (name, units, num, txt) dimension value as ``wide_column_name`` renders it."""
+    _, units, num, txt = dim
+    if num is None:
+        return "_".join(txt.strip(" ").split(" "))
+    return repr(num).removesuffix(".0") + (units or "")
+
+
+BAD_VALUES = "array<struct<variable:string,value:string>>"
+
+
+def map_wide(rows: DataFrame, columns: Sequence[dict], keep: Sequence[str] = ("dataset_id", "time"),
+             report_bad: bool = False) -> DataFrame:
     """Wide mapping as column expressions on ``cells`` (no shuffle).
 
-    Returns the kept key columns plus one typed column per output column.
+    Returns the kept key columns plus one typed column per output column, and
+    with ``report_bad`` the column ``bad_values``: the variables and texts of the
+    row that are no numbers (so quality can be summed up from what is written).
     Columns whose raw names are absent everywhere stay null here; header-level
     absence is decided by the caller from the file headers.
     """
     exprs: list[Column] = []
+    bad: list[Column] = []
     for c in columns:
         raw = [F.col("cells").getItem(n) for n in c["raw_names"]]
         value = F.coalesce(*raw) if len(raw) > 1 else (raw[0] if raw else F.lit(None).cast("string"))
         if c["dtype"] == "numeric":
             num = parse_number(value)
-            value = F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
+            number = F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num)
+            bad.append(F.when(bad_number(value, number), F.struct(F.lit(c["canonical_name"]).alias("variable"), value.alias("value"))))
+            value = number
         exprs.append(value.alias(c["column"]))
+    if report_bad:
+        found = F.filter(F.array(*bad), lambda b: b.isNotNull()) if bad else F.array()
+        exprs.append(found.cast(BAD_VALUES).alias("bad_values"))
     return rows.select(*keep, *exprs)
 
 

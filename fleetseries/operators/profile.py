@@ -1,65 +1,27 @@
-"""Column profiling over every header of the fleet.
-
-Name suggestion and rename detection use ``difflib`` (standard library) in
-Arrow-batched pandas UDFs, applied to *distinct* column names only; the
-candidate lists are the fixed known-variable table or one config's own names,
-so no pairs are materialised as rows.
-"""
+"""Column profiling over every header of the fleet, on distinct column names."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from fleetseries.schemas import KNOWN_VARIABLES, LEVEL_PATTERN, POSITION_NAMES
 from fleetseries.session import literal_frame
-from fleetseries.schemas import (
-    KNOWN_VARIABLES,
-    LEVEL_PATTERN,
-    POSITION_NAMES,
-    RENAME_CUTOFF,
-    SUGGEST_CUTOFF,
-)
-
-_KNOWN_NAMES = [k for k, _, _ in KNOWN_VARIABLES]
-
-
-@F.pandas_udf(T.StringType())
-def _closest_known(names: pd.Series) -> pd.Series:
-    def best(n):
-        m = difflib.get_close_matches(n, _KNOWN_NAMES, n=1, cutoff=SUGGEST_CUTOFF)
-        return m[0] if m else None
-    return names.map(best)
-
-
-@F.pandas_udf(T.BooleanType())
-def _has_close(names: pd.Series, candidates: pd.Series) -> pd.Series:
-    return pd.Series([
-        bool(difflib.get_close_matches(n, list(c) if c is not None else [], n=1, cutoff=RENAME_CUTOFF))
-        for n, c in zip(names, candidates)
-    ])
 
 
 def known_variables(spark: SparkSession) -> DataFrame:
     return literal_frame(spark, KNOWN_VARIABLES, "known_name string, standard_name string, units string")
 
 
-def suggest_names(columns: DataFrame, spark: SparkSession) -> DataFrame:
-    """(column_name) -> suggested (standard_name, units): exact match, else the
-    closest known name with similarity >= 0.8, else none. Scored once per
-    distinct name; the known table is fixed-size and broadcast."""
+def suggest_names(columns: DataFrame) -> DataFrame:
+    """(column_name) -> the known variable of that very name: matched_name, standard_name, units (null if none).
+
+    The known table is fixed-size and broadcast.
+    """
     names = columns.select("column_name").distinct()
-    known = F.broadcast(known_variables(spark))
-    scored = names.withColumn(
-        "matched_name",
-        F.when(F.col("column_name").isin(_KNOWN_NAMES), F.col("column_name"))
-        .otherwise(_closest_known(F.col("column_name"))),
-    )
-    return scored.join(known, scored.matched_name == known.known_name, "left").select(
-        "column_name", "matched_name", "standard_name", "units")
+    known = F.broadcast(known_variables(columns.sparkSession))
+    return names.join(known, names.column_name == known.known_name, "left").select(
+        "column_name", F.col("known_name").alias("matched_name"), "standard_name", "units")
 
 
 def detect_position(columns: DataFrame) -> DataFrame:
@@ -94,17 +56,11 @@ def level_groups(columns: DataFrame, keys: tuple[str, ...] = ("dataset_id",)) ->
 
 
 def rename_classes(columns: DataFrame, config_names: DataFrame) -> DataFrame:
-    """Classify scanned columns against a dataset's configured names:
-    ``already_mapped`` (raw or old name verbatim), ``likely_rename`` (similarity
-    >= 0.6 to one of them), else ``new``.
+    """Classify scanned columns against a dataset's configured names: ``already_mapped``
+    (raw or old name verbatim), else ``new``.
 
-    ``config_names``: (dataset_id, raw_name) for raw_name and old_names. The
-    per-dataset name set is config-sized; it is joined by dataset_id equality.
+    ``config_names``: (dataset_id, raw_name) for raw_name and old_names.
     """
-    known = config_names.groupBy("dataset_id").agg(F.collect_set("raw_name").alias("known"))
-    j = columns.select("dataset_id", "column_name").distinct().join(known, "dataset_id", "left")
-    known_arr = F.coalesce(F.col("known"), F.array().cast("array<string>"))
-    exact = F.array_contains(known_arr, F.col("column_name"))
-    cls = F.when(exact, "already_mapped").when(
-        _has_close(F.col("column_name"), known_arr), "likely_rename").otherwise("new")
-    return j.select("dataset_id", "column_name", cls.alias("classification"))
+    known = config_names.select("dataset_id", F.col("raw_name").alias("column_name")).distinct().withColumn("known", F.lit(True))
+    j = columns.select("dataset_id", "column_name").distinct().join(known, ["dataset_id", "column_name"], "left")
+    return j.select("dataset_id", "column_name", F.when(F.col("known"), "already_mapped").otherwise("new").alias("classification"))

@@ -64,14 +64,15 @@ def rows_in_window(raw: DataFrame, file_index: DataFrame | None, start, end, hal
 def build_dataset(raw: DataFrame, specs: Sequence[dict], deployments: DataFrame | None,
                   platform_type: str = "fixed", start: datetime | str | None = None,
                   end: datetime | str | None = None, variables: Sequence[str] | None = None,
-                  half_open: bool = False, file_index: DataFrame | None = None) -> DataFrame:
+                  half_open: bool = False, file_index: DataFrame | None = None, report_bad: bool = False) -> DataFrame:
     """Wide build of every dataset sharing one config signature.
 
     The window filter is applied to the raw rows before the dedup: it is on
     the window's partition key, so Catalyst pushes it to the scan. Pass the
     stored ``file_index`` (the index refresh keeps it) so ranks and file
     pruning come from it; without it the index is derived from ``raw`` once
-    (one extra aggregate pass) and written as a small table.
+    (one extra aggregate pass) and written as a small table. ``report_bad``
+    adds the column ``bad_values`` that ``coverage.build_attrs`` sums up.
     """
     columns = map_ops.wide_columns(specs, variables)
     if variables is not None:
@@ -82,7 +83,7 @@ def build_dataset(raw: DataFrame, specs: Sequence[dict], deployments: DataFrame
     rows = rows_in_window(raw, file_index, start, end, half_open)
     rows = map_ops.prune_cells(rows, needed)
     rows = rec.dedup_keep_last(ranked_rows(rows, ranks))
-    wide = map_ops.map_wide(rows, columns)
+    wide = map_ops.map_wide(rows, columns, report_bad=report_bad)
     if deployments is not None:
         wide = dep_ops.attach_deployments(wide, deployments, platform_type)
     return wide
@@ -97,12 +98,6 @@ def long_observations(rows: DataFrame, vmap: DataFrame) -> DataFrame:
     return map_ops.map_long(map_ops.explode_cells(rows), vmap)
 
 
-def exists_cells(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(dataset_id, raw_name) pairs with at least one cell (header-level presence)."""
-    return (map_ops.explode_cells(rows).filter(F.col("raw_name").isin(list(names)))
-            .select("dataset_id", "raw_name").distinct())
-
-
 def catalog_deployments(catalog: DataFrame) -> DataFrame:
     """Deployments table exploded from parsed config documents (one row per window).
 

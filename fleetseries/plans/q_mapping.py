@@ -10,9 +10,11 @@ from fleetseries.operators import export as exp
 from fleetseries.operators import mapping as map_ops
 from fleetseries.operators import reconcile as rec
 from fleetseries.plans import fixtures as fx
-from fleetseries.plans.build import file_ranks, long_observations, ranked_rows, wide_column_list
+from fleetseries.plans.build import build_dataset, file_ranks, long_observations, ranked_rows, wide_column_list
+from fleetseries.plans.q_files import logger_headers, station_of
 from fleetseries.plans.registry import register
 from fleetseries.schemas import DIMS
+from fleetseries.session import new_scratch_path, write_table
 
 
 def deduped(spark, d):
@@ -140,51 +142,143 @@ def wide_frame(spark, d):
     return exp.to_wide(obs, wide_column_list(fx.STACKED_SPECS))
 
 
-WIDE_COLUMNS = [c for c, _ in [("air_temperature_30m", 0), ("air_temperature_2m", 0), ("air_temperature_10m", 0),
-                                ("air_temperature_50m", 0), ("wind_speed", 0), ("signup", 0)]]
-
-
 @register("wide_export", f"WITH {WIDE_SQL} SELECT * FROM wide")
 def wide_export(spark, d):
     return wide_frame(spark, d)
 
 
-def _csv_cell(c: str) -> str:
-    return f"coalesce(CAST({c} AS VARCHAR), '')"
+_DEP_JOIN = "LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.start AND (f.end_ IS NULL OR d.time < f.end_)"
+
+# the export of a build with fractions of a second and values that are no numbers
+BAD_TEXT_MOD = 31
+EXPORT_COLUMNS = ["air_temperature", "relative_humidity", "signup"]
 
 
-@register("csv_export", f"""WITH {WIDE_SQL},
-attrs AS (
-  SELECT dataset_id, strftime(min(time), '%Y-%m-%dT%H:%M:%S') || 'Z' AS t0,
-         strftime(max(time), '%Y-%m-%dT%H:%M:%S') || 'Z' AS t1 FROM wide GROUP BY dataset_id)
-SELECT dataset_id, 0 AS section, '# time_coverage_end: ' || t1 AS line FROM attrs
-UNION ALL SELECT dataset_id, 0, '# time_coverage_start: ' || t0 FROM attrs
-UNION ALL SELECT dataset_id, 0, '# title: Station ' || dataset_id FROM attrs
-UNION ALL SELECT dataset_id, 1, '#' FROM attrs
-UNION ALL SELECT dataset_id, 2, 'time,{",".join(WIDE_COLUMNS)}' FROM attrs
-UNION ALL SELECT dataset_id, 3, strftime(time, '%Y-%m-%d %H:%M:%S') || ',' ||
-  {" || ',' || ".join(_csv_cell(c) for c in WIDE_COLUMNS)} FROM wide""")
+def export_raw(spark, d):
+    """Raw rows on the millisecond; every 31st value is a text, and the fraction is dropped for odd readings."""
+    text = F.when(F.col("event_id") % BAD_TEXT_MOD == 0, F.concat(F.lit("bad "), (F.col("event_id") % 3).cast("string"))) \
+        .otherwise(F.col("value").cast("string"))
+    unit = F.when(F.col("event_id") % 2 == 0, F.date_trunc("millisecond", "ts") + F.expr("make_dt_interval(0, 0, 0, 0.25)")) \
+        .otherwise(F.date_trunc("second", "ts"))
+    raw = fx.raw_rows(spark, d)
+    return raw.withColumn("time", unit.cast("timestamp_ntz")).withColumn("cells", F.create_map("event_type", text))
+
+
+EXPORT_SQL = f"""{fx.FIXED_DEPS_SQL},
+eraw AS (
+  SELECT 'st' || user_id AS dataset_id, CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS live, event_id, event_type,
+    CASE WHEN event_id % 2 = 0 THEN date_trunc('millisecond', ts) + INTERVAL 250 MILLISECOND ELSE date_trunc('second', ts) END AS time,
+    CASE WHEN event_id % {BAD_TEXT_MOD} = 0 THEN 'bad ' || (event_id % 3) ELSE CAST(value AS VARCHAR) END AS text,
+    CASE WHEN event_id % {BAD_TEXT_MOD} = 0 THEN NULL ELSE value END AS num,
+    'st' || user_id || CASE event_id % 3 WHEN 2 THEN '_Min.dat' WHEN 1 THEN '_Min_Historical.dat' ELSE '_Min.dat.backup' END AS file_name
+  FROM events),
+efiles AS (SELECT dataset_id, file_name, row_number() OVER (PARTITION BY dataset_id ORDER BY any_value(live), min(time), file_name) AS file_rank
+           FROM eraw GROUP BY dataset_id, file_name),
+elast AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY r.dataset_id, time ORDER BY file_rank DESC, event_id DESC) AS rn
+                         FROM eraw r JOIN efiles USING (dataset_id, file_name)) WHERE rn = 1),
+built AS (
+  SELECT d.dataset_id, d.time, f.lat AS latitude, f.lon AS longitude,
+    CASE WHEN event_type IN ('click', 'view') THEN num END AS air_temperature,
+    CASE WHEN event_type = 'purchase' THEN num END AS relative_humidity,
+    CASE WHEN event_type = 'signup' THEN text END AS signup,
+    CASE WHEN num IS NULL AND event_type IN ('click', 'view') THEN 'air_temperature'
+         WHEN num IS NULL AND event_type = 'purchase' THEN 'relative_humidity' END AS bad, text
+  FROM elast d {_DEP_JOIN}),
+warned AS (
+  SELECT dataset_id, bad, count(*) AS n_bad, bad || ': ' || count(*) || ' value(s) could not be parsed as numeric and were set to NaN (examples: ['
+    || array_to_string(list_transform(list_sort(list(DISTINCT text)), lambda x: chr(39) || x || chr(39)), ', ') || '])' AS warning
+  FROM built WHERE bad IS NOT NULL GROUP BY dataset_id, bad),
+eattrs AS (
+  SELECT b.dataset_id, {{iso_min}} AS time_coverage_start, {{iso_max}} AS time_coverage_end,
+    CAST(min(latitude) AS VARCHAR) AS geospatial_lat_min, CAST(max(latitude) AS VARCHAR) AS geospatial_lat_max,
+    CAST(min(longitude) AS VARCHAR) AS geospatial_lon_min, CAST(max(longitude) AS VARCHAR) AS geospatial_lon_max,
+    (SELECT string_agg(warning, '; ' ORDER BY bad) FROM warned w WHERE w.dataset_id = b.dataset_id) AS data_quality_warnings,
+    'Station ' || b.dataset_id AS title
+  FROM built b GROUP BY b.dataset_id)"""
+
+
+def _iso_sql(t: str) -> str:
+    return f"(strftime({t}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({t}) % 1000000 = 0 THEN '' ELSE strftime({t}, '.%f') END)"
+
+
+EXPORT_SQL = EXPORT_SQL.replace("{iso_min}", _iso_sql("min(time)") + " || 'Z'").replace("{iso_max}", _iso_sql("max(time)") + " || 'Z'")
+ATTR_NAMES = ["data_quality_warnings", "geospatial_lat_max", "geospatial_lat_min", "geospatial_lon_max", "geospatial_lon_min",
+              "time_coverage_end", "time_coverage_start", "title"]
+
+
+def exported(spark, d):
+    """The build, written once with its bad values, the totals from one pass over it, and its attributes."""
+    built = build_dataset(export_raw(spark, d), fx.EVENT_SPECS, fx.deployments(spark, d, "fixed"), "fixed", report_bad=True)
+    built = write_table(built, "built")
+    totals = write_table(cov.side_totals(built), "built_totals")
+    given = totals.select("dataset_id").distinct().select("dataset_id", F.create_map(
+        F.lit("title"), F.concat(F.lit("Station "), F.col("dataset_id"))).alias("attrs"))
+    return built, totals, cov.build_attrs(totals, map_ops.wide_columns(fx.EVENT_SPECS), given)
+
+
+@register("build_attrs", f"WITH {EXPORT_SQL} SELECT dataset_id, {', '.join(ATTR_NAMES)} FROM eattrs")
+def build_attrs(spark, d):
+    _, _, attrs = exported(spark, d)
+    return attrs.select("dataset_id", *[F.element_at("attrs", F.lit(n)).alias(n) for n in ATTR_NAMES])
+
+
+@register("variable_attrs", f"""WITH {EXPORT_SQL},
+v AS (SELECT * FROM (VALUES ('air_temperature', 'air_temperature', 'degC', 'numeric'), ('relative_humidity', 'relative_humidity', '%', 'numeric'),
+      ('signup', NULL, NULL, 'string')) AS v(canonical_name, standard_name, units, dtype))
+SELECT s.dataset_id, v.canonical_name, v.standard_name, v.units, v.dtype, 'degC' AS logger_units, 'Avg' AS agg_types,
+  coalesce(w.n_bad, 0) AS n_bad
+FROM (SELECT DISTINCT dataset_id FROM built) s CROSS JOIN v
+LEFT JOIN warned w ON w.dataset_id = s.dataset_id AND w.bad = v.canonical_name""")
+def variable_attrs(spark, d):
+    _, totals, _ = exported(spark, d)
+    headers = logger_headers(spark, d).filter("valid").withColumn("dataset_id", station_of(F.col("file_name")))
+    return cov.variable_attrs(map_ops.variable_map_from_specs(spark, fx.EVENT_SPECS), headers, totals)
+
+
+def _csv_time_sql(t: str) -> str:
+    return (f"(strftime({t}, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond({t}) % 1000000 = 0 THEN '' "
+            f"WHEN microsecond({t}) % 1000 = 0 THEN strftime({t}, '.%g') ELSE strftime({t}, '.%f') END)")
+
+
+_CELLS_SQL = " || ',' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in EXPORT_COLUMNS)
+
+
+@register("csv_export", f"""WITH {EXPORT_SQL}
+{" UNION ALL ".join(f"SELECT dataset_id, 0 AS section, '# {n}: ' || {n} AS line FROM eattrs WHERE {n} IS NOT NULL" for n in ATTR_NAMES)}
+UNION ALL SELECT dataset_id, 1, '#' FROM eattrs
+UNION ALL SELECT dataset_id, 2, 'time,{",".join(EXPORT_COLUMNS)}' FROM eattrs
+UNION ALL SELECT dataset_id, 3, {_csv_time_sql("time")} || ',' || {_CELLS_SQL} FROM built""")
 def csv_export(spark, d):
-    wide = wide_frame(spark, d)
-    c = cov.coverage_attrs(wide)
-    attrs = c.select("dataset_id", F.create_map(
-        F.lit("title"), F.concat(F.lit("Station "), F.col("dataset_id")),
-        F.lit("time_coverage_start"), F.col("time_coverage_start"),
-        F.lit("time_coverage_end"), F.col("time_coverage_end")).alias("attrs"))
-    lines = exp.csv_lines(wide, attrs, WIDE_COLUMNS)
-    return lines.select("dataset_id", "section", "line")
-
-
-@register("json_columns", f"""WITH {WIDE_SQL}
-SELECT dataset_id, date_trunc('day', time) AS chunk,
-  CAST(to_json({{'time': list(strftime(time, '%Y-%m-%dT%H:%M:%S') ORDER BY time),
-    {", ".join(f"'{c}': list({c} ORDER BY time)" for c in WIDE_COLUMNS)}}}) AS VARCHAR) AS json
-FROM wide GROUP BY dataset_id, date_trunc('day', time)""")
+    built, _, attrs = exported(spark, d)
+    return exp.csv_lines(built, attrs, EXPORT_COLUMNS).select("dataset_id", "section", "line")
+
+
+@register("csv_documents", f"""WITH {EXPORT_SQL},
+doc AS (SELECT dataset_id, strftime(time, '%Y-%m') AS chunk, string_agg({_csv_time_sql("time")} || ',' || {_CELLS_SQL} || chr(10), '' ORDER BY time) AS body
+        FROM built GROUP BY dataset_id, strftime(time, '%Y-%m'))
+SELECT doc.dataset_id, chunk, length(
+  {" || ".join(f"coalesce('# {n}: ' || {n} || chr(10), '')" for n in ATTR_NAMES)} || '#' || chr(10) || 'time,{",".join(EXPORT_COLUMNS)}' || chr(10) || body) AS n_chars,
+  md5({" || ".join(f"coalesce('# {n}: ' || {n} || chr(10), '')" for n in ATTR_NAMES)} || '#' || chr(10) || 'time,{",".join(EXPORT_COLUMNS)}' || chr(10) || body) AS digest
+FROM doc JOIN eattrs USING (dataset_id)""")
+def csv_documents(spark, d):
+    """Documents written in parts of few rows and read back: the parts of a document, in order, are the document."""
+    built, _, attrs = exported(spark, d)
+    path = new_scratch_path(spark, "csv_documents")
+    exp.write_csv_documents(exp.csv_lines(built, attrs, EXPORT_COLUMNS), path, part_rows=16)
+    parts = spark.read.schema("value string, dataset_id string, chunk string, part int").text(path, wholetext=True)
+    whole = parts.groupBy("dataset_id", "chunk").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "value"))), lambda p: p["value"]), "").alias("text"))
+    return whole.select("dataset_id", "chunk", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@register("json_columns", f"""WITH {EXPORT_SQL}
+SELECT dataset_id, date_trunc('day', time) AS chunk, CAST(0 AS INTEGER) AS part,
+  CAST(to_json({{'time': list({_iso_sql("time")} ORDER BY time),
+    {", ".join(f"'{c}': list({c} ORDER BY time)" for c in EXPORT_COLUMNS)}}}) AS VARCHAR) AS json
+FROM built GROUP BY dataset_id, date_trunc('day', time)""")
 def json_columns(spark, d):
-    return exp.json_columns(wide_frame(spark, d), WIDE_COLUMNS)
-
-
-_DEP_JOIN = "LEFT JOIN fdeps f ON f.dataset_id = d.dataset_id AND d.time >= f.start AND (f.end_ IS NULL OR d.time < f.end_)"
+    built, _, _ = exported(spark, d)
+    return exp.json_columns(built, EXPORT_COLUMNS)
 
 
 @register("deployment_fixed", f"""WITH {fx.DEDUP_SQL}, {fx.FIXED_DEPS_SQL}

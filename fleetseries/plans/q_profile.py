@@ -56,19 +56,30 @@ def _suggest_names(p):
     return p.select(name.alias("column_name")).distinct()
 
 
-@register("suggest_names")
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_NAME_SQL = ("CASE p_size % 4 " + "".join(
+    f"WHEN {v} THEN {e} " for v, e in enumerate(["base", "base || '_2'", "lower(base)"])) +
+    "ELSE replace(p_name, ' ', '_') || '_' || p_brand END")
+
+
+@register("suggest_names", f"""WITH known AS (SELECT * FROM (VALUES {_values(KNOWN_VARIABLES)}) AS k(known_name, standard_name, units)),
+bases AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{b}')" for i, b in enumerate(_SUGGEST_BASES))}) AS b(i, base)),
+names AS (SELECT DISTINCT {_NAME_SQL} AS column_name FROM part JOIN bases ON p_partkey % {len(_SUGGEST_BASES)} = i)
+SELECT column_name, known_name AS matched_name, standard_name, units FROM names LEFT JOIN known ON known_name = column_name""")
 def suggest_names(spark, d):
-    """Fuzzy ``difflib`` scoring: rows-only check (no SQL twin)."""
-    cols = _suggest_names(fx.table(spark, d, "part"))
-    return prof.suggest_names(cols, spark)
+    return prof.suggest_names(_suggest_names(fx.table(spark, d, "part")))
 
 
-@register("rename_classes")
+@register("rename_classes", """SELECT DISTINCT p_type AS dataset_id, 'AirTC_' || p_size || 'm_' || replace(p_brand, '#', '') AS column_name,
+  CASE WHEN p_size = 10 THEN 'already_mapped' ELSE 'new' END AS classification FROM part""")
 def rename_classes(spark, d):
-    """Classify scanned names against each dataset's configured names (rows-only)."""
+    """Classify scanned names against each dataset's configured names."""
     cols = fx.part_columns(spark, d).select("dataset_id", "column_name").distinct()
     p = fx.table(spark, d, "part")
-    # a dataset's config maps one 10 m column per brand (config-sized: brands are few)
+    # a dataset's config maps one 10 m column per brand of its own
     configured = p.select(
         F.col("p_type").alias("dataset_id"),
         F.concat(F.lit("AirTC_10m_"), F.regexp_replace("p_brand", "#", "")).alias("raw_name")).distinct()

@@ -65,10 +65,6 @@ POSITION_NAMES = {
 # Level-group column pattern: prefix _ <int level><unit letters> _ suffix.
 LEVEL_PATTERN = r"^(.+?)_(\d+)([a-zA-Z]+)_(.+)$"
 
-# Fuzzy-match cutoffs (difflib ratio) for name suggestion and rename detection.
-SUGGEST_CUTOFF = 0.8
-RENAME_CUTOFF = 0.6
-
 # Seed table of known raw column names -> (standard_name, units).
 KNOWN_VARIABLES = [
     ("AirT_C", "air_temperature", "degC"),

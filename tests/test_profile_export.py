@@ -1,6 +1,8 @@
+import csv
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
 
 from fleetseries.operators import export as E
 from fleetseries.operators import profile as P
@@ -11,30 +13,26 @@ def cols(spark, names, ds="d"):
 
 
 def test_level_groups(spark):
-    names = ["AirTC_10m_Avg", "AirTC_2m_Avg", "AirTC_30m_Avg", "RH", "BP_mbar", "WS_5m_Max"]
+    names = ["Soil_100cm_Tot", "Soil_5cm_Tot", "Soil_20cm_Tot", "Soil_5cm_Min", "Wind_9ft_x", "depth", "Wind_4m_x"]
     g = P.level_groups(cols(spark, names)).collect()
-    assert len(g) == 1
-    assert g[0]["members"] == "AirTC_2m_Avg,AirTC_10m_Avg,AirTC_30m_Avg"
-    assert (g[0]["dimension_units"], g[0]["n_members"]) == ("m", 3)
+    assert [(r["prefix"], r["dimension_units"], r["suffix"], r["n_members"]) for r in g] == [("Soil", "cm", "Tot", 3)]
+    assert (g[0]["members"], g[0]["levels"]) == ("Soil_5cm_Tot,Soil_20cm_Tot,Soil_100cm_Tot", "5,20,100")
 
 
 def test_detect_position(spark):
-    got = {r["column_name"]: r["position"] for r in P.detect_position(cols(spark, ["Lat", "LON", "long",
-                                                                                   "AirTemp", "latitude_2"])).collect()}
-    assert got == {"Lat": "latitude", "LON": "longitude", "long": "longitude"}
+    got = {r["column_name"]: r["position"] for r in P.detect_position(cols(spark, ["LAT", "lon", "Longitude", "lat_deg"])).collect()}
+    assert got == {"LAT": "latitude", "lon": "longitude", "Longitude": "longitude"}
 
 
-def test_suggest_names_exact_fuzzy_none(spark):
-    got = {r["column_name"]: r["standard_name"] for r in
-           P.suggest_names(cols(spark, ["AirT_C", "AirTC_Av", "zzz_unknown"]), spark).collect()}
-    assert got == {"AirT_C": "air_temperature", "AirTC_Av": "air_temperature", "zzz_unknown": None}
+def test_suggest_names_knows_names_exactly(spark):
+    got = {r["column_name"]: (r["standard_name"], r["units"]) for r in P.suggest_names(cols(spark, ["RH", "RH", "rh", "zzz"])).collect()}
+    assert got == {"RH": ("relative_humidity", "%"), "rh": (None, None), "zzz": (None, None)}
 
 
 def test_rename_classes(spark):
-    config = spark.createDataFrame([("d", "AirT_C"), ("d", "AirTemp_Avg")], "dataset_id string, raw_name string")
-    got = {r["column_name"]: r["classification"] for r in
-           P.rename_classes(cols(spark, ["AirT_C", "AirT_C2", "Totally_new"]), config).collect()}
-    assert got == {"AirT_C": "already_mapped", "AirT_C2": "likely_rename", "Totally_new": "new"}
+    config = spark.createDataFrame([("d", "Hs"), ("d", "SWH"), ("e", "Tp")], "dataset_id string, raw_name string")
+    got = {r["column_name"]: r["classification"] for r in P.rename_classes(cols(spark, ["Hs", "SWH", "Tp"]), config).collect()}
+    assert got == {"Hs": "already_mapped", "SWH": "already_mapped", "Tp": "new"}
 
 
 def wide(spark):
@@ -45,16 +43,26 @@ def wide(spark):
 def test_csv_lines_preamble_and_body(spark):
     attrs = spark.createDataFrame([("s", {"title": "Line1\nLine2", "a": "b"})],
                                   "dataset_id string, attrs map<string,string>")
-    lines = E.csv_lines(wide(spark), attrs, ["air_temperature", "status"])
+    rows = [("s", datetime(2026, 1, 1, 0, 0, 5, 250000), 1.5, "a,b"), ("s", datetime(2026, 1, 1, 0, 10), None, "OK"),
+            ("s", datetime(2026, 1, 1, 0, 10, 0, 7), -2.0, 'say "x"')]
+    w = spark.createDataFrame(rows, 'dataset_id string, time timestamp_ntz, t double, `a "b", c` string')
+    lines = E.csv_lines(w, attrs, ["t", 'a "b", c'])
     got = [r["line"] for r in lines.orderBy("section", "time", "sort_key").collect()]
-    assert got == ["# a: b", "# title: Line1 Line2", "#", "time,air_temperature,status",
-                   "2026-01-01 00:00:00,1.5,", "2026-01-01 00:10:00,,OK"]
+    assert got[:3] == ["# a: b", "# title: Line1 Line2", "#"]
+    back = list(csv.reader([x.replace('\\"', '""') for x in got[3:]]))
+    assert back == [["time", "t", 'a "b", c'], ["2026-01-01 00:00:05.250", "1.5", "a,b"], ["2026-01-01 00:10:00", "", "OK"],
+                    ["2026-01-01 00:10:00.000007", "-2.0", 'say "x"']]
 
 
-def test_json_columns_aligned_arrays(spark):
+def test_json_columns_aligned_arrays_in_parts(spark):
     out = E.json_columns(wide(spark), ["air_temperature", "status"]).first()
     assert json.loads(out["json"]) == {"time": ["2026-01-01T00:00:00", "2026-01-01T00:10:00"],
                                        "air_temperature": [1.5, None], "status": [None, "OK"]}
+    fast = spark.range(1000).select(F.lit("s").alias("dataset_id"), F.timestamp_millis(F.col("id") * 50).cast("timestamp_ntz").alias("time"),
+                                    F.col("id").alias("v"))
+    parts = sorted((r["part"], json.loads(r["json"])) for r in E.json_columns(fast.repartition(7), ["v"], part_rows=300).collect())
+    assert [p for p, _ in parts] == [0, 1, 2, 3] and [len(j["v"]) for _, j in parts] == [300, 300, 300, 100]
+    assert sum((j["v"] for _, j in parts), []) == list(range(1000)) and parts[0][1]["time"][1] == "1970-01-01T00:00:00.050000"
 
 
 def test_to_wide_typed_columns(spark):
@@ -66,14 +74,18 @@ def test_to_wide_typed_columns(spark):
     assert (r["t"], r["st"], r["gone"]) == (1.0, "OK", None)
 
 
-def test_csv_documents_chunked_by_month(spark, tmp_path):
-    w = spark.createDataFrame([("s", datetime(2026, 1, 31, 23), 1.0), ("s", datetime(2026, 2, 1), 2.0)],
-                              "dataset_id string, time timestamp_ntz, air_temperature double")
+def test_csv_documents_in_bounded_parts(spark, tmp_path):
+    hours = [datetime(2026, 1, 31, h) for h in range(24)] + [datetime(2026, 2, 1)]
+    w = spark.createDataFrame([("s", t, float(i)) for i, t in enumerate(hours)], "dataset_id string, time timestamp_ntz, air_temperature double")
     attrs = spark.createDataFrame([("s", {"title": "T"})], "dataset_id string, attrs map<string,string>")
-    out = str(tmp_path / "csv")
-    E.write_csv_documents(E.csv_lines(w, attrs, ["air_temperature"]), out)
-    docs = {}
-    for f in sorted((tmp_path / "csv").rglob("part-*")):
-        docs[f.parent.name] = f.read_text().splitlines()
-    assert docs == {"chunk=2026-01": ["# title: T", "#", "time,air_temperature", "2026-01-31 23:00:00,1.0"],
-                    "chunk=2026-02": ["# title: T", "#", "time,air_temperature", "2026-02-01 00:00:00,2.0"]}
+    out = tmp_path / "csv"
+    E.write_csv_documents(E.csv_lines(w.repartition(4), attrs, ["air_temperature"]), str(out), part_rows=10)
+    docs, sizes = {}, []
+    for f in sorted(out.rglob("part-*"), key=lambda f: int(f.parent.name.split("=")[1])):
+        lines = f.read_text().splitlines()
+        sizes.append(sum(not x.startswith(("#", "time")) for x in lines))
+        docs.setdefault(f.parent.parent.name, []).extend(lines)
+    head = ["# title: T", "#", "time,air_temperature"]
+    assert docs == {"chunk=2026-01": head + [f"2026-01-31 {h:02d}:00:00,{float(h)}" for h in range(24)],
+                    "chunk=2026-02": head + ["2026-02-01 00:00:00,24.0"]}
+    assert max(sizes) == 10
