@@ -25,12 +25,6 @@ def na_to_null(c: Column | str, tokens: Sequence[str] = LOGGER_NA_TOKENS) -> Col
     return F.when(c.isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
 
 
-def nan_to_null(c: Column | str) -> Column:
-    """NaN normalised to null once, so min/max/coalesce treat it as missing."""
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def is_number_text(c: Column | str) -> Column:
     return col_(c).rlike(NUMBER_PATTERN)
 

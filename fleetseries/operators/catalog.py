@@ -117,13 +117,6 @@ def match_metadata(docs: DataFrame, pairs: Sequence[tuple[str, str]] | None) ->
     return docs
 
 
-def list_datasets(docs: DataFrame, q=None, platform_type=None, names=None, meta=None,
-                  authenticated: bool = False) -> DataFrame:
-    out = visible(docs, authenticated)
-    out = match_metadata(match_all_names(match_platform(match_text(out, q), platform_type), names), meta)
-    return out
-
-
 def facet_names(visible_docs: DataFrame) -> DataFrame:
     return visible_docs.select(F.explode("standard_names").alias("standard_name")).distinct()
 
@@ -171,3 +164,33 @@ def config_changes(current: DataFrame, incoming: DataFrame, now: datetime | str)
         ts_lit(now).alias("created_at"),
         F.col("_cur_id").isNull().alias("is_first"),
     )
+
+
+def dataset_summaries(catalog: DataFrame, positions: DataFrame) -> DataFrame:
+    """Listing entry per dataset: title, institution, platform_type, standard_names, all metadata, current position.
+
+    ``positions``: (dataset_id, lat, lon, elevation) of fixed platforms (``deployment.current_position``).
+    """
+    out = catalog.join(positions.select("dataset_id", "lat", "lon", "elevation"), "dataset_id", "left")
+    return out.select(
+        "dataset_id", F.element_at("metadata", "title").alias("title"), F.element_at("metadata", "institution").alias("institution"),
+        "platform_type", standard_names(F.col("variables")).alias("standard_names"), "metadata", "lat", "lon", "elevation")
+
+
+def dataset_details(catalog: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row per dataset: its variables (name, standard_name, units, dtype, raw names) and deployments in
+    declared order, metadata, and the time its data cover (null without data).
+
+    ``coverage``: (dataset_id, data_start, data_end).
+    """
+    def variable(v):
+        members = F.transform(F.coalesce(v["members"], F.array()), lambda m: m["raw_name"])
+        plain = F.concat(F.array(v["raw_name"]), F.coalesce(v["old_names"], F.array().cast("array<string>")))
+        return F.struct(
+            F.coalesce(v["standard_name"], v["raw_name"]).alias("name"), v["standard_name"].alias("standard_name"), v["units"].alias("units"),
+            F.coalesce(v["dtype"], F.lit("numeric")).alias("dtype"),
+            F.when(v["extra_dimension"].isNotNull(), members).otherwise(plain).alias("raw_names"))
+
+    out = catalog.join(coverage.select("dataset_id", "data_start", "data_end"), "dataset_id", "left")
+    return out.select("dataset_id", "platform_type", "source_type", "metadata", F.transform("variables", variable).alias("variables"),
+                      "deployments", "data_start", "data_end")

@@ -53,16 +53,17 @@ def attach_deployments(obs: DataFrame, deployments: DataFrame, platform_type: st
     return out.drop(*[c for c in out.columns if c.startswith("_dep_")])
 
 
-def attach_deployments_bucketed(obs: DataFrame, deployments: DataFrame, platform_type: str = "fixed",
+def attach_deployments_bucketed(obs: DataFrame, deployments: DataFrame, coverage: DataFrame, platform_type: str = "fixed",
                                 bucket: str = "month", keep_dep_ord: bool = False) -> DataFrame:
     """Same result as ``attach_deployments`` for very large deployment tables.
 
     Each deployment is expanded to the time buckets its window touches (open
-    windows up to the dataset's last reading), then the join is an equi-join
-    on ``(dataset_id, bucket)`` plus the window as a residual. Neither side
-    needs a per-dataset window, so one huge station spreads over all tasks.
+    windows up to the end of the dataset's data in ``coverage``, the index's
+    dataset_id and data_end), then the join is an equi-join on ``(dataset_id,
+    bucket)`` plus the window as a residual. Neither side needs a per-dataset
+    window, so one huge station spreads over all tasks, and ``obs`` is read once.
     """
-    last = obs.groupBy("dataset_id").agg(F.max("time").alias("_last"))
+    last = coverage.select("dataset_id", F.col("data_end").alias("_last"))
     deps = deployments.join(broadcast_if_small(last), on="dataset_id", how="inner")
     # buckets only up to the dataset's last reading: bounded by the data span
     upper = F.least(F.coalesce(F.col("end"), F.col("_last")), F.greatest(F.col("_last"), F.col("start")))

@@ -349,6 +349,39 @@ def _axis_label(dim: tuple) -> str:
     return repr(num).removesuffix(".0") + (units or "")
 
 
+def stack_cells(rows: DataFrame, specs: Sequence[dict], keep: Sequence[str] = ("dataset_id", "time")) -> DataFrame:
+    """Stacked variables of one config signature from de-duplicated rows with ``cells``, as long rows
+    (kept keys, canonical_name, dims, dim_ord, value_num, value_str).
+
+    Members are picked from the row's cells and every declared combination is
+    listed in place, so nothing is shuffled; a row without any member of a
+    variable gives none of its combinations.
+    """
+    stacked: dict[str, list[dict]] = {}
+    for c in wide_columns(specs):
+        if c["dims"]:
+            stacked.setdefault(c["canonical_name"], []).append(c)
+    groups = []
+    for name, columns in stacked.items():
+        places = [{d: i for i, d in enumerate(dict.fromkeys(axis))} for axis in zip(*(c["dims"] for c in columns))]
+        entries = []
+        for c in columns:
+            raw = F.col("cells").getItem(c["raw_names"][0]) if c["raw_names"] else F.lit(None).cast("string")
+            num = parse_number(raw)
+            numeric = c["dtype"] == "numeric"
+            entries.append(F.struct(
+                F.lit(name).alias("canonical_name"),
+                F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(d, DIM.fields)]) for d in c["dims"]]).alias("dims"),
+                F.array(*[F.lit(p[d]) for p, d in zip(places, c["dims"])]).alias("dim_ord"),
+                (F.when(F.isnan(num), F.lit(None).cast("double")).otherwise(num) if numeric else F.lit(None).cast("double")).alias("value_num"),
+                (F.lit(None).cast("string") if numeric else raw).alias("value_str")))
+        members = [n for c in columns for n in c["raw_names"]]
+        present = F.coalesce(*[F.col("cells").getItem(n) for n in members]) if len(members) > 1 else F.col("cells").getItem(members[0])
+        groups.append(F.when(present.isNotNull(), F.array(*entries)))
+    found = F.flatten(F.filter(F.array(*groups), lambda g: g.isNotNull()))
+    return rows.select(*keep, F.inline(found))
+
+
 BAD_VALUES = "array<struct<variable:string,value:string>>"
 
 

@@ -5,7 +5,9 @@ All functions are keyed by ``dataset_id``; none triggers a job.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,6 +95,11 @@ def dedup_keep_last(rows: DataFrame, keys: tuple[str, ...] = ("dataset_id", "tim
     )
 
 
+def union_files(files: Sequence[DataFrame]) -> DataFrame:
+    """Rows of files whose columns differ, under all their columns; a column that a file lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), files)
+
+
 def program_changes(headers: DataFrame) -> DataFrame:
     """Filesets whose contributing files carry more than one program name."""
     return (

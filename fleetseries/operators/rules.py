@@ -14,9 +14,11 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetseries.operators.catalog import parse_documents
 from fleetseries.operators.schema_walk import schema_findings
 from fleetseries.schemas import MESSAGES as M
 from fleetseries.schemas import SOURCE_TYPES
+from fleetseries.sources.state import ConcurrentUpdate, StateTable
 
 RULE_COLUMNS = ["dataset_id", "rule", "location", "message"]
 _FINDINGS_TYPE = "array<struct<rule:string,location:string,message:string>>"
@@ -225,9 +227,31 @@ def validate_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("n_configs"))
 
 
-def valid_configs(catalog: DataFrame) -> DataFrame:
+def checked_catalog(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """The parsed catalog and its findings, stored below ``root`` and made once per state of the documents.
+
+    A fingerprint of all documents names the state, so listings, rules and
+    builds of unchanged documents only read.
+    """
+    spark = docs.sparkSession
+    print_ = docs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("dataset_id", "content")).alias("x"),
+                      F.bit_xor(F.xxhash64(F.lit(1), "dataset_id", "content")).alias("y")).first()
+    place = f"{root.rstrip('/')}/{print_['n']}-{(print_['x'] or 0) & (2**64 - 1):016x}{(print_['y'] or 0) & (2**64 - 1):016x}"
+    parsed = parse_documents(docs)
+    catalog = StateTable(spark, place + "/catalog", parsed.schema)
+    findings = StateTable(spark, place + "/findings", "dataset_id string, rule string, location string, message string")
+    for table, make in ((catalog, lambda: parsed), (findings, lambda: all_rules(catalog.read()))):
+        if table.version() == 0:
+            try:
+                table.replace(make(), 0)
+            except ConcurrentUpdate:
+                pass  # another job stored the same rows
+    return catalog.read(), findings.read()
+
+
+def valid_configs(catalog: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """Parsed configs without any finding (what listings and builds may use)."""
-    bad = all_rules(catalog).select("dataset_id")
+    bad = (all_rules(catalog) if findings is None else findings).select("dataset_id")
     return catalog.filter("parsed_ok").join(bad, "dataset_id", "left_anti")
 
 

@@ -68,7 +68,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("block_start"),
         F.col("event_id").alias("row_pos"),
         F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"),
-        "ts", "user_id", "event_id", "event_type", "value",
+        "ts", "user_id", "event_id", "event_type", "value", "props",
         F.create_map(F.col("event_type"), F.col("value").cast("string")).alias("cells"),
     )
 

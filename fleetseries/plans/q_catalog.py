@@ -13,19 +13,23 @@ from fleetseries.plans.build import catalog_deployments
 from fleetseries.plans.q_files import fixture_root
 from fleetseries.plans.registry import register
 from fleetseries.schemas import MESSAGES as M
-from fleetseries.session import path_exists
+from fleetseries.session import path_exists, scratch_path
 from fleetseries.sources import catalog_docs
 from fleetseries.sources.named_files import write_files
 
 
+def stored_catalog(spark, d):
+    """Catalog and findings, parsed and checked once per state of the documents."""
+    return rules.checked_catalog(fx.catalog_documents(spark, d).select("dataset_id", "content"), scratch_path(spark, "catalog"))
+
+
 def parsed_catalog(spark, d):
-    """The catalog table: documents parsed once and written to the shared folder."""
-    return cat.catalog_table(fx.catalog_documents(spark, d).select("dataset_id", "content"))
+    return stored_catalog(spark, d)[0]
 
 
 def valid_catalog(spark, d):
     """Parsed documents without any rule violation (what listings may show)."""
-    return rules.valid_configs(parsed_catalog(spark, d))
+    return rules.valid_configs(*stored_catalog(spark, d))
 
 
 VALID_SQL = f"""{fx.CATALOG_SQL},
@@ -133,19 +137,17 @@ NOW_CAT = "2021-09-01 00:00:00"
 
 @register("dataset_summary", f"""WITH {VALID_SQL}
 SELECT dataset_id, title, institution, platform_type, array_to_string(standard_names, ',') AS standard_names,
+  'country=' || country || ';department=' || department || ';institution=' || institution || ';standard_name_vocabulary=CF-1.10;title='
+    || title AS metadata_text,
   CASE WHEN platform_type = 'fixed' THEN CAST(60 + c_nationkey AS DOUBLE) END AS lat,
   CASE WHEN platform_type = 'fixed' THEN CAST(c_nationkey * 2 AS DOUBLE) END AS lon,
   CAST(NULL AS DOUBLE) AS elevation
 FROM vis""")
 def dataset_summary(spark, d):
     v = cat.visible(valid_catalog(spark, d))
-    docs = cat.search_documents(v)
     pos = dep_ops.current_position(catalog_deployments(v.filter(F.col("platform_type") == "fixed")), NOW_CAT)
-    out = docs.join(pos.select("dataset_id", "lat", "lon", "elevation"), "dataset_id", "left")
-    return out.select(
-        "dataset_id", F.col("metadata")["title"].alias("title"),
-        F.col("metadata")["institution"].alias("institution"), "platform_type",
-        F.array_join("standard_names", ",").alias("standard_names"), "lat", "lon", "elevation")
+    out = cov.attrs_text(cat.dataset_summaries(v, pos), "metadata")
+    return out.withColumn("standard_names", F.array_join("standard_names", ",")).drop("metadata")
 
 
 _VARNAMES = {
@@ -157,17 +159,28 @@ _VARNAMES = {
 }
 
 
-@register("dataset_detail", f"""WITH {VALID_SQL}
-SELECT dataset_id, n_variables, {fx._case_sql({k: f"'{v}'" for k, v in _VARNAMES.items()}, 'department')}
-  AS variable_names,
-  CASE WHEN platform_type = 'fixed' THEN 2 ELSE 1 END AS n_deployments
-FROM vis""")
+_UNITS = {"BUILDING": "degC,%", "AUTOMOBILE": "m/s,degrees_north,degrees_east", "MACHINERY": "mbar,-", "HOUSEHOLD": "degC,degC", "FURNITURE": "-"}
+_RAW = {"BUILDING": "AirT_C,RH", "AUTOMOBILE": "WS_ms,Lat,Lon", "MACHINERY": "BP_mbar,status", "HOUSEHOLD": "AirT_C,T2+T10", "FURNITURE": "SST_Avg"}
+_UNITS["FURNITURE"] = "degC"
+
+
+@register("dataset_detail", f"""WITH {VALID_SQL}, {fx.ORDER_COVERAGE_SQL}
+SELECT v.dataset_id, title, source_type, {fx._case_sql({k: f"'{v}'" for k, v in _VARNAMES.items()}, 'department')} AS variable_names,
+  {fx._case_sql({k: f"'{v}'" for k, v in _UNITS.items()}, 'department')} AS units,
+  {fx._case_sql({k: f"'{v}'" for k, v in _RAW.items()}, 'department')} AS raw_names,
+  CASE WHEN platform_type = 'fixed' THEN '2020-01-01T00:00:00,2022-01-01T00:00:00' ELSE '2020-01-01T00:00:00' END AS starts,
+  data_start, data_end
+FROM vis v LEFT JOIN cov c ON c.dataset_id = v.dataset_id""")
 def dataset_detail(spark, d):
-    v = cat.visible(valid_catalog(spark, d))
-    names = F.transform("variables", lambda x: F.coalesce(x["standard_name"], x["raw_name"]))
-    return v.select("dataset_id", F.size("variables").alias("n_variables"),
-                    F.array_join(names, ",").alias("variable_names"),
-                    F.size("deployments").alias("n_deployments"))
+    out = cat.dataset_details(cat.visible(valid_catalog(spark, d)), fx.order_coverage(spark, d))
+
+    def joined(field):
+        return F.array_join(F.transform("variables", lambda v: F.coalesce(v[field], F.lit("-"))), ",")
+
+    raw = F.array_join(F.transform("variables", lambda v: F.array_join(v["raw_names"], "+")), ",")
+    return out.select("dataset_id", F.element_at("metadata", "title").alias("title"), "source_type", joined("name").alias("variable_names"),
+                      joined("units").alias("units"), raw.alias("raw_names"),
+                      F.array_join(F.transform("deployments", lambda x: x["start"]), ",").alias("starts"), "data_start", "data_end")
 
 
 @register("config_hash", f"WITH {fx.VERSIONS_SQL} SELECT dataset_id, version_id, sha256(content) AS hash FROM versions")
@@ -337,12 +350,11 @@ SELECT CASE WHEN parsed_ok AND source_type <> 'thingsboard' THEN 'skipped' WHEN
   AS status, count(*) AS n_configs FROM cat GROUP BY 1"""))
 def validate_source(spark, d):
     """The verdicts of one source type; documents of the others are skipped."""
-    return rules.validate_summary(rules.validate_verdicts(parsed_catalog(spark, d), only_source="thingsboard"))
+    return rules.validate_summary(rules.validate_verdicts(*stored_catalog(spark, d), only_source="thingsboard"))
 
 
 @register("validate_summary", _rule_sql(f"""
 SELECT CASE WHEN {fx.VIOLATION_SQL} THEN 'invalid' ELSE 'valid' END AS status, count(*) AS n_configs
 FROM cat GROUP BY 1"""))
 def validate_summary(spark, d):
-    c = parsed_catalog(spark, d)
-    return rules.validate_summary(rules.validate_verdicts(c))
+    return rules.validate_summary(rules.validate_verdicts(*stored_catalog(spark, d)))

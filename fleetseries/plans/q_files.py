@@ -73,14 +73,12 @@ SELECT dataset_id, file_name, row_pos, time,
 FROM raw JOIN (SELECT event_id, props FROM events) e USING (event_id)""")
 def fileset_union(spark, d):
     raw = fx.raw_rows(spark, d)
-    ev = fx.table(spark, d, "events").select("event_id", "props")
-    raw = raw.join(ev, "event_id")
     live = F.col("file_name").endswith("_Min.dat")
     base = ["dataset_id", "file_name", "row_pos", "time"]
     archived = raw.filter(~live).select(*base, *[_typed(c).alias(c) for c in fx.EVENT_TYPES])
     current = raw.filter(live).select(*base, *[_typed(c).alias(c) for c in fx.EVENT_TYPES],
                                       F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    return archived.unionByName(current, allowMissingColumns=True)
+    return rec.union_files([archived, current])
 
 
 def _program_sql() -> str:
@@ -207,7 +205,7 @@ def write_logger_fixture(spark: SparkSession, d: str) -> str:
     root = fixture_root(spark, "logger_fixture", d)
     if path_exists(spark, root + "/_READY"):
         return root
-    raw = fx.raw_rows(spark, d).join(fx.table(spark, d, "events").select("event_id", "props"), "event_id")
+    raw = fx.raw_rows(spark, d)
     live = F.col("file_name").endswith("_Min.dat")
     cols = [*fx.EVENT_TYPES]
     repeats = F.when(F.col("user_id") % REPEAT_MOD == 0, F.lit(1)).otherwise(F.lit(0))

@@ -22,6 +22,21 @@ def deduped(spark, d):
     return rec.dedup_keep_last(ranked_rows(raw, file_ranks(raw)))
 
 
+def indexed_coverage(spark, d):
+    """Time coverage as the stored file index has it."""
+    return write_table(cov.time_coverage(rec.file_bounds(fx.raw_rows(spark, d))), "coverage")
+
+
+def keylast_cells(spark, d):
+    """(dataset_id, time, cells): the newest value of every key of a station and hour, in one grouping."""
+    raw = fx.raw_rows(spark, d)
+    newest = {k: F.max_by(F.when(F.col("event_type") == k, F.col("value").cast("string")),
+                          F.when(F.col("event_type") == k, F.col("ts"))) for k in fx.EVENT_TYPES}
+    rows = raw.groupBy("dataset_id", "time").agg(*[v.alias(k) for k, v in newest.items()])
+    cells = F.create_map(*[x for k in fx.EVENT_TYPES for x in (F.lit(k), F.col(k))])
+    return rows.select("dataset_id", "time", F.map_filter(cells, lambda k, v: v.isNotNull()).alias("cells"))
+
+
 def keylast_long(spark, d):
     return fx.keep_last_per_key(spark, d).select("dataset_id", "time", "raw_name", "raw_value")
 
@@ -62,9 +77,7 @@ SELECT p.dataset_id, p.time, m.height, CAST(m.dim_ord AS INTEGER) AS dim_ord, k.
 FROM present p CROSS JOIN {_STACK_MEMBERS_SQL}
 LEFT JOIN keylast k ON k.dataset_id = p.dataset_id AND k.time = p.time AND k.raw_name = m.raw_name""")
 def stack_dimension(spark, d):
-    vmap = map_ops.variable_map_from_specs(spark, fx.STACKED_SPECS[:1])
-    obs = map_ops.map_long(keylast_long(spark, d), vmap)
-    full = map_ops.complete_dimensions(obs, vmap)
+    full = map_ops.stack_cells(keylast_cells(spark, d), fx.STACKED_SPECS[:1])
     return full.select("dataset_id", "time", F.col("dims")[0]["num"].alias("height"),
                        F.col("dim_ord")[0].cast("int").alias("dim_ord"), "value_num")
 
@@ -91,9 +104,7 @@ FROM present p CROSS JOIN combos c
 LEFT JOIN {_TWO_DIM_SQL} ON m.height = c.height AND m.channel = c.channel
 LEFT JOIN keylast k ON k.dataset_id = p.dataset_id AND k.time = p.time AND k.raw_name = m.raw_name""")
 def dim_complete(spark, d):
-    vmap = map_ops.variable_map_from_specs(spark, fx.TWO_DIM_SPECS)
-    obs = map_ops.map_long(keylast_long(spark, d), vmap)
-    full = map_ops.complete_dimensions(obs, vmap)
+    full = map_ops.stack_cells(keylast_cells(spark, d), fx.TWO_DIM_SPECS)
     return full.select("dataset_id", "time", F.col("dims")[0]["num"].alias("height"),
                        F.col("dims")[1]["txt"].alias("channel"), "value_num")
 
@@ -304,8 +315,8 @@ SELECT d.dataset_id, d.time, f.lat AS latitude, f.lon AS longitude, f.elevation
 FROM dedup d {_DEP_JOIN}""")
 def deployment_asof(spark, d):
     obs = deduped(spark, d).select("dataset_id", "time")
-    return dep_ops.attach_deployments_bucketed(obs, fx.deployments(spark, d, "fixed"), "fixed",
-                                               keep_dep_ord=True)
+    return dep_ops.attach_deployments_bucketed(obs, fx.deployments(spark, d, "fixed"), indexed_coverage(spark, d),
+                                               "fixed", keep_dep_ord=True)
 
 
 NOW_POS = "2024-01-15 18:00:00"

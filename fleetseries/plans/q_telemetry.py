@@ -32,7 +32,9 @@ def telemetry_pivot(spark, d):
 
 @register("telemetry_outer_join", _pivot_sql())
 def telemetry_outer_join(spark, d):
-    return tel.outer_join_keys(fx.telemetry(spark, d), KEYS).withColumnRenamed("device", "dataset_id")
+    tele = fx.telemetry(spark, d)
+    series = {k: tele.filter(F.col("key") == k) for k in KEYS}
+    return tel.align_series(series).withColumnRenamed("device", "dataset_id")
 
 
 @register("latest_telemetry", f"""WITH {fx.TELEMETRY_SQL}
@@ -45,6 +47,20 @@ def latest_telemetry(spark, d):
                       parse_number("last_value").alias("last_value"), "change_token")
 
 
+WINDOW_KEYS = ["click", "view"]
+
+
+@register("telemetry_window", f"""WITH {fx.TELEMETRY_SQL}
+SELECT device AS dataset_id, epoch_ms(ts_ms) AS time, max(value) FILTER (WHERE key = 'click') AS click,
+  max(value) FILTER (WHERE key = 'view') AS view
+FROM tele WHERE key IN ('click', 'view') AND ts_ms BETWEEN epoch_ms(TIMESTAMP '2024-01-10') AND epoch_ms(TIMESTAMP '2024-01-20')
+GROUP BY device, ts_ms""")
+def telemetry_window(spark, d):
+    """A key list and an inclusive time range, pushed below the grouping."""
+    tele = tel.select_window(fx.telemetry(spark, d), WINDOW_KEYS, T0, T1)
+    return tel.pivot_keys(tele, WINDOW_KEYS).withColumnRenamed("device", "dataset_id")
+
+
 T0, T1 = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
 
 

@@ -8,7 +8,6 @@ and skew splitting), and the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -78,13 +77,6 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    path = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared folder; ``parts`` name a stable location."""
     return "/".join([shared_dir(spark), "fleetseries", *parts])
@@ -94,12 +86,6 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _lit(value, dtype):
     from pyspark.sql import types as T
 
@@ -160,22 +146,17 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+#: What an estimate may fall short of: files are compressed, and ``explode`` is not counted.
+ESTIMATE_SLACK = 8
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only when the planner's size estimate is under ``max_bytes``.
+    """Broadcast hint only when the planner's size estimate, ``ESTIMATE_SLACK`` times over, is under ``max_bytes``.
 
-    Beyond the bound the side is joined by a shuffle join; adaptive execution
-    may still turn that into a broadcast once the real size is measured.
+    Beyond the bound there is no hint: a shuffle join is planned, and adaptive
+    execution turns it into a broadcast where the measured size allows.
     """
     size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
+    if size is not None and size * ESTIMATE_SLACK <= max_bytes:
         return F.broadcast(df)
     return df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

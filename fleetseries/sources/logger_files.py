@@ -27,7 +27,7 @@ from fleetseries.schemas import (
 )
 from fleetseries.sources.byte_ranges import first_lines, read_ranges
 
-#: Bytes of a body range, and the fewest ranges that a task is given.
+#: Bytes of a body range; a task is given four of them, or fewer where that uses more tasks.
 RANGE_BYTES = 32 << 20
 # A comma and its field: quoted sections and plain runs up to a comma outside quotes; an open
 # quote runs to the end of the line. Possessive, so linear in the line.
@@ -45,6 +45,8 @@ def csv_fields(line: Column) -> Column:
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Recursive listing (file_name, size, modified) without reading content; Spark lists no empty files."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # only names are read, so a few files to a task (Spark's packing of whole files) would be far too few
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     return df.select(F.col("path").alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
@@ -110,8 +112,8 @@ def scan_body(headers: DataFrame, timestamp_column: str = "TIMESTAMP", needed: S
     """
     spark = headers.sparkSession
     ranges = body_ranges(headers, timestamp_column, needed, range_bytes)
-    total = headers.filter("valid").agg(F.sum(F.ceil(F.col("size") / range_bytes)), F.count("*")).first()
-    tasks = max(1, min(total[1] or 1, 4 * spark.sparkContext.defaultParallelism), int(total[0] or 0) // 4)
+    total = headers.filter("valid").agg(F.sum("size"), F.count("*")).first()
+    tasks = max(1, min(total[1], 4 * spark.sparkContext.defaultParallelism), (total[0] or 0) // (4 * range_bytes))
     pieces = read_ranges(ranges.repartition(tasks, "file_name", "start"))
     lines = pieces.select("file_name", "names", "places", "ts_place", "n_columns", F.inline("lines"))
     lines = lines.filter(F.length(F.trim("line")) > 0).withColumn("_fields", csv_fields(F.col("line")))

@@ -43,7 +43,7 @@ def test_valid_config_has_no_findings(spark):
     assert findings(spark, BASE) == []
 
 
-@pytest.mark.parametrize("change,rule,fragment", [
+REJECTED = [
     ({"variables": [{"raw_name": "A", "extra_dimension": {"name": "h", "units": "m"},
                      "members": [{"raw_name": "B", "dimension_value": 1}], "standard_name": "s"}]},
      "variable_shape", "exclude each other"),
@@ -82,13 +82,8 @@ def test_valid_config_has_no_findings(spark):
     ({"output": None}, "schema", "missing fields: output"),
     ({"source_config": {"file_pattern": "x", "bogus": 1}}, "schema", "unknown keys: bogus"),
     ({"variables": [{"raw_name": "A", "dtype": "float"}]}, "schema", "dtype must be one of"),
-])
-def test_reject_cases(spark, change, rule, fragment):
-    got = findings(spark, variant(**change))
-    assert any(r == rule and fragment in m for r, _, m in got), got
-
-
-@pytest.mark.parametrize("change,location,fragment", [
+]
+TYPED = [
     ({"deployments": [{"start": "2020-01-01T00:00:00", "end": "soon", "lat": 1, "lon": 1}]}, "deployments[0].end", "a time, got soon"),
     ({"deployments": [{"end": None, "lat": 1, "lon": 1}]}, "deployments[0]", "missing fields: start"),
     ({"deployments": [{"start": "2020-01-01T00:00:00", "lat": [1], "lon": 1}]}, "deployments[0].lat", "a number, got array"),
@@ -104,11 +99,31 @@ def test_reject_cases(spark, change, rule, fragment):
     ({"source_config": {"table_name": "x"}}, "source_config", "missing fields: file_pattern"),
     ({"source_type": "generic_csv", "source_config": {"file_path": "a.csv", "cache_enabled": []}}, "source_config.cache_enabled", "got array"),
     ({"id": 7}, "id", "text, got 7"),
-])
-def test_typed_schema_walk(spark, change, location, fragment):
-    doc = variant()
-    doc.update(change)
-    got = findings(spark, doc)
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """Findings of every case above, from one catalog."""
+    docs = {f"rejected{i}": variant(**change) for i, (change, _, _) in enumerate(REJECTED)}
+    docs |= {f"typed{i}": variant() | change for i, (change, _, _) in enumerate(TYPED)}
+    out = {}
+    for r in R.all_rules(catalog(spark, docs)).collect():
+        out.setdefault(r["dataset_id"], []).append((r["rule"], r["location"], r["message"]))
+    return out
+
+
+@pytest.mark.parametrize("case", range(len(REJECTED)))
+def test_reject_cases(found, case):
+    _, rule, fragment = REJECTED[case]
+    got = found.get(f"rejected{case}", [])
+    assert any(r == rule and fragment in m for r, _, m in got), got
+
+
+@pytest.mark.parametrize("case", range(len(TYPED)))
+def test_typed_schema_walk(found, case):
+    _, location, fragment = TYPED[case]
+    got = found.get(f"typed{case}", [])
     assert any(r == "schema" and where == location and fragment in m for r, where, m in got), got
 
 

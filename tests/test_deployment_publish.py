@@ -57,7 +57,8 @@ def test_bucketed_join_equals_range_join_random(spark):
     d = deps(spark, rows)
     o = spark.createDataFrame(times, "dataset_id string, time timestamp_ntz")
     a = D.attach_deployments(o, d, keep_dep_ord=True).select("dataset_id", "time", "dep_ord").collect()
-    b = D.attach_deployments_bucketed(o, d, keep_dep_ord=True).select("dataset_id", "time", "dep_ord").collect()
+    ends = o.groupBy("dataset_id").agg(F.max("time").alias("data_end"))
+    b = D.attach_deployments_bucketed(o, d, ends, keep_dep_ord=True).select("dataset_id", "time", "dep_ord").collect()
     assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str)
     # naive reference
     pdf = pd.DataFrame(rows, columns=["ds", "k", "s", "e", "lat", "lon", "el"])
