@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a task holds at once; a single longer text is held whole.
 BATCH_BYTES = 4 << 20
+#: Bytes of words whose hashes are computed at once.
+HASHED_BYTES = 1 << 19
 #: Rows and bytes of the Arrow batches that tasks receive, whichever is reached first.
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
@@ -84,19 +86,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(33))
 
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, _U64), np.ones(1, _U64)]
+_MULT = _U64(0x9E3779B97F4A7C15 | 1)
+#: Powers of the multiplier by place in a word that a worker keeps; longer words get theirs for the batch.
+KEPT_POWERS = 1 << 12
+_powers = np.multiply.accumulate(np.concatenate([np.ones(1, _U64), np.full(KEPT_POWERS - 1, _MULT)]))
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inv = pow(_MULT, -1, 1 << 64)
-        for k, m in enumerate((_MULT, inv)):
-            p = np.full(size, m, dtype=_U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _power(longest: int) -> np.ndarray:
+    """The powers 0, 1, ... of the multiplier for places in words of up to ``longest`` bytes."""
+    if longest <= KEPT_POWERS:
+        return _powers
+    return np.multiply.accumulate(np.concatenate([np.ones(1, _U64), np.full(longest - 1, _MULT)]))
 
 
 class Words:
@@ -120,11 +120,21 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        power, inverse = _grow(len(self.buf))
-        total = np.zeros(len(self.buf) + 1, dtype=_U64)
-        np.cumsum((self.buf.astype(_U64) + _U64(1)) * power[: len(self.buf)], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(raw ^ mix((self.end - self.start).astype(_U64)))
+        """Of each word the sum of (byte + 1) * multiplier ** place, mixed with its length."""
+        size = self.end - self.start
+        out = np.zeros(len(size), dtype=_U64)
+        if not len(size):
+            return out
+        power = _power(int(size.max()))
+        edges = np.concatenate([[0], np.cumsum(size)])
+        cut = np.unique(np.searchsorted(edges, np.arange(0, edges[-1], HASHED_BYTES)))  # words of about that many bytes at a time
+        for a, b in zip(cut, [*cut[1:], len(size)]):
+            if b > a:
+                first = edges[a:b] - edges[a]
+                place = np.arange(edges[b] - edges[a]) - np.repeat(first, size[a:b])
+                at = place + np.repeat(self.start[a:b], size[a:b])
+                out[a:b] = np.add.reduceat((self.buf[at].astype(_U64) + _U64(1)) * power[place], first)
+        return mix(out ^ mix(size.astype(_U64)))
 
     def text(self, k: int) -> bytes:
         return self.buf[self.start[k] : self.end[k]].tobytes()

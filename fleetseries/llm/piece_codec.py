@@ -37,8 +37,11 @@ from .token_count import MergeTable, merge_table, merged, shorten
 
 #: Cells (pre-tokens x length) of one Viterbi matrix.
 CELLS = 200_000
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-CACHE = 500_000
+#: Pre-tokens, and their characters, whose ids a worker remembers before it starts afresh.
+CACHE = 200_000
+CACHE_CHARS = 4_000_000
+#: Ids that are decoded at once (a longer text is decoded whole).
+DECODED_IDS = 1 << 17
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _LEAD = np.uint64(44)
 
@@ -188,10 +191,15 @@ class Known:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat = np.empty(0, dtype=np.int32)
+        self.chars = 0
+        self.flat = np.empty(1 << 16, dtype=np.int32)  # with room at the end, doubled when it is used up
+        self.used = 0
         self.start = np.empty(0, dtype=np.int64)
         self.size = np.empty(0, dtype=np.int64)
 
+    def room_for(self, tokens: list[str]) -> bool:
+        return len(self.at) + len(tokens) <= CACHE and self.chars + sum(map(len, tokens)) <= CACHE_CHARS
+
     def add(self, tokens: list[str]) -> None:
         if self.merges is not None:
             self._append(tokens, *merge(tokens, self.pieces, self.merges))
@@ -205,11 +213,17 @@ class Known:
         self._append([tokens[k] for k in order], np.concatenate(flat), np.concatenate(sizes))
 
     def _append(self, tokens: list[str], flat: np.ndarray, size: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        if self.used + len(flat) > len(self.flat):
+            larger = np.empty(2 * (self.used + len(flat)), dtype=np.int32)
+            larger[: self.used] = self.flat[: self.used]
+            self.flat = larger
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         first = len(self.at)
         self.at.update((t, first + j) for j, t in enumerate(tokens))
+        self.chars += sum(map(len, tokens))
 
 
 @lru_cache(maxsize=2)
@@ -231,7 +245,7 @@ def _encoded(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndar
     split = [pretokens(t) for t in texts]
     wanted = set().union(*split) if split else set()
     new = list(wanted - known.at.keys())
-    if len(known.at) + len(new) > CACHE:
+    if not known.room_for(new):
         known.clear()
         new = list(wanted)
     if new:
@@ -282,13 +296,12 @@ def _encoder(path: str):
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 64  # rows: decoding needs several bytes of index a byte of text
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                lists = part.column("token_ids")
-                sizes = np.array([len(x) if x is not None else 0 for x in lists], dtype=np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = decode_ids(ids, np.concatenate([[0], np.cumsum(sizes)]), path)
+            lists = batch.column("token_ids")
+            sizes = np.array([len(x) if x is not None else 0 for x in lists], dtype=np.int64)
+            for a, b in _decoded_rows(sizes):
+                part = batch.slice(a, b - a)
+                ids = part.column("token_ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = decode_ids(ids, np.concatenate([[0], np.cumsum(sizes[a:b])]), path)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in part.schema.names] + [pa.array(texts)],
                     names=[*part.schema.names, "decoded"],
@@ -297,6 +310,46 @@ def _decoder(path: str):
     return run
 
 
+def _decoded_rows(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of rows with about ``DECODED_IDS`` ids each: decoding needs several bytes of index a byte of text."""
+    cut = np.cumsum(sizes) // DECODED_IDS
+    edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if b > a)
+
+
+_TRIP = "doc_id long, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+
+
+def _round_tripper(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _encoder(path)(batches):
+            sizes = batch.column("n_tokens").to_numpy()
+            ids = batch.column("token_ids").flatten().to_numpy()
+            first = np.concatenate([[0], np.cumsum(sizes)])
+            digests, same = [], []
+            for a, b in _decoded_rows(sizes):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                for text, back in zip(texts, decode_ids(ids[first[a] : first[b]].astype(np.int64), first[a : b + 1] - first[a], path)):
+                    digests.append(hashlib.sha256(back.encode()).hexdigest())
+                    same.append(back == text.replace(SPACE, " "))
+            kept = [batch.column(c) for c in ("doc_id", "n_tokens", "token_ids", "ids_sha256")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                                             names=["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``encode`` and ``decode`` in one step, so that a task has one Python worker and the texts come back as digests.
+
+    Rows doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256 (of the decoded text), round_trip (it equals the
+    text, the space mark itself read as a space); null and repeated rows as in ``encode``.
+    """
+    small_batches(docs.sparkSession)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return text.mapInArrow(_round_tripper(path), _TRIP)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Rows doc_id, text, token_ids, n_tokens, ids_sha256: one per row of ``docs``.
 
@@ -327,11 +380,4 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        "ids_sha256",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"),
-    )
+    return round_trip(table(spark, sf_dir, "documents"), path).drop("token_ids")
