@@ -68,9 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows doc_id, n_tokens, token_ids, ids_sha256, round_trip of every document left."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = _piece_codec.decode(_piece_codec.encode(docs, path), path)
-    same = F.col("decoded") == F.translate("text", _piece_codec.SPACE, " ")
-    return both.select("doc_id", "n_tokens", "token_ids", "ids_sha256", same.alias("round_trip"))
+    return _piece_codec.round_trip(docs, path).drop("decoded_sha256")
 
 
 STAGES = [
