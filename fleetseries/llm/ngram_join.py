@@ -155,7 +155,7 @@ def _classes(words: int):
 
 
 def _prefixes(shared, words: int, percent: int):
-    """(h, sid, n): the border window of each distinct set of a batch."""
+    """(h, sid, n, place): the border window of each distinct set of a batch, with the places of its shingles in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = shared.value
@@ -182,8 +182,9 @@ def _prefixes(shared, words: int, percent: int):
                     pa.array(sets.hash[order[keep]].view(np.int64)),
                     pa.array(sid[sets.doc[keep]]),
                     pa.array(sets.size[sets.doc[keep]].astype(np.int32)),
+                    pa.array(place[keep].astype(np.int32)),
                 ],
-                names=["h", "sid", "n"],
+                names=["h", "sid", "n", "place"],
             )
 
     return run
@@ -195,12 +196,12 @@ def _shared_only(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, given = None, False  # the last row of the batch before, and whether it was given already
         for batch in batches:
-            h, sid, n = (batch.column(c).to_numpy() for c in ("h", "sid", "n"))
+            h, sid, n, place = (batch.column(c).to_numpy() for c in ("h", "sid", "n", "place"))
             if last is not None:
-                h, sid, n = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (h, sid, n)))
+                h, sid, n, place = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (h, sid, n, place)))
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-            h, sid, n = h[new], sid[new], n[new]
+            h, sid, n, place = h[new], sid[new], n[new], place[new]
             # sizes rise within a shingle, so a set has a partner of fitting size only if its neighbour fits
             fits = (h[1:] == h[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             keep = np.zeros(len(h), dtype=bool)
@@ -209,8 +210,8 @@ def _shared_only(percent: int):
             last_given = bool(keep[-1]) if len(h) > 1 else given
             if given:
                 keep[0] = False
-            last, given = (h[-1], sid[-1], n[-1]), last_given
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(sid[keep]), pa.array(n[keep])], names=["h", "sid", "n"])
+            last, given = (h[-1], sid[-1], n[-1], place[-1]), last_given
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, sid, n, place)], names=["h", "sid", "n", "place"])
 
     return run
 
@@ -370,10 +371,11 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast((h[order], rows.column("level").to_numpy().astype(np.uint8)[order]))
 
     def _windows(self) -> DataFrame:
-        """(h, sid, n) for the shingles whose window holds more than one set."""
-        rows = self.rows.select("text").mapInArrow(_prefixes(self._order(), self.words, self.percent), "h long, sid long, n int")
+        """(h, sid, n, place) for the shingles whose window holds more than one set."""
+        kinds = "h long, sid long, n int, place int"
+        rows = self.rows.select("text").mapInArrow(_prefixes(self._order(), self.words, self.percent), kinds)
         dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
-        return write_table(dealt.mapInArrow(_shared_only(self.percent), "h long, sid long, n int"), "join-windows")
+        return write_table(dealt.mapInArrow(_shared_only(self.percent), kinds), "join-windows")
 
     def _payload(self, windows: DataFrame) -> DataFrame:
         """(sid, hashes) of every set in ``windows``, from one document of each."""
@@ -393,13 +395,23 @@ class JaccardJoin:
     def _pairs(self, members: DataFrame, sets: DataFrame, common: int) -> tuple[DataFrame, DataFrame]:
         """Links inside regions of at most ``region`` members; members of clusters that are too large for one task.
 
-        Only pairs with ``common`` regions count: a linked pair with fewer also meets in a larger region.
+        Only pairs with ``common`` regions count: a linked pair with fewer also meets in a larger region. Regions
+        that are shingles come with the members' places in the order: up to the last shingle that a pair shares
+        here, each set has all its other shingles to itself, and what follows bounds the rest of the overlap. A
+        linked pair beyond that bound shares a shingle of a larger region before that place, and meets there.
         """
-        left = members.select("region", F.col("sid").alias("a"), F.col("n").alias("na"))
-        right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"))
+        placed = "place" in members.columns
+        own = [F.col("place")] if placed else [F.lit(0).alias("place")]
+        left = members.select("region", F.col("sid").alias("a"), F.col("n").alias("na"), *[c.alias("pa") for c in own])
+        right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"), *[c.alias("pb") for c in own])
         fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        pairs = left.join(right, "region").where(fits).groupBy("a", "b").count()
-        pairs = write_table(pairs.where(F.col("count") >= common).select("a", "b"), "join-pairs")
+        pairs = left.join(right, "region").where(fits).groupBy("a", "b").agg(
+            F.count("*").alias("count"), *[F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")])
+        open_ = F.col("count") >= common
+        if placed:
+            most = F.col("count") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+            open_ &= (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
+        pairs = write_table(pairs.where(open_).select("a", "b"), "join-pairs")
         sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
         # candidates that hang together are verified together, so each set travels once
         found = connected(pairs)
@@ -469,7 +481,7 @@ class JaccardJoin:
         """(a, b): links between classes, enough of them to connect every pair that links."""
         windows = self._windows()
         sets = self._payload(windows)
-        members = windows.select(F.col("h").alias("region"), "sid", "n")
+        members = windows.select(F.col("h").alias("region"), "sid", "n", "place")
         done: list[DataFrame] = []
         for level in range(LEVELS + 1):
             sized = members.groupBy("region").agg(
@@ -481,7 +493,7 @@ class JaccardJoin:
             done.append(found)
             # regions of the same members are one
             large = sized.where(F.col("members") > self.region).groupBy("members", "name").agg(F.min("region").alias("region"))
-            large = members.join(large.select("region"), "region", "left_semi")
+            large = members.join(large.select("region"), "region", "left_semi").select("region", "sid", "n")
             members = write_table(large.select("region", "sid", "n").unionByName(larger), "join-members")
             if not members.limit(1).count():
                 break
