@@ -16,6 +16,7 @@ from fleetseries.llm import html_text as ht  # noqa: E402
 from fleetseries.llm import inner_product as ip  # noqa: E402
 from fleetseries.llm import toxicity as tox  # noqa: E402
 from fleetseries.llm import warc  # noqa: E402
+from fleetseries.session import write_table  # noqa: E402
 
 
 def test_archives_round_trip_at_any_split(spark):
@@ -188,7 +189,7 @@ def test_near_copies_survive_other_splits_of_the_input(spark, tmp_path, monkeypa
     components = corpus_pipeline._ngram_join.jaccard_components
 
     def components_then_fewer_cores(*args):
-        found = components(*args).localCheckpoint()
+        found = write_table(components(*args), "components")
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
         return found
 

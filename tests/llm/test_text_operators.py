@@ -74,6 +74,25 @@ def test_encoding_is_the_best_split_and_decodes(spark):
     assert all(r.n_tokens == len(r.token_ids) for r in rows)
 
 
+def test_round_trip_in_one_step_equals_both_steps(spark, monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = odd_texts(8) + ["many words of one text " * 400]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "no id")]
+    want = sorted(repr((i, sp.encode(t or ""), hashlib.sha256((t or "").replace("▁", " ").encode()).hexdigest())) for i, t in rows)
+    for cache, chars, step in ((pc.CACHE, pc.CACHE_CHARS, pc.DECODED_IDS), (50, 300, 64)):  # caches that start afresh, rows decoded one by one
+        monkeypatch.setattr(pc, "CACHE", cache)
+        monkeypatch.setattr(pc, "CACHE_CHARS", chars)
+        monkeypatch.setattr(pc, "DECODED_IDS", step)
+        encoder = list(pc._round_tripper(MODEL)(frame(spark, rows).select("doc_id", "text").fillna("").toArrow().to_batches()))
+        got = [r for batch in encoder for r in batch.to_pylist()]
+        assert sorted(repr((r["doc_id"], r["token_ids"], r["decoded_sha256"])) for r in got) == want
+        assert all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in got)
+        ids = {r["doc_id"]: hashlib.sha256(np.array(r["token_ids"], "<i4").tobytes()).hexdigest() for r in got}
+        assert all(ids[r["doc_id"]] == r["ids_sha256"] for r in got)
+    assert pc.round_trip(frame(spark, rows), MODEL).count() == len(rows)
+    assert pc.round_trip(frame(spark, []), MODEL).count() == 0
+
+
 def brute_contamination(text, items, window):
     def words(t):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
