@@ -29,13 +29,21 @@ def file_roles(spark, d):
     return rec.classify_roles(files)
 
 
-@register("role_violations", f"""WITH {fx.RAW_SQL}
-SELECT dataset_id, count(DISTINCT file_name) FILTER (WHERE file_role = 'live') AS n_live,
-       count(DISTINCT file_name) AS n_files
-FROM raw GROUP BY dataset_id HAVING count(DISTINCT file_name) FILTER (WHERE file_role = 'live') <> 1""")
+TWO_LIVE_MOD, NO_LIVE_MOD = 17, 19   # stations with a second live file, and without any
+
+
+@register("role_violations", f"""WITH {fx.RAW_SQL},
+files AS (SELECT DISTINCT dataset_id, user_id, file_name, file_role FROM raw WHERE NOT (file_role = 'live' AND user_id % {NO_LIVE_MOD} = 0)
+          UNION ALL SELECT DISTINCT dataset_id, user_id, 'st' || user_id || '_Min10.dat', 'live' FROM raw WHERE user_id % {TWO_LIVE_MOD} = 0)
+SELECT dataset_id, count(*) FILTER (WHERE file_role = 'live') AS n_live, count(*) AS n_files
+FROM files GROUP BY dataset_id HAVING count(*) FILTER (WHERE file_role = 'live') <> 1""")
 def role_violations(spark, d):
-    files = fx.raw_rows(spark, d).select("dataset_id", "file_name").distinct()
-    return rec.role_violations(rec.classify_roles(files))
+    files = fx.raw_rows(spark, d).select("dataset_id", "user_id", "file_name").distinct()
+    u = F.col("user_id")
+    second = files.filter(u % TWO_LIVE_MOD == 0).select("dataset_id", "user_id", F.concat(F.col("dataset_id"), F.lit("_Min10.dat"))
+                                                        .alias("file_name")).distinct()
+    kept = files.filter(~(F.col("file_name").endswith("_Min.dat") & (u % NO_LIVE_MOD == 0)))
+    return rec.role_violations(rec.classify_roles(kept.unionByName(second)))
 
 
 @register("file_bounds", f"""WITH {fx.RAW_SQL}
