@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -59,6 +60,17 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = BA
             size += n
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is kept for the next task or stage holds none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

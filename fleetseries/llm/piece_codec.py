@@ -37,7 +37,7 @@ from .token_count import MergeTable, merge_table, merged, shorten
 
 #: Cells (pre-tokens x length) of one Viterbi matrix.
 CELLS = 200_000
-#: Pre-tokens, and their characters, whose ids a worker remembers before it starts afresh.
+#: Pre-tokens, and their characters, whose ids a task remembers before it starts afresh.
 CACHE = 200_000
 CACHE_CHARS = 4_000_000
 #: Ids that are decoded at once (a longer text is decoded whole).
@@ -226,22 +226,18 @@ class Known:
         self.chars += sum(map(len, tokens))
 
 
-@lru_cache(maxsize=2)
-def _known(path: str, by_merges: bool) -> Known:
-    return Known(path, merge_table(path) if by_merges else None)
-
-
-def library_ids(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each text, by the method of the model's type."""
-    return _encoded(texts, _known(path, vocabulary(path).bpe))
+def known_by(path: str) -> Known:
+    """An empty cache for the method of the model's type."""
+    return Known(path, merge_table(path) if vocabulary(path).bpe else None)
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """As ``library_ids``, but by the highest sum of scores whatever the model's type."""
-    return _encoded(texts, _known(path, False))
+    """Ids of all texts one after another, and the number of ids of each, by the highest sum of scores whatever the model's type."""
+    return encoded_ids(texts, Known(path))
 
 
-def _encoded(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
+def encoded_ids(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids of each text; ``known`` keeps those of the pre-tokens."""
     split = [pretokens(t) for t in texts]
     wanted = set().union(*split) if split else set()
     new = list(wanted - known.at.keys())
@@ -273,8 +269,9 @@ def decode_ids(ids: np.ndarray, first: np.ndarray, path: str) -> list[str]:
 
 def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_by(path)  # of this task: a worker that goes on to another stage keeps nothing
         for part in text_batches(batches, "text", 2 << 20):
-            ids, sizes = library_ids(part.column("text").to_pylist(), path)
+            ids, sizes = encoded_ids(part.column("text").to_pylist(), known)
             first = np.concatenate([[0], np.cumsum(sizes)])
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
             data, edge = ids.astype("<i4").tobytes(), (first * 4).tolist()

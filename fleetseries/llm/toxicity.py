@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, mix, small_batches, table
+from .common import give_back, mix, small_batches, table
 from .pieces import code_points
 from .queries import query
 
@@ -48,8 +48,10 @@ PRIOR = -3.0
 FLOOR = 0.1
 #: Entries (words of texts, rows of words) that a step of training has in work at a time.
 BLOCK = 1_000_000
-#: Word scores that a worker remembers before it starts afresh.
-CACHE = 400_000
+#: Word scores that a task remembers before it starts afresh.
+CACHE = 150_000
+#: Bytes of texts whose words are counted at once.
+SCORED_BYTES = 1 << 20
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—|*#$%&_/\\"
 
 
@@ -224,7 +226,7 @@ def scorer(spark: SparkSession, model: Model):
     @F.arrow_udf("double")
     def score_of(texts: pa.Array) -> pa.Array:
         out = []
-        step = max(1, len(texts) * BATCH_BYTES // max(texts.nbytes, 1))
+        step = max(1, len(texts) * SCORED_BYTES // max(texts.nbytes, 1))
         for a in range(0, len(texts), step):
             bags = [Counter(words_of(t)) for t in texts.slice(a, step).to_pylist()]
             wanted = set().union(*bags)
@@ -239,6 +241,7 @@ def scorer(spark: SparkSession, model: Model):
             each = np.fromiter(map(seen.__getitem__, chain.from_iterable(bags)), dtype=np.float64, count=sizes.sum())
             weight = _damped(times)
             out.append(shared.value.score(_sums(each * weight, sizes) / np.maximum(_sums(weight, sizes), 1)))
+        give_back()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return score_of
