@@ -159,9 +159,8 @@ _VARNAMES = {
 }
 
 
-_UNITS = {"BUILDING": "degC,%", "AUTOMOBILE": "m/s,degrees_north,degrees_east", "MACHINERY": "mbar,-", "HOUSEHOLD": "degC,degC", "FURNITURE": "-"}
+_UNITS = {"BUILDING": "degC,%", "AUTOMOBILE": "m/s,degrees_north,degrees_east", "MACHINERY": "mbar,-", "HOUSEHOLD": "degC,degC", "FURNITURE": "degC"}
 _RAW = {"BUILDING": "AirT_C,RH", "AUTOMOBILE": "WS_ms,Lat,Lon", "MACHINERY": "BP_mbar,status", "HOUSEHOLD": "AirT_C,T2+T10", "FURNITURE": "SST_Avg"}
-_UNITS["FURNITURE"] = "degC"
 
 
 @register("dataset_detail", f"""WITH {VALID_SQL}, {fx.ORDER_COVERAGE_SQL}
