@@ -242,3 +242,17 @@ def test_config_sources_folder_lines_and_union(spark, tmp_path):
     assert got == [("devices", "dev1"), ("devices", "dev2"), ("folder", "alpha"), ("folder", "beta")]
     parsed = {r["dataset_id"]: r["parsed_ok"] for r in C.parse_documents(both).collect()}
     assert parsed == {"alpha": True, "beta": False, "dev1": True, "dev2": True}
+
+
+def test_documents_of_one_partition_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "DOCS_PER_TASK", 1, raising=False)
+    docs = spark.range(0, 12, 1, 1).selectExpr("concat('d', id) AS dataset_id").withColumn(
+        "content", F.when(F.col("dataset_id") == "d7", "[").otherwise(json.dumps(variant(colour="red"))))
+    stored, found = R.checked_catalog(docs, str(tmp_path))
+    assert len(stored.inputFiles()) == 12 and stored.count() == 12
+    assert sorted(r["message"] for r in found.collect()) == ["invalid JSON"] + ["unknown keys: colour"] * 11
+
+
+def test_an_object_of_a_document_is_read_once(spark):
+    plan = R.rule_schema(catalog(spark, {"x": variant()}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapType(StringType,VariantType") == 1
