@@ -79,9 +79,15 @@ def publish_listing(catalog: DataFrame, coverage: DataFrame, now: datetime | str
     )
 
 
+def sorted_log(entries: DataFrame) -> DataFrame:
+    """Log entries for a join. The log has a row per dataset and month in files that compress a hundredfold, so
+    Spark would take it for small and build it in the driver."""
+    return entries.hint("merge")
+
+
 def pending_periods(settled: DataFrame, publish_log: DataFrame) -> DataFrame:
     """Settled periods not yet in the publish log (the log is the commit point)."""
-    return settled.join(publish_log.select("dataset_id", "period"), on=["dataset_id", "period"],
+    return settled.join(sorted_log(publish_log.select("dataset_id", "period")), on=["dataset_id", "period"],
                         how="left_anti")
 
 
@@ -156,7 +162,7 @@ def published_rows(log: StateTable, data_root: str, schema) -> DataFrame:
     whole = T.StructType([*[f for f in schema.fields if f.name != "period"],
                           T.StructField("run", T.StringType()), T.StructField("period", T.StringType())])
     data = spark.read.schema(whole).parquet(data_root)
-    return data.join(done, ["run", "dataset_id", "period"], "left_semi").select(*names)
+    return data.join(sorted_log(done), ["run", "dataset_id", "period"], "left_semi").select(*names)
 
 
 def abandoned_runs(log: StateTable, data_root: str) -> DataFrame:

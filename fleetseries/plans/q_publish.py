@@ -114,4 +114,4 @@ def publish_month(spark, d):
     pub.publish_periods(built, settled(spark, d), names, current_versions(spark, d), log, root + "/data", NOW)
     schema = T._parse_datatype_string("dataset_id string, period string, time timestamp_ntz, total_price double, file_name string")
     entries = log.read().select("dataset_id", "period", "n_rows", "config_hash")
-    return pub.published_rows(log, root + "/data", schema).join(entries, ["dataset_id", "period"])
+    return pub.published_rows(log, root + "/data", schema).join(pub.sorted_log(entries), ["dataset_id", "period"])
