@@ -100,9 +100,10 @@ def refresh_summary(actions: DataFrame) -> DataFrame:
 
 def merge_index(previous: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert by (dataset_id, file_name): update rows replace stored rows, other
-    stored rows stay. Written as union + newest-wins per key."""
+    stored rows stay. Written as union + newest-wins per key; of several rows of one
+    key the one with the greatest token."""
     cols = [f.name for f in FILE_INDEX.fields]
     both = previous.select(*cols, F.lit(0).alias("_gen")).unionByName(
         updates.select(*cols, F.lit(1).alias("_gen")))
-    w = Window.partitionBy("dataset_id", "file_name").orderBy(F.col("_gen").desc())
+    w = Window.partitionBy("dataset_id", "file_name").orderBy(F.col("_gen").desc(), F.col("size").desc())
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_gen")

@@ -168,9 +168,11 @@ UNION ALL
 SELECT p.dataset_id, p.file_name, p.file_role, p.size, p.time_start, p.time_end, p.status
 FROM prev p ANTI JOIN upd u USING (dataset_id, file_name)""")
 def index_merge(spark, d):
-    listing, prev, act = _actions(spark, d)
+    # listing and stored index are read again by each step; their files are small for their rows, so the joins merge
+    listing = write_table(idx.with_change_token(fx.index_listing(spark, d)), "index_listing").hint("merge")
     index = StateTable(spark, new_scratch_path(spark, "file_index"), FILE_INDEX)
-    stored = index.replace(prev, 0)
+    stored = index.replace(fx.previous_index(spark, d, BEFORE), 0)
+    act = idx.refresh_actions(listing, index.read(stored).hint("merge"))
     merged = index.read(update_index(index, idx.refreshed_index(act, listing), stored))
     return merged.select("dataset_id", "file_name", "file_role", "size", "time_start", "time_end", "status")
 

@@ -157,3 +157,15 @@ def test_publish_run_commits_once_and_recovers(spark, tmp_path):
     assert logged == [("a", "2026-01", 2, "hash-a"), ("b", "2026-01", 1, "hash-b")]
     P.publish_periods(built, settled, names, versions, log, data, "2026-03-02")   # nothing pending: nothing twice
     assert P.published_rows(log, data, schema).count() == 3 and log.read().count() == 2
+
+
+def test_joins_with_the_log_build_no_table_in_the_driver(spark, tmp_path):
+    from fleetseries.operators import publish
+
+    path = str(tmp_path / "log")
+    spark.sql("SELECT concat('d', id) AS dataset_id, '2020-01' AS period FROM range(3)").write.parquet(path)
+    settled = spark.sql("SELECT concat('d', id) AS dataset_id, '2020-01' AS period FROM range(5)")
+    pending = publish.pending_periods(settled, spark.read.parquet(path))
+    assert sorted(r["dataset_id"] for r in pending.collect()) == ["d3", "d4"]
+    plan = pending._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -131,3 +131,17 @@ def test_hot_station_spreads_over_all_dedup_partitions(spark):
         assert max(counts) < 2 * (n / 3) / len(counts)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_merge_keeps_the_greatest_token_of_rows_with_one_key(spark):
+    from fleetseries.operators.index import merge_index
+    from fleetseries.schemas import FILE_INDEX
+
+    def entries(*sizes):
+        texts = ", ".join(f"({s})" for s in sizes)
+        given = spark.sql(f"SELECT CAST(NULL AS STRING) AS dataset_id, CAST(NULL AS STRING) AS file_name, t.size FROM VALUES {texts} AS t(size)")
+        from pyspark.sql import functions as F
+        return given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in FILE_INDEX.fields])
+
+    for sizes in ((1, 2), (2, 1)):
+        assert [r["size"] for r in merge_index(entries(9), entries(*sizes)).collect()] == [2]
