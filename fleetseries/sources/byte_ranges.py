@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEAD_BYTES = 64 << 10   # first read of a file's head; doubled while the head goes on
+LISTED = 10_000         # names of a folder given on at once
 PIECE_BYTES = 1 << 20   # bytes of a range held at once (a longer line is held whole)
 
 LINES = T.ArrayType(T.StructType([T.StructField("row_pos", T.LongType()), T.StructField("line", T.StringType())]))
@@ -41,6 +42,34 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return store, f"{host}/{key}" if scheme in ("s3", "gs", "gcs") else f"/{key}"
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's own listings leave out."""
+    inner = name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+    return inner or name.endswith("._COPYING_")
+
+
+def list_folders(folders: DataFrame) -> DataFrame:
+    """file_name, size, modified, is_folder of what each listed folder (file_name) holds directly."""
+    kinds = pa.schema([("file_name", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("is_folder", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("file_name").to_pylist():
+                store, inner = resolve(folder)
+                found = [f for f in store.get_file_info(fs.FileSelector(inner)) if not _hidden(f.base_name)]
+                for k in range(0, len(found), LISTED):
+                    part = found[k:k + LISTED]
+                    yield pa.RecordBatch.from_pydict({
+                        "file_name": [f"{folder.rstrip('/')}/{f.base_name}" for f in part],
+                        "size": [f.size for f in part],
+                        # whole milliseconds, as in Spark's listings
+                        "modified": [None if f.mtime_ns is None else f.mtime_ns // 10**6 * 1000 for f in part],
+                        "is_folder": [f.type == fs.FileType.Directory for f in part],
+                    }, schema=kinds)
+
+    return folders.mapInArrow(run, "file_name string, size long, modified timestamp, is_folder boolean")
+
+
 def open_input(path: str) -> pa.NativeFile:
     """A file of a listing, open for random reads."""
     store, inner = resolve(path)

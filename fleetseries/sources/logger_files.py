@@ -11,6 +11,7 @@ no line is joined to its header, and ``row_pos`` is the byte offset of a line.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ from fleetseries.schemas import (
     LOGGER_NA_TOKENS,
     MESSAGES,
 )
-from fleetseries.sources.byte_ranges import first_lines, read_ranges
+from fleetseries.session import let, qualified, write_table
+from fleetseries.sources.byte_ranges import first_lines, list_folders, read_ranges
 
 #: Bytes of a body range; a task is given four of them, or fewer where that uses more tasks.
 RANGE_BYTES = 32 << 20
@@ -43,11 +45,19 @@ def csv_fields(line: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive listing (file_name, size, modified) without reading content; Spark lists no empty files."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # only names are read, so a few files to a task (Spark's packing of whole files) would be far too few
-    df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    return df.select(F.col("path").alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """Recursive listing (file_name, size, modified) without reading content; no empty files, and none that Spark hides.
+
+    A level of folders after the other, each dealt to tasks and written to the shared folder: the driver holds no names.
+    """
+    folders = spark.range(1).select(F.lit(qualified(spark, root)).alias("file_name"))
+    levels = []
+    while True:
+        level = write_table(list_folders(folders), "listing")
+        levels.append(level.where("not is_folder and size > 0").drop("is_folder"))
+        folders = level.where("is_folder").select("file_name")
+        if not folders.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+        folders = folders.repartition(4 * spark.sparkContext.defaultParallelism)
 
 
 def scan_headers(files: DataFrame) -> DataFrame:
@@ -86,13 +96,17 @@ def body_ranges(headers: DataFrame, timestamp_column: str = "TIMESTAMP", needed:
     ones if given), ``places`` their positions from 1, ``ts_place`` the time's
     position (0: the file has no such column), ``n_columns`` the header's width.
     """
-    names = F.array_remove(F.array_distinct("columns"), timestamp_column)
+    # equal names are neighbours once sorted, so a wide header costs no look at all its columns for each of them
+    numbered = F.sort_array(F.transform("columns", lambda c, i: F.struct(c.alias("name"), (i + 1).cast("int").alias("place"))))
+    first = let(numbered, lambda x: F.filter(x, lambda c, i: (i == 0) | (F.get(x, i - 1)["name"] != c["name"])))
+    kept = F.filter(first, lambda c: c["name"] != timestamp_column)
     if needed is not None:
-        names = F.array_intersect(names, F.array(*[F.lit(c) for c in needed]).cast("array<string>"))
-    h = headers.filter(F.col("valid") & (F.col("size") > F.col("body_start"))).select("*", names.alias("names"))
+        kept = F.filter(kept, lambda c: c["name"].isin(list(needed)))
+    kept = F.sort_array(F.transform(kept, lambda c: F.struct(c["place"].alias("place"), c["name"].alias("name"))))
+    h = headers.filter(F.col("valid") & (F.col("size") > F.col("body_start"))).select("*", kept.alias("kept"))
     h = h.select(
-        "file_name", "size", "body_start", "names", F.size("columns").alias("n_columns"),
-        F.transform("names", lambda c: F.array_position("columns", c).cast("int")).alias("places"),
+        "file_name", "size", "body_start", F.col("kept.name").alias("names"), F.size("columns").alias("n_columns"),
+        F.col("kept.place").alias("places"),
         F.array_position("columns", timestamp_column).cast("int").alias("ts_place"),
     )
     starts = F.sequence(F.col("body_start"), F.col("size") - 1, F.lit(range_bytes).cast("long"))

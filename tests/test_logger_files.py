@@ -190,3 +190,28 @@ def test_globs_against_the_standard_library(spark, tmp_path):
 
 def test_pattern_family():
     assert L.pattern_family("a/*_Min.dat") == ["a/*_Min.dat", "a/*_Min_Historical.dat", "a/*_Min.dat.backup*"]
+
+
+def test_listing_is_made_by_tasks_and_hides_what_spark_hides(spark, tmp_path):
+    names = ["a.dat", "st 1/b.dat", "st 1/deep/c%20.dat", "_k=1/d.dat", "_tmp/e.dat", ".git/f.dat", "st 1/_g", "st 1/h._COPYING_"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "empty.dat").touch()
+    listed = L.list_files(spark, str(tmp_path))
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    by_spark = by_spark.selectExpr("path AS file_name", "length AS size", "modificationTime AS modified")
+    assert sorted(listed.collect()) == sorted(by_spark.collect()) and listed.count() == 4
+    assert listed.schema.simpleString() == by_spark.schema.simpleString()
+    assert "binaryFile" not in listed._jdf.queryExecution().toString()
+
+
+def test_places_of_a_wide_header_are_not_searched_for_each_name(spark):
+    names = ["r", "b", "TIMESTAMP", "a", "b", "r", "c"]
+    h = spark.createDataFrame([("f", 100, 10, True, names)], "file_name string, size long, body_start long, valid boolean, columns array<string>")
+    ranges = L.body_ranges(h)
+    r = ranges.first()
+    assert (r["names"], r["places"], r["ts_place"], r["n_columns"]) == (["r", "b", "a", "c"], [1, 2, 4, 7], 3, 7)
+    r = L.body_ranges(h, needed=["c", "b", "none"]).first()
+    assert (r["names"], r["places"]) == (["b", "c"], [2, 7])
+    assert ranges._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
