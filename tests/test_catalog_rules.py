@@ -256,3 +256,21 @@ def test_documents_of_one_partition_are_parsed_by_many_tasks(spark, tmp_path, mo
 def test_an_object_of_a_document_is_read_once(spark):
     plan = R.rule_schema(catalog(spark, {"x": variant()}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapType(StringType,VariantType") == 1
+
+
+def test_a_rule_computes_its_own_checks_only(spark, tmp_path):
+    cat = catalog(spark, {"x": variant(variables=[{"raw_name": "A"}, {"raw_name": "B", "old_names": ["A"]}], deployments=[])})
+    parts = (R.rule_variable_shape, R.rule_name_collision, R.rule_deployments, R.rule_overlap, R.rule_platform)
+    own = [[(r["rule"], r["location"], r["message"]) for r in part(cat).collect()] for part in parts]
+    assert [len(x) for x in own] == [0, 1, 1, 0, 0]
+    assert sorted(x for part in own for x in part) == findings(spark, cat.first()["content"])
+    plan = R.rule_name_collision(cat)._jdf.queryExecution().optimizedPlan().toString()
+    assert "next_start" not in plan and "member_arity" not in plan
+
+
+def test_a_catalog_without_findings_is_stored_alone(spark, tmp_path):
+    docs = spark.createDataFrame([("x", json.dumps(variant(colour="red")))], "dataset_id string, content string")
+    parsed, place = R.parsed_catalog(docs, str(tmp_path))
+    assert parsed.count() == 1 and [p.name for p in tmp_path.glob("*/*")] == ["catalog"]
+    stored, found = R.checked_catalog(docs, str(tmp_path))
+    assert stored.inputFiles() == parsed.inputFiles() and found.count() == 1
