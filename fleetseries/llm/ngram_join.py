@@ -280,6 +280,25 @@ def _verify_group(percent: int):
     return work
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by region: those that connect what their region's pairs before them did not."""
+    last, top = None, {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for k, (region, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "a", "b")))):
+            if region != last:
+                last, top = region, {}
+            x, y = find(a), find(b)
+            keep[k], top[y] = x != y, x
+        yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+
 _CELL = "region long, a long, b long, sid long, n int, both long, size long"
 
 
@@ -406,15 +425,17 @@ class JaccardJoin:
         right = members.select("region", F.col("sid").alias("b"), F.col("n").alias("nb"), *[c.alias("pb") for c in own])
         fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         pairs = left.join(right, "region").where(fits).groupBy("a", "b").agg(
-            F.count("*").alias("count"), *[F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")])
+            F.count("*").alias("count"), *[F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")],
+            F.min("region").alias("region"))
         open_ = F.col("count") >= common
         if placed:
             most = F.col("count") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
             open_ &= (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
-        pairs = write_table(pairs.where(open_).select("a", "b"), "join-pairs")
+        pairs = write_table(pairs.where(open_).select("region", "a", "b"), "join-pairs")
         sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
-        # candidates that hang together are verified together, so each set travels once
-        found = connected(pairs)
+        # candidates that hang together are verified together, so each set travels once; a region hangs together
+        # by fewer pairs than it has members
+        found = connected(pairs.repartition("region").sortWithinPartitions("region").mapInArrow(_forest, "a long, b long"))
         weight = sizes.join(found, sizes["sid"] == found["node"]).groupBy("label").agg(F.sum("n").alias("weight"))
         total = weight.agg(F.sum("weight")).first()[0] or 0
         group = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-int(total) // GROUP_SHINGLES))))

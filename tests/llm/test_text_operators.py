@@ -227,3 +227,25 @@ def test_ids_are_those_of_the_library(spark):
     texts = [*odd_texts(9), *whole, "under", "Licensed", " " * 67 + "a" + " " * 33 + "b  c   "]
     got = {r.doc_id: r.token_ids for r in pc.encode(frame(spark, enumerate(texts)), MODEL).collect()}
     assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
+
+
+def test_candidates_of_a_region_are_connected_by_fewer_pairs_than_members(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*base, *(rnd.choice("abcdefgh") + str(k) for _ in range(2))]) for k in range(24)]
+    seen = []
+    connect = nj.connected
+    monkeypatch.setattr(nj, "connected", lambda links: connect(seen.append(links.count()) or links))
+    got = {r.doc_id: r.component_id for r in nj.jaccard_components(frame(spark, enumerate(texts))).collect()}
+    assert set(got.values()) == {0}
+    # 24 near copies have 276 pairs
+    assert seen and max(seen) <= 23 * 8
+
+
+def test_forest_keeps_what_hangs_together(spark):
+    rows = [(1, a, b) for a in range(6) for b in range(a + 1, 6)] + [(2, 0, 1), (2, 7, 8), (3, 8, 9), (3, 9, 8)]
+    pairs = spark.createDataFrame(rows, "region long, a long, b long").coalesce(1)
+    kept = pairs.sortWithinPartitions("region").mapInArrow(nj._forest, "a long, b long").collect()
+    assert len(kept) == 5 + 2 + 1
+    tops = {r.node: r.label for r in nj.connected(spark.createDataFrame(kept)).collect()}
+    assert tops == {**dict.fromkeys(range(6), 0), 7: 7, 8: 7, 9: 7}
