@@ -435,7 +435,9 @@ class JaccardJoin:
         sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
         # candidates that hang together are verified together, so each set travels once; a region hangs together
         # by fewer pairs than it has members
-        found = connected(pairs.repartition("region").sortWithinPartitions("region").mapInArrow(_forest, "a long, b long"))
+        dealt = pairs.repartition("region").sortWithinPartitions("region", "a", "b")
+        # stored, as both directions of a link must come from one forest
+        found = connected(write_table(dealt.mapInArrow(_forest, "a long, b long"), "join-forest"))
         weight = sizes.join(found, sizes["sid"] == found["node"]).groupBy("label").agg(F.sum("n").alias("weight"))
         total = weight.agg(F.sum("weight")).first()[0] or 0
         group = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-int(total) // GROUP_SHINGLES))))

@@ -235,7 +235,13 @@ def test_candidates_of_a_region_are_connected_by_fewer_pairs_than_members(spark,
     texts = [" ".join([*base, *(rnd.choice("abcdefgh") + str(k) for _ in range(2))]) for k in range(24)]
     seen = []
     connect = nj.connected
-    monkeypatch.setattr(nj, "connected", lambda links: connect(seen.append(links.count()) or links))
+
+    def counted(links):
+        assert "MapInArrow" not in links._jdf.queryExecution().toString()  # both directions of one forest
+        seen.append(links.count())
+        return connect(links)
+
+    monkeypatch.setattr(nj, "connected", counted)
     got = {r.doc_id: r.component_id for r in nj.jaccard_components(frame(spark, enumerate(texts))).collect()}
     assert set(got.values()) == {0}
     # 24 near copies have 276 pairs
