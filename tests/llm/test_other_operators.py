@@ -101,6 +101,38 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert ht.main_text(df.limit(0)).count() == 0
 
 
+def test_the_host_decides_the_rest_of_marked_pages_and_spares_copies(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words[:30] + [own] + words[31:]) for own in ("x30", "y30")]
+    rows = [(k, "http://near.example/", f"<div>{t}</div>") for k, t in enumerate(near)]
+    foot = "all rights are reserved by the makers of this site since long ago"
+    quote = "a passage of ten words that two of the pages quote"
+    body = {k: " ".join(f"b{k}_{i}" for i in range(20)) + (f" {quote}" if k in (11, 12) else "") for k in range(10, 22)}
+    rows += [(k, "http://part.example/", f"<main><h1>Title {k}</h1></main><div>{t}</div><div>{foot}</div><div>More</div>") for k, t in body.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for chunk in (2000, 3):
+        got = {r.page_id: r.text for r in ht.main_text(df, chunk_pages=chunk).collect()}
+        assert [got[0], got[1]] == near  # near copies are one page
+        assert {k: got[k] for k in body} == {k: f"Title {k} {t}" for k, t in body.items()}
+
+
+def test_repeated_runs_against_brute_force(spark):
+    rnd = random.Random(3)
+    parts = [" ".join(f"p{k}_{i}" for i in range(9)) for k in range(6)]
+    texts = [" ".join([*rnd.sample(parts, 2), *(f"own{k}_{i}" for i in range(30))]) for k in range(16)]
+    df = spark.createDataFrame([(k, "http://h.example/", f"<div>{t}</div>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    pages = [t.split() for t in texts]
+    runs = [{tuple(p[i : i + ht.MIN_RUN]) for i in range(len(p) - ht.MIN_RUN + 1)} for p in pages]
+    for chunk in (2000, 3):
+        got = {r.page_id: r.text for r in ht.main_text(df, chunk_pages=chunk).collect()}
+        for k, p in enumerate(pages):
+            gone = set()
+            for i in range(len(p) - ht.MIN_RUN + 1):
+                if sum(tuple(p[i : i + ht.MIN_RUN]) in r for r in runs) >= max(2, ht.SHARE * len(pages)):
+                    gone |= set(range(i, i + ht.MIN_RUN))
+            assert got[k] == " ".join(w for i, w in enumerate(p) if i not in gone)
+
+
 def toxic_corpus(n=400, seed=1):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 7)))
