@@ -253,6 +253,13 @@ def test_documents_of_one_partition_are_parsed_by_many_tasks(spark, tmp_path, mo
     assert sorted(r["message"] for r in found.collect()) == ["invalid JSON"] + ["unknown keys: colour"] * 11
 
 
+def test_stored_documents_are_checked_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "DOCS_PER_TASK", 1)
+    docs = spark.range(0, 60, 1, 1).selectExpr("concat('d', id) AS dataset_id").withColumn("content", F.lit(json.dumps(variant(colour="red"))))
+    found = R.checked_catalog(docs, str(tmp_path))[1]
+    assert found.count() == 60 and len(found.inputFiles()) >= 20  # a reader packs the catalog's small files into a few tasks
+
+
 def test_an_object_of_a_document_is_read_once(spark):
     plan = R.rule_schema(catalog(spark, {"x": variant()}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapType(StringType,VariantType") == 1
