@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseries.session import write_table
+from fleetseries.session import drop_table, write_table
 
 from .common import SPACED_WORD, Words, mix, small_batches, table, text_batches
 from .components import connected
@@ -364,6 +364,7 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         small_batches(self.spark)
         self.words, self.percent, self.region = words, percent, region
+        self._held: list[DataFrame] = []
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         seen = write_table(self.rows.mapInArrow(_classes(words), "kind int, doc_id long, n long, s1 long, s2 long"), "join-classes")
         #: One row per document: doc_id, n (set size), s1, s2 (name of its set).
@@ -372,11 +373,24 @@ class JaccardJoin:
         self.classes = self.documents.where("n > 0").groupBy(F.col("s1").alias("sid"), "s2", "n").agg(F.min("doc_id").alias("doc_id"))
         self._counts = seen.where("kind = 1").select(F.col("s1").alias("h"), "n")
 
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that only this join reads; it goes with the join's end, or before by ``_drop``."""
+        return self._hold(write_table(df, name))
+
+    def _hold(self, table: DataFrame) -> DataFrame:
+        self._held.append(table)
+        return table
+
+    def _drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            drop_table(table)
+        self._held = [t for t in self._held if all(t is not table for table in tables)]
+
     def _order(self):
         """The frequent shingles, sorted, and the logarithm of their counts; of too many the most frequent."""
         level = F.least(F.floor(F.log2("n")), F.lit(60)).cast("int")
         frequent = self._counts.groupBy("h").agg(F.sum("n").alias("n")).select("h", level.alias("level")).where("level >= 1")
-        frequent = write_table(frequent, "join-order")
+        frequent = self._write(frequent, "join-order")
         sizes = sorted(frequent.groupBy("level").count().collect(), reverse=True)
         least, total = 61, 0
         for row in sizes:
@@ -385,6 +399,7 @@ class JaccardJoin:
                 break
             least = row["level"]
         rows = frequent.where(F.col("level") >= least).toArrow()
+        self._drop(frequent)
         h = rows.column("h").to_numpy().view(_U64)
         order = np.argsort(h)
         return self.spark.sparkContext.broadcast((h[order], rows.column("level").to_numpy().astype(np.uint8)[order]))
@@ -394,22 +409,24 @@ class JaccardJoin:
         kinds = "h long, sid long, n int, place int"
         rows = self.rows.select("text").mapInArrow(_prefixes(self._order(), self.words, self.percent), kinds)
         dealt = rows.repartition("h").sortWithinPartitions("h", "n", "sid")
-        return write_table(dealt.mapInArrow(_shared_only(self.percent), kinds), "join-windows")
+        return self._write(dealt.mapInArrow(_shared_only(self.percent), kinds), "join-windows")
 
     def _payload(self, windows: DataFrame) -> DataFrame:
         """(sid, hashes) of every set in ``windows``, from one document of each."""
         wanted = windows.select("sid").distinct().join(self.classes.select("sid", "doc_id"), "sid")
         wanted = wanted.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("sid").alias("want"))
-        wanted = write_table(wanted, "join-wanted")
+        wanted = few = self._write(wanted, "join-wanted")
         if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled by document
-            wanted = F.broadcast(wanted)
-        texts = self.rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("want", "text")
+            few = F.broadcast(wanted)
+        texts = self.rows.join(few, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("want", "text")
         sets = texts.mapInArrow(_sets(self.words), "want array<long>, sid long, hashes array<long>")
         # a doc_id that several rows share brings all their texts: only the wanted sets stay, each once
         sets = sets.where(F.array_contains("want", F.col("sid"))).select("sid", "hashes")
         if self.documents.groupBy("doc_id").count().where("count > 1").limit(1).count():
             sets = sets.dropDuplicates(["sid"])
-        return write_table(sets, "join-sets")
+        sets = self._write(sets, "join-sets")
+        self._drop(wanted)
+        return sets
 
     def _pairs(self, members: DataFrame, sets: DataFrame, common: int) -> tuple[DataFrame, DataFrame]:
         """Links inside regions of at most ``region`` members; members of clusters that are too large for one task.
@@ -431,31 +448,38 @@ class JaccardJoin:
         if placed:
             most = F.col("count") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
             open_ &= (100 + self.percent) * most >= self.percent * (F.col("na") + F.col("nb"))
-        pairs = write_table(pairs.where(open_).select("region", "a", "b"), "join-pairs")
+        pairs = self._write(pairs.where(open_).select("region", "a", "b"), "join-pairs")
         sizes = left.select(F.col("a").alias("sid"), F.col("na").alias("n")).distinct()
         # candidates that hang together are verified together, so each set travels once; a region hangs together
         # by fewer pairs than it has members
         dealt = pairs.repartition("region").sortWithinPartitions("region", "a", "b")
         # stored, as both directions of a link must come from one forest
-        found = connected(write_table(dealt.mapInArrow(_forest, "a long, b long"), "join-forest"))
+        forest = self._write(dealt.mapInArrow(_forest, "a long, b long"), "join-forest")
+        found = self._hold(connected(forest))
+        self._drop(forest)
         weight = sizes.join(found, sizes["sid"] == found["node"]).groupBy("label").agg(F.sum("n").alias("weight"))
         total = weight.agg(F.sum("weight")).first()[0] or 0
         group = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-int(total) // GROUP_SHINGLES))))
         clusters = found.join(weight, "label").select(F.col("node").alias("sid"), "label", "weight", group.alias("group"))
-        clusters = write_table(clusters, "join-clusters")
+        clusters = self._write(clusters, "join-clusters")
+        self._drop(found)
         whole = clusters.where(F.col("weight") <= CLUSTER_SHINGLES).select("sid", "group")
-        own = self._with_sets(whole, sets).select("group", "sid", "hashes")
+        picked, own = self._with_sets(whole, sets)
+        own = own.select("group", "sid", "hashes")
         of = _renamed(pairs.join(_renamed(whole), F.col("a") == F.col("sid")).select("group", "a", "b"))
         links = own.groupBy("group").cogroup(of.groupBy("group")).applyInArrow(_verify_group(self.percent), "a long, b long")
+        links = self._write(links, "join-links")
+        self._drop(picked, pairs)
         larger = clusters.where(F.col("weight") > CLUSTER_SHINGLES).join(sizes, "sid")
-        return write_table(links, "join-links"), larger.select(F.col("label").alias("region"), "sid", "n")
+        larger = self._write(larger.select(F.col("label").alias("region"), "sid", "n"), "join-larger")
+        self._drop(clusters)
+        return links, larger
 
-    def _with_sets(self, members: DataFrame, sets: DataFrame) -> DataFrame:
-        """``members`` with their sets; the sets are not shuffled for it where the members are few."""
-        members = write_table(members, "join-picked")
-        if members.count() <= BROADCAST_ROWS:
-            members = F.broadcast(members)
-        return sets.join(members, "sid")
+    def _with_sets(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``members`` as a table, and with their sets; the sets are not shuffled for it where the members are few."""
+        members = self._write(members, "join-picked")
+        few = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+        return members, sets.join(few, "sid")
 
     def _divide(self, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One level of pivots: the links to them, and the members of the cells (region, sid, n, parent_size)."""
@@ -465,12 +489,13 @@ class JaccardJoin:
         counts = members.groupBy("region").agg(F.count("*").alias("members"))
         n_chunks = F.ceil(F.col("members") / CHUNK).cast("long")
         left = members.join(counts, "region").withColumn("chunk", F.pmod(F.xxhash64("sid"), n_chunks))
-        left = self._with_sets(left.select("region", "chunk", "sid", "n"), sets)
+        chunks, left = self._with_sets(left.select("region", "chunk", "sid", "n"), sets)
         right = pivots.join(counts, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)))
-        right = self._with_sets(right.select("region", "chunk", "sid"), sets)
+        picked, right = self._with_sets(right.select("region", "chunk", "sid"), sets)
         right = _renamed(right)
         found = left.groupBy("region", "chunk").cogroup(right.groupBy("region", "chunk")).applyInArrow(_cells(self.percent), _CELL)
-        found = write_table(found, "join-cells")
+        found = self._write(found, "join-cells")
+        self._drop(chunks, picked)
         links = found.where("a is not null").select("a", "b")
         cells = found.where("region is not null").withColumn("distance", 1 - F.col("both") / F.col("size"))
         linked = 100 * F.col("both") >= self.percent * F.col("size")
@@ -482,9 +507,10 @@ class JaccardJoin:
 
     def _compare(self, members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         """Links of regions that stay large: members outside the region's largest component against all of it."""
-        found = connected(links)
+        found = self._hold(connected(links))
         named = members.join(found, members["sid"] == found["node"], "left")
-        named = write_table(named.select("region", "sid", F.coalesce("label", "sid").alias("label")), "join-named")
+        named = self._write(named.select("region", "sid", F.coalesce("label", "sid").alias("label")), "join-named")
+        self._drop(found)
         sizes = named.groupBy("region", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"))
         blocks = F.ceil(F.col("members") / CHUNK).cast("long")
@@ -497,14 +523,18 @@ class JaccardJoin:
         slots = left.select("region", "o").distinct()
         right = named.withColumn("b", mine).join(slots, "region").select(*columns, "o", "b")
         key = ["region", "o", "b"]
-        left, right = self._with_sets(left, sets), _renamed(self._with_sets(right, sets))
-        return write_table(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_blocks(self.percent), "a long, b long"), "join-links")
+        (opened, left), (picked, right) = self._with_sets(left, sets), self._with_sets(right, sets)
+        right = _renamed(right)
+        links = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_blocks(self.percent), "a long, b long")
+        links = self._write(links, "join-links")
+        self._drop(opened, picked)
+        return links
 
     def links(self) -> DataFrame:
         """(a, b): links between classes, enough of them to connect every pair that links."""
         windows = self._windows()
         sets = self._payload(windows)
-        members = windows.select(F.col("h").alias("region"), "sid", "n", "place")
+        members, read = windows.select(F.col("h").alias("region"), "sid", "n", "place"), windows
         done: list[DataFrame] = []
         for level in range(LEVELS + 1):
             sized = members.groupBy("region").agg(
@@ -517,7 +547,9 @@ class JaccardJoin:
             # regions of the same members are one
             large = sized.where(F.col("members") > self.region).groupBy("members", "name").agg(F.min("region").alias("region"))
             large = members.join(large.select("region"), "region", "left_semi").select("region", "sid", "n")
-            members = write_table(large.select("region", "sid", "n").unionByName(larger), "join-members")
+            members = self._write(large.select("region", "sid", "n").unionByName(larger), "join-members")
+            self._drop(read, larger)
+            read = members
             if not members.limit(1).count():
                 break
             if level == LEVELS:
@@ -526,11 +558,13 @@ class JaccardJoin:
             before = members.count()
             links, cells = self._divide(members, sets)
             done.append(links)
-            cells = write_table(cells, "join-members")
+            cells = self._write(cells, "join-members")
             if cells.count() > before:  # pivots no longer divide: replicas outgrow the cells
                 done.append(self._compare(members, sets, self._union(done)))
                 break
-            members = cells
+            self._drop(read)
+            members = read = cells
+        self._drop(sets)
         return self._union(done)
 
     def _union(self, parts: list[DataFrame]) -> DataFrame:
@@ -538,12 +572,13 @@ class JaccardJoin:
 
     def components(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, n_classes (texts with different sets in the component)."""
-        found = connected(self.links())
+        found = self._hold(connected(self.links()))
         labelled = self.classes.join(found, self.classes["sid"] == found["node"], "left")
         labelled = labelled.select("sid", "s2", "n", "doc_id", F.coalesce("label", "sid").alias("label"))
         tops = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_classes"))
         tops = labelled.join(tops, "label").select("sid", "s2", F.col("n").alias("__n"), "component_id", "n_classes")
         tops = write_table(tops, "join-tops")
+        self._drop(*self._held)
         own = self.documents
         joined = own.join(tops, (own["s1"] == tops["sid"]) & (own["s2"] == tops["s2"]) & (own["n"] == tops["__n"]), "left")
         empty = F.col("n") == 0

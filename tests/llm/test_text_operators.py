@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +12,8 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 
+from fleetseries import session  # noqa: E402
+from fleetseries.llm import components as comp  # noqa: E402
 from fleetseries.llm import decontaminate as wm  # noqa: E402
 from fleetseries.llm import license_scan as lic  # noqa: E402
 from fleetseries.llm import line_dedup as ld  # noqa: E402
@@ -255,3 +258,44 @@ def test_forest_keeps_what_hangs_together(spark):
     assert len(kept) == 5 + 2 + 1
     tops = {r.node: r.label for r in nj.connected(spark.createDataFrame(kept)).collect()}
     assert tops == {**dict.fromkeys(range(6), 0), 7: 7, 8: 7, 9: 7}
+
+
+def test_a_join_leaves_only_the_tables_that_its_rows_come_from(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path / "with blank"))
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, f"x{k}"]) for k in range(40)] + ["", None, "one two"]
+    out = nj.JaccardJoin(frame(spark, enumerate(texts)), region=8).components()
+    left = sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "with blank" / "fleetseries").iterdir())
+    assert left == ["join-classes", "join-tops"]
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 40: 40, 41: 41, 42: 42}
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def stored():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = stored()
+    session.write_table(spark.range(1000).repartition(4, "id"), "shuffled")
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
+    deadline = time.time() + 20
+    while stored() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert stored() <= before
+
+
+@pytest.mark.parametrize("limit", [7, 50, 500_000])
+def test_components_join_fewer_links_than_nodes(spark, monkeypatch, limit):
+    monkeypatch.setattr(comp, "TASK_LINKS", limit)
+    rnd = random.Random(4)
+    links = [(rnd.randrange(20), rnd.randrange(20)) for _ in range(300)] + [(k, k + 1) for k in range(100, 160)] + [(None, 3), (-5, 900)]
+    written = []
+    write = comp.write_table
+    monkeypatch.setattr(comp, "write_table", lambda df, name: written.append((name, write(df, name))) or written[-1][1])
+    dropped = []
+    monkeypatch.setattr(comp, "drop_table", dropped.append)
+    got = {r.node: r.label for r in comp.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(20), 0), **dict.fromkeys(range(100, 161), 100), -5: -5, 900: -5}
+    if limit > 400:  # one task: 83 nodes in 3 components
+        assert dict(written)["cc-edges"].count() == 2 * (83 - 3)
+    assert len(dropped) == len(written) - 1
