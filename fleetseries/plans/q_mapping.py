@@ -276,9 +276,8 @@ def csv_documents(spark, d):
     built, _, attrs = exported(spark, d)
     path = new_scratch_path(spark, "csv_documents")
     exp.write_csv_documents(exp.csv_lines(built, attrs, EXPORT_COLUMNS), path, part_rows=16)
-    parts = spark.read.schema("value string, dataset_id string, chunk string, part int").text(path, wholetext=True)
-    whole = parts.groupBy("dataset_id", "chunk").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("part", "value"))), lambda p: p["value"]), "").alias("text"))
+    whole = exp.read_csv_documents(spark, path).groupBy("dataset_id", "chunk").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))
     return whole.select("dataset_id", "chunk", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 

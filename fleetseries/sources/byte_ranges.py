@@ -116,6 +116,28 @@ def first_lines(files: DataFrame, n: int, expected: str) -> DataFrame:
         run, "file_name string, size long, lines array<string>, body_start long, bytes_read long")
 
 
+def read_whole(files: DataFrame) -> DataFrame:
+    """file_name and content (bytes) of every listed file; a task holds about ``PIECE_BYTES`` of files, or one longer file."""
+    kinds = pa.schema([("file_name", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, contents, size = [], [], 0
+            for path in batch.column("file_name").to_pylist():
+                with open_input(path) as f:
+                    data = f.read()
+                if names and size + len(data) > PIECE_BYTES:
+                    yield pa.RecordBatch.from_pydict({"file_name": names, "content": contents}, schema=kinds)
+                    names, contents, size = [], [], 0
+                names.append(path)
+                contents.append(data)
+                size += len(data)
+            if names:
+                yield pa.RecordBatch.from_pydict({"file_name": names, "content": contents}, schema=kinds)
+
+    return files.select("file_name").mapInArrow(run, "file_name string, content binary")
+
+
 def _pieces(path: str, start: int, end: int) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Offsets and texts of the lines whose first byte lies in [start, end), piece by piece."""
     with open_input(path) as f:

@@ -89,3 +89,29 @@ def test_csv_documents_in_bounded_parts(spark, tmp_path):
     assert docs == {"chunk=2026-01": head + [f"2026-01-31 {h:02d}:00:00,{float(h)}" for h in range(24)],
                     "chunk=2026-02": head + ["2026-02-01 00:00:00,24.0"]}
     assert max(sizes) == 10
+
+
+def test_csv_documents_are_written_and_found_by_tasks(spark, tmp_path, monkeypatch):
+    ids = ["s", "a/b=c", "50% +x", "é[1]{2}:#*?", "q\"'\\^\x01\x7f", "😀"]
+    w = spark.createDataFrame([(d, datetime(2026, m, 1, h), float(h)) for d in ids for m in (1, 2) for h in range(5)]
+                              + [(None, datetime(2026, 1, 1), 1.0)], "dataset_id string, time timestamp_ntz, v double")
+    attrs = spark.createDataFrame([(d, {"title": "T"}) for d in ids], "dataset_id string, attrs map<string,string>")
+    out, own = tmp_path / "csv", tmp_path / "spark"
+    spark.createDataFrame([(d, c, p, "x") for d in ids for c in ("2026-01", "2026-02") for p in (0, 1, 2)],
+                          "dataset_id string, chunk string, part int, line string") \
+        .write.partitionBy("dataset_id", "chunk", "part").text(str(own))
+
+    def never(*_, **__):
+        raise AssertionError("the driver would move or list every file")
+
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.partitionBy", never)
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameReader.text", never)
+    E.write_csv_documents(E.csv_lines(w.withColumn("v", F.lit(0.0)), attrs, ["v"]), str(out), part_rows=1)  # replaced by the next
+    E.write_csv_documents(E.csv_lines(w, attrs, ["v"]), str(out), part_rows=2)
+    got = {(r.dataset_id, r.chunk, r.part): r.text for r in E.read_csv_documents(spark, str(out)).collect()}
+    head = "# title: T\n#\ntime,v\n"
+    assert got == {(d, f"2026-0{m}", p): (head if p == 0 else "") + "".join(f"2026-0{m}-01 {h:02d}:00:00,{float(h)}\n" for h in range(2 * p, min(2 * p + 2, 5)))
+                   for d in ids for m in (1, 2) for p in (0, 1, 2)}
+    assert {f.parent.relative_to(out) for f in out.rglob("part-*")} == {f.parent.relative_to(own) for f in own.rglob("part-*")}
+    E.write_csv_documents(E.csv_lines(w.limit(0), attrs, ["v"]), str(out))
+    assert (out / "_SUCCESS").exists() and E.read_csv_documents(spark, str(out)).count() == 0
