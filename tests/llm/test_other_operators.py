@@ -133,6 +133,47 @@ def test_repeated_runs_against_brute_force(spark):
             assert got[k] == " ".join(w for i, w in enumerate(p) if i not in gone)
 
 
+def test_the_host_decides_what_of_an_article_is_text(spark):
+    own = lambda k, n=40: " ".join(f"a{k}_{i}" for i in range(n))
+    sign = "sign up here to get all of our stories by mail each day"
+    quote = "a passage of ten words that two of the articles quote"
+    rows = [(k, "http://news.example/", f"<article><p>{own(k)}</p><p>{sign}</p>" + (f"<p>{quote}</p>" if k in (3, 4) else "") + "</article>") for k in range(12)]
+    text = {k: own(k) + (f" {quote}" if k in (3, 4) else "") for k in range(12)}
+    # near copies and copies of an article are one: most of the host's pages, and no boilerplate
+    words = [f"n{k}" for k in range(200)]
+    near = {20 + k: " ".join([*words[: 10 * k], f"x{k}", *words[10 * k + 1 :]]) for k in range(14)} | {k: own(40) for k in range(40, 50)}
+    rows += [(k, "http://news.example/", f"<main>{t}</main><footer>{quote}</footer>") for k, t in near.items()]
+    # two articles that share a passage may quote it; what a menu names is not repeated by it
+    rows += [(60 + k, "http://two.example/", f"<nav>{own(60)}</nav><article>{own(60 + k)} {quote}</article>") for k in range(2)]
+    rows += [(70 + k, "http://menu.example/", f"<nav>{own(70)}</nav><article>{own(70 + k)}</article>") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = text | near | {60 + k: f"{own(60 + k)} {quote}" for k in range(2)} | {70 + k: own(70 + k) for k in range(4)}
+    for chunk in (2000, 5):
+        assert {r.page_id: r.text for r in ht.main_text(df, chunk_pages=chunk).collect()} == want
+
+
+def test_runs_of_articles_against_brute_force(spark):
+    rnd = random.Random(4)
+    parts = [" ".join(f"p{k}_{i}" for i in range(9)) for k in range(6)]
+    texts = [" ".join([*rnd.sample(parts, 2), *(f"own{k}_{i}" for i in range(60))]) for k in range(16)]
+    texts += [f"{texts[k]} more{k}" for k in range(8)] + texts[8:10]  # eight near copies, two copies
+    df = spark.createDataFrame([(k, "http://h.example/", f"<article>{t}</article>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    pages = [t.split() for t in texts]
+    names = {t: 0.5 if t in texts[:8] or t in texts[16:24] else 1.0 for t in texts}
+    runs = {t: {tuple(t.split()[i : i + ht.MIN_RUN]) for i in range(len(t.split()) - ht.MIN_RUN + 1)} for t in names}
+    cut = 0
+    for chunk in (2000, 7, 2):
+        got = {r.page_id: r.text for r in ht.main_text(df, chunk_pages=chunk).collect()}
+        for k, p in enumerate(pages):
+            gone = set()
+            for i in range(len(p) - ht.MIN_RUN + 1):
+                if sum(w for t, w in names.items() if tuple(p[i : i + ht.MIN_RUN]) in runs[t]) >= max(ht.ARTICLES, ht.SHARE * 16) - 1e-6:
+                    gone |= set(range(i, i + ht.MIN_RUN))
+            cut += len(gone)
+            assert got[k] == " ".join(w for i, w in enumerate(p) if i not in gone)
+    assert cut
+
+
 def toxic_corpus(n=400, seed=1):
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 7)))
