@@ -52,20 +52,26 @@ def list_folders(folders: DataFrame) -> DataFrame:
     """file_name, size, modified, is_folder of what each listed folder (file_name) holds directly."""
     kinds = pa.schema([("file_name", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("is_folder", pa.bool_())])
 
+    def listed(folder: str, found: list[fs.FileInfo]) -> Iterator[tuple]:
+        for f in found:
+            # whole milliseconds, as in Spark's listings
+            modified = None if f.mtime_ns is None else f.mtime_ns // 10**6 * 1000
+            yield f"{folder.rstrip('/')}/{f.base_name}", f.size, modified, f.type == fs.FileType.Directory
+
+    def tables(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows), LISTED):
+            yield pa.RecordBatch.from_pydict(dict(zip(kinds.names, zip(*rows[k:k + LISTED]))), schema=kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for folder in batch.column("file_name").to_pylist():
                 store, inner = resolve(folder)
-                found = [f for f in store.get_file_info(fs.FileSelector(inner)) if not _hidden(f.base_name)]
-                for k in range(0, len(found), LISTED):
-                    part = found[k:k + LISTED]
-                    yield pa.RecordBatch.from_pydict({
-                        "file_name": [f"{folder.rstrip('/')}/{f.base_name}" for f in part],
-                        "size": [f.size for f in part],
-                        # whole milliseconds, as in Spark's listings
-                        "modified": [None if f.mtime_ns is None else f.mtime_ns // 10**6 * 1000 for f in part],
-                        "is_folder": [f.type == fs.FileType.Directory for f in part],
-                    }, schema=kinds)
+                rows += listed(folder, [f for f in store.get_file_info(fs.FileSelector(inner)) if not _hidden(f.base_name)])
+                if len(rows) >= LISTED:
+                    yield from tables(rows)
+                    rows = []
+            yield from tables(rows)
 
     return folders.mapInArrow(run, "file_name string, size long, modified timestamp, is_folder boolean")
 

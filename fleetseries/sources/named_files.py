@@ -23,17 +23,23 @@ def write_files(lines: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = resolve(root)
         path, out, temp, n_lines, n_bytes = None, None, None, 0, 0
+        done: list[tuple[str, int, int]] = []
 
-        def finish() -> pa.RecordBatch:
+        def finish() -> None:
             out.close()
             store.move(temp, posixpath.join(base, path))
-            return pa.RecordBatch.from_pydict({"path": [path], "n_lines": [n_lines], "n_bytes": [n_bytes]})
+            done.append((path, n_lines, n_bytes))
+
+        def written() -> pa.RecordBatch:
+            paths, lines_, bytes_ = ([row[k] for row in done] for k in range(3))
+            done.clear()
+            return pa.RecordBatch.from_pydict({"path": paths, "n_lines": lines_, "n_bytes": bytes_})
 
         for batch in batches:
             for name, line in zip(batch.column("path").to_pylist(), batch.column("line").to_pylist()):
                 if name != path:
                     if out is not None:
-                        yield finish()
+                        finish()
                     path, n_lines, n_bytes = name, 0, 0
                     folder = posixpath.dirname(posixpath.join(base, path))
                     store.create_dir(folder, recursive=True)
@@ -42,7 +48,10 @@ def write_files(lines: DataFrame, root: str) -> DataFrame:
                 data = line.encode() + b"\n"
                 out.write(data)
                 n_lines, n_bytes = n_lines + 1, n_bytes + len(data)
+            if done:
+                yield written()
         if out is not None:
-            yield finish()
+            finish()
+            yield written()
 
     return write_table(lines.select("path", "line").mapInArrow(run, "path string, n_lines long, n_bytes long"), "written-files")
